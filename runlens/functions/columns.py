@@ -103,7 +103,7 @@ def bracket_job_id(col: ColumnOrName) -> Column:
 
 
 # Grammar of compressed host lists (``c401-[101-103,105],gpu2``).
-_HOSTLIST_ITEM = r"[^,\[\]]*(\[[^\]]*\][^,\[\]]*)?"
+HOSTLIST_ITEM_RE = r"[^,\[\]]*(\[[^\]]*\][^,\[\]]*)?"
 
 
 def expand_hostlist(col: ColumnOrName) -> Column:
@@ -114,7 +114,7 @@ def expand_hostlist(col: ColumnOrName) -> Column:
     ``lo`` (``[08-11]`` -> 08, 09, 10, 11); a single number keeps its text.
     Built from ``regexp_extract_all``, ``sequence`` and ``transform``.
     """
-    items = F.filter(F.regexp_extract_all(_c(col), F.lit(_HOSTLIST_ITEM), 0),
+    items = F.filter(F.regexp_extract_all(_c(col), F.lit(HOSTLIST_ITEM_RE), 0),
                      lambda s: F.length(F.trim(s)) > 0)
 
     def expand_item(item: Column) -> Column:

@@ -11,8 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.columns import expand_hostlist as _expand_hostlist_col
-from runlens.functions.columns import int_or_null, nonblank, strip_ws
+from runlens.functions.columns import HOSTLIST_ITEM_RE, int_or_null, nonblank, strip_ws
 from runlens.functions.ordering import with_group_position
 
 
@@ -34,22 +33,64 @@ def expand_slots(df: DataFrame, alloc: str = "alloc_id", line: str = "line",
     A line whose second field is missing or not an integer is skipped, a
     host with ``slots <= 0`` vanishes. ``distinct=True`` gives the host set
     of the original (slot counts lost); otherwise ``(alloc, host, slot)``.
+    Skipping is done by exploding an empty sequence, not by a filter, so the
+    line is split once per row.
     """
-    fields = F.split(strip_ws(F.col(line)), r"\s+")
-    slots = F.when(F.size(fields) >= 2, int_or_null(fields.getItem(1)))
-    rows = df.select(F.col(alloc), fields.getItem(0).alias("host"), slots.alias("slots")) \
-        .where((F.col("slots") > 0) & (F.col("host") != ""))
+    fields = df.select(F.col(alloc), F.split(strip_ws(F.col(line)), r"\s+").alias("_rl_f"))
+    f = F.col("_rl_f")
+    parsed = fields.select(F.col(alloc), f.getItem(0).alias("host"),
+                           F.when(F.size(f) >= 2, int_or_null(f.getItem(1))).alias("_rl_slots"))
+    ok = (F.col("_rl_slots") > 0) & (F.col("host") != "")
     if distinct:
-        return rows.select(alloc, "host").dropDuplicates([alloc, "host"])
-    return rows.select(alloc, "host",
-                       F.explode(F.sequence(F.lit(1), F.col("slots"))).alias("slot"))
+        return parsed.select(F.col(alloc), F.explode(F.when(ok, F.array("host"))).alias("host")) \
+            .dropDuplicates([alloc, "host"])
+    return parsed.select(F.col(alloc), "host",
+                         F.explode(F.when(ok, F.sequence(F.lit(1), F.col("_rl_slots")))).alias("slot"))
 
 
 def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
                     out: str = "host") -> DataFrame:
-    """SLURM compressed host expression -> distinct hosts per allocation."""
-    return df.select(F.col(alloc), F.explode(_expand_hostlist_col(F.col(expr))).alias(out)) \
-        .dropDuplicates([alloc, out])
+    """SLURM compressed host expression -> distinct hosts per allocation.
+
+    ``c401-[101-103,105],gpu2`` -> c401-101, c401-102, c401-103, c401-105,
+    gpu2. One chain of ``explode``s (items, ranges, numbers) with plain
+    string expressions between them, all inside whole-stage codegen and
+    without filters; the zero padding of a range's low bound is kept
+    (``[08-11]``). A reversed or malformed range gives no host.
+    """
+    items = df.select(F.col(alloc), F.explode(
+        F.regexp_extract_all(F.col(expr), F.lit(HOSTLIST_ITEM_RE), 0)).alias("_rl_item"))
+    item = F.trim(F.col("_rl_item"))
+    parts = items.select(
+        F.col(alloc), item.alias("_rl_item"),
+        F.regexp_extract(item, r"^([^\[]*)", 1).alias("_rl_pre"),
+        F.regexp_extract(item, r"\]([^\[\]]*)$", 1).alias("_rl_suf"),
+        F.when(F.instr(item, "[") > 0, F.regexp_extract(item, r"\[([^\]]*)\]", 1)).alias("_rl_body"))
+    body = F.col("_rl_body")
+    no_range = F.array(F.lit(None).cast("string"))
+    ranges = parts.select(
+        F.col(alloc), "_rl_item", "_rl_pre", "_rl_suf",
+        F.explode(F.when(F.col("_rl_item") == "", F.array().cast("array<string>"))
+                  .when(body.isNull(), no_range).otherwise(F.split(body, ","))).alias("_rl_r"))
+    r = F.trim(F.col("_rl_r"))
+    lo_txt = F.regexp_extract(r, r"^(\d+)", 1)
+    hi_txt = F.regexp_extract(r, r"^\d+-(\d+)$", 1)
+    bounds = ranges.select(
+        F.col(alloc), "_rl_item", "_rl_pre", "_rl_suf", F.col("_rl_r"),
+        F.length(lo_txt).alias("_rl_w"),
+        lo_txt.try_cast("long").alias("_rl_lo"),
+        F.coalesce(F.nullif(hi_txt, F.lit("")), lo_txt).try_cast("long").alias("_rl_hi"))
+    lo, hi = F.col("_rl_lo"), F.col("_rl_hi")
+    numbers = bounds.select(
+        F.col(alloc), "_rl_item", "_rl_pre", "_rl_suf", "_rl_w", F.col("_rl_r"),
+        F.explode(F.when(F.col("_rl_r").isNull(), F.array(F.lit(None).cast("long")))
+                  .when(lo.isNotNull() & (hi >= lo), F.sequence(lo, hi))
+                  .otherwise(F.array().cast("array<bigint>"))).alias("_rl_num"))
+    num = F.col("_rl_num").cast("string")
+    host = F.when(F.col("_rl_r").isNull(), F.col("_rl_item")).otherwise(F.concat(
+        F.col("_rl_pre"), F.lpad(num, F.greatest(F.col("_rl_w"), F.length(num)), "0"),
+        F.col("_rl_suf")))
+    return numbers.select(F.col(alloc), host.alias(out)).dropDuplicates([alloc, out])
 
 
 def first_present(df: DataFrame, cols: Sequence[str], default: str | None = "localhost",

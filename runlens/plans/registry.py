@@ -31,7 +31,19 @@ DEADLINE_S = 3 * 86400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, spread over at least ``defaultParallelism`` tasks.
+
+    The driver's files are a single row group each, so a scan is one task
+    and every CPU-heavy projection after it (parsing, regex, explode) would
+    run on one core. A scan with fewer splits than the session's parallelism
+    is rebalanced round-robin; a large input (thousands of splits) is left
+    as it is, so at scale this adds no shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
 
 
 def _framework(user: Column) -> Column:

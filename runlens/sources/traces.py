@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.functions.columns import decimal_or_null, int_or_null, nonblank, strip_ws
+from runlens.functions.columns import decimal_or_null, int_or_null, nonblank
 from runlens.schemas import TRACE
 
 # Trace file-name convention and its time format.
@@ -34,31 +34,41 @@ def parse_trace_lines(df: DataFrame, line: str = "line", file: str = "file") ->
 
     ``file`` may be a bare name or a full path; the trace name is found
     anywhere in it, so partition folders named after the file work too.
+    The line is split once in its own projection; the fields are then cheap
+    array reads (no re-split per field, no re-evaluation in the filter).
     """
-    parts = F.split(F.col(line), ",")
-    n = F.size(parts)
-    name = F.regexp_extract(F.col(file), TRACE_NAME_RE, 0)
-    fw_from_name = F.nullif(F.regexp_extract(F.col(file), TRACE_NAME_RE, 1), F.lit(""))
-    stamp = F.nullif(F.regexp_extract(F.col(file), TRACE_NAME_RE, 2), F.lit(""))
-    run_ts = F.try_to_timestamp(stamp, F.lit(TRACE_TIME_FORMAT)).cast("timestamp_ntz")
-
-    four = n == 4
-    framework = F.when(four, F.coalesce(nonblank(parts.getItem(1)), fw_from_name)) \
-        .otherwise(fw_from_name)
-    nodes_txt = F.when(four, parts.getItem(2)).when(n == 3, parts.getItem(1))
-    secs_txt = F.when(four, parts.getItem(3)).when(n == 3, parts.getItem(2))
-
-    out = df.select(
-        framework.alias("framework"),
-        run_ts.alias("run_ts"),
-        nonblank(parts.getItem(0)).alias("phase"),
-        int_or_null(nodes_txt).alias("nodes"),
-        decimal_or_null(secs_txt, 18, 5).alias("seconds"),
-        F.nullif(name, F.lit("")).alias("file"),
-        n.isin(3, 4).alias("_rl_shape_ok"),
+    split = df.select(F.split(F.col(line), ",").alias("_rl_p"),
+                      F.regexp_extract(F.col(file), TRACE_NAME_RE, 0).alias("_rl_name"))
+    p = F.col("_rl_p")
+    four = F.size(p) == 4
+    fields = split.select(
+        F.size(p).isin(3, 4).alias("_rl_shape"),
+        p.getItem(0).alias("_rl_phase"),
+        F.when(four, p.getItem(1)).alias("_rl_fw"),
+        F.when(four, p.getItem(2)).otherwise(p.getItem(1)).alias("_rl_nodes"),
+        F.when(four, p.getItem(3)).otherwise(p.getItem(2)).alias("_rl_secs"),
+        F.nullif(F.col("_rl_name"), F.lit("")).alias("_rl_file"),
     )
-    out = out.where(F.col("_rl_shape_ok") & F.col("phase").isNotNull()
-                    & F.col("nodes").isNotNull() & F.col("seconds").isNotNull())
+    name = F.col("_rl_file")
+    fw_from_name = F.substring_index(name, "_performance_", 1)
+    stamp = F.substring_index(F.substring_index(name, "_performance_", -1), ".csv", 1)
+    typed = fields.select(F.col("_rl_shape"), F.struct(
+        F.coalesce(nonblank(F.col("_rl_fw")), fw_from_name).alias("framework"),
+        F.try_to_timestamp(stamp, F.lit(TRACE_TIME_FORMAT)).cast("timestamp_ntz").alias("run_ts"),
+        nonblank(F.col("_rl_phase")).alias("phase"),
+        int_or_null(F.col("_rl_nodes")).alias("nodes"),
+        decimal_or_null(F.col("_rl_secs"), 18, 5).alias("seconds"),
+        name.alias("file"),
+    ).alias("_rl_t"))
+    # Invalid lines are dropped by exploding an empty array rather than by a
+    # filter: a filter on parsed fields would be pushed below the projections
+    # and re-evaluate every parsing expression inside the predicate.
+    t = F.col("_rl_t")
+    ok = F.col("_rl_shape") & t["phase"].isNotNull() & t["nodes"].isNotNull() \
+        & t["seconds"].isNotNull()
+    out = typed.select(F.inline(F.when(ok, F.array(t)).otherwise(F.array().cast(
+        "array<struct<framework:string,run_ts:timestamp_ntz,phase:string,nodes:int,"
+        "seconds:decimal(18,5),file:string>>"))))
     return out.select([F.col(f.name).cast(f.dataType) for f in TRACE.fields])
 
 
