@@ -38,8 +38,8 @@ def expand_slots(df: DataFrame, alloc: str = "alloc_id", line: str = "line",
     """
     fields = df.select(F.col(alloc), F.split(strip_ws(F.col(line)), r"\s+").alias("_rl_f"))
     f = F.col("_rl_f")
-    parsed = fields.select(F.col(alloc), f.getItem(0).alias("host"),
-                           F.when(F.size(f) >= 2, int_or_null(f.getItem(1))).alias("_rl_slots"))
+    parsed = fields.select(F.col(alloc), F.get(f, 0).alias("host"),
+                           F.when(F.size(f) >= 2, int_or_null(F.get(f, 1))).alias("_rl_slots"))
     ok = (F.col("_rl_slots") > 0) & (F.col("host") != "")
     if distinct:
         return parsed.select(F.col(alloc), F.explode(F.when(ok, F.array("host"))).alias("host")) \

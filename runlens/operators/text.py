@@ -9,6 +9,11 @@ from runlens.functions import columns as C
 from runlens.functions.columns import strip_ws
 
 
+# Fixed value: worker ids on a standalone master's status page (text right
+# after a ``>``).
+WORKER_ID_RE = r"(?<=>)worker-[0-9\-.]*"
+
+
 def extract_first(df: DataFrame, col: str, pattern: str, group: int = 1,
                   out: str = "match") -> DataFrame:
     """First regex match (capture ``group``), NULL when absent."""

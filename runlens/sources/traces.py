@@ -43,10 +43,10 @@ def parse_trace_lines(df: DataFrame, line: str = "line", file: str = "file") ->
     four = F.size(p) == 4
     fields = split.select(
         F.size(p).isin(3, 4).alias("_rl_shape"),
-        p.getItem(0).alias("_rl_phase"),
-        F.when(four, p.getItem(1)).alias("_rl_fw"),
-        F.when(four, p.getItem(2)).otherwise(p.getItem(1)).alias("_rl_nodes"),
-        F.when(four, p.getItem(3)).otherwise(p.getItem(2)).alias("_rl_secs"),
+        F.get(p, 0).alias("_rl_phase"),
+        F.when(four, F.get(p, 1)).alias("_rl_fw"),
+        F.when(four, F.get(p, 2)).otherwise(F.get(p, 1)).alias("_rl_nodes"),
+        F.when(four, F.get(p, 3)).otherwise(F.get(p, 2)).alias("_rl_secs"),
         F.nullif(F.col("_rl_name"), F.lit("")).alias("_rl_file"),
     )
     name = F.col("_rl_file")
