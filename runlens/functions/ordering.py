@@ -45,9 +45,11 @@ def _sort_key(o: Column | str) -> Column:
 def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                         prev: Sequence[str] = (), pos_col: str = "pos",
                         prev_prefix: str = "prev_", num_partitions: int | None = None,
-                        skew_safe: bool = True) -> DataFrame:
-    """Add ``pos_col`` (0-based position within the key group under ``order``)
-    and ``prev_<c>`` (value of ``c`` on the preceding row, NULL for the first).
+                        skew_safe: bool = True, first: Sequence[str] = (),
+                        first_prefix: str = "first_") -> DataFrame:
+    """Add ``pos_col`` (0-based position within the key group under ``order``),
+    ``prev_<c>`` (value of ``c`` on the preceding row, NULL for the first) and
+    ``first_<c>`` (value of ``c`` on the group's first row).
 
     ``skew_safe=False`` gives the plain one-window plan (one shuffle, whole
     group per task), for inputs whose groups are known to be small.
@@ -59,6 +61,8 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
         out = df.withColumn(pos_col, F.row_number().over(w) - F.lit(1))
         for c in prev:
             out = out.withColumn(f"{prev_prefix}{c}", F.lag(c).over(w))
+        for c in first:
+            out = out.withColumn(f"{first_prefix}{c}", F.first(c).over(w))
         return out
 
     spark = df.sparkSession
@@ -72,18 +76,24 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
         .withColumn(_CNT, F.count(F.lit(1)).over(w_slice_all))
     for c in prev:
         local = local.withColumn(f"_rl_lp_{c}", F.lag(c).over(w_slice))
+    for c in first:
+        local = local.withColumn(f"_rl_lf_{c}", F.first(c).over(w_slice))
     local = local.persist(StorageLevel.MEMORY_AND_DISK)
 
-    # One row per (key, slice): its size and the values of its last row.
+    # One row per (key, slice): its size, the values of its last row and of
+    # its first row.
     summary = local.filter(F.col(_RN) == F.col(_CNT)) \
-        .select(*keys, _SEG, _CNT, *[F.col(c).alias(f"_rl_last_{c}") for c in prev])
+        .select(*keys, _SEG, _CNT, *[F.col(c).alias(f"_rl_last_{c}") for c in prev],
+                *[F.col(f"_rl_lf_{c}").alias(f"_rl_sf_{c}") for c in first])
     w_key = Window.partitionBy(*keys).orderBy(_SEG)
     summary = summary.withColumn(_OFF, F.sum(_CNT).over(w_key) - F.col(_CNT))
     for c in prev:
         summary = summary.withColumn(f"_rl_pl_{c}", F.lag(f"_rl_last_{c}").over(w_key))
+    for c in first:
+        summary = summary.withColumn(f"_rl_gf_{c}", F.first(f"_rl_sf_{c}").over(w_key))
     summary = summary.select(*[F.col(k).alias(f"_rl_k_{k}") for k in keys],
                              F.col(_SEG).alias("_rl_sseg"), _OFF,
-                             *[f"_rl_pl_{c}" for c in prev])
+                             *[f"_rl_pl_{c}" for c in prev], *[f"_rl_gf_{c}" for c in first])
 
     # Null-safe on the keys: a NULL run key is a group like any other.
     # The summary's columns are renamed, so the self-join is unambiguous.
@@ -96,7 +106,10 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
         out = out.withColumn(f"{prev_prefix}{c}",
                              F.when(F.col(_RN) == 1, F.col(f"_rl_pl_{c}"))
                              .otherwise(F.col(f"_rl_lp_{c}")))
-    helper = [_SEG, _RN, _CNT, _OFF] + [f"_rl_{k}_{c}" for c in prev for k in ("lp", "pl")]
+    for c in first:
+        out = out.withColumnRenamed(f"_rl_gf_{c}", f"{first_prefix}{c}")
+    helper = [_SEG, _RN, _CNT, _OFF] + [f"_rl_{k}_{c}" for c in prev for k in ("lp", "pl")] \
+        + [f"_rl_lf_{c}" for c in first]
     return out.drop(*helper)
 
 

@@ -89,32 +89,45 @@ def resolve_placeholders(df: DataFrame, col: str, vars_df: DataFrame,
     """Replace ``$NAME`` / ``${NAME}`` from a variables table.
 
     ``vars_df`` holds ``(*keys, name, value)``: one environment per key (for
-    example per allocation). Unknown names keep their text. Only the names a
-    row actually references are joined (on ``keys + name``, unique on the
-    variables side), then gathered into one small map per row and applied
-    with ``transform`` over the row's tokens. The text itself is never
-    exploded.
+    example per allocation). Unknown names keep their text. Each row becomes
+    one row per distinct name it references (the row itself rides on the
+    first of them), those rows are left-joined to the variables on
+    ``keys + name`` (unique there; AQE broadcasts a small environment and
+    splits a hot key otherwise), and one aggregate per row gathers the row
+    back together with a small map of its own bindings, applied by
+    ``transform`` over the row's tokens. The input is read once, so a
+    generated row id cannot differ between two evaluations.
     """
     out = out or col
     keys = list(keys)
     rid = row_id or "_rl_row"
     base = df if row_id else df.withColumn(rid, F.monotonically_increasing_id())
-
-    refs = base.select(rid, *keys, F.explode(F.array_distinct(F.transform(
-        F.regexp_extract_all(F.col(col), F.lit(PLACEHOLDER_RE), 0), _placeholder_name)))
-        .alias("_rl_name"))
-    env = vars_df.select(*keys, F.col(name).alias("_rl_name"), F.col(value).alias("_rl_value"))
-    bound = refs.join(env, on=[*keys, "_rl_name"], how="inner") \
-        .groupBy(rid).agg(F.map_from_entries(F.collect_list(
-            F.struct("_rl_name", "_rl_value"))).alias("_rl_env"))
+    cols = [c for c in base.columns if c != rid]
+
+    names = F.array_distinct(F.transform(
+        F.regexp_extract_all(F.col(col), F.lit(PLACEHOLDER_RE), 0), _placeholder_name))
+    refs = base.select(rid, *keys, F.struct(*cols).alias("_rl_rowdata"),
+                       F.posexplode_outer(names).alias("_rl_i", "_rl_name")) \
+        .withColumn("_rl_rowdata", F.when(F.coalesce(F.col("_rl_i"), F.lit(0)) == 0,
+                                          F.col("_rl_rowdata")))
+    env = vars_df.select(*[F.col(k).alias(f"_rl_ek_{k}") for k in keys],
+                         F.col(name).alias("_rl_ename"), F.col(value).alias("_rl_value"))
+    cond = [F.col(k).eqNullSafe(F.col(f"_rl_ek_{k}")) for k in keys] \
+        + [F.col("_rl_name") == F.col("_rl_ename")]
+    bound = refs.join(env, on=cond, how="left")
+    bind = F.when(F.col("_rl_value").isNotNull(), F.struct("_rl_name", "_rl_value"))
+    rows = bound.groupBy(rid).agg(
+        F.first("_rl_rowdata", ignorenulls=True).alias("_rl_rowdata"),
+        F.map_from_entries(F.collect_list(bind)).alias("_rl_env"))
 
     tokens = F.regexp_extract_all(F.col(col), F.lit(TOKEN_RE), 0)
     resolved = F.array_join(F.transform(tokens, lambda t: F.when(
         t.startswith("$") & (F.length(t) > 1),
         F.coalesce(F.try_element_at(F.col("_rl_env"), _placeholder_name(t)), t)).otherwise(t)), "")
-    res = base.join(bound, on=rid, how="left") \
-        .withColumn(out, F.when(F.col(col).isNotNull(), resolved))
-    res = res.drop("_rl_env")
+    res = rows.select(rid, "_rl_rowdata.*", "_rl_env") \
+        .withColumn(out, F.when(F.col(col).isNotNull(), resolved)).drop("_rl_env")
+    ordered = [c for c in base.columns] + ([out] if out not in base.columns else [])
+    res = res.select(*ordered)
     return res if row_id else res.drop(rid)
 
 

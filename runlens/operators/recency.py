@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.ordering import join_on_keys, with_group_position
+from runlens.functions.ordering import with_group_position
 
 
 def _order(ts: str, tiebreak: Sequence[str]) -> list[Column]:
@@ -64,14 +64,13 @@ def phase_durations(df: DataFrame, run: str, ts: str, tiebreak: Sequence[str] =
 
     ``step`` = this reading minus the previous one (NULL for the first),
     ``total`` = this reading minus the run's first. ``seq`` is the 0-based
-    position. The run start is a hash aggregate joined back (AQE broadcasts
-    it when small and splits a hot run on the big side otherwise).
+    position. The run start comes from the same per-slice summary as the
+    predecessor, so no extra pass over the rows is needed.
     """
     order = [F.col(ts).asc()] + [F.col(t).asc() for t in tiebreak]
-    pos = with_group_position(df, [run], order, prev=[ts], pos_col=seq,
-                              prev_prefix="_rl_prev_", skew_safe=skew_safe)
-    start = df.groupBy(run).agg(F.min(ts).alias("_rl_start"))
-    out = join_on_keys(pos, start, [run]) \
-        .withColumn(step, F.timestamp_diff("MICROSECOND", F.col(f"_rl_prev_{ts}"), F.col(ts))) \
-        .withColumn(total, F.timestamp_diff("MICROSECOND", F.col("_rl_start"), F.col(ts)))
-    return out.drop(f"_rl_prev_{ts}", "_rl_start")
+    pos = with_group_position(df, [run], order, prev=[ts], first=[ts], pos_col=seq,
+                              prev_prefix="_rl_prev_", first_prefix="_rl_first_",
+                              skew_safe=skew_safe)
+    out = pos.withColumn(step, F.timestamp_diff("MICROSECOND", F.col(f"_rl_prev_{ts}"), F.col(ts))) \
+        .withColumn(total, F.timestamp_diff("MICROSECOND", F.col(f"_rl_first_{ts}"), F.col(ts)))
+    return out.drop(f"_rl_prev_{ts}", f"_rl_first_{ts}")

@@ -27,6 +27,11 @@ def sweep_grid(spark: SparkSession, reps: int, dims: dict[str, Sequence], rep: s
 
 
 def missing_runs(grid: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Grid cells with no matching row in ``present`` (D7): a left anti join."""
+    """Grid cells with no matching row in ``present`` (D7): a left anti join.
+
+    ``present`` is reduced to its distinct keys first: the map-side partial
+    aggregate shrinks the shuffle to one row per key and task, and its hash
+    partitioning on the keys is the one the join needs.
+    """
     keys = list(keys)
-    return grid.join(present.select(*keys), on=keys, how="left_anti")
+    return grid.join(present.select(*keys).dropDuplicates(keys), on=keys, how="left_anti")

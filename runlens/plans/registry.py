@@ -5,7 +5,10 @@ names and types equal those of the SQL in ``runlens.plans.oracle``. The
 inputs the reference reads as files (traces, host files, XML configs) are
 derived from the tables by Spark, so every query's work grows with them.
 Builders that exercise a file reader or writer write their input below the
-shared checkpoint folder first (a new folder per call).
+shared checkpoint folder first (a new folder per call). Partitioned writes
+use the ``rebalance`` hint on the partition column: AQE then writes about
+one file per value, splits a hot value into several files and merges small
+ones, instead of one file per (task, value).
 """
 
 from __future__ import annotations
@@ -78,7 +81,7 @@ def q_trace_parse(spark, sf_dir):
 
 def q_trace_files(spark, sf_dir):
     path = scratch_path(spark, "trace_files")
-    trace_lines(spark, sf_dir).write.partitionBy("file").text(path)
+    trace_lines(spark, sf_dir).hint("rebalance", "file").write.partitionBy("file").text(path)
     return src.read_traces(spark, path)
 
 
@@ -104,7 +107,7 @@ def host_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_host_file_scan(spark, sf_dir):
     path = scratch_path(spark, "host_files")
-    host_lines(spark, sf_dir).write.partitionBy("alloc_id").text(path)
+    host_lines(spark, sf_dir).hint("rebalance", "alloc_id").write.partitionBy("alloc_id").text(path)
     lines = src.read_lines(spark, path)
     lines = lines.withColumn("alloc_id",
                              F.regexp_extract("file", r"alloc_id=(\d+)", 1).cast("bigint"))
@@ -123,7 +126,7 @@ def xml_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_xml_props(spark, sf_dir):
     path = scratch_path(spark, "xml_props")
-    (xml_configs(spark, sf_dir).write.partitionBy("profile").format("xml")
+    (xml_configs(spark, sf_dir).hint("rebalance", "profile").write.partitionBy("profile").format("xml")
      .option("rootTag", "configuration").option("rowTag", "property").save(path))
     return src.read_xml_properties(spark, path).select("profile", "name", "value", "description")
 
@@ -366,11 +369,12 @@ def q_sweep_missing(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     day = F.to_date("ts")
     present = ev.select("user_id", day.alias("day"), "event_type")
-    first_day = ev.select(F.min(day)).scalar()
-    last_day = ev.select(F.max(day)).scalar()
-    kinds = ev.select(F.array_sort(F.collect_set("event_type"))).scalar()
+    # One scalar subquery for all grid bounds: first and last day, event kinds.
+    bounds = ev.select(F.struct(F.min(day).alias("lo"), F.max(day).alias("hi"),
+                                F.array_sort(F.collect_set("event_type")).alias("kinds"))).scalar()
     users = ev.select("user_id").distinct()
-    grid = op.expand_grid(users, {"day": F.sequence(first_day, last_day), "event_type": kinds})
+    grid = op.expand_grid(users, {"day": F.sequence(bounds["lo"], bounds["hi"]),
+                                  "event_type": bounds["kinds"]})
     return op.missing_runs(grid, present, ["user_id", "day", "event_type"])
 
 

@@ -84,9 +84,11 @@ def append_traces(df: DataFrame, path: str) -> None:
     """Append parsed trace rows as Parquet partitioned by framework.
 
     Each call is one atomic job commit, so a lost executor re-runs tasks
-    without duplicating rows; readers filtering on ``framework`` prune.
+    without duplicating rows; readers filtering on ``framework`` prune. The
+    ``rebalance`` hint lets AQE size the files per framework (a hot framework
+    is split across tasks, small ones are merged).
     """
-    df.write.mode("append").partitionBy("framework").parquet(path)
+    df.hint("rebalance", "framework").write.mode("append").partitionBy("framework").parquet(path)
 
 
 def append_traces_stream(stream_df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
