@@ -131,6 +131,51 @@ SELECT o_orderkey, coalesce(nullif(pbs, ''), slurm, sge, 'localhost') AS host,
        CASE WHEN nullif(pbs, '') IS NOT NULL THEN 'pbs' WHEN slurm IS NOT NULL THEN 'slurm'
             WHEN sge IS NOT NULL THEN 'sge' ELSE 'default' END AS source
 FROM s
+""",
+    "slots_distinct": """
+SELECT DISTINCT l_orderkey % 50 AS alloc_id, 'node' || l_suppkey AS host
+FROM lineitem WHERE l_linenumber <= 4
+""",
+    "field_defaults": """
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 3 = 1 THEN '/scratch/' || o_custkey ELSE '/tmp' END AS workdir,
+       CAST(CASE WHEN o_orderkey % 4 = 1 THEN 4 ELSE 1 END AS INTEGER) AS nproc,
+       CASE WHEN o_orderkey % 5 = 0 THEN (o_custkey % 8 + 1) || 'g' ELSE '1g' END AS memory
+FROM orders
+""",
+    "yaml_split": """
+SELECT o_orderkey,
+       CASE o_orderkey % 5 WHEN 1 THEN 'jobmanager.rpc.address' WHEN 2 THEN 'taskmanager.numberOfTaskSlots'
+            ELSE 'env.java.opts' END AS key,
+       CASE o_orderkey % 5 WHEN 1 THEN '10.0.' || (o_custkey % 256) || '.' || (o_orderkey % 256)
+            WHEN 2 THEN CAST(o_orderkey % 16 AS VARCHAR)
+            ELSE '-Xmx' || (o_custkey % 64) || 'g -Da=b: c' END AS value
+FROM orders WHERE o_orderkey % 5 IN (1, 2, 4)
+""",
+    "option_keys": """
+SELECT c_custkey, 'spark.executor.memory' AS opt_key, (c_custkey % 8 + 1) || 'g' AS opt_value FROM customer
+UNION ALL SELECT c_custkey, 'spark.executor.cores', CAST(c_nationkey % 4 + 1 AS VARCHAR) FROM customer
+UNION ALL SELECT c_custkey, 'sparkling', c_mktsegment FROM customer
+""",
+    "option_overlay": """
+WITH d(k, v) AS (VALUES ('spark.executor.memory', '1g'), ('spark.executor.cores', '1'),
+                        ('number_of_processes', '1')),
+u AS (SELECT c_custkey, 'spark.executor.memory' AS k, (c_nationkey % 8 + 2) || 'g' AS v
+      FROM customer WHERE c_custkey % 3 = 0
+      UNION ALL SELECT c_custkey, 'number_of_processes', CAST(c_nationkey % 5 + 1 AS VARCHAR)
+      FROM customer WHERE c_custkey % 3 = 1
+      UNION ALL SELECT c_custkey, 'extra.key', c_mktsegment FROM customer WHERE c_custkey % 3 = 1)
+SELECT c.c_custkey, d.k AS opt_key, d.v AS opt_value FROM customer c CROSS JOIN d
+WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.c_custkey = c.c_custkey AND u.k = d.k)
+UNION ALL SELECT c_custkey, k, v FROM u
+""",
+    "master_host": """
+SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN 'old' || s_suppkey
+                       ELSE 'h' || s_suppkey END AS master
+FROM supplier
+""",
+    "worker_ids": """
+SELECT o_orderkey, CAST(o_orderkey % 4 AS INTEGER) AS n_workers FROM orders
 """,
     "kv_split": """
 SELECT p_partkey, 'k' || p_partkey AS key, p_brand || '=' || p_size AS value

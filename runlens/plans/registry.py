@@ -198,8 +198,102 @@ def q_source_precedence(spark, sf_dir):
     return res.select("o_orderkey", "host", "source")
 
 
+def q_slots_distinct(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber")
+    host = F.concat(F.lit("node"), F.col("l_suppkey"))
+    line = F.when(n == 5, host).otherwise(F.concat(
+        host, F.lit(" "), F.when(n == 7, F.lit("x")).when(n == 6, F.lit("0")).otherwise(n.cast("string"))))
+    lines = li.select((F.col("l_orderkey") % 50).alias("alloc_id"), line.alias("line"))
+    return op.expand_slots(lines, "alloc_id", "line", distinct=True)
+
+
+def q_field_defaults(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    df = o.select(
+        "o_orderkey",
+        F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.concat(F.lit("/scratch/"), F.col("o_custkey")))
+        .alias("workdir"),
+        F.when(k % 4 == 0, F.lit("x")).when(k % 4 == 1, F.lit(" 4 ")).when(k % 4 == 2, F.lit("4.0"))
+        .alias("nproc"),
+        F.when(k % 5 == 0, F.concat((F.col("o_custkey") % 8 + 1).cast("string"), F.lit("g"))).alias("memory"))
+    return op.apply_defaults(df, {"workdir": ("/tmp", "string"), "nproc": (1, "int"),
+                                  "memory": ("1g", "string")})
+
+
 # --- C, S: filters and text ---------------------------------------------
 
+def q_yaml_split(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 5
+    line = F.when(k == 0, F.concat(F.lit("# note: "), F.col("o_orderkey"))) \
+        .when(k == 1, F.concat(F.lit("jobmanager.rpc.address: 10.0."), F.col("o_custkey") % 256,
+                               F.lit("."), F.col("o_orderkey") % 256)) \
+        .when(k == 2, F.concat(F.lit("taskmanager.numberOfTaskSlots: "), F.col("o_orderkey") % 16)) \
+        .when(k == 3, F.lit("no separator here")) \
+        .otherwise(F.concat(F.lit("env.java.opts:   -Xmx"), F.col("o_custkey") % 64, F.lit("g -Da=b: c ")))
+    kv = op.read_key_values(o.select("o_orderkey", line.alias("line")), "line", sep=": ")
+    return kv.select("o_orderkey", "key", "value")
+
+
+def _options(c: DataFrame) -> Column:
+    return F.create_map(
+        F.lit("spark.executor.memory"), F.concat((F.col("c_custkey") % 8 + 1).cast("string"), F.lit("g")),
+        F.lit("spark.executor.cores"), (F.col("c_nationkey") % 4 + 1).cast("string"),
+        F.lit("number_of_processes"), F.lit("2"),
+        F.lit("sparkling"), F.col("c_mktsegment"))
+
+
+def q_option_keys(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    df = op.filter_map_keys(c.select("c_custkey", _options(c).alias("opts")), "opts", prefixes=["spark"])
+    return df.select("c_custkey", F.explode("opts").alias("opt_key", "opt_value"))
+
+
+def q_option_overlay(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    defaults = F.create_map(F.lit("spark.executor.memory"), F.lit("1g"),
+                            F.lit("spark.executor.cores"), F.lit("1"),
+                            F.lit("number_of_processes"), F.lit("1"))
+    m = F.col("c_custkey") % 3
+    user = F.when(m == 0, F.create_map(F.lit("spark.executor.memory"),
+                                       F.concat((F.col("c_nationkey") % 8 + 2).cast("string"), F.lit("g")))) \
+        .when(m == 1, F.create_map(F.lit("number_of_processes"), (F.col("c_nationkey") % 5 + 1).cast("string"),
+                                   F.lit("extra.key"), F.col("c_mktsegment"))) \
+        .otherwise(F.create_map().cast("map<string,string>"))
+    merged = c.select("c_custkey", op.overlay_maps(defaults, user).alias("opts"))
+    return merged.select("c_custkey", F.explode("opts").alias("opt_key", "opt_value"))
+
+
+def q_master_host(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    live = F.concat(F.lit("<property><name>fs.default.name</name><value>hdfs://h"), key,
+                    F.lit(":9000</value></property>"))
+    old = F.concat(F.lit("<!-- <property><name>fs.default.name</name><value>hdfs://old"), key,
+                   F.lit(":9000</value></property> -->"))
+    text = F.when(key % 7 == 0, F.lit("<configuration>\n</configuration>")) \
+        .when(key % 3 == 0, F.concat(F.lit("<configuration>\n"), old, F.lit("\n"), live, F.lit("\n</configuration>"))) \
+        .otherwise(F.concat(F.lit("<configuration>\n"), live, F.lit("\n</configuration>")))
+    df = s.select("s_suppkey", text.alias("core_site"))
+    return op.extract_first(df, "core_site", r"<value>hdfs://(.*):.*</value>", 1, out="master") \
+        .select("s_suppkey", "master")
+
+
+def q_worker_ids(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    tag = F.concat(F.lit("<td>worker-"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("-10.0."),
+                   F.col("o_custkey") % 256, F.lit("."), F.col("o_orderkey") % 256, F.lit("-7077</td>"))
+    page = F.concat(F.lit("<html>"), F.repeat(tag, (F.col("o_orderkey") % 4).cast("int")),
+                    F.lit(" worker-9 </html>"))
+    df = o.select("o_orderkey", page.alias("page"))
+    from runlens.operators.text import WORKER_ID_RE
+    return op.extract_all(df, "page", WORKER_ID_RE, out="workers", count_out="n_workers") \
+        .select("o_orderkey", "n_workers")
+
+
+
 def q_keys_filtered(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     k, pk = F.col("p_partkey") % 6, F.col("p_partkey")
@@ -440,6 +534,13 @@ QUERIES: dict[str, Query] = {
     "source_precedence": q_source_precedence,
     "dense_ids": q_dense_ids,
     "node_counts": q_node_counts,
+    "slots_distinct": q_slots_distinct,
+    "field_defaults": q_field_defaults,
+    "yaml_split": q_yaml_split,
+    "option_keys": q_option_keys,
+    "option_overlay": q_option_overlay,
+    "master_host": q_master_host,
+    "worker_ids": q_worker_ids,
     "kv_split": q_kv_split,
     "xml_props": q_xml_props,
     "keys_filtered": q_keys_filtered,
