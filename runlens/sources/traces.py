@@ -24,9 +24,29 @@ TRACE_TIME_FORMAT = "yyyyMMdd-HHmmss"
 
 
 def trace_file_name(framework: Column, run_ts: Column) -> Column:
-    """``<framework>_performance_<yyyyMMdd-HHmmss>.csv`` for a run."""
-    return F.concat(framework, F.lit("_performance_"),
-                    F.date_format(run_ts, TRACE_TIME_FORMAT), F.lit(".csv"))
+    """``<framework>_performance_<yyyyMMdd-HHmmss>.csv`` for a run.
+
+    The stamp is built from the timestamp's fields, so a zone-free run time
+    is written as it is, whatever the session time zone.
+    """
+    stamp = F.format_string("%04d%02d%02d-%02d%02d%02d", F.year(run_ts), F.month(run_ts),
+                            F.dayofmonth(run_ts), F.hour(run_ts), F.minute(run_ts),
+                            F.second(run_ts))
+    return F.concat(framework, F.lit("_performance_"), stamp, F.lit(".csv"))
+
+
+def _stamp_ntz(stamp: Column) -> Column:
+    """``yyyyMMdd-HHmmss`` as a zone-free timestamp; NULL when malformed.
+
+    Built from its digits with ``try_make_timestamp_ntz``, so the result does
+    not depend on the session time zone (no DST gap shifts).
+    """
+    ok = stamp.rlike(r"^\d{8}-\d{6}$")
+
+    def part(pos: int, n: int) -> Column:
+        return F.substring(stamp, pos, n).cast("int")
+    return F.when(ok, F.try_make_timestamp_ntz(part(1, 4), part(5, 2), part(7, 2),
+                                               part(10, 2), part(12, 2), part(14, 2)))
 
 
 def parse_trace_lines(df: DataFrame, line: str = "line", file: str = "file") -> DataFrame:
@@ -54,7 +74,7 @@ def parse_trace_lines(df: DataFrame, line: str = "line", file: str = "file") ->
     stamp = F.substring_index(F.substring_index(name, "_performance_", -1), ".csv", 1)
     typed = fields.select(F.col("_rl_shape"), F.struct(
         F.coalesce(nonblank(F.col("_rl_fw")), fw_from_name).alias("framework"),
-        F.try_to_timestamp(stamp, F.lit(TRACE_TIME_FORMAT)).cast("timestamp_ntz").alias("run_ts"),
+        _stamp_ntz(stamp).alias("run_ts"),
         nonblank(F.col("_rl_phase")).alias("phase"),
         int_or_null(F.col("_rl_nodes")).alias("nodes"),
         decimal_or_null(F.col("_rl_secs"), 18, 5).alias("seconds"),

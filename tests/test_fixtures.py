@@ -335,3 +335,18 @@ def test_sweep_grid(spark):
     grid = op.sweep_grid(spark, 20, {"cores": [48, 96, 192, 384, 768], "framework": ["spark", "kafka"]})
     assert grid.count() == 200
     assert grid.select("rep").distinct().count() == 20
+
+
+def test_trace_times_ignore_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("startup, 4, 1.0", "spark_performance_20240310-023000.csv"),
+                                    ("startup, 4, 1.0", "spark_performance_20241340-023000.csv")],
+                                   "line string, file string")
+        rows = src.parse_trace_lines(df).collect()
+        assert [r.run_ts for r in rows] == [_ts("2024-03-10 02:30:00"), None]
+        named = spark.createDataFrame([(_ts("2024-03-10 02:30:00"),)], "t timestamp_ntz") \
+            .select(src.trace_file_name(F.lit("spark"), F.col("t")).alias("f")).collect()[0].f
+        assert named == "spark_performance_20240310-023000.csv"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
