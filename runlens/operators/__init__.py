@@ -9,7 +9,7 @@ from runlens.operators.hosts import (
     node_count,
 )
 from runlens.operators.readiness import (
-    first_outcome, first_seen, readiness_barrier, within_deadline,
+    barrier_within_deadline, first_outcome, first_seen, readiness_barrier, within_deadline,
 )
 from runlens.operators.recency import latest_by_prefix, newest, phase_durations
 from runlens.operators.stats import run_stats, scaling_ratio
@@ -17,7 +17,7 @@ from runlens.operators.sweep import expand_grid, missing_runs, sweep_grid
 from runlens.operators.text import derive_fields, extract_all, extract_first, json_int, last_match_value
 
 __all__ = [
-    "apply_defaults", "assign_ids", "classify", "derive_fields", "distinct_hosts", "expand_grid",
+    "apply_defaults", "assign_ids", "barrier_within_deadline", "classify", "derive_fields", "distinct_hosts", "expand_grid",
     "expand_hostlist", "expand_slots", "extract_all", "extract_first", "filter_keys",
     "filter_map_keys", "first_outcome", "first_present", "first_seen", "json_int",
     "last_match_value", "latest_by_prefix", "missing_runs", "newest", "node_count",

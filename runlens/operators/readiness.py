@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.ordering import with_group_position
+from runlens.functions.ordering import join_on_keys, with_group_position
 
 
 def _as_list(c: Column | Sequence[Column]) -> list[Column]:
@@ -96,3 +96,24 @@ def within_deadline(df: DataFrame, start: str, ready: str, seconds: float,
     limit_us = int(round(seconds * 1_000_000))
     diff = F.timestamp_diff("MICROSECOND", F.col(start), F.col(ready))
     return df.withColumn(out, F.coalesce(diff <= F.lit(limit_us), F.lit(False)))
+
+
+def barrier_within_deadline(df: DataFrame, job: str, ts: str, member: str,
+                            expected: str | int, deadline_s: float,
+                            skew_safe: bool = True) -> DataFrame:
+    """Batch form of the streaming deadline barrier (E2 + E3 as one verdict).
+
+    Only members first seen by ``start + deadline`` count; ``ready_ts`` is the
+    ``expected``-th of them (NULL if there are fewer) and ``met`` says whether
+    it exists. Equals ``runlens.streaming.stream_deadline_barrier`` on every
+    job whose deadline the watermark has passed.
+    """
+    first = first_seen(df, job, ts, member, expected)
+    start = first.groupBy(job).agg(F.min("first_ts").alias("_rl_start"))
+    limit_us = int(round(deadline_s * 1_000_000))
+    kept = join_on_keys(first, start, [job]).where(
+        F.timestamp_diff("MICROSECOND", F.col("_rl_start"), F.col("first_ts")) <= F.lit(limit_us)) \
+        .drop("_rl_start")
+    b = barrier_from_first_seen(kept, job, member, skew_safe=skew_safe)
+    return b.select(job, "start_ts", "n_members", "ready_ts",
+                    F.col("ready_ts").isNotNull().alias("met"))

@@ -58,6 +58,23 @@ SELECT job_id,
 FROM b
 """
 
+# Jobs are emitted once the final watermark (latest event minus one hour)
+# has passed start + 3 days; members count only if first seen by then.
+DEADLINE_STREAM = """
+WITH f AS (SELECT user_id, event_type, min(ts) AS first_ts FROM events GROUP BY user_id, event_type),
+s AS (SELECT user_id, min(first_ts) AS start_ts FROM f GROUP BY user_id),
+w AS (SELECT f.user_id, f.event_type, f.first_ts, s.start_ts,
+             CASE WHEN f.user_id % 4 = 0 THEN 6 ELSE 5 END AS expected
+      FROM f JOIN s ON f.user_id = s.user_id WHERE f.first_ts <= s.start_ts + INTERVAL 3 DAY),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_ts, event_type) AS rn FROM w)
+SELECT user_id AS job_id, min(start_ts) AS start_ts, count(*) AS n_members,
+       min(first_ts) FILTER (WHERE rn = expected) AS ready_ts,
+       min(first_ts) FILTER (WHERE rn = expected) IS NOT NULL AS met
+FROM r GROUP BY user_id
+HAVING (epoch_us(min(start_ts)) + 259200000000) // 1000
+       <= epoch_ms((SELECT max(ts) FROM events)) - 3600000
+"""
+
 ORACLE: dict[str, str] = {
     "trace_parse": TRACES,
     "trace_files": TRACES,
@@ -295,6 +312,7 @@ FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10
     "first_outcome": OUTCOME,
     "stream_outcome": OUTCOME,
     "barrier": BARRIER,
+    "stream_deadline": DEADLINE_STREAM,
     "stream_barrier": BARRIER,
     "deadline": f"""
 SELECT job_id, start_ts, ready_ts,

@@ -22,7 +22,9 @@ from runlens import operators as op
 from runlens import sources as src
 from runlens.schemas import TRACE
 from runlens.session import scratch_path
-from runlens.streaming import event_stream, stream_barrier_table, stream_outcome_table
+from runlens.streaming import (
+    event_stream, stream_barrier_table, stream_deadline_table, stream_outcome_table,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +33,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 FRAMEWORKS = ["spark", "flink", "kafka"]
 SIZES = [48, 96, 192, 384, 768]
 DEADLINE_S = 3 * 86400
+WATERMARK_DELAY = "1 hour"
+RETENTION_S = 40 * 86400   # users keep emitting events for the whole month
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -519,6 +523,14 @@ def q_stream_barrier(spark, sf_dir):
         .withColumnRenamed("user_id", "job_id")
 
 
+def q_stream_deadline(spark, sf_dir):
+    """E2 + E3 as a stream whose per-job state is released at the deadline."""
+    s = _event_stream(spark, sf_dir).withColumn("expected", _expected())
+    return stream_deadline_table(spark, s, "user_id", "ts", "event_type", "expected", DEADLINE_S,
+                                 delay=WATERMARK_DELAY, retention_s=RETENTION_S) \
+        .withColumnRenamed("user_id", "job_id")
+
+
 QUERIES: dict[str, Query] = {
     "trace_parse": q_trace_parse,
     "trace_files": q_trace_files,
@@ -563,6 +575,7 @@ QUERIES: dict[str, Query] = {
     "deadline": q_deadline,
     "stream_outcome": q_stream_outcome,
     "stream_barrier": q_stream_barrier,
+    "stream_deadline": q_stream_deadline,
     "catalog": q_catalog,
 }
 

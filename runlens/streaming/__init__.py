@@ -5,7 +5,12 @@ from runlens.streaming.readiness import (
     stream_first_seen, stream_outcome_table, stream_barrier_table,
 )
 
+from runlens.streaming.deadline import (  # noqa: E402
+    DeadlineBarrier, stream_deadline_barrier, stream_deadline_table,
+)
+
 __all__ = [
+    "DeadlineBarrier", "stream_deadline_barrier", "stream_deadline_table",
     "event_stream", "latest_versions", "run_update_stream", "stream_first_outcome",
     "stream_first_seen", "stream_outcome_table", "stream_barrier_table",
 ]

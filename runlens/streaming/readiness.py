@@ -90,6 +90,21 @@ def _run(spark: SparkSession, agg: DataFrame, kind: str, timeout_s: float | None
     return f"{base}/out"
 
 
+def _run_append(spark: SparkSession, stream: DataFrame, kind: str, timeout_s: float | None) -> str:
+    """Run an append-mode stream into a Parquet file sink (exactly once) to the end of input."""
+    base = scratch_path(spark, kind)
+    q = (stream.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start(f"{base}/out"))
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError(f"stream {kind} did not finish in {timeout_s}s")
+    if q.exception():
+        raise q.exception()
+    return f"{base}/out"
+
+
 def stream_outcome_table(spark: SparkSession, stream: DataFrame, job: str, ts: str,
                          ready: Column | Sequence[Column], failed: Column | None = None,
                          timeout_s: float | None = 600) -> DataFrame:

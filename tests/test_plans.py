@@ -47,7 +47,7 @@ def test_group_position_never_windows_a_whole_group(spark):
     assert "hashpartitioning(user_id#" in p and "_rl_seg" in p
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - {"stream_outcome", "stream_barrier"}))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - {"stream_outcome", "stream_barrier", "stream_deadline"}))
 def test_no_python_in_plans(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"):

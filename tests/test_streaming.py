@@ -1,6 +1,7 @@
 """Stream = batch for the readiness operators over several micro-batches."""
 
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -38,3 +39,24 @@ def test_stream_barrier_equals_batch(spark, tmp_dir):
     want = op.readiness_barrier(ev, "user_id", "ts", "event_type", 4)
     cols = ["user_id", "expected", "n_members", "start_ts", "ready_ts"]
     assert _rows(got, cols) == _rows(want, cols)
+
+
+def test_stream_deadline_equals_batch_in_time_order(spark, tmp_dir):
+    from runlens.streaming import stream_deadline_table
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    path = os.path.join(tmp_dir, "ordered")
+    bucket = F.floor((F.dayofmonth("ts") - 1) / 6)      # five time slices of six days
+    for k in range(5):       # written in time order; distinct mtimes keep the file order
+        ev.where(bucket == k).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    deadline = 2 * 86400
+    stream = event_stream(spark, path, ev.schema, max_files_per_trigger=1)
+    got = stream_deadline_table(spark, stream, "user_id", "ts", "event_type", 4, deadline,
+                                retention_s=40 * 86400)   # users emit events for 30 days
+    want = op.barrier_within_deadline(ev, "user_id", "ts", "event_type", 4, deadline)
+    last_ms = ev.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).collect()[0][0] // 1000
+    want = want.where((F.unix_micros(F.col("start_ts").cast("timestamp")) + deadline * 1_000_000)
+                      / 1000 <= F.lit(last_ms - 3_600_000))
+    cols = ["user_id", "start_ts", "n_members", "ready_ts", "met"]
+    assert _rows(got, cols) == _rows(want, cols)
+    assert got.count() > 0
