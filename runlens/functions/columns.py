@@ -102,43 +102,57 @@ def bracket_job_id(col: ColumnOrName) -> Column:
     return F.when(length > 0, c.substr(i + F.lit(2), length)).otherwise(F.lit(""))
 
 
-# Grammar of compressed host lists (``c401-[101-103,105],gpu2``).
-HOSTLIST_ITEM_RE = r"[^,\[\]]*(\[[^\]]*\][^,\[\]]*)?"
+# Grammar of compressed host lists (``c401-[101-103,105],gpu2``,
+# ``rack[1-2]-n[01-03]``): an item is a run of non-comma text and bracket groups.
+HOSTLIST_ITEM_RE = r"(?:[^,\[\]]|\[[^\]]*\])+"
+HOSTLIST_SEGMENT_RE = r"\[[^\]]*\]|[^\[\]]+"
+
+
+def expand_ranges(body: Column) -> Column:
+    """``08-11,15`` -> ``["08", "09", "10", "11", "15"]``.
+
+    A range counts up and keeps the zero padding of its low bound; a
+    reversed or malformed range gives nothing.
+    """
+    def one(r: Column) -> Column:
+        r = F.trim(r)
+        lo_txt = F.regexp_extract(r, r"^(\d+)", 1)
+        hi_txt = F.coalesce(F.nullif(F.regexp_extract(r, r"^\d+-(\d+)$", 1), F.lit("")), lo_txt)
+        lo = lo_txt.try_cast("long")
+        hi = hi_txt.try_cast("long")
+        width = F.length(lo_txt)
+        numbers = F.when(lo.isNotNull() & (hi >= lo), F.sequence(lo, hi)) \
+            .otherwise(F.array().cast("array<bigint>"))
+        return F.transform(numbers, lambda n: F.lpad(
+            n.cast("string"), F.greatest(width, F.length(n.cast("string"))), "0"))
+
+    return F.flatten(F.transform(F.split(body, ","), one))
+
+
+def expand_hostlist_item(item: Column) -> Column:
+    """All hosts of one item, any number of bracket groups (their product).
+
+    ``rack[1-2]-n[01-02]`` -> rack1-n01, rack1-n02, rack2-n01, rack2-n02. A
+    fold over the item's segments; used for items with several groups.
+    """
+    segments = F.regexp_extract_all(item, F.lit(HOSTLIST_SEGMENT_RE), 0)
+
+    def values(seg: Column) -> Column:
+        return F.when(seg.startswith("["), expand_ranges(F.regexp_extract(seg, r"^\[(.*)\]$", 1))) \
+            .otherwise(F.array(seg))
+
+    return F.aggregate(segments, F.array(F.lit("")),
+                       lambda acc, seg: F.flatten(F.transform(
+                           acc, lambda a: F.transform(values(seg), lambda x: F.concat(a, x)))))
 
 
 def expand_hostlist(col: ColumnOrName) -> Column:
-    """Expand a compressed host expression into an array of host names.
+    """Expand a compressed host expression into an array of distinct host names.
 
-    Top-level commas separate items; an item is ``prefix[ranges]suffix`` or a
-    plain name. A range ``lo-hi`` counts up and keeps the zero padding of
-    ``lo`` (``[08-11]`` -> 08, 09, 10, 11); a single number keeps its text.
-    Built from ``regexp_extract_all``, ``sequence`` and ``transform``.
+    Top-level commas separate items; an item is plain text with any number
+    of bracket groups. Built from ``regexp_extract_all``, ``sequence`` and
+    higher-order array functions (no UDF).
     """
-    items = F.filter(F.regexp_extract_all(_c(col), F.lit(HOSTLIST_ITEM_RE), 0),
-                     lambda s: F.length(F.trim(s)) > 0)
-
-    def expand_item(item: Column) -> Column:
-        item = F.trim(item)
-        prefix = F.regexp_extract(item, r"^([^\[]*)", 1)
-        body = F.regexp_extract(item, r"\[([^\]]*)\]", 1)
-        suffix = F.regexp_extract(item, r"\]([^\[\]]*)$", 1)
-        has_bracket = F.instr(item, "[") > 0
-
-        def expand_range(r: Column) -> Column:
-            r = F.trim(r)
-            lo_txt = F.regexp_extract(r, r"^(\d+)", 1)
-            hi_txt = F.coalesce(F.nullif(F.regexp_extract(r, r"^\d+-(\d+)$", 1), F.lit("")), lo_txt)
-            lo = lo_txt.try_cast("long")
-            hi = hi_txt.try_cast("long")
-            width = F.length(lo_txt)
-            numbers = F.when((lo.isNotNull()) & (hi >= lo), F.sequence(lo, hi)) \
-                .otherwise(F.array().cast("array<bigint>"))
-            return F.transform(numbers, lambda n: F.concat(
-                prefix,
-                F.lpad(n.cast("string"), F.greatest(width, F.length(n.cast("string"))), "0"),
-                suffix))
-
-        ranged = F.flatten(F.transform(F.split(body, ","), expand_range))
-        return F.when(has_bracket, ranged).otherwise(F.array(item))
-
-    return F.array_distinct(F.flatten(F.transform(items, expand_item)))
+    items = F.regexp_extract_all(_c(col), F.lit(HOSTLIST_ITEM_RE), 0)
+    return F.array_distinct(F.flatten(F.transform(
+        items, lambda it: expand_hostlist_item(F.trim(it)))))

@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.columns import HOSTLIST_ITEM_RE, int_or_null, nonblank, strip_ws
+from runlens.functions.columns import (
+    HOSTLIST_ITEM_RE, expand_hostlist_item, int_or_null, nonblank, strip_ws,
+)
 from runlens.functions.ordering import with_group_position
 
 
@@ -53,41 +55,52 @@ def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
     """SLURM compressed host expression -> distinct hosts per allocation.
 
     ``c401-[101-103,105],gpu2`` -> c401-101, c401-102, c401-103, c401-105,
-    gpu2. One chain of ``explode``s (items, ranges, numbers) with plain
-    string expressions between them, all inside whole-stage codegen and
-    without filters; the zero padding of a range's low bound is kept
-    (``[08-11]``). A reversed or malformed range gives no host.
+    gpu2; the zero padding of a range's low bound is kept (``[08-11]``). The
+    common shapes (plain name, one bracket group) go through a chain of
+    ``explode``s with plain string expressions between them, inside
+    whole-stage codegen and without filters. Items with several bracket
+    groups (``rack[1-2]-n[01-03]``, their product) are expanded by an array
+    fold. A reversed or malformed range gives no host.
     """
     items = df.select(F.col(alloc), F.explode(
         F.regexp_extract_all(F.col(expr), F.lit(HOSTLIST_ITEM_RE), 0)).alias("_rl_item"))
     item = F.trim(F.col("_rl_item"))
+    n_groups = F.size(F.regexp_extract_all(item, F.lit(r"\["), 0))
     parts = items.select(
-        F.col(alloc), item.alias("_rl_item"),
+        F.col(alloc), item.alias("_rl_item"), n_groups.alias("_rl_groups"),
         F.regexp_extract(item, r"^([^\[]*)", 1).alias("_rl_pre"),
         F.regexp_extract(item, r"\]([^\[\]]*)$", 1).alias("_rl_suf"),
-        F.when(F.instr(item, "[") > 0, F.regexp_extract(item, r"\[([^\]]*)\]", 1)).alias("_rl_body"))
-    body = F.col("_rl_body")
-    no_range = F.array(F.lit(None).cast("string"))
+        F.when(n_groups == 1, F.regexp_extract(item, r"\[([^\]]*)\]", 1)).alias("_rl_body"))
+    # One row per range of a one-group item, or per finished host otherwise.
+    unit = "struct<host:string,r:string>"
+    body, groups = F.col("_rl_body"), F.col("_rl_groups")
     ranges = parts.select(
-        F.col(alloc), "_rl_item", "_rl_pre", "_rl_suf",
-        F.explode(F.when(F.col("_rl_item") == "", F.array().cast("array<string>"))
-                  .when(body.isNull(), no_range).otherwise(F.split(body, ","))).alias("_rl_r"))
-    r = F.trim(F.col("_rl_r"))
+        F.col(alloc), "_rl_pre", "_rl_suf",
+        F.explode(
+            F.when(F.col("_rl_item") == "", F.array().cast(f"array<{unit}>"))
+            .when(groups == 0, F.array(F.struct(F.col("_rl_item").alias("host"),
+                                                F.lit(None).cast("string").alias("r"))))
+            .when(groups == 1, F.transform(F.split(body, ","), lambda x: F.struct(
+                F.lit(None).cast("string").alias("host"), x.alias("r"))))
+            .otherwise(F.transform(expand_hostlist_item(F.col("_rl_item")), lambda h: F.struct(
+                h.alias("host"), F.lit(None).cast("string").alias("r"))))
+        ).alias("_rl_u"))
+    r = F.trim(F.col("_rl_u.r"))
     lo_txt = F.regexp_extract(r, r"^(\d+)", 1)
     hi_txt = F.regexp_extract(r, r"^\d+-(\d+)$", 1)
     bounds = ranges.select(
-        F.col(alloc), "_rl_item", "_rl_pre", "_rl_suf", F.col("_rl_r"),
-        F.length(lo_txt).alias("_rl_w"),
+        F.col(alloc), "_rl_pre", "_rl_suf", F.col("_rl_u.host").alias("_rl_direct"),
+        F.col("_rl_u.r").alias("_rl_r"), F.length(lo_txt).alias("_rl_w"),
         lo_txt.try_cast("long").alias("_rl_lo"),
         F.coalesce(F.nullif(hi_txt, F.lit("")), lo_txt).try_cast("long").alias("_rl_hi"))
     lo, hi = F.col("_rl_lo"), F.col("_rl_hi")
     numbers = bounds.select(
-        F.col(alloc), "_rl_item", "_rl_pre", "_rl_suf", "_rl_w", F.col("_rl_r"),
+        F.col(alloc), "_rl_pre", "_rl_suf", "_rl_w", "_rl_direct",
         F.explode(F.when(F.col("_rl_r").isNull(), F.array(F.lit(None).cast("long")))
                   .when(lo.isNotNull() & (hi >= lo), F.sequence(lo, hi))
                   .otherwise(F.array().cast("array<bigint>"))).alias("_rl_num"))
     num = F.col("_rl_num").cast("string")
-    host = F.when(F.col("_rl_r").isNull(), F.col("_rl_item")).otherwise(F.concat(
+    host = F.when(F.col("_rl_direct").isNotNull(), F.col("_rl_direct")).otherwise(F.concat(
         F.col("_rl_pre"), F.lpad(num, F.greatest(F.col("_rl_w"), F.length(num)), "0"),
         F.col("_rl_suf")))
     return numbers.select(F.col(alloc), host.alias(out)).dropDuplicates([alloc, out])

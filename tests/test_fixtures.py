@@ -116,6 +116,19 @@ def test_expand_hostlist(spark):
     assert by["c"] == {"y7", "z"}
 
 
+def test_expand_hostlist_several_groups(spark):
+    df = spark.createDataFrame([("a", "rack[1-2]-n[01-02],login"), ("b", "x[1,3]y[8-9]z")],
+                               "alloc_id string, expr string")
+    by = {}
+    for r in op.expand_hostlist(df).collect():
+        by.setdefault(r.alloc_id, set()).add(r.host)
+    assert by["a"] == {"rack1-n01", "rack1-n02", "rack2-n01", "rack2-n02", "login"}
+    assert by["b"] == {"x1y8z", "x1y9z", "x3y8z", "x3y9z"}
+    from runlens.functions import expand_hostlist
+    row = df.select(expand_hostlist(F.col("expr")).alias("h")).orderBy("alloc_id").collect()
+    assert set(row[0].h) == by["a"] and set(row[1].h) == by["b"]
+
+
 def test_expand_hostlist_column_form(spark):
     from runlens.functions import expand_hostlist
     row = spark.createDataFrame([("c401-[101-103,105],gpu2",)], "e string") \

@@ -30,6 +30,11 @@ def test_hostlist_matches_direct_generation(spark, seed):
                 items.append(name)
                 hosts.add(name)
                 continue
+            if rnd.random() < 0.2:   # two bracket groups: their product
+                a, b = rnd.randint(0, 5), rnd.randint(0, 20)
+                items.append(f"{prefix}[{a}-{a + 1}]-s[{_pad(b, 2)}-{_pad(b + 2, 2)}]")
+                hosts.update(f"{prefix}{i}-s{_pad(j, 2)}" for i in (a, a + 1) for j in range(b, b + 3))
+                continue
             width = rnd.choice([1, 2, 3])
             ranges = []
             for _ in range(rnd.randint(1, 3)):
