@@ -100,20 +100,31 @@ def within_deadline(df: DataFrame, start: str, ready: str, seconds: float,
 
 def barrier_within_deadline(df: DataFrame, job: str, ts: str, member: str,
                             expected: str | int, deadline_s: float,
-                            skew_safe: bool = True) -> DataFrame:
-    """Batch form of the streaming deadline barrier (E2 + E3 as one verdict).
-
-    Only members first seen by ``start + deadline`` count; ``ready_ts`` is the
-    ``expected``-th of them (NULL if there are fewer) and ``met`` says whether
-    it exists. Equals ``runlens.streaming.stream_deadline_barrier`` on every
-    job whose deadline the watermark has passed.
+                            failed: Column | None = None, skew_safe: bool = True) -> DataFrame:
+    """Batch form of the streaming deadline barrier: the wait loop's verdict.
+
+    Only events by ``start + deadline`` count. ``ready_ts`` is the
+    ``expected``-th distinct member's first time (NULL if fewer), ``failed_ts``
+    the first event matching ``failed``; ``outcome`` is ``ready``, ``failed``
+    or ``timed_out`` and ``met`` is ``outcome = 'ready'``. Equals
+    ``runlens.streaming.stream_deadline_barrier`` on every job whose deadline
+    the watermark has passed.
     """
+    limit_us = F.lit(int(round(deadline_s * 1_000_000)))
+    fail = failed if failed is not None else F.lit(False)
+    per_job = df.groupBy(job).agg(F.min(ts).alias("_rl_start"),
+                                  F.min(F.when(fail, F.col(ts))).alias("_rl_fail"))
     first = first_seen(df, job, ts, member, expected)
-    start = first.groupBy(job).agg(F.min("first_ts").alias("_rl_start"))
-    limit_us = int(round(deadline_s * 1_000_000))
-    kept = join_on_keys(first, start, [job]).where(
-        F.timestamp_diff("MICROSECOND", F.col("_rl_start"), F.col("first_ts")) <= F.lit(limit_us)) \
+    kept = join_on_keys(first, per_job.select(job, "_rl_start"), [job]).where(
+        F.timestamp_diff("MICROSECOND", F.col("_rl_start"), F.col("first_ts")) <= limit_us) \
         .drop("_rl_start")
     b = barrier_from_first_seen(kept, job, member, skew_safe=skew_safe)
-    return b.select(job, "start_ts", "n_members", "ready_ts",
-                    F.col("ready_ts").isNotNull().alias("met"))
+    fails = per_job.select(job, F.when(
+        F.timestamp_diff("MICROSECOND", F.col("_rl_start"), F.col("_rl_fail")) <= limit_us,
+        F.col("_rl_fail")).alias("failed_ts"))
+    out = join_on_keys(b, fails, [job])
+    ready, failed_ts = F.col("ready_ts"), F.col("failed_ts")
+    outcome = F.when(ready.isNotNull() & (failed_ts.isNull() | (ready <= failed_ts)), "ready") \
+        .when(failed_ts.isNotNull(), "failed").otherwise("timed_out")
+    return out.select(job, "start_ts", "n_members", "ready_ts", "failed_ts",
+                      outcome.alias("outcome"), (outcome == "ready").alias("met"))

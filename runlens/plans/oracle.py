@@ -62,17 +62,22 @@ FROM b
 # has passed start + 3 days; members count only if first seen by then.
 DEADLINE_STREAM = """
 WITH f AS (SELECT user_id, event_type, min(ts) AS first_ts FROM events GROUP BY user_id, event_type),
-s AS (SELECT user_id, min(first_ts) AS start_ts FROM f GROUP BY user_id),
+s AS (SELECT user_id, min(ts) AS start_ts, min(ts) FILTER (WHERE event_type = 'error') AS fail_ts
+      FROM events GROUP BY user_id),
 w AS (SELECT f.user_id, f.event_type, f.first_ts, s.start_ts,
              CASE WHEN f.user_id % 4 = 0 THEN 6 ELSE 5 END AS expected
       FROM f JOIN s ON f.user_id = s.user_id WHERE f.first_ts <= s.start_ts + INTERVAL 3 DAY),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_ts, event_type) AS rn FROM w)
-SELECT user_id AS job_id, min(start_ts) AS start_ts, count(*) AS n_members,
-       min(first_ts) FILTER (WHERE rn = expected) AS ready_ts,
-       min(first_ts) FILTER (WHERE rn = expected) IS NOT NULL AS met
-FROM r GROUP BY user_id
-HAVING (epoch_us(min(start_ts)) + 259200000000) // 1000
-       <= epoch_ms((SELECT max(ts) FROM events)) - 3600000
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_ts, event_type) AS rn FROM w),
+b AS (SELECT user_id, min(start_ts) AS start_ts, count(*) AS n_members,
+             min(first_ts) FILTER (WHERE rn = expected) AS ready_ts
+      FROM r GROUP BY user_id),
+v AS (SELECT b.*, CASE WHEN s.fail_ts <= s.start_ts + INTERVAL 3 DAY THEN s.fail_ts END AS failed_ts
+      FROM b JOIN s ON b.user_id = s.user_id),
+o AS (SELECT *, CASE WHEN ready_ts IS NOT NULL AND (failed_ts IS NULL OR ready_ts <= failed_ts) THEN 'ready'
+                     WHEN failed_ts IS NOT NULL THEN 'failed' ELSE 'timed_out' END AS outcome FROM v)
+SELECT user_id AS job_id, start_ts, n_members, ready_ts, failed_ts, outcome, outcome = 'ready' AS met
+FROM o
+WHERE (epoch_us(start_ts) + 259200000000) // 1000 <= epoch_ms((SELECT max(ts) FROM events)) - 3600000
 """
 
 ORACLE: dict[str, str] = {

@@ -524,10 +524,12 @@ def q_stream_barrier(spark, sf_dir):
 
 
 def q_stream_deadline(spark, sf_dir):
-    """E2 + E3 as a stream whose per-job state is released at the deadline."""
+    """E1-E3 as one stream (all members, failure or timeout) whose per-job state
+    is released at the deadline."""
     s = _event_stream(spark, sf_dir).withColumn("expected", _expected())
     return stream_deadline_table(spark, s, "user_id", "ts", "event_type", "expected", DEADLINE_S,
-                                 delay=WATERMARK_DELAY, retention_s=RETENTION_S) \
+                                 delay=WATERMARK_DELAY, retention_s=RETENTION_S,
+                                 failed=_failed_cond()) \
         .withColumnRenamed("user_id", "job_id")
 
 

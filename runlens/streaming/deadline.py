@@ -20,7 +20,11 @@ Verdict (deterministic, independent of micro-batch boundaries):
 * ``n_members`` distinct members first seen by ``start + deadline``,
 * ``ready_ts``  time the ``expected``-th distinct member first appeared, if
   that was by the deadline, else NULL,
-* ``met``       ``ready_ts`` is not NULL.
+* ``failed_ts`` first failure event, if by the deadline, else NULL,
+* ``outcome``   ``ready`` (ready no later than any failure), ``failed``
+  (a failure came first) or ``timed_out`` (neither by the deadline) - the
+  wait loop's three exits (E1),
+* ``met``       ``outcome = 'ready'``.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import (
     ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues,
@@ -44,8 +48,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class DeadlineBarrier(StatefulProcessor):
-    """Per-job state machine; the last three input columns are
-    ``(event micros, member, expected)``."""
+    """Per-job state machine; the last four input columns are
+    ``(event micros, member, expected, failed)``."""
 
     def __init__(self, deadline_us: int, retention_ms: int):
         self.deadline_us = deadline_us
@@ -54,7 +58,8 @@ class DeadlineBarrier(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.members = handle.getMapState("members", "member string", "first_us long")
-        self.info = handle.getValueState("info", "start_us long, expected int, timer_ms long")
+        self.info = handle.getValueState(
+            "info", "start_us long, expected int, timer_ms long, failed_us long")
         self.done = handle.getValueState("done", "clear_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame],
@@ -64,16 +69,20 @@ class DeadlineBarrier(StatefulProcessor):
                 pass
             return iter([])
         firsts: dict[str, int] = {}
-        start, expected = None, None
+        start, expected, failed = None, None, None
         for pdf in rows:
-            # Data columns arrive by position: (..., us, member, expected).
-            pdf = pd.DataFrame({"us": pdf.iloc[:, -3], "member": pdf.iloc[:, -2],
-                                "expected": pdf.iloc[:, -1]})
+            # Data columns arrive by position: (..., us, member, expected, failed).
+            pdf = pd.DataFrame({"us": pdf.iloc[:, -4], "member": pdf.iloc[:, -3],
+                                "expected": pdf.iloc[:, -2], "failed": pdf.iloc[:, -1]})
             pdf = pdf[pdf["us"].notna()]
             if pdf.empty:
                 continue
             lo = int(pdf["us"].min())
             start = lo if start is None else min(start, lo)
+            fail = pdf.loc[pdf["failed"].fillna(False).astype(bool), "us"]
+            if not fail.empty:
+                f = int(fail.min())
+                failed = f if failed is None else min(failed, f)
             exp = pdf["expected"].dropna()
             if not exp.empty:
                 e = int(exp.max())
@@ -94,12 +103,14 @@ class DeadlineBarrier(StatefulProcessor):
             start = min(start, old_info[0])
             if old_info[1] is not None:
                 expected = old_info[1] if expected is None else max(expected, old_info[1])
+            if old_info[3] is not None:
+                failed = old_info[3] if failed is None else min(failed, old_info[3])
         timer_ms = (start + self.deadline_us) // 1000
         if old_info is None or old_info[2] != timer_ms:
             if old_info is not None:
                 self.handle.deleteTimer(old_info[2])
             self.handle.registerTimer(timer_ms)
-        self.info.update((start, expected, timer_ms))
+        self.info.update((start, expected, timer_ms, failed))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
@@ -109,18 +120,28 @@ class DeadlineBarrier(StatefulProcessor):
             # The retention timer of a finished job: forget it entirely.
             self.done.clear()
             return iter([])
-        start, expected, timer_ms = info
+        start, expected, timer_ms, failed = info
         limit = start + self.deadline_us
         firsts = sorted(v[0] for v in self.members.values() if v[0] <= limit)
         ready = firsts[expected - 1] if expected and len(firsts) >= expected else None
+        if failed is not None and failed > limit:
+            failed = None
+        if ready is not None and (failed is None or ready <= failed):
+            outcome = "ready"
+        elif failed is not None:
+            outcome = "failed"
+        else:
+            outcome = "timed_out"
         self.members.clear()
         self.info.clear()
         clear_ms = timer_ms + self.retention_ms
         self.handle.registerTimer(clear_ms)
         self.done.update((clear_ms,))
         out = pd.DataFrame({"job": [key[0]], "start_us": [start], "n_members": [len(firsts)],
-                            "ready_us": [ready], "met": [ready is not None]})
+                            "ready_us": [ready], "failed_us": [failed], "outcome": [outcome],
+                            "met": [outcome == "ready"]})
         out["ready_us"] = out["ready_us"].astype("Int64")
+        out["failed_us"] = out["failed_us"].astype("Int64")
         return iter([out])
 
     def close(self) -> None:
@@ -142,7 +163,8 @@ def _use_rocksdb(spark: SparkSession) -> None:
 
 def stream_deadline_barrier(stream: DataFrame, job: str, ts: str, member: str,
                             expected: str | int, deadline_s: float, delay: str = "1 hour",
-                            retention_s: float | None = None) -> DataFrame:
+                            retention_s: float | None = None,
+                            failed: Column | None = None) -> DataFrame:
     """Streaming E2 + E3 with bounded state; append mode, one row per finished job.
 
     ``delay`` is the watermark delay (how late an event may arrive);
@@ -162,26 +184,30 @@ def stream_deadline_barrier(stream: DataFrame, job: str, ts: str, member: str,
                 .select(F.col(job), "_rl_ets",
                         F.unix_micros("_rl_ets").alias("_rl_us"),
                         F.col(member).cast("string").alias("_rl_member"),
-                        exp.cast("int").alias("_rl_expected")))
+                        exp.cast("int").alias("_rl_expected"),
+                        F.coalesce(failed if failed is not None else F.lit(False),
+                                   F.lit(False)).alias("_rl_failed")))
     deadline_us = int(round(deadline_s * 1_000_000))
     retention_ms = int(1000 * (retention_s if retention_s is not None else deadline_s))
     out = prepared.groupBy(job).transformWithStateInPandas(
         DeadlineBarrier(deadline_us, retention_ms),
-        f"job {job_type}, start_us long, n_members long, ready_us long, met boolean",
+        f"job {job_type}, start_us long, n_members long, ready_us long, failed_us long, "
+        "outcome string, met boolean",
         "Append", "EventTime")
     return out.select(F.col("job").alias(job),
                       F.timestamp_micros("start_us").cast(ts_type).alias("start_ts"),
                       "n_members",
                       F.timestamp_micros("ready_us").cast(ts_type).alias("ready_ts"),
-                      "met")
+                      F.timestamp_micros("failed_us").cast(ts_type).alias("failed_ts"),
+                      "outcome", "met")
 
 
 def stream_deadline_table(spark: SparkSession, stream: DataFrame, job: str, ts: str, member: str,
                           expected: str | int, deadline_s: float, delay: str = "1 hour",
-                          retention_s: float | None = None,
+                          retention_s: float | None = None, failed: Column | None = None,
                           timeout_s: float | None = 900) -> DataFrame:
     """Run the deadline barrier to the end of the available input; return its table."""
     out = _run_append(spark, stream_deadline_barrier(stream, job, ts, member, expected,
-                                                     deadline_s, delay, retention_s),
+                                                     deadline_s, delay, retention_s, failed),
                       "deadline", timeout_s)
     return spark.read.parquet(out)

@@ -51,12 +51,14 @@ def test_stream_deadline_equals_batch_in_time_order(spark, tmp_dir):
         time.sleep(1.1)
     deadline = 2 * 86400
     stream = event_stream(spark, path, ev.schema, max_files_per_trigger=1)
+    failed = F.col("event_type") == "error"
     got = stream_deadline_table(spark, stream, "user_id", "ts", "event_type", 4, deadline,
-                                retention_s=40 * 86400)   # users emit events for 30 days
-    want = op.barrier_within_deadline(ev, "user_id", "ts", "event_type", 4, deadline)
+                                retention_s=40 * 86400,   # users emit events for 30 days
+                                failed=failed)
+    want = op.barrier_within_deadline(ev, "user_id", "ts", "event_type", 4, deadline, failed=failed)
     last_ms = ev.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).collect()[0][0] // 1000
     want = want.where((F.unix_micros(F.col("start_ts").cast("timestamp")) + deadline * 1_000_000)
                       / 1000 <= F.lit(last_ms - 3_600_000))
-    cols = ["user_id", "start_ts", "n_members", "ready_ts", "met"]
+    cols = ["user_id", "start_ts", "n_members", "ready_ts", "failed_ts", "outcome", "met"]
     assert _rows(got, cols) == _rows(want, cols)
-    assert got.count() > 0
+    assert {r.outcome for r in got.collect()} >= {"ready", "failed"}
