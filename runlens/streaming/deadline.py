@@ -9,8 +9,9 @@ events of a finished job do not open a new one. The marker is removed by a
 second event-time timer, ``retention`` after the deadline (processing-time
 TTL is not available in event-time mode).
 
-State per job (RocksDB): member -> first registration (bounded by the
-job's members), start time, the registered timer. The per-job logic runs in
+State per job (RocksDB), one value: start time, first failure, the
+registered timer and the member -> first registration table (bounded by the
+job's members), so each job costs one state read and one write per batch. The per-job logic runs in
 ``transformWithStateInPandas`` on Arrow batches; it only updates minima and,
 at the deadline, takes the n-th smallest of at most ``#members`` values.
 
@@ -57,9 +58,11 @@ class DeadlineBarrier(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.members = handle.getMapState("members", "member string", "first_us long")
+        # One value per job (one state round trip per job and batch); the member
+        # table is bounded by the job's members.
         self.info = handle.getValueState(
-            "info", "start_us long, expected int, timer_ms long, failed_us long")
+            "info", "start_us long, expected int, timer_ms long, failed_us long, "
+                    "members array<string>, firsts array<long>")
         self.done = handle.getValueState("done", "clear_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame],
@@ -94,10 +97,6 @@ class DeadlineBarrier(StatefulProcessor):
                     firsts[member] = us
         if start is None:
             return iter([])
-        for member, us in firsts.items():
-            old = self.members.getValue((member,))
-            if old is None or us < old[0]:
-                self.members.updateValue((member,), (us,))
         old_info = self.info.get()
         if old_info is not None:
             start = min(start, old_info[0])
@@ -105,12 +104,16 @@ class DeadlineBarrier(StatefulProcessor):
                 expected = old_info[1] if expected is None else max(expected, old_info[1])
             if old_info[3] is not None:
                 failed = old_info[3] if failed is None else min(failed, old_info[3])
+            for member, us in zip(old_info[4] or [], old_info[5] or []):
+                if member not in firsts or us < firsts[member]:
+                    firsts[member] = us
         timer_ms = (start + self.deadline_us) // 1000
         if old_info is None or old_info[2] != timer_ms:
             if old_info is not None:
                 self.handle.deleteTimer(old_info[2])
             self.handle.registerTimer(timer_ms)
-        self.info.update((start, expected, timer_ms, failed))
+        names = sorted(firsts)
+        self.info.update((start, expected, timer_ms, failed, names, [firsts[m] for m in names]))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
@@ -120,9 +123,9 @@ class DeadlineBarrier(StatefulProcessor):
             # The retention timer of a finished job: forget it entirely.
             self.done.clear()
             return iter([])
-        start, expected, timer_ms, failed = info
+        start, expected, timer_ms, failed, _, member_firsts = info
         limit = start + self.deadline_us
-        firsts = sorted(v[0] for v in self.members.values() if v[0] <= limit)
+        firsts = sorted(v for v in (member_firsts or []) if v <= limit)
         ready = firsts[expected - 1] if expected and len(firsts) >= expected else None
         if failed is not None and failed > limit:
             failed = None
@@ -132,7 +135,6 @@ class DeadlineBarrier(StatefulProcessor):
             outcome = "failed"
         else:
             outcome = "timed_out"
-        self.members.clear()
         self.info.clear()
         clear_ms = timer_ms + self.retention_ms
         self.handle.registerTimer(clear_ms)
