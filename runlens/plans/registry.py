@@ -507,6 +507,11 @@ def q_deadline(spark, sf_dir):
         .select("job_id", "start_ts", "ready_ts", "met")
 
 
+def _state_partitions(spark):
+    """One state store per core of the cluster."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _event_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     return event_stream(spark, sf_dir, schema, glob="events.parquet")
@@ -514,12 +519,14 @@ def _event_stream(spark, sf_dir):
 
 def q_stream_outcome(spark, sf_dir):
     s = _event_stream(spark, sf_dir).withColumnRenamed("user_id", "job_id")
-    return stream_outcome_table(spark, s, "job_id", "ts", _ready_conds(), _failed_cond())
+    return stream_outcome_table(spark, s, "job_id", "ts", _ready_conds(), _failed_cond(),
+                                partitions=_state_partitions(spark))
 
 
 def q_stream_barrier(spark, sf_dir):
     s = _event_stream(spark, sf_dir).withColumn("expected", _expected())
-    return stream_barrier_table(spark, s, "user_id", "ts", "event_type", "expected") \
+    return stream_barrier_table(spark, s, "user_id", "ts", "event_type", "expected",
+                                partitions=_state_partitions(spark)) \
         .withColumnRenamed("user_id", "job_id")
 
 
@@ -529,7 +536,7 @@ def q_stream_deadline(spark, sf_dir):
     s = _event_stream(spark, sf_dir).withColumn("expected", _expected())
     return stream_deadline_table(spark, s, "user_id", "ts", "event_type", "expected", DEADLINE_S,
                                  delay=WATERMARK_DELAY, retention_s=RETENTION_S,
-                                 failed=_failed_cond()) \
+                                 failed=_failed_cond(), partitions=_state_partitions(spark)) \
         .withColumnRenamed("user_id", "job_id")
 
 

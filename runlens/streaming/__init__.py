@@ -1,7 +1,7 @@
 """Structured Streaming forms of the readiness operators (E1, E2) and traces."""
 
 from runlens.streaming.readiness import (
-    event_stream, latest_versions, run_update_stream, stream_first_outcome,
+    event_stream, latest_versions, run_update_stream, state_partitions, stream_first_outcome,
     stream_first_seen, stream_outcome_table, stream_barrier_table,
 )
 
@@ -11,6 +11,6 @@ from runlens.streaming.deadline import (  # noqa: E402
 
 __all__ = [
     "DeadlineBarrier", "stream_deadline_barrier", "stream_deadline_table",
-    "event_stream", "latest_versions", "run_update_stream", "stream_first_outcome",
+    "event_stream", "latest_versions", "run_update_stream", "state_partitions", "stream_first_outcome",
     "stream_first_seen", "stream_outcome_table", "stream_barrier_table",
 ]

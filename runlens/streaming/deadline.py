@@ -207,9 +207,9 @@ def stream_deadline_barrier(stream: DataFrame, job: str, ts: str, member: str,
 def stream_deadline_table(spark: SparkSession, stream: DataFrame, job: str, ts: str, member: str,
                           expected: str | int, deadline_s: float, delay: str = "1 hour",
                           retention_s: float | None = None, failed: Column | None = None,
-                          timeout_s: float | None = 900) -> DataFrame:
+                          timeout_s: float | None = 900, partitions: int | None = None) -> DataFrame:
     """Run the deadline barrier to the end of the available input; return its table."""
     out = _run_append(spark, stream_deadline_barrier(stream, job, ts, member, expected,
                                                      deadline_s, delay, retention_s, failed),
-                      "deadline", timeout_s)
+                      "deadline", timeout_s, partitions)
     return spark.read.parquet(out)

@@ -17,6 +17,7 @@ grow without end need a stateful processor with a TTL or a deadline timer
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,9 +79,31 @@ def latest_versions(spark: SparkSession, out_path: str, keys: Sequence[str]) ->
         .drop("_rl_rn", "batch_id")
 
 
-def _run(spark: SparkSession, agg: DataFrame, kind: str, timeout_s: float | None) -> str:
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None):
+    """Number of state-store partitions for streams started inside the block.
+
+    A stateful stream fixes its partition count (``spark.sql.shuffle.partitions``)
+    when it first starts and keeps it in its checkpoint. The session conf is
+    changed only while the query starts (the stream clones the session then).
+    """
+    if not n:
+        yield
+        return
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def _run(spark: SparkSession, agg: DataFrame, kind: str, timeout_s: float | None,
+         partitions: int | None = None) -> str:
     base = scratch_path(spark, kind)
-    q = run_update_stream(agg, f"{base}/out", f"{base}/checkpoint")
+    with state_partitions(spark, partitions):
+        q = run_update_stream(agg, f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
@@ -90,12 +113,14 @@ def _run(spark: SparkSession, agg: DataFrame, kind: str, timeout_s: float | None
     return f"{base}/out"
 
 
-def _run_append(spark: SparkSession, stream: DataFrame, kind: str, timeout_s: float | None) -> str:
+def _run_append(spark: SparkSession, stream: DataFrame, kind: str, timeout_s: float | None,
+                partitions: int | None = None) -> str:
     """Run an append-mode stream into a Parquet file sink (exactly once) to the end of input."""
     base = scratch_path(spark, kind)
-    q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{base}/checkpoint")
-         .trigger(availableNow=True).start(f"{base}/out"))
+    with state_partitions(spark, partitions):
+        q = (stream.writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{base}/checkpoint")
+             .trigger(availableNow=True).start(f"{base}/out"))
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
@@ -107,14 +132,17 @@ def _run_append(spark: SparkSession, stream: DataFrame, kind: str, timeout_s: fl
 
 def stream_outcome_table(spark: SparkSession, stream: DataFrame, job: str, ts: str,
                          ready: Column | Sequence[Column], failed: Column | None = None,
-                         timeout_s: float | None = 600) -> DataFrame:
+                         timeout_s: float | None = 600, partitions: int | None = None) -> DataFrame:
     """Run streaming E1 to the end of the available input; return its result table."""
-    out = _run(spark, stream_first_outcome(stream, job, ts, ready, failed), "outcome", timeout_s)
+    out = _run(spark, stream_first_outcome(stream, job, ts, ready, failed), "outcome", timeout_s,
+               partitions)
     return latest_versions(spark, out, [job])
 
 
 def stream_barrier_table(spark: SparkSession, stream: DataFrame, job: str, ts: str, member: str,
-                         expected: str | int, timeout_s: float | None = 600) -> DataFrame:
+                         expected: str | int, timeout_s: float | None = 600,
+                         partitions: int | None = None) -> DataFrame:
     """Run streaming first-seen to the end of the input, then the barrier."""
-    out = _run(spark, stream_first_seen(stream, job, ts, member, expected), "barrier", timeout_s)
+    out = _run(spark, stream_first_seen(stream, job, ts, member, expected), "barrier", timeout_s,
+               partitions)
     return barrier_from_first_seen(latest_versions(spark, out, [job, member]), job, member)
