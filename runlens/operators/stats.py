@@ -53,22 +53,24 @@ def run_stats(df: DataFrame, keys: Sequence[str], value: str, scale: int = 5,
     vals = df.select(*keys, v.cast("double").alias("_rl_v")).where(F.col("_rl_v").isNotNull())
     pos = with_group_position(vals, keys, [F.col("_rl_v")], pos_col="_rl_pos",
                               skew_safe=skew_safe)
-    targets = stats.select(*keys, "n")
+    # The (at most two) positions each percentile needs, one row each: joined
+    # on (keys, position), which is unique on both sides, so a hot group is
+    # no hotter than any other (AQE broadcasts the targets when small).
+    target_rows = []
     for i, q in enumerate(percentiles):
         idx = (F.col("n") - 1) * F.lit(float(q))
-        targets = targets.withColumn(f"_rl_i{i}", idx) \
-            .withColumn(f"_rl_lo{i}", F.floor(idx)).withColumn(f"_rl_hi{i}", F.ceil(idx))
-    picked = join_on_keys(pos, targets, keys)
-    near = None
-    for i in range(len(percentiles)):
-        c = (F.col("_rl_pos") == F.col(f"_rl_lo{i}")) | (F.col("_rl_pos") == F.col(f"_rl_hi{i}"))
-        near = c if near is None else near | c
-    picked = picked.where(near)
+        for end, pos_expr in (("lo", F.floor(idx)), ("hi", F.ceil(idx))):
+            target_rows.append(F.struct(F.lit(i).alias("q"), F.lit(end).alias("end"),
+                                        pos_expr.cast("long").alias("_rl_pos"),
+                                        (idx - F.floor(idx)).alias("frac")))
+    targets = stats.where(F.col("n") > 0).select(*keys, F.inline(F.array(*target_rows)))
+    picked = join_on_keys(pos.select(*keys, "_rl_pos", "_rl_v"), targets, [*keys, "_rl_pos"])
     sel = []
     for i in range(len(percentiles)):
-        sel += [F.max(F.when(F.col("_rl_pos") == F.col(f"_rl_lo{i}"), F.col("_rl_v"))).alias(f"_rl_lv{i}"),
-                F.max(F.when(F.col("_rl_pos") == F.col(f"_rl_hi{i}"), F.col("_rl_v"))).alias(f"_rl_hv{i}"),
-                F.first(F.col(f"_rl_i{i}") - F.col(f"_rl_lo{i}")).alias(f"_rl_f{i}")]
+        at = (F.col("q") == i)
+        sel += [F.max(F.when(at & (F.col("end") == "lo"), F.col("_rl_v"))).alias(f"_rl_lv{i}"),
+                F.max(F.when(at & (F.col("end") == "hi"), F.col("_rl_v"))).alias(f"_rl_hv{i}"),
+                F.max(F.when(at, F.col("frac"))).alias(f"_rl_f{i}")]
     pv = picked.groupBy(*keys).agg(*sel)
     for i, q in enumerate(percentiles):
         lo, hi, fr = F.col(f"_rl_lv{i}"), F.col(f"_rl_hv{i}"), F.col(f"_rl_f{i}")
