@@ -21,7 +21,8 @@ The sliced frame is therefore persisted: the rows and the summary are read
 from the same slices, also when a lost block is recomputed (it is rebuilt
 from the same shuffle and partitioner). The partition count is explicit, so
 AQE does not coalesce the range exchange. The order must be total (add a
-unique tie-breaker) for repeatable results.
+unique tie-breaker) for repeatable results. The persisted slices are
+released with ``spark.catalog.clearCache()`` (or when the session ends).
 """
 
 from __future__ import annotations

@@ -107,6 +107,15 @@ SELECT user_id AS run_id, event_id, event_type AS phase, ts,
        epoch_us(ts) - epoch_us(lag(ts) OVER w) AS step_us,
        epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id)) AS total_us
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""",
+    "phase_durations_hot": """
+WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN CAST(0 AS BIGINT) ELSE user_id END AS run_id,
+                  event_id, event_type, ts FROM events)
+SELECT run_id, event_id, event_type AS phase, ts,
+       row_number() OVER w - 1 AS seq,
+       epoch_us(ts) - epoch_us(lag(ts) OVER w) AS step_us,
+       epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY run_id)) AS total_us
+FROM e WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)
 """,
     "sweep_missing": """
 WITH u AS (SELECT DISTINCT user_id FROM events),

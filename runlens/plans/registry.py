@@ -443,6 +443,15 @@ def q_phase_durations(spark, sf_dir):
     return op.phase_durations(ev, "run_id", "ts", tiebreak=["event_id"])
 
 
+def q_phase_durations_hot(spark, sf_dir):
+    """D3 with one run holding a third of all readings (every third event is
+    moved to run 0): the skew-safe position plan splits that run over tasks."""
+    ev = table(spark, sf_dir, "events")
+    run = F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("user_id"))
+    df = ev.select(run.alias("run_id"), "event_id", F.col("event_type").alias("phase"), "ts")
+    return op.phase_durations(df, "run_id", "ts", tiebreak=["event_id"])
+
+
 def _stats(spark, sf_dir):
     return op.run_stats(traces(spark, sf_dir), ["framework", "phase", "nodes"], "seconds", scale=5)
 
@@ -547,6 +556,7 @@ QUERIES: dict[str, Query] = {
     "trace_stats": q_trace_stats,
     "trace_scaling": q_trace_scaling,
     "phase_durations": q_phase_durations,
+    "phase_durations_hot": q_phase_durations_hot,
     "sweep_missing": q_sweep_missing,
     "host_file_scan": q_host_file_scan,
     "hosts_distinct": q_hosts_distinct,
