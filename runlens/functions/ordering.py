@@ -43,20 +43,45 @@ def _sort_key(o: Column | str) -> Column:
     return F.col(o) if isinstance(o, str) else o
 
 
+HOT_FACTOR = 2.0
+
+
+def has_hot_group(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None,
+                  factor: float = HOT_FACTOR) -> bool:
+    """Does the largest group hold more than ``factor`` times the average
+    partition load (rows / shuffle partitions)?
+
+    One small job over the key columns only (the scan prunes everything
+    else): a partial count per key, then the maximum and the total.
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = df.groupBy(*keys).count().agg(F.max("count").alias("mx"),
+                                        F.sum("count").alias("total")).collect()[0]
+    if not row.total:
+        return False
+    return row.mx > factor * row.total / n
+
+
 def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                         prev: Sequence[str] = (), pos_col: str = "pos",
                         prev_prefix: str = "prev_", num_partitions: int | None = None,
-                        skew_safe: bool = True, first: Sequence[str] = (),
+                        skew_safe: bool | str = "auto", first: Sequence[str] = (),
                         first_prefix: str = "first_") -> DataFrame:
     """Add ``pos_col`` (0-based position within the key group under ``order``),
     ``prev_<c>`` (value of ``c`` on the preceding row, NULL for the first) and
     ``first_<c>`` (value of ``c`` on the group's first row).
 
-    ``skew_safe=False`` gives the plain one-window plan (one shuffle, whole
-    group per task), for inputs whose groups are known to be small.
+    ``skew_safe``: ``True`` always splits groups into slices; ``False`` is the
+    plain one-window plan (one shuffle, whole group per task); ``"auto"``
+    (default) checks the group sizes first (``has_hot_group``) and splits
+    only when a group would overload one task. The split plan costs about
+    twice the plain one on groups that fit a task, so it is used only where
+    it is needed.
     """
     keys = list(keys)
     order_cols = [_sort_key(o) for o in order]
+    if skew_safe == "auto":
+        skew_safe = has_hot_group(df, keys, num_partitions)
     if not skew_safe:
         w = Window.partitionBy(*keys).orderBy(*order_cols)
         out = df.withColumn(pos_col, F.row_number().over(w) - F.lit(1))

@@ -152,7 +152,7 @@ def apply_defaults(df: DataFrame, spec: dict[str, tuple[object, str]]) -> DataFr
 
 def assign_ids(df: DataFrame, alloc: str = "alloc_id", host: str = "host",
                id_col: str = "node_id", master_col: str | None = "is_master",
-               skew_safe: bool = True) -> DataFrame:
+               skew_safe: bool | str = "auto") -> DataFrame:
     """Dense ids 0..n-1 per allocation in ascending host order.
 
     The first host is the master. Duplicate hosts get one id. The position is

@@ -68,7 +68,7 @@ def first_seen(df: DataFrame, job: str, ts: str, member: str,
 
 
 def barrier_from_first_seen(first: DataFrame, job: str, member: str,
-                            skew_safe: bool = True) -> DataFrame:
+                            skew_safe: bool | str = "auto") -> DataFrame:
     """Time the ``expected``-th distinct member registered, per job."""
     pos = with_group_position(first, [job], [F.col("first_ts"), F.col(member)],
                               pos_col="_rl_pos", skew_safe=skew_safe)
@@ -80,7 +80,7 @@ def barrier_from_first_seen(first: DataFrame, job: str, member: str,
 
 
 def readiness_barrier(df: DataFrame, job: str, ts: str, member: str,
-                      expected: str | int, skew_safe: bool = True) -> DataFrame:
+                      expected: str | int, skew_safe: bool | str = "auto") -> DataFrame:
     """When did each job have all its expected members (E2)?
 
     ``ready_ts`` is when the ``expected``-th distinct member first appeared
@@ -100,7 +100,7 @@ def within_deadline(df: DataFrame, start: str, ready: str, seconds: float,
 
 def barrier_within_deadline(df: DataFrame, job: str, ts: str, member: str,
                             expected: str | int, deadline_s: float,
-                            failed: Column | None = None, skew_safe: bool = True) -> DataFrame:
+                            failed: Column | None = None, skew_safe: bool | str = "auto") -> DataFrame:
     """Batch form of the streaming deadline barrier: the wait loop's verdict.
 
     Only events by ``start + deadline`` count. ``ready_ts`` is the

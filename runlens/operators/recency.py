@@ -33,7 +33,7 @@ def latest_by_prefix(df: DataFrame, key: str | None, name: str, ts: str,
 
 def newest(df: DataFrame, key: str | None, ts: str, limit: int | None = None,
            tiebreak: Sequence[str] = (), rank: str = "rank",
-           skew_safe: bool = True) -> DataFrame:
+           skew_safe: bool | str = "auto") -> DataFrame:
     """Entries by time, newest first (D2), with a 1-based ``rank``.
 
     * ``key=None, limit=k``: global top-k (``TakeOrderedAndProject``).
@@ -59,7 +59,7 @@ def newest(df: DataFrame, key: str | None, ts: str, limit: int | None = None,
 
 def phase_durations(df: DataFrame, run: str, ts: str, tiebreak: Sequence[str] = (),
                     seq: str = "seq", step: str = "step_us", total: str = "total_us",
-                    skew_safe: bool = True) -> DataFrame:
+                    skew_safe: bool | str = "auto") -> DataFrame:
     """Consecutive clock differences per run (D3), in integer microseconds.
 
     ``step`` = this reading minus the previous one (NULL for the first),

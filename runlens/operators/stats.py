@@ -16,7 +16,7 @@ def _pct_name(q: float) -> str:
 
 def run_stats(df: DataFrame, keys: Sequence[str], value: str, scale: int = 5,
               percentiles: Sequence[float] = (0.5, 0.9), approx: bool = False,
-              skew_safe: bool = True) -> DataFrame:
+              skew_safe: bool | str = "auto") -> DataFrame:
     """Per group: ``n, mean, stddev, min, max`` and percentiles.
 
     * ``mean`` is exact: the sum is taken in integer units of ``10^-scale``

@@ -42,11 +42,21 @@ def test_filter_is_pushed_to_parquet(spark):
 
 def test_group_position_never_windows_a_whole_group(spark):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    p = plan(op.phase_durations(ev, "user_id", "ts", tiebreak=["event_id"]))
+    p = plan(op.phase_durations(ev, "user_id", "ts", tiebreak=["event_id"], skew_safe=True))
     assert "rangepartitioning(user_id" in p
     assert "hashpartitioning(user_id#" in p and "_rl_seg" in p
 
 
+def test_auto_splits_only_hot_groups(spark):
+    from runlens.functions import has_hot_group
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    assert not has_hot_group(ev, ["user_id"], 8)          # 150 users, none hot
+    hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
+    assert has_hot_group(hot, ["user_id"], 8)              # one user holds a third
+    assert "rangepartitioning(run_id" in plan(E.queries()["phase_durations_hot"](spark, SF_SMALL))
+    assert "rangepartitioning(run_id" not in plan(E.queries()["phase_durations"](spark, SF_SMALL))
+
+
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - {"stream_outcome", "stream_barrier", "stream_deadline"}))
 def test_no_python_in_plans(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))

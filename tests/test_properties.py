@@ -66,7 +66,7 @@ def test_group_position_equals_window_with_hot_key(spark, seed, parts):
         rows.append((key, rnd.randint(0, 500), i))
     df = spark.createDataFrame(rows, "k int, t int, id int")
     fast = with_group_position(df, ["k"], [F.col("t"), F.col("id")], prev=["t"],
-                               num_partitions=parts)
+                               num_partitions=parts, skew_safe=True)
     w = Window.partitionBy("k").orderBy("t", "id")
     ref = df.withColumn("pos", F.row_number().over(w) - 1).withColumn("prev_t", F.lag("t").over(w))
     a = sorted((tuple(r) for r in fast.select("k", "t", "id", "pos", "prev_t").collect()), key=repr)
@@ -78,7 +78,7 @@ def test_dense_ids_are_zero_to_n_minus_one(spark):
     rnd = random.Random(7)
     rows = [(f"a{rnd.randint(0, 5)}", f"h{rnd.randint(0, 300)}") for _ in range(4000)]
     df = spark.createDataFrame(rows, "alloc_id string, host string")
-    ids = op.assign_ids(df).groupBy("alloc_id").agg(
+    ids = op.assign_ids(df, skew_safe=True).groupBy("alloc_id").agg(
         F.count("*").alias("n"), F.min("node_id").alias("lo"), F.max("node_id").alias("hi"),
         F.countDistinct("node_id").alias("d"), F.sum(F.col("is_master").cast("int")).alias("m"))
     for r in ids.collect():
@@ -89,7 +89,8 @@ def test_exact_percentiles_match_spark_percentile(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice(["a", "a", "a", "b", "c"]), round(rnd.uniform(0, 100), 2)) for _ in range(5000)]
     df = spark.createDataFrame(rows, "g string, v double")
-    ours = {r.g: (r.p50, r.p90) for r in op.run_stats(df, ["g"], "v", percentiles=(0.5, 0.9)).collect()}
+    ours = {r.g: (r.p50, r.p90) for r in op.run_stats(df, ["g"], "v", percentiles=(0.5, 0.9),
+                                                      skew_safe=True).collect()}
     ref = {r.g: tuple(r.p) for r in df.groupBy("g").agg(F.percentile("v", [0.5, 0.9]).alias("p")).collect()}
     for g, (p50, p90) in ours.items():
         assert abs(p50 - ref[g][0]) < 1e-9 and abs(p90 - ref[g][1]) < 1e-9
