@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.ordering import join_on_keys, with_group_position
+from runlens.functions.ordering import has_hot_group, join_on_keys, with_group_position
 
 
 def _pct_name(q: float) -> str:
@@ -24,20 +24,29 @@ def run_stats(df: DataFrame, keys: Sequence[str], value: str, scale: int = 5,
     * ``stddev`` (sample) is a double; count, sum, min and max are algebraic
       aggregates with a map-side partial step.
     * Percentiles are exact and interpolated (``(n-1)q``, as ``percentile``
-      / ``quantile_cont``) but never hold a group in one task: each value's
-      position inside its group comes from ``with_group_position`` and only
-      the two rows around each target position are kept.
-      ``approx=True`` uses ``percentile_approx`` instead (one pass, bounded
-      memory, approximate).
+      / ``quantile_cont``). When no group is hot (``skew_safe="auto"`` checks
+      the group sizes first) they are part of the same aggregate (Spark's
+      ``percentile`` holds a group's values). With a hot group (or
+      ``skew_safe=True``) no group is ever held in one task: each value's
+      position comes from ``with_group_position`` and only the rows at the
+      target positions are joined back. ``approx=True`` uses
+      ``percentile_approx`` instead (one pass, bounded memory, approximate).
     """
     keys = list(keys)
     v = F.col(value)
+    if skew_safe == "auto" and percentiles and not approx:
+        skew_safe = has_hot_group(df, keys)
+    # No hot group: Spark's exact ``percentile`` may hold a group's values,
+    # so everything is one aggregate.
+    in_one_pass = bool(percentiles) and not approx and not skew_safe
     units = F.round(v * F.lit(10 ** scale)).cast("long")
     aggs = [F.count(v).alias("n"), F.sum(units).alias("_rl_su"),
             F.stddev_samp(v.cast("double")).alias("stddev"),
             F.min(v).alias("min"), F.max(v).alias("max")]
     if approx and percentiles:
         aggs.append(F.percentile_approx(v.cast("double"), list(percentiles), 10000).alias("_rl_pa"))
+    if in_one_pass:
+        aggs.append(F.percentile(v.cast("double"), list(percentiles)).alias("_rl_pa"))
     stats = df.groupBy(*keys).agg(*aggs)
     unit = "0." + "0" * (scale - 1) + "1" if scale > 0 else "1"
     mean = F.expr(f"CAST(CAST((2 * _rl_su + n) div (2 * n) AS DECIMAL(38,0)) * {unit} "
@@ -45,7 +54,7 @@ def run_stats(df: DataFrame, keys: Sequence[str], value: str, scale: int = 5,
     stats = stats.withColumn("mean", F.when(F.col("n") > 0, mean)).drop("_rl_su")
     if not percentiles:
         return stats
-    if approx:
+    if approx or in_one_pass:
         for i, q in enumerate(percentiles):
             stats = stats.withColumn(_pct_name(q), F.col("_rl_pa").getItem(i))
         return stats.drop("_rl_pa")

@@ -452,8 +452,9 @@ def q_phase_durations_hot(spark, sf_dir):
     return op.phase_durations(df, "run_id", "ts", tiebreak=["event_id"])
 
 
-def _stats(spark, sf_dir):
-    return op.run_stats(traces(spark, sf_dir), ["framework", "phase", "nodes"], "seconds", scale=5)
+def _stats(spark, sf_dir, percentiles=(0.5, 0.9)):
+    return op.run_stats(traces(spark, sf_dir), ["framework", "phase", "nodes"], "seconds", scale=5,
+                        percentiles=percentiles)
 
 
 def q_trace_stats(spark, sf_dir):
@@ -465,7 +466,8 @@ def q_trace_stats(spark, sf_dir):
 
 
 def q_trace_scaling(spark, sf_dir):
-    s = _stats(spark, sf_dir).select("framework", "phase", "nodes", F.col("mean").alias("mean_s"))
+    s = _stats(spark, sf_dir, percentiles=()).select("framework", "phase", "nodes",
+                                                     F.col("mean").alias("mean_s"))
     r = op.scaling_ratio(s, ["framework", "phase"], "nodes", "mean_s", out="speedup",
                          base_size="base_nodes")
     return r.select("framework", "phase", "nodes", "mean_s", "base_nodes",
