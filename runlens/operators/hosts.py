@@ -160,6 +160,8 @@ def assign_ids(df: DataFrame, alloc: str = "alloc_id", host: str = "host",
     many tasks, not one.
     """
     hosts = df.select(alloc, host).where(F.col(host).isNotNull()).dropDuplicates([alloc, host])
+    if skew_safe == "auto":
+        hosts = hosts.persist()   # the group-size check and the ids read it once
     out = with_group_position(hosts, [alloc], [host], pos_col=id_col, skew_safe=skew_safe)
     if master_col:
         out = out.withColumn(master_col, F.col(id_col) == 0)

@@ -86,8 +86,10 @@ def readiness_barrier(df: DataFrame, job: str, ts: str, member: str,
     ``ready_ts`` is when the ``expected``-th distinct member first appeared
     (repeats and overshoot do not matter); NULL if that never happened.
     """
-    return barrier_from_first_seen(first_seen(df, job, ts, member, expected), job, member,
-                                   skew_safe=skew_safe)
+    first = first_seen(df, job, ts, member, expected)
+    if skew_safe == "auto":
+        first = first.persist()   # the group-size check and the barrier read it once
+    return barrier_from_first_seen(first, job, member, skew_safe=skew_safe)
 
 
 def within_deadline(df: DataFrame, start: str, ready: str, seconds: float,
@@ -118,6 +120,8 @@ def barrier_within_deadline(df: DataFrame, job: str, ts: str, member: str,
     kept = join_on_keys(first, per_job.select(job, "_rl_start"), [job]).where(
         F.timestamp_diff("MICROSECOND", F.col("_rl_start"), F.col("first_ts")) <= limit_us) \
         .drop("_rl_start")
+    if skew_safe == "auto":
+        kept = kept.persist()
     b = barrier_from_first_seen(kept, job, member, skew_safe=skew_safe)
     fails = per_job.select(job, F.when(
         F.timestamp_diff("MICROSECOND", F.col("_rl_start"), F.col("_rl_fail")) <= limit_us,
