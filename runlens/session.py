@@ -55,13 +55,18 @@ def shared_dir(spark: SparkSession) -> str:
     cluster a missing setting is an error, because a machine-local folder
     would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:   # remote session: only the conf is visible
+        sc = None
+    if not path and sc is not None:
+        path = sc.getCheckpointDir()
     if path:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(path)
         return path.rstrip("/")
-    if not sc.master.startswith("local"):
+    if sc is None or not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...) "
                            "before running runlens jobs on a cluster")
     path = tempfile.mkdtemp(prefix="runlens-ckpt-")
