@@ -137,8 +137,10 @@ class DeadlineBarrier(StatefulProcessor):
             outcome = "timed_out"
         self.info.clear()
         clear_ms = timer_ms + self.retention_ms
-        self.handle.registerTimer(clear_ms)
-        self.done.update((clear_ms,))
+        if clear_ms > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(clear_ms)
+            self.done.update((clear_ms,))
+        # else the retention has already passed in event time: keep nothing.
         out = pd.DataFrame({"job": [key[0]], "start_us": [start], "n_members": [len(firsts)],
                             "ready_us": [ready], "failed_us": [failed], "outcome": [outcome],
                             "met": [outcome == "ready"]})

@@ -62,3 +62,24 @@ def test_stream_deadline_equals_batch_in_time_order(spark, tmp_dir):
     cols = ["user_id", "start_ts", "n_members", "ready_ts", "failed_ts", "outcome", "met"]
     assert _rows(got, cols) == _rows(want, cols)
     assert {r.outcome for r in got.collect()} >= {"ready", "failed"}
+
+
+def test_stream_deadline_releases_state(spark, tmp_dir):
+    """After the verdicts, no job keeps its member table; with a short
+    retention the finished-job markers are gone too (state data source)."""
+    from runlens.streaming import stream_deadline_barrier
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    for retention, markers_left in ((40 * 86400, True), (86400, False)):
+        base = os.path.join(tmp_dir, f"r{retention}")
+        stream = event_stream(spark, SF_SMALL, ev.schema, glob="events.parquet")
+        out = stream_deadline_barrier(stream, "user_id", "ts", "event_type", 5, 3 * 86400,
+                                      retention_s=retention)
+        q = (out.writeStream.format("parquet").option("checkpointLocation", f"{base}/ck")
+             .trigger(availableNow=True).start(f"{base}/out"))
+        q.awaitTermination()
+        emitted = spark.read.parquet(f"{base}/out").count()
+        assert emitted == ev.select("user_id").distinct().count()
+        state = spark.read.format("statestore")
+        assert state.option("stateVarName", "info").load(f"{base}/ck").count() == 0
+        done = state.option("stateVarName", "done").load(f"{base}/ck").count()
+        assert (done == emitted) if markers_left else (done == 0)
