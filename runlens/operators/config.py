@@ -89,7 +89,8 @@ def resolve_placeholders(df: DataFrame, col: str, vars_df: DataFrame,
     """Replace ``$NAME`` / ``${NAME}`` from a variables table.
 
     ``vars_df`` holds ``(*keys, name, value)``: one environment per key (for
-    example per allocation). Unknown names keep their text. Each row becomes
+    example per allocation); a name bound twice for one key takes the greatest
+    value. Unknown names keep their text. Each row becomes
     one row per distinct name it references (the row itself rides on the
     first of them), those rows are left-joined to the variables on
     ``keys + name`` (unique there; AQE broadcasts a small environment and
@@ -110,8 +111,11 @@ def resolve_placeholders(df: DataFrame, col: str, vars_df: DataFrame,
                        F.posexplode_outer(names).alias("_rl_i", "_rl_name")) \
         .withColumn("_rl_rowdata", F.when(F.coalesce(F.col("_rl_i"), F.lit(0)) == 0,
                                           F.col("_rl_rowdata")))
-    env = vars_df.select(*[F.col(k).alias(f"_rl_ek_{k}") for k in keys],
-                         F.col(name).alias("_rl_ename"), F.col(value).alias("_rl_value"))
+    # One binding per (key, name); a name bound twice takes the greatest value
+    # (deterministic), so the per-row map never sees a duplicate key.
+    env = vars_df.groupBy(*keys, name).agg(F.max(value).alias("_rl_value")) \
+        .select(*[F.col(k).alias(f"_rl_ek_{k}") for k in keys],
+                F.col(name).alias("_rl_ename"), "_rl_value")
     cond = [F.col(k).eqNullSafe(F.col(f"_rl_ek_{k}")) for k in keys] \
         + [F.col("_rl_name") == F.col("_rl_ename")]
     bound = refs.join(env, on=cond, how="left")

@@ -221,7 +221,7 @@ def test_xml_properties_and_master_host(spark, tmp_dir):
 def test_placeholders(spark):
     text = spark.createDataFrame([(1, "a $USER/${JOB}x ${yarn.host} %s $"), (2, None), (3, "plain")],
                                  "id int, t string")
-    env = spark.createDataFrame([("USER", "u1"), ("JOB", "77")], "name string, value string")
+    env = spark.createDataFrame([("USER", "u1"), ("JOB", "77"), ("JOB", "12")], "name string, value string")
     rows = {r.id: r.t for r in op.resolve_placeholders(text, "t", env, row_id="id").collect()}
     assert rows == {1: "a u1/77x ${yarn.host} %s $", 2: None, 3: "plain"}
 
