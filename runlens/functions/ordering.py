@@ -78,6 +78,9 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
     twice the plain one on groups that fit a task, so it is used only where
     it is needed.
     """
+    if df.isStreaming:
+        raise ValueError("with_group_position needs a batch DataFrame; for streams use "
+                         "runlens.streaming (stateful aggregates and processors)")
     keys = list(keys)
     order_cols = [_sort_key(o) for o in order]
     if skew_safe == "auto":
