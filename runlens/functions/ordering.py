@@ -44,22 +44,30 @@ def _sort_key(o: Column | str) -> Column:
 
 
 HOT_FACTOR = 2.0
+HOT_MIN_ROWS_CONF = "spark.runlens.hotGroupMinRows"
+HOT_MIN_ROWS = 1_000_000
 
 
 def has_hot_group(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None,
-                  factor: float = HOT_FACTOR) -> bool:
-    """Does the largest group hold more than ``factor`` times the average
-    partition load (rows / shuffle partitions)?
-
-    One small job over the key columns only (the scan prunes everything
-    else): a partial count per key, then the maximum and the total.
+                  factor: float = HOT_FACTOR, min_rows: int | None = None) -> bool:
+    """Is the largest group too big for one task?
+
+    Hot means: more than ``factor`` times the average partition load (rows /
+    shuffle partitions) *and* more than ``min_rows`` rows (default from
+    ``spark.runlens.hotGroupMinRows``, 1,000,000), the same two-part test as
+    AQE's skew detection (factor and absolute floor). One small job over the
+    key columns only (the scan prunes everything else): a partial count per
+    key, then the maximum and the total.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if min_rows is None:
+        min_rows = int(spark.conf.get(HOT_MIN_ROWS_CONF, str(HOT_MIN_ROWS)))
     row = df.groupBy(*keys).count().agg(F.max("count").alias("mx"),
                                         F.sum("count").alias("total")).collect()[0]
     if not row.total:
         return False
-    return row.mx > factor * row.total / n
+    return row.mx > max(factor * row.total / n, min_rows)
 
 
 def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],

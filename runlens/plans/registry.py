@@ -447,11 +447,13 @@ def q_phase_durations(spark, sf_dir):
 
 def q_phase_durations_hot(spark, sf_dir):
     """D3 with one run holding a third of all readings (every third event is
-    moved to run 0): the skew-safe position plan splits that run over tasks."""
+    moved to run 0), on the split position plan: that run is numbered by many
+    tasks. (``auto`` would pick the split plan only once the run outgrows a
+    task, see ``has_hot_group``.)"""
     ev = table(spark, sf_dir, "events")
     run = F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("user_id"))
     df = ev.select(run.alias("run_id"), "event_id", F.col("event_type").alias("phase"), "ts")
-    return op.phase_durations(df, "run_id", "ts", tiebreak=["event_id"])
+    return op.phase_durations(df, "run_id", "ts", tiebreak=["event_id"], skew_safe=True)
 
 
 def _stats(spark, sf_dir, percentiles=(0.5, 0.9)):

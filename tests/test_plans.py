@@ -50,9 +50,15 @@ def test_group_position_never_windows_a_whole_group(spark):
 def test_auto_splits_only_hot_groups(spark):
     from runlens.functions import has_hot_group
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    assert not has_hot_group(ev, ["user_id"], 8)          # 150 users, none hot
+    assert not has_hot_group(ev, ["user_id"], 8, min_rows=0)       # 150 users, none hot
     hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
-    assert has_hot_group(hot, ["user_id"], 8)              # one user holds a third
+    assert has_hot_group(hot, ["user_id"], 8, min_rows=0)           # one user holds a third
+    assert not has_hot_group(hot, ["user_id"], 8)                   # ... but fits one task (floor)
+    spark.conf.set("spark.runlens.hotGroupMinRows", "10")
+    try:
+        assert has_hot_group(hot, ["user_id"], 8)
+    finally:
+        spark.conf.unset("spark.runlens.hotGroupMinRows")
     assert "rangepartitioning(run_id" in plan(E.queries()["phase_durations_hot"](spark, SF_SMALL))
     assert "rangepartitioning(run_id" not in plan(E.queries()["phase_durations"](spark, SF_SMALL))
 
