@@ -13,7 +13,11 @@ values with the group split across many tasks:
    at most ``#keys + n`` rows. A window over it by key (at most ``n`` rows
    per key) gives each slice its offset and the last values of the slice
    before it.
-4. Joining the summary back fixes the first row of every slice.
+4. Only keys that cross a slice boundary need a fix (offset, predecessor of
+   a slice's first row, first values). There are at most ``2 (n - 1)`` such
+   (key, slice) rows, whatever the data, so they are broadcast to the rows;
+   the rows move in two shuffles (range, then (key, slice) for the window)
+   and never a third.
 
 The range partitioner samples with a seed that depends on the RDD, so two
 independent evaluations of the range exchange may cut different slices.
@@ -37,6 +41,7 @@ _SEG = "_rl_seg"
 _RN = "_rl_rn"
 _CNT = "_rl_cnt"
 _OFF = "_rl_off"
+_NSEG = "_rl_nseg"
 
 
 def _sort_key(o: Column | str) -> Column:
@@ -123,30 +128,40 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
         .select(*keys, _SEG, _CNT, *[F.col(c).alias(f"_rl_last_{c}") for c in prev],
                 *[F.col(f"_rl_lf_{c}").alias(f"_rl_sf_{c}") for c in first])
     w_key = Window.partitionBy(*keys).orderBy(_SEG)
-    summary = summary.withColumn(_OFF, F.sum(_CNT).over(w_key) - F.col(_CNT))
+    summary = summary.withColumn(_OFF, F.sum(_CNT).over(w_key) - F.col(_CNT)) \
+        .withColumn(_NSEG, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     for c in prev:
         summary = summary.withColumn(f"_rl_pl_{c}", F.lag(f"_rl_last_{c}").over(w_key))
     for c in first:
         summary = summary.withColumn(f"_rl_gf_{c}", F.first(f"_rl_sf_{c}").over(w_key))
-    summary = summary.select(*[F.col(k).alias(f"_rl_k_{k}") for k in keys],
-                             F.col(_SEG).alias("_rl_sseg"), _OFF,
-                             *[f"_rl_pl_{c}" for c in prev], *[f"_rl_gf_{c}" for c in first])
+    # Only a key that crosses a slice boundary needs a correction; a key inside
+    # one slice already has offset 0, no predecessor before its first row and
+    # its own first values. Each of the n - 1 boundaries is crossed by at most
+    # one key, so at most 2 (n - 1) rows remain: a bound set by the partition
+    # count, not by the data, so this side is broadcast and the rows are not
+    # shuffled again.
+    fixes = summary.where(F.col(_NSEG) > 1) \
+        .select(*[F.col(k).alias(f"_rl_k_{k}") for k in keys],
+                F.col(_SEG).alias("_rl_sseg"), _OFF,
+                *[f"_rl_pl_{c}" for c in prev], *[f"_rl_gf_{c}" for c in first])
 
     # Null-safe on the keys: a NULL run key is a group like any other.
     # The summary's columns are renamed, so the self-join is unambiguous.
     cond = [F.col(k).eqNullSafe(F.col(f"_rl_k_{k}")) for k in keys] \
         + [F.col(_SEG) == F.col("_rl_sseg")]
-    out = local.join(summary, on=cond, how="inner") \
-        .drop("_rl_sseg", *[f"_rl_k_{k}" for k in keys]) \
-        .withColumn(pos_col, F.col(_OFF) + F.col(_RN) - F.lit(1))
+    out = local.join(F.broadcast(fixes), on=cond, how="left")
+    fixed = F.col("_rl_sseg").isNotNull()
+    out = out.withColumn(pos_col, F.coalesce(F.col(_OFF), F.lit(0)) + F.col(_RN) - F.lit(1))
     for c in prev:
         out = out.withColumn(f"{prev_prefix}{c}",
                              F.when(F.col(_RN) == 1, F.col(f"_rl_pl_{c}"))
                              .otherwise(F.col(f"_rl_lp_{c}")))
     for c in first:
-        out = out.withColumnRenamed(f"_rl_gf_{c}", f"{first_prefix}{c}")
+        out = out.withColumn(f"{first_prefix}{c}",
+                             F.when(fixed, F.col(f"_rl_gf_{c}")).otherwise(F.col(f"_rl_lf_{c}")))
+    out = out.drop("_rl_sseg", *[f"_rl_k_{k}" for k in keys])
     helper = [_SEG, _RN, _CNT, _OFF] + [f"_rl_{k}_{c}" for c in prev for k in ("lp", "pl")] \
-        + [f"_rl_lf_{c}" for c in first]
+        + [f"_rl_{k}_{c}" for c in first for k in ("lf", "gf")]
     return out.drop(*helper)
 
 

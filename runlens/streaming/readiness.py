@@ -9,9 +9,9 @@ replaces its own output (idempotent); the checkpoint lives below the
 shared ``spark.checkpoint.dir``. ``latest_versions`` then keeps the last
 version per key, which equals the batch result.
 
-State note: a plain streaming ``groupBy`` never evicts keys. Job ids that
-grow without end need a stateful processor with a TTL or a deadline timer
-(E3); not built in this round.
+State note: a plain streaming ``groupBy`` never evicts keys. For job ids that
+grow without end use ``runlens.streaming.deadline`` (E1-E3 in one stateful
+processor whose per-job state is released by an event-time timer).
 """
 
 from __future__ import annotations

@@ -47,6 +47,24 @@ def test_group_position_never_windows_a_whole_group(spark):
     assert "hashpartitioning(user_id#" in p and "_rl_seg" in p
 
 
+def test_split_plan_moves_rows_twice_at_most(spark):
+    """Even with broadcasts off, the boundary fixes (at most 2 (n - 1) rows)
+    are broadcast; the sliced rows are not shuffled a third time."""
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = op.phase_durations(ev, "user_id", "ts", tiebreak=["event_id"], skew_safe=True)
+        df.collect()
+        p = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.catalog.clearCache()
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+    assert "Exchange hashpartitioning(coalesce(user_id" not in p   # no third shuffle of the rows
+
+
 def test_auto_splits_only_hot_groups(spark):
     from runlens.functions import has_hot_group
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")

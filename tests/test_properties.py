@@ -65,12 +65,14 @@ def test_group_position_equals_window_with_hot_key(spark, seed, parts):
             key = None
         rows.append((key, rnd.randint(0, 500), i))
     df = spark.createDataFrame(rows, "k int, t int, id int")
-    fast = with_group_position(df, ["k"], [F.col("t"), F.col("id")], prev=["t"],
+    fast = with_group_position(df, ["k"], [F.col("t"), F.col("id")], prev=["t"], first=["id"],
                                num_partitions=parts, skew_safe=True)
     w = Window.partitionBy("k").orderBy("t", "id")
-    ref = df.withColumn("pos", F.row_number().over(w) - 1).withColumn("prev_t", F.lag("t").over(w))
-    a = sorted((tuple(r) for r in fast.select("k", "t", "id", "pos", "prev_t").collect()), key=repr)
-    b = sorted((tuple(r) for r in ref.select("k", "t", "id", "pos", "prev_t").collect()), key=repr)
+    ref = df.withColumn("pos", F.row_number().over(w) - 1).withColumn("prev_t", F.lag("t").over(w)) \
+        .withColumn("first_id", F.first("id").over(w))
+    cols = ["k", "t", "id", "pos", "prev_t", "first_id"]
+    a = sorted((tuple(r) for r in fast.select(*cols).collect()), key=repr)
+    b = sorted((tuple(r) for r in ref.select(*cols).collect()), key=repr)
     assert a == b
 
 
