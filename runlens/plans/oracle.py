@@ -92,6 +92,16 @@ SELECT framework, phase, nodes, count(*) AS n, {MEAN5} AS mean_s,
        round(quantile_cont(CAST(seconds AS DOUBLE), 0.5), 4) AS p50_s,
        round(quantile_cont(CAST(seconds AS DOUBLE), 0.9), 4) AS p90_s
 FROM t GROUP BY framework, phase, nodes
+""",
+    "run_stats_hot": f"""
+WITH t AS (SELECT CASE WHEN event_id % 3 = 0 THEN CAST(0 AS BIGINT) ELSE user_id END AS run_id,
+                  CAST(value AS DECIMAL(18,5)) AS seconds FROM events)
+SELECT run_id, count(*) AS n, {MEAN5} AS mean_s,
+       round(stddev_samp(CAST(seconds AS DOUBLE)), 4) AS sd_s,
+       min(seconds) AS min_s, max(seconds) AS max_s,
+       round(quantile_cont(CAST(seconds AS DOUBLE), 0.5), 4) AS p50_s,
+       round(quantile_cont(CAST(seconds AS DOUBLE), 0.9), 4) AS p90_s
+FROM t GROUP BY run_id
 """,
     "trace_scaling": f"""
 WITH t AS ({TRACES}),
@@ -135,6 +145,12 @@ SELECT alloc_id, count(DISTINCT host) AS n_nodes FROM ({HOSTS}) h GROUP BY alloc
     "dense_ids": f"""
 SELECT alloc_id, host, row_number() OVER w - 1 AS node_id, (row_number() OVER w - 1) = 0 AS is_master
 FROM ({HOSTS}) h WINDOW w AS (PARTITION BY alloc_id ORDER BY host)
+""",
+    "dense_ids_hot": """
+WITH h AS (SELECT DISTINCT CASE WHEN l_orderkey % 3 = 0 THEN CAST(0 AS BIGINT) ELSE l_orderkey % 50 END AS alloc_id,
+                           'n' || l_orderkey || '-' || l_linenumber AS host FROM lineitem)
+SELECT alloc_id, host, row_number() OVER w - 1 AS node_id, (row_number() OVER w - 1) = 0 AS is_master
+FROM h WINDOW w AS (PARTITION BY alloc_id ORDER BY host)
 """,
     "slots_expand": """
 SELECT l_orderkey % 50 AS alloc_id, 'node' || l_suppkey AS host,

@@ -169,6 +169,17 @@ def q_dense_ids(spark, sf_dir):
     return op.assign_ids(hosts, "alloc_id", "host")
 
 
+def q_dense_ids_hot(spark, sf_dir):
+    """B5 with one allocation holding a third of all host lines (every line is
+    its own host), numbered by the split position plan."""
+    li = table(spark, sf_dir, "lineitem")
+    alloc = F.when(F.col("l_orderkey") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("l_orderkey") % 50)
+    host = F.concat(F.lit("n"), F.col("l_orderkey"), F.lit("-"), F.col("l_linenumber"))
+    lines = li.select(alloc.alias("alloc_id"), F.concat(F.lit(" "), host, F.lit("\n")).alias("line"))
+    hosts = op.distinct_hosts(lines, "alloc_id", "line")
+    return op.assign_ids(hosts, "alloc_id", "host", skew_safe=True)
+
+
 def q_slots_expand(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     n = F.col("l_linenumber")
@@ -469,6 +480,19 @@ def q_trace_stats(spark, sf_dir):
                     F.round("p90", 4).alias("p90_s"))
 
 
+def q_run_stats_hot(spark, sf_dir):
+    """D4 per run with one run holding a third of all readings (every third
+    event moves to run 0); exact percentiles by the split position plan."""
+    ev = table(spark, sf_dir, "events")
+    run = F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("user_id"))
+    secs = F.format_string("%.5f", F.col("value")).cast("decimal(18,5)")
+    df = ev.select(run.alias("run_id"), secs.alias("seconds"))
+    s = op.run_stats(df, ["run_id"], "seconds", scale=5, percentiles=(0.5, 0.9), skew_safe=True)
+    return s.select("run_id", "n", F.col("mean").alias("mean_s"), F.round("stddev", 4).alias("sd_s"),
+                    F.col("min").alias("min_s"), F.col("max").alias("max_s"),
+                    F.round("p50", 4).alias("p50_s"), F.round("p90", 4).alias("p90_s"))
+
+
 def q_trace_scaling(spark, sf_dir):
     s = _stats(spark, sf_dir, percentiles=()).select("framework", "phase", "nodes",
                                                      F.col("mean").alias("mean_s"))
@@ -564,6 +588,7 @@ QUERIES: dict[str, Query] = {
     "trace_append": q_trace_append,
     "trace_stats": q_trace_stats,
     "trace_scaling": q_trace_scaling,
+    "run_stats_hot": q_run_stats_hot,
     "phase_durations": q_phase_durations,
     "phase_durations_hot": q_phase_durations_hot,
     "sweep_missing": q_sweep_missing,
@@ -573,6 +598,7 @@ QUERIES: dict[str, Query] = {
     "hostlist_expand": q_hostlist_expand,
     "source_precedence": q_source_precedence,
     "dense_ids": q_dense_ids,
+    "dense_ids_hot": q_dense_ids_hot,
     "node_counts": q_node_counts,
     "slots_distinct": q_slots_distinct,
     "field_defaults": q_field_defaults,

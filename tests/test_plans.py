@@ -95,3 +95,10 @@ def test_sweep_grid_is_generated_not_joined(spark):
     assert "Generate" in p and "Join" not in p
     assert g.count() == 40
     _ = F  # noqa
+
+
+@pytest.mark.parametrize("name", sorted(q for q in E.queries() if q.endswith("_hot")))
+def test_hot_queries_take_the_split_plan(spark, name):
+    p = plan(E.queries()[name](spark, SF_SMALL))
+    assert "rangepartitioning(" in p and "_rl_seg" in p
+    spark.catalog.clearCache()
