@@ -81,7 +81,8 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
                         skew_safe: bool | str = "auto", first: Sequence[str] = (),
                         first_prefix: str = "first_") -> DataFrame:
     """Add ``pos_col`` (0-based position within the key group under ``order``),
-    ``prev_<c>`` (value of ``c`` on the preceding row, NULL for the first) and
+    (bigint on both plans), ``prev_<c>`` (value of ``c`` on the preceding row,
+    NULL for the first) and
     ``first_<c>`` (value of ``c`` on the group's first row).
 
     ``skew_safe``: ``True`` always splits groups into slices; ``False`` is the
@@ -100,7 +101,8 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
         skew_safe = has_hot_group(df, keys, num_partitions)
     if not skew_safe:
         w = Window.partitionBy(*keys).orderBy(*order_cols)
-        out = df.withColumn(pos_col, F.row_number().over(w) - F.lit(1))
+        # bigint on both plans: the schema must not depend on the group sizes.
+        out = df.withColumn(pos_col, (F.row_number().over(w) - F.lit(1)).cast("long"))
         for c in prev:
             out = out.withColumn(f"{prev_prefix}{c}", F.lag(c).over(w))
         for c in first:

@@ -96,3 +96,12 @@ def test_exact_percentiles_match_spark_percentile(spark):
     ref = {r.g: tuple(r.p) for r in df.groupBy("g").agg(F.percentile("v", [0.5, 0.9]).alias("p")).collect()}
     for g, (p50, p90) in ours.items():
         assert abs(p50 - ref[g][0]) < 1e-9 and abs(p90 - ref[g][1]) < 1e-9
+
+
+def test_group_position_schema_is_the_same_on_both_plans(spark):
+    df = spark.createDataFrame([(1, 5, 1), (1, 3, 2), (2, 7, 3)], "k int, t int, id int")
+    plain = with_group_position(df, ["k"], ["t", "id"], prev=["t"], first=["id"], skew_safe=False)
+    split = with_group_position(df, ["k"], ["t", "id"], prev=["t"], first=["id"], skew_safe=True)
+    assert plain.schema == split.schema
+    assert dict(plain.dtypes)["pos"] == "bigint"
+    spark.catalog.clearCache()
