@@ -88,9 +88,8 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
     ``skew_safe``: ``True`` always splits groups into slices; ``False`` is the
     plain one-window plan (one shuffle, whole group per task); ``"auto"``
     (default) checks the group sizes first (``has_hot_group``) and splits
-    only when a group would overload one task. The split plan costs about
-    twice the plain one on groups that fit a task, so it is used only where
-    it is needed.
+    only when a group would overload one task. The split plan shuffles the
+    rows twice (the plain one once), so it is used only where it is needed.
     """
     if df.isStreaming:
         raise ValueError("with_group_position needs a batch DataFrame; for streams use "
