@@ -34,7 +34,8 @@ def latest_by_prefix(df: DataFrame, key: str | None, name: str, ts: str,
 def newest(df: DataFrame, key: str | None, ts: str, limit: int | None = None,
            tiebreak: Sequence[str] = (), rank: str = "rank",
            skew_safe: bool | str = "auto") -> DataFrame:
-    """Entries by time, newest first (D2), with a 1-based ``rank`` (bigint).
+    """Entries by time, newest first (D2), with a 1-based ``rank`` (int for
+    top-k, which is bounded by k; bigint for every row ranked).
 
     * ``key=None, limit=k``: global top-k (``TakeOrderedAndProject``).
     * ``key, limit=k``: top-k per key (partial ``WindowGroupLimit``).
@@ -44,13 +45,10 @@ def newest(df: DataFrame, key: str | None, ts: str, limit: int | None = None,
     order = _order(ts, tiebreak)
     if key is None and limit is not None:
         top = df.orderBy(*order).limit(limit)
-        return top.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long"))
+        return top.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
     if limit is not None:
-        # Filter on the window's own output (kept as a partial WindowGroupLimit),
-        # then widen to bigint like the unlimited form.
         w = Window.partitionBy(key).orderBy(*order)
-        return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= limit) \
-            .withColumn(rank, F.col(rank).cast("long"))
+        return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= limit)
     keys = [key] if key else []
     if not keys:
         df = df.withColumn("_rl_all", F.lit(0))
