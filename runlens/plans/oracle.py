@@ -40,6 +40,20 @@ SELECT user_id AS job_id, max(expected) AS expected, count(*) AS n_members,
 FROM r GROUP BY user_id
 """
 
+BARRIER_HOT = """
+WITH e AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN CAST(0 AS BIGINT) ELSE user_id END AS job_id,
+         CASE WHEN event_id % 3 = 0 THEN 'u' || user_id || '-' || event_type ELSE event_type END AS member,
+         CASE WHEN event_id % 3 = 0 THEN 500 WHEN user_id % 4 = 0 THEN 6 ELSE 5 END AS expected, ts
+  FROM events),
+f AS (SELECT job_id, member, min(ts) AS first_ts, CAST(max(expected) AS INTEGER) AS expected
+      FROM e GROUP BY job_id, member),
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY first_ts, member) AS rn FROM f)
+SELECT job_id, max(expected) AS expected, count(*) AS n_members,
+       min(first_ts) AS start_ts, min(first_ts) FILTER (WHERE rn = expected) AS ready_ts
+FROM r GROUP BY job_id
+"""
+
 OUTCOME = """
 WITH a AS (
   SELECT user_id AS job_id,
@@ -342,6 +356,7 @@ FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10
     "first_outcome": OUTCOME,
     "stream_outcome": OUTCOME,
     "barrier": BARRIER,
+    "barrier_hot": BARRIER_HOT,
     "stream_deadline": DEADLINE_STREAM,
     "stream_barrier": BARRIER,
     "deadline": f"""

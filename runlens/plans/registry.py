@@ -540,6 +540,20 @@ def q_barrier(spark, sf_dir):
         .withColumnRenamed("user_id", "job_id")
 
 
+def q_barrier_hot(spark, sf_dir):
+    """E2 with one fleet job holding a third of all events: every third event
+    registers member ``u<user>-<type>`` of job 0 (500 expected); the n-th
+    member is found by the split position plan."""
+    ev = table(spark, sf_dir, "events")
+    hot = F.col("event_id") % 3 == 0
+    df = ev.select(
+        F.when(hot, F.lit(0).cast("bigint")).otherwise(F.col("user_id")).alias("job_id"),
+        F.when(hot, F.concat(F.lit("u"), F.col("user_id"), F.lit("-"), F.col("event_type")))
+        .otherwise(F.col("event_type")).alias("member"),
+        F.when(hot, F.lit(500)).otherwise(_expected()).alias("expected"), "ts")
+    return op.readiness_barrier(df, "job_id", "ts", "member", "expected", skew_safe=True)
+
+
 def q_deadline(spark, sf_dir):
     b = q_barrier(spark, sf_dir)
     return op.within_deadline(b, "start_ts", "ready_ts", DEADLINE_S) \
@@ -626,6 +640,7 @@ QUERIES: dict[str, Query] = {
     "newest_global": q_newest_global,
     "first_outcome": q_first_outcome,
     "barrier": q_barrier,
+    "barrier_hot": q_barrier_hot,
     "deadline": q_deadline,
     "stream_outcome": q_stream_outcome,
     "stream_barrier": q_stream_barrier,
