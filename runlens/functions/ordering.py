@@ -42,6 +42,7 @@ _RN = "_rl_rn"
 _CNT = "_rl_cnt"
 _OFF = "_rl_off"
 _NSEG = "_rl_nseg"
+_SIZE = "_rl_gsize"
 
 
 def _sort_key(o: Column | str) -> Column:
@@ -79,11 +80,14 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
                         prev: Sequence[str] = (), pos_col: str = "pos",
                         prev_prefix: str = "prev_", num_partitions: int | None = None,
                         skew_safe: bool | str = "auto", first: Sequence[str] = (),
-                        first_prefix: str = "first_") -> DataFrame:
+                        first_prefix: str = "first_", size_col: str | None = None) -> DataFrame:
     """Add ``pos_col`` (0-based position within the key group under ``order``),
     (bigint on both plans), ``prev_<c>`` (value of ``c`` on the preceding row,
     NULL for the first) and
-    ``first_<c>`` (value of ``c`` on the group's first row).
+    ``first_<c>`` (value of ``c`` on the group's first row). ``size_col``
+    adds the group's row count (bigint), so a caller can pick rows by
+    position (``pos = size - 1``, a percentile's position) with a filter
+    instead of a join.
 
     ``skew_safe``: ``True`` always splits groups into slices; ``False`` is the
     plain one-window plan (one shuffle, whole group per task); ``"auto"``
@@ -106,6 +110,8 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
             out = out.withColumn(f"{prev_prefix}{c}", F.lag(c).over(w))
         for c in first:
             out = out.withColumn(f"{first_prefix}{c}", F.first(c).over(w))
+        if size_col:
+            out = out.withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
         return out
 
     spark = df.sparkSession
@@ -129,8 +135,10 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
         .select(*keys, _SEG, _CNT, *[F.col(c).alias(f"_rl_last_{c}") for c in prev],
                 *[F.col(f"_rl_lf_{c}").alias(f"_rl_sf_{c}") for c in first])
     w_key = Window.partitionBy(*keys).orderBy(_SEG)
+    w_key_all = Window.partitionBy(*keys)
     summary = summary.withColumn(_OFF, F.sum(_CNT).over(w_key) - F.col(_CNT)) \
-        .withColumn(_NSEG, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        .withColumn(_NSEG, F.count(F.lit(1)).over(w_key_all)) \
+        .withColumn(_SIZE, F.sum(_CNT).over(w_key_all))
     for c in prev:
         summary = summary.withColumn(f"_rl_pl_{c}", F.lag(f"_rl_last_{c}").over(w_key))
     for c in first:
@@ -143,7 +151,7 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
     # shuffled again.
     fixes = summary.where(F.col(_NSEG) > 1) \
         .select(*[F.col(k).alias(f"_rl_k_{k}") for k in keys],
-                F.col(_SEG).alias("_rl_sseg"), _OFF,
+                F.col(_SEG).alias("_rl_sseg"), _OFF, _SIZE,
                 *[f"_rl_pl_{c}" for c in prev], *[f"_rl_gf_{c}" for c in first])
 
     # Null-safe on the keys: a NULL run key is a group like any other.
@@ -160,8 +168,11 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
     for c in first:
         out = out.withColumn(f"{first_prefix}{c}",
                              F.when(fixed, F.col(f"_rl_gf_{c}")).otherwise(F.col(f"_rl_lf_{c}")))
+    if size_col:
+        # A key inside one slice: the slice's count is the group's size.
+        out = out.withColumn(size_col, F.when(fixed, F.col(_SIZE)).otherwise(F.col(_CNT)))
     out = out.drop("_rl_sseg", *[f"_rl_k_{k}" for k in keys])
-    helper = [_SEG, _RN, _CNT, _OFF] + [f"_rl_{k}_{c}" for c in prev for k in ("lp", "pl")] \
+    helper = [_SEG, _RN, _CNT, _OFF, _SIZE] + [f"_rl_{k}_{c}" for c in prev for k in ("lp", "pl")] \
         + [f"_rl_{k}_{c}" for c in first for k in ("lf", "gf")]
     return out.drop(*helper)
 

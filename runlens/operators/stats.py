@@ -28,8 +28,8 @@ def run_stats(df: DataFrame, keys: Sequence[str], value: str, scale: int = 5,
       the group sizes first) they are part of the same aggregate (Spark's
       ``percentile`` holds a group's values). With a hot group (or
       ``skew_safe=True``) no group is ever held in one task: each value's
-      position comes from ``with_group_position`` and only the rows at the
-      target positions are joined back. ``approx=True`` uses
+      position and its group's size come from ``with_group_position`` and
+      only the rows at the target positions pass a filter. ``approx=True`` uses
       ``percentile_approx`` instead (one pass, bounded memory, approximate).
     """
     keys = list(keys)
@@ -60,26 +60,26 @@ def run_stats(df: DataFrame, keys: Sequence[str], value: str, scale: int = 5,
         return stats.drop("_rl_pa")
 
     vals = df.select(*keys, v.cast("double").alias("_rl_v")).where(F.col("_rl_v").isNotNull())
-    pos = with_group_position(vals, keys, [F.col("_rl_v")], pos_col="_rl_pos",
+    pos = with_group_position(vals, keys, [F.col("_rl_v")], pos_col="_rl_pos", size_col="_rl_n",
                               skew_safe=skew_safe)
-    # The (at most two) positions each percentile needs, one row each: joined
-    # on (keys, position), which is unique on both sides, so a hot group is
-    # no hotter than any other (AQE broadcasts the targets when small).
-    target_rows = []
-    for i, q in enumerate(percentiles):
-        idx = (F.col("n") - 1) * F.lit(float(q))
-        for end, pos_expr in (("lo", F.floor(idx)), ("hi", F.ceil(idx))):
-            target_rows.append(F.struct(F.lit(i).alias("q"), F.lit(end).alias("end"),
-                                        pos_expr.cast("long").alias("_rl_pos"),
-                                        (idx - F.floor(idx)).alias("frac")))
-    targets = stats.where(F.col("n") > 0).select(*keys, F.inline(F.array(*target_rows)))
-    picked = join_on_keys(pos.select(*keys, "_rl_pos", "_rl_v"), targets, [*keys, "_rl_pos"])
+    # Each row knows its position and its group's size, so the (at most two)
+    # rows each percentile needs are kept by a filter: no join of all values
+    # against a table of targets, and a hot group ships at most 2 rows per
+    # percentile to the final aggregate.
+    p, n = F.col("_rl_pos"), F.col("_rl_n")
+    ends = []
+    for q in percentiles:
+        idx = (n - 1) * F.lit(float(q))
+        ends.append((F.floor(idx).cast("long"), F.ceil(idx).cast("long"), idx - F.floor(idx)))
+    wanted = F.lit(False)
+    for lo, hi, _ in ends:
+        wanted = wanted | (p == lo) | (p == hi)
+    picked = pos.where(wanted)
     sel = []
-    for i in range(len(percentiles)):
-        at = (F.col("q") == i)
-        sel += [F.max(F.when(at & (F.col("end") == "lo"), F.col("_rl_v"))).alias(f"_rl_lv{i}"),
-                F.max(F.when(at & (F.col("end") == "hi"), F.col("_rl_v"))).alias(f"_rl_hv{i}"),
-                F.max(F.when(at, F.col("frac"))).alias(f"_rl_f{i}")]
+    for i, (lo, hi, fr) in enumerate(ends):
+        sel += [F.max(F.when(p == lo, F.col("_rl_v"))).alias(f"_rl_lv{i}"),
+                F.max(F.when(p == hi, F.col("_rl_v"))).alias(f"_rl_hv{i}"),
+                F.max(fr).alias(f"_rl_f{i}")]
     pv = picked.groupBy(*keys).agg(*sel)
     for i, q in enumerate(percentiles):
         lo, hi, fr = F.col(f"_rl_lv{i}"), F.col(f"_rl_hv{i}"), F.col(f"_rl_f{i}")

@@ -66,11 +66,12 @@ def test_group_position_equals_window_with_hot_key(spark, seed, parts):
         rows.append((key, rnd.randint(0, 500), i))
     df = spark.createDataFrame(rows, "k int, t int, id int")
     fast = with_group_position(df, ["k"], [F.col("t"), F.col("id")], prev=["t"], first=["id"],
-                               num_partitions=parts, skew_safe=True)
+                               num_partitions=parts, skew_safe=True, size_col="size")
     w = Window.partitionBy("k").orderBy("t", "id")
     ref = df.withColumn("pos", F.row_number().over(w) - 1).withColumn("prev_t", F.lag("t").over(w)) \
-        .withColumn("first_id", F.first("id").over(w))
-    cols = ["k", "t", "id", "pos", "prev_t", "first_id"]
+        .withColumn("first_id", F.first("id").over(w)) \
+        .withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("k")))
+    cols = ["k", "t", "id", "pos", "prev_t", "first_id", "size"]
     a = sorted((tuple(r) for r in fast.select(*cols).collect()), key=repr)
     b = sorted((tuple(r) for r in ref.select(*cols).collect()), key=repr)
     assert a == b
@@ -100,8 +101,10 @@ def test_exact_percentiles_match_spark_percentile(spark):
 
 def test_group_position_schema_is_the_same_on_both_plans(spark):
     df = spark.createDataFrame([(1, 5, 1), (1, 3, 2), (2, 7, 3)], "k int, t int, id int")
-    plain = with_group_position(df, ["k"], ["t", "id"], prev=["t"], first=["id"], skew_safe=False)
-    split = with_group_position(df, ["k"], ["t", "id"], prev=["t"], first=["id"], skew_safe=True)
-    assert plain.schema == split.schema
+    plain = with_group_position(df, ["k"], ["t", "id"], prev=["t"], first=["id"], skew_safe=False,
+                                size_col="size")
+    split = with_group_position(df, ["k"], ["t", "id"], prev=["t"], first=["id"], skew_safe=True,
+                                size_col="size")
+    assert plain.dtypes == split.dtypes
     assert dict(plain.dtypes)["pos"] == "bigint"
     spark.catalog.clearCache()
