@@ -154,8 +154,9 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
                 F.col(_SEG).alias("_rl_sseg"), _OFF, _SIZE,
                 *[f"_rl_pl_{c}" for c in prev], *[f"_rl_gf_{c}" for c in first])
 
-    # Null-safe on the keys: a NULL run key is a group like any other.
-    # The summary's columns are renamed, so the self-join is unambiguous.
+    # Null-safe on the keys: a NULL run key is a group like any other. The
+    # fixes' columns are renamed, so the self-join is unambiguous; rows of
+    # keys inside one slice find no fix (left join).
     cond = [F.col(k).eqNullSafe(F.col(f"_rl_k_{k}")) for k in keys] \
         + [F.col(_SEG) == F.col("_rl_sseg")]
     out = local.join(F.broadcast(fixes), on=cond, how="left")
