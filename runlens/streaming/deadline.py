@@ -48,6 +48,72 @@ from runlens.streaming.readiness import _run_append
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# A job's rows of one micro-batch up to this many are folded by a plain loop
+# (a job usually brings a few events per batch, and per-call pandas overhead
+# would dominate); larger batches (a hot fleet job) take the vectorised path.
+SMALL_BATCH = 512
+
+
+class _Fold:
+    """Minima and maxima of one job's rows: first event, first failure, the
+    largest ``expected`` and each member's first time (rows without a time
+    are ignored). Data columns arrive by position: the last four are
+    ``(event micros, member, expected, failed)``."""
+
+    def __init__(self):
+        self.start = self.expected = self.failed = None
+        self.firsts: dict[str, int] = {}
+
+    def add(self, pdf: pd.DataFrame) -> None:
+        us_s, mem_s, exp_s, fail_s = (pdf.iloc[:, i] for i in (-4, -3, -2, -1))
+        if len(pdf) <= SMALL_BATCH:
+            self._add_rows(us_s.tolist(), mem_s.tolist(), exp_s.tolist(), fail_s.tolist())
+        else:
+            self._add_frame(pd.DataFrame({"us": us_s, "member": mem_s,
+                                          "expected": exp_s, "failed": fail_s}))
+
+    def _add_rows(self, uss, members, exps, fails) -> None:
+        firsts = self.firsts
+        for us, member, exp, fail in zip(uss, members, exps, fails):
+            if us is None or us != us:          # NULL arrives as None or NaN
+                continue
+            us = int(us)
+            if self.start is None or us < self.start:
+                self.start = us
+            if fail is True or (fail is not None and fail == fail and bool(fail)):
+                if self.failed is None or us < self.failed:
+                    self.failed = us
+            if exp is not None and exp == exp:
+                e = int(exp)
+                if self.expected is None or e > self.expected:
+                    self.expected = e
+            if member is not None and member == member:
+                old = firsts.get(member)
+                if old is None or us < old:
+                    firsts[member] = us
+
+    def _add_frame(self, pdf: pd.DataFrame) -> None:
+        pdf = pdf[pdf["us"].notna()]
+        if pdf.empty:
+            return
+        lo = int(pdf["us"].min())
+        self.start = lo if self.start is None else min(self.start, lo)
+        fail = pdf.loc[pdf["failed"].fillna(False).astype(bool), "us"]
+        if not fail.empty:
+            f = int(fail.min())
+            self.failed = f if self.failed is None else min(self.failed, f)
+        exp = pdf["expected"].dropna()
+        if not exp.empty:
+            e = int(exp.max())
+            self.expected = e if self.expected is None else max(self.expected, e)
+        m = pdf[pdf["member"].notna()].groupby("member")["us"].min()
+        for member, us in m.items():
+            us = int(us)
+            old = self.firsts.get(member)
+            if old is None or us < old:
+                self.firsts[member] = us
+
+
 class DeadlineBarrier(StatefulProcessor):
     """Per-job state machine; the last four input columns are
     ``(event micros, member, expected, failed)``."""
@@ -71,30 +137,10 @@ class DeadlineBarrier(StatefulProcessor):
             for _ in rows:   # finished job: later events change nothing
                 pass
             return iter([])
-        firsts: dict[str, int] = {}
-        start, expected, failed = None, None, None
+        acc = _Fold()
         for pdf in rows:
-            # Data columns arrive by position: (..., us, member, expected, failed).
-            pdf = pd.DataFrame({"us": pdf.iloc[:, -4], "member": pdf.iloc[:, -3],
-                                "expected": pdf.iloc[:, -2], "failed": pdf.iloc[:, -1]})
-            pdf = pdf[pdf["us"].notna()]
-            if pdf.empty:
-                continue
-            lo = int(pdf["us"].min())
-            start = lo if start is None else min(start, lo)
-            fail = pdf.loc[pdf["failed"].fillna(False).astype(bool), "us"]
-            if not fail.empty:
-                f = int(fail.min())
-                failed = f if failed is None else min(failed, f)
-            exp = pdf["expected"].dropna()
-            if not exp.empty:
-                e = int(exp.max())
-                expected = e if expected is None else max(expected, e)
-            m = pdf[pdf["member"].notna()].groupby("member")["us"].min()
-            for member, us in m.items():
-                us = int(us)
-                if member not in firsts or us < firsts[member]:
-                    firsts[member] = us
+            acc.add(pdf)
+        start, expected, failed, firsts = acc.start, acc.expected, acc.failed, acc.firsts
         if start is None:
             return iter([])
         old_info = self.info.get()
