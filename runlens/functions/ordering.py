@@ -49,6 +49,11 @@ def _sort_key(o: Column | str) -> Column:
     return F.col(o) if isinstance(o, str) else o
 
 
+# The boundary-fix table of the split plan has at most 2 (n - 1) rows; it is
+# broadcast while that bound is at most this many rows.
+MAX_FIX_ROWS_CONF = "spark.runlens.maxBroadcastFixRows"
+MAX_FIX_ROWS = 4_000_000
+
 HOT_FACTOR = 2.0
 HOT_MIN_ROWS_CONF = "spark.runlens.hotGroupMinRows"
 HOT_MIN_ROWS = 1_000_000
@@ -159,7 +164,11 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
     # keys inside one slice find no fix (left join).
     cond = [F.col(k).eqNullSafe(F.col(f"_rl_k_{k}")) for k in keys] \
         + [F.col(_SEG) == F.col("_rl_sseg")]
-    out = local.join(F.broadcast(fixes), on=cond, how="left")
+    # The bound is known before running anything: broadcast while it fits,
+    # else leave the join to AQE (a shuffle join of the rows on (key, slice)).
+    max_fix_rows = int(spark.conf.get(MAX_FIX_ROWS_CONF, str(MAX_FIX_ROWS)))
+    right = F.broadcast(fixes) if 2 * max(n - 1, 0) <= max_fix_rows else fixes
+    out = local.join(right, on=cond, how="left")
     fixed = F.col("_rl_sseg").isNotNull()
     out = out.withColumn(pos_col, F.coalesce(F.col(_OFF), F.lit(0)) + F.col(_RN) - F.lit(1))
     for c in prev:

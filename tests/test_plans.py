@@ -65,6 +65,25 @@ def test_split_plan_moves_rows_twice_at_most(spark):
     assert "Exchange hashpartitioning(coalesce(user_id" not in p   # no third shuffle of the rows
 
 
+def test_fix_table_is_broadcast_only_within_its_bound(spark):
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    spark.conf.set("spark.runlens.maxBroadcastFixRows", "4")      # 2 (n - 1) = 14 rows > 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = op.phase_durations(ev, "user_id", "ts", tiebreak=["event_id"], skew_safe=True)
+        got = sorted(tuple(r) for r in df.collect())
+        p = df._jdf.queryExecution().executedPlan().toString()
+        ref = op.phase_durations(ev, "user_id", "ts", tiebreak=["event_id"], skew_safe=False)
+        assert got == sorted(tuple(r) for r in ref.collect())
+    finally:
+        for k in ("spark.runlens.maxBroadcastFixRows", "spark.sql.autoBroadcastJoinThreshold",
+                  "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(k)
+        spark.catalog.clearCache()
+    assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+
+
 def test_auto_splits_only_hot_groups(spark):
     from runlens.functions import has_hot_group
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
