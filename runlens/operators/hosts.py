@@ -17,6 +17,10 @@ from runlens.functions.columns import (
 from runlens.functions.ordering import with_group_position
 
 
+# Largest number of range values one row materialises as an array.
+RANGE_CHUNK = 4096
+
+
 def distinct_hosts(df: DataFrame, alloc: str = "alloc_id", line: str = "line",
                    out: str = "host") -> DataFrame:
     """PBS node file lines -> distinct hosts per allocation (B1).
@@ -94,11 +98,20 @@ def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
         lo_txt.try_cast("long").alias("_rl_lo"),
         F.coalesce(F.nullif(hi_txt, F.lit("")), lo_txt).try_cast("long").alias("_rl_hi"))
     lo, hi = F.col("_rl_lo"), F.col("_rl_hi")
-    numbers = bounds.select(
-        F.col(alloc), "_rl_pre", "_rl_suf", "_rl_w", "_rl_direct",
+    # A range is exploded in two steps, chunk starts and then the numbers of
+    # one chunk, so no row ever holds an array longer than RANGE_CHUNK
+    # (``n[1-100000000]`` would otherwise be one array of 10^8 numbers).
+    chunks = bounds.select(
+        F.col(alloc), "_rl_pre", "_rl_suf", "_rl_w", "_rl_direct", "_rl_hi",
         F.explode(F.when(F.col("_rl_r").isNull(), F.array(F.lit(None).cast("long")))
-                  .when(lo.isNotNull() & (hi >= lo), F.sequence(lo, hi))
-                  .otherwise(F.array().cast("array<bigint>"))).alias("_rl_num"))
+                  .when(lo.isNotNull() & (hi >= lo), F.sequence(lo, hi, F.lit(RANGE_CHUNK).cast("long")))
+                  .otherwise(F.array().cast("array<bigint>"))).alias("_rl_c"))
+    c = F.col("_rl_c")
+    numbers = chunks.select(
+        F.col(alloc), "_rl_pre", "_rl_suf", "_rl_w", "_rl_direct",
+        F.explode(F.when(c.isNull(), F.array(F.lit(None).cast("long")))
+                  .otherwise(F.sequence(c, F.least(c + F.lit(RANGE_CHUNK - 1), F.col("_rl_hi")))))
+        .alias("_rl_num"))
     num = F.col("_rl_num").cast("string")
     host = F.when(F.col("_rl_direct").isNotNull(), F.col("_rl_direct")).otherwise(F.concat(
         F.col("_rl_pre"), F.lpad(num, F.greatest(F.col("_rl_w"), F.length(num)), "0"),
