@@ -12,13 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.columns import (
-    HOSTLIST_ITEM_RE, expand_hostlist_item, int_or_null, nonblank, strip_ws,
+    HOSTLIST_ITEM_RE, expand_hostlist_item, expand_ranges, int_or_null, nonblank, strip_ws,
 )
 from runlens.functions.ordering import with_group_position
 
 
 # Largest number of range values one row materialises as an array.
 RANGE_CHUNK = 4096
+# Items with up to this many bracket groups have their product streamed by
+# explodes; items with more are expanded by an array fold.
+MAX_STREAMED_GROUPS = 3
+# ``pre [g1] t1 [g2] t2 [g3] t3``: capture 1 is the text before the first
+# group, even captures are group bodies, odd ones the text after each group.
+MULTI_GROUP_RE = (r"^([^\[\]]*)\[([^\]]*)\]([^\[\]]*)(?:\[([^\]]*)\]([^\[\]]*))?"
+                  r"(?:\[([^\]]*)\]([^\[\]]*))?$")
 
 
 def distinct_hosts(df: DataFrame, alloc: str = "alloc_id", line: str = "line",
@@ -70,14 +77,29 @@ def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
         F.regexp_extract_all(F.col(expr), F.lit(HOSTLIST_ITEM_RE), 0)).alias("_rl_item"))
     item = F.trim(F.col("_rl_item"))
     n_groups = F.size(F.regexp_extract_all(item, F.lit(r"\["), 0))
+    multi = (n_groups >= 2) & (n_groups <= MAX_STREAMED_GROUPS)
     parts = items.select(
         F.col(alloc), item.alias("_rl_item"), n_groups.alias("_rl_groups"),
         F.regexp_extract(item, r"^([^\[]*)", 1).alias("_rl_pre"),
         F.regexp_extract(item, r"\]([^\[\]]*)$", 1).alias("_rl_suf"),
-        F.when(n_groups == 1, F.regexp_extract(item, r"\[([^\]]*)\]", 1)).alias("_rl_body"))
+        F.when(n_groups == 1, F.regexp_extract(item, r"\[([^\]]*)\]", 1)).alias("_rl_body"),
+        *[F.when(multi, F.regexp_extract(item, MULTI_GROUP_RE, i)).alias(f"_rl_m{i}")
+          for i in range(1, 2 * MAX_STREAMED_GROUPS + 2)])
+    # Items with 2..MAX_STREAMED_GROUPS bracket groups: their product is
+    # streamed by one explode per group (each array holds one group's values),
+    # never built as one array. Other items pass through with a NULL value.
+    groups = F.col("_rl_groups")
+    for k in range(1, MAX_STREAMED_GROUPS + 1):
+        values = F.when((groups >= 2) & (groups <= MAX_STREAMED_GROUPS) & (groups >= k),
+                        expand_ranges(F.col(f"_rl_m{2 * k}"))) \
+            .otherwise(F.array(F.lit(None).cast("string")))
+        parts = parts.select("*", F.explode(values).alias(f"_rl_v{k}"))
+    streamed = F.concat(F.col("_rl_m1"), *[F.concat(F.coalesce(F.col(f"_rl_v{k}"), F.lit("")),
+                                                    F.coalesce(F.col(f"_rl_m{2 * k + 1}"), F.lit("")))
+                                           for k in range(1, MAX_STREAMED_GROUPS + 1)])
     # One row per range of a one-group item, or per finished host otherwise.
     unit = "struct<host:string,r:string>"
-    body, groups = F.col("_rl_body"), F.col("_rl_groups")
+    body = F.col("_rl_body")
     ranges = parts.select(
         F.col(alloc), "_rl_pre", "_rl_suf",
         F.explode(
@@ -86,6 +108,8 @@ def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
                                                 F.lit(None).cast("string").alias("r"))))
             .when(groups == 1, F.transform(F.split(body, ","), lambda x: F.struct(
                 F.lit(None).cast("string").alias("host"), x.alias("r"))))
+            .when(groups <= MAX_STREAMED_GROUPS, F.array(F.struct(
+                streamed.alias("host"), F.lit(None).cast("string").alias("r"))))
             .otherwise(F.transform(expand_hostlist_item(F.col("_rl_item")), lambda h: F.struct(
                 h.alias("host"), F.lit(None).cast("string").alias("r"))))
         ).alias("_rl_u"))

@@ -119,3 +119,29 @@ def test_long_ranges_cross_chunks(spark):
     want = {f"r{str(i).zfill(width)}" for i in range(RANGE_CHUNK - 3, hi + 1)} \
         | {f"s{i}" for i in range(1, RANGE_CHUNK + 1)}
     assert got == want
+
+
+def test_multi_group_items_match_their_product(spark):
+    """Items with 2-4 bracket groups: streamed (<= 3 groups) or folded (4)."""
+    import itertools
+    rnd = random.Random(23)
+    rows, expected = [], set()
+    for alloc in range(40):
+        n_groups = rnd.randint(2, 4)
+        texts = [rnd.choice(["r", "n", "-x", ""]) for _ in range(n_groups + 1)]
+        groups, values = [], []
+        for _ in range(n_groups):
+            lo, w = rnd.randint(0, 9), rnd.choice([1, 2])
+            hi = lo + rnd.randint(0, 2)
+            groups.append(f"{_pad(lo, w)}-{_pad(hi, w)}")
+            values.append([_pad(v, w) for v in range(lo, hi + 1)])
+        item = texts[0] + "".join(f"[{g}]{t}" for g, t in zip(groups, texts[1:]))
+        if item.startswith("["):
+            item = "h" + item
+            texts[0] = "h" + texts[0]
+        rows.append((alloc, item))
+        for combo in itertools.product(*values):
+            expected.add((alloc, texts[0] + "".join(v + t for v, t in zip(combo, texts[1:]))))
+    df = spark.createDataFrame(rows, "alloc_id int, expr string")
+    got = {(r.alloc_id, r.host) for r in op.expand_hostlist(df).collect()}
+    assert got == expected
