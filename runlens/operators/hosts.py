@@ -69,9 +69,11 @@ def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
     gpu2; the zero padding of a range's low bound is kept (``[08-11]``). The
     common shapes (plain name, one bracket group) go through a chain of
     ``explode``s with plain string expressions between them, inside
-    whole-stage codegen and without filters. Items with several bracket
-    groups (``rack[1-2]-n[01-03]``, their product) are expanded by an array
-    fold. A reversed or malformed range gives no host.
+    whole-stage codegen and without filters; a range is exploded in chunks
+    of at most ``RANGE_CHUNK`` numbers. Items with 2..``MAX_STREAMED_GROUPS``
+    bracket groups (``rack[1-2]-n[01-03]``, their product) are streamed by one
+    explode per group; items with more groups are expanded by an array fold.
+    A reversed or malformed range gives no host.
     """
     items = df.select(F.col(alloc), F.explode(
         F.regexp_extract_all(F.col(expr), F.lit(HOSTLIST_ITEM_RE), 0)).alias("_rl_item"))
