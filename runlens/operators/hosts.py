@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.columns import (
-    HOSTLIST_ITEM_RE, expand_hostlist_item, expand_ranges, int_or_null, nonblank, strip_ws,
+    HOSTLIST_ITEM_RE, expand_hostlist_item, int_or_null, nonblank, strip_ws,
 )
 from runlens.functions.ordering import with_group_position
 
@@ -28,6 +28,16 @@ MULTI_GROUP_RE = (r"^([^\[\]]*)\[([^\]]*)\]([^\[\]]*)(?:\[([^\]]*)\]([^\[\]]*))?
                   r"(?:\[([^\]]*)\]([^\[\]]*))?$")
 
 
+def _range_bounds(r: Column) -> tuple[Column, Column, Column]:
+    """``08-11`` -> (8, 11, 2); a single number is its own range; the width
+    is that of the low bound (its zero padding is kept)."""
+    r = F.trim(r)
+    lo_txt = F.regexp_extract(r, r"^(\d+)", 1)
+    hi_txt = F.regexp_extract(r, r"^\d+-(\d+)$", 1)
+    return (lo_txt.try_cast("long"), F.coalesce(F.nullif(hi_txt, F.lit("")), lo_txt).try_cast("long"),
+            F.length(lo_txt))
+
+
 def distinct_hosts(df: DataFrame, alloc: str = "alloc_id", line: str = "line",
                    out: str = "host") -> DataFrame:
     """PBS node file lines -> distinct hosts per allocation (B1).
@@ -71,8 +81,9 @@ def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
     ``explode``s with plain string expressions between them, inside
     whole-stage codegen and without filters; a range is exploded in chunks
     of at most ``RANGE_CHUNK`` numbers. Items with 2..``MAX_STREAMED_GROUPS``
-    bracket groups (``rack[1-2]-n[01-03]``, their product) are streamed by one
-    explode per group; items with more groups are expanded by an array fold.
+    bracket groups (``rack[1-2]-n[01-03]``, their product) are streamed group
+    by group, with the same chunks; items with more groups are expanded by an
+    array fold.
     A reversed or malformed range gives no host.
     """
     items = df.select(F.col(alloc), F.explode(
@@ -88,14 +99,30 @@ def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
         *[F.when(multi, F.regexp_extract(item, MULTI_GROUP_RE, i)).alias(f"_rl_m{i}")
           for i in range(1, 2 * MAX_STREAMED_GROUPS + 2)])
     # Items with 2..MAX_STREAMED_GROUPS bracket groups: their product is
-    # streamed by one explode per group (each array holds one group's values),
-    # never built as one array. Other items pass through with a NULL value.
+    # streamed, group by group (its ranges, chunk starts, numbers), so no row
+    # holds an array longer than RANGE_CHUNK. Other items pass through with a
+    # NULL value.
     groups = F.col("_rl_groups")
+    null_long = F.array(F.lit(None).cast("long"))
     for k in range(1, MAX_STREAMED_GROUPS + 1):
-        values = F.when((groups >= 2) & (groups <= MAX_STREAMED_GROUPS) & (groups >= k),
-                        expand_ranges(F.col(f"_rl_m{2 * k}"))) \
-            .otherwise(F.array(F.lit(None).cast("string")))
-        parts = parts.select("*", F.explode(values).alias(f"_rl_v{k}"))
+        active = (groups >= 2) & (groups <= MAX_STREAMED_GROUPS) & (groups >= k)
+        parts = parts.select("*", F.explode(
+            F.when(active, F.split(F.col(f"_rl_m{2 * k}"), ","))
+            .otherwise(F.array(F.lit(None).cast("string")))).alias(f"_rl_r{k}"))
+        lo_k, hi_k, w_k = _range_bounds(F.col(f"_rl_r{k}"))
+        parts = parts.select("*", w_k.alias(f"_rl_w{k}"), lo_k.alias(f"_rl_lo{k}"), hi_k.alias(f"_rl_hi{k}"))
+        lo, hi = F.col(f"_rl_lo{k}"), F.col(f"_rl_hi{k}")
+        parts = parts.select("*", F.explode(
+            F.when(F.col(f"_rl_r{k}").isNull(), null_long)
+            .when(lo.isNotNull() & (hi >= lo), F.sequence(lo, hi, F.lit(RANGE_CHUNK).cast("long")))
+            .otherwise(F.array().cast("array<bigint>"))).alias(f"_rl_c{k}"))
+        c = F.col(f"_rl_c{k}")
+        parts = parts.select("*", F.explode(
+            F.when(c.isNull(), null_long)
+            .otherwise(F.sequence(c, F.least(c + F.lit(RANGE_CHUNK - 1), hi)))).alias(f"_rl_n{k}"))
+        num = F.col(f"_rl_n{k}").cast("string")
+        parts = parts.withColumn(f"_rl_v{k}", F.when(F.col(f"_rl_n{k}").isNotNull(), F.lpad(
+            num, F.greatest(F.col(f"_rl_w{k}"), F.length(num)), "0")))
     streamed = F.concat(F.col("_rl_m1"), *[F.concat(F.coalesce(F.col(f"_rl_v{k}"), F.lit("")),
                                                     F.coalesce(F.col(f"_rl_m{2 * k + 1}"), F.lit("")))
                                            for k in range(1, MAX_STREAMED_GROUPS + 1)])
@@ -115,14 +142,10 @@ def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
             .otherwise(F.transform(expand_hostlist_item(F.col("_rl_item")), lambda h: F.struct(
                 h.alias("host"), F.lit(None).cast("string").alias("r"))))
         ).alias("_rl_u"))
-    r = F.trim(F.col("_rl_u.r"))
-    lo_txt = F.regexp_extract(r, r"^(\d+)", 1)
-    hi_txt = F.regexp_extract(r, r"^\d+-(\d+)$", 1)
+    lo_r, hi_r, w_r = _range_bounds(F.col("_rl_u.r"))
     bounds = ranges.select(
         F.col(alloc), "_rl_pre", "_rl_suf", F.col("_rl_u.host").alias("_rl_direct"),
-        F.col("_rl_u.r").alias("_rl_r"), F.length(lo_txt).alias("_rl_w"),
-        lo_txt.try_cast("long").alias("_rl_lo"),
-        F.coalesce(F.nullif(hi_txt, F.lit("")), lo_txt).try_cast("long").alias("_rl_hi"))
+        F.col("_rl_u.r").alias("_rl_r"), w_r.alias("_rl_w"), lo_r.alias("_rl_lo"), hi_r.alias("_rl_hi"))
     lo, hi = F.col("_rl_lo"), F.col("_rl_hi")
     # A range is exploded in two steps, chunk starts and then the numbers of
     # one chunk, so no row ever holds an array longer than RANGE_CHUNK

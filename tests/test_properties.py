@@ -113,11 +113,13 @@ def test_group_position_schema_is_the_same_on_both_plans(spark):
 def test_long_ranges_cross_chunks(spark):
     from runlens.operators.hosts import RANGE_CHUNK
     hi = 2 * RANGE_CHUNK + 37
-    df = spark.createDataFrame([(1, f"r[00{RANGE_CHUNK - 3}-{hi}],s[1-{RANGE_CHUNK}]")], "alloc_id int, expr string")
+    expr = f"r[00{RANGE_CHUNK - 3}-{hi}],s[1-{RANGE_CHUNK}],m[1-{hi}]-z[1-2,7]"
+    df = spark.createDataFrame([(1, expr)], "alloc_id int, expr string")
     got = {r.host for r in op.expand_hostlist(df).collect()}
     width = len(f"00{RANGE_CHUNK - 3}")
     want = {f"r{str(i).zfill(width)}" for i in range(RANGE_CHUNK - 3, hi + 1)} \
-        | {f"s{i}" for i in range(1, RANGE_CHUNK + 1)}
+        | {f"s{i}" for i in range(1, RANGE_CHUNK + 1)} \
+        | {f"m{i}-z{j}" for i in range(1, hi + 1) for j in (1, 2, 7)}
     assert got == want
 
 
