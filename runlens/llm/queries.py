@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from runlens.llm import quality_rules
+from runlens.llm import mixing, quality_rules
 from runlens.llm.common import table
 
 QUERIES = {
     "op1_quality_rules": lambda spark, d: quality_rules.report(table(spark, d, "documents")),
+    "op7_mixing": lambda spark, d: mixing.report(table(spark, d, "documents")),
 }
 
 ORACLE = {
