@@ -99,6 +99,18 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, max_bytes: int, column: str = "text"):
+    """Consecutive parts of the batches with about ``max_bytes`` of text each (a longer row is a part of its own)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size) // max_bytes
+        cut = np.flatnonzero(np.diff(part, prepend=-1, append=part[-1] + 1))
+        for i, j in zip(cut[:-1], cut[1:]):
+            yield batch.slice(i, j - i)
+
+
 @dataclass
 class Words:
     """Words of a batch in text order: byte range, row, and hash of the lower-cased bytes."""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from runlens.llm import ann, bpe, classifier, mixing, quality_rules
+from runlens.llm import ann, bpe, classifier, hmm, mixing, quality_rules
 from runlens.llm.common import table
 
 QUERIES = {
     "op1_quality_rules": lambda spark, d: quality_rules.report(table(spark, d, "documents")),
+    "op3_hmm": lambda spark, d: hmm.report(table(spark, d, "documents")),
     "op5_bpe": lambda spark, d: bpe.report(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.report(table(spark, d, "documents")),
     "op9_ann": lambda spark, d: ann.report(table(spark, d, "embeddings")),
