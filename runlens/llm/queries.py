@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runlens.llm import ann, bpe, classifier, hmm, mixing, quality_rules
+from runlens.llm import ann, bpe, classifier, hmm, jaccard, mixing, quality_rules
 from runlens.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_hmm": lambda spark, d: hmm.report(table(spark, d, "documents")),
     "op5_bpe": lambda spark, d: bpe.report(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.report(table(spark, d, "documents")),
+    "op8_jaccard": lambda spark, d: jaccard.join(table(spark, d, "documents")),
     "op9_ann": lambda spark, d: ann.report(table(spark, d, "embeddings")),
     "op10_classifier": lambda spark, d: classifier.report(table(spark, d, "documents"), table(spark, d, "labels")),
 }
