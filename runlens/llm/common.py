@@ -162,6 +162,15 @@ def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix64(out)
 
 
+def prefix_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(s, inv): ``mix64((s[j] - s[i]) * inv[i])`` hashes the bytes i to j, wherever they stand."""
+    n = len(buf)
+    _tables(n + 1)
+    s = np.zeros(n + 1, U64)
+    np.cumsum(_BYTE[buf] * _POW[:n], out=s[1:])
+    return s, _INVPOW
+
+
 def shingle_hashes(w: Words, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every ``size``-word window; a row with fewer words gives its whole sequence."""
     count = np.diff(w.first)
