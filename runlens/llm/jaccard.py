@@ -41,6 +41,7 @@ NUM, DEN = 75, 100      # linked: DEN * intersection >= NUM * union
 RADIUS = 1 - NUM / DEN
 FREQUENT = 1 << 18
 SAMPLE = 16             # one document in so many is looked at for frequent shingles
+FEW = 1 << 18           # most rows of ids that are broadcast
 SMALL = 64              # points of a region whose pairs are compared without further pivots
 PIVOTS = 8
 GROUP_ROWS = 512        # comparisons with one point that a task is given together
@@ -85,13 +86,19 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     return s[order], got.n.to_numpy(np.int64)[order]
 
 
-POINTS = "kind int, doc_id long, n long, s long, x long, size int, frequent boolean"
+POINTS = "kind int, doc_id long, n long, s long, x long, size int, p long, p_size int"
+_POINTS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("x", pa.int64()),
+                     ("size", pa.int32()), ("p", pa.int64()), ("p_size", pa.int32())])
+
+
+def _rows(kind: int, m: int, /, **cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)) if f.name == "kind" else
+                                       pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(m, f.type)
+                                       for f in _POINTS], schema=_POINTS)
 
 
 def points(docs: DataFrame, frequent, size: int) -> DataFrame:
-    """kind 0: each document's point; kind 1: each point's replicas (once per task), as (shingle, point, size)."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()),
-                        ("x", pa.int64()), ("size", pa.int32()), ("frequent", pa.bool_())])
+    """kind 0: each document's point; 1 and 2: each point's replicas (once per task) at rare and at frequent shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -114,40 +121,52 @@ def points(docs: DataFrame, frequent, size: int) -> DataFrame:
                     weight = np.where(known[at] == u, count[at], 0)
                 first = np.lexsort((u, weight))[:k] if weight.any() else np.arange(k)
                 out.append((u[first], np.full(k, p), np.full(k, len(u), np.int32), weight[first] > 0))
-            m = part.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(m, np.int32)), ids, pa.array(n), pa.nulls(m, pa.int64()),
-                 pa.array(x, mask=n == 0), pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_())], schema=schema)
+            yield _rows(0, part.num_rows, doc_id=ids, n=n, x=pa.array(x, mask=n == 0))
             if out:
                 s, p, z, f = (np.concatenate(c) for c in zip(*out))
-                m = len(s)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                     pa.array(s.view(np.int64)), pa.array(p), pa.array(z), pa.array(f)], schema=schema)
+                s = s.view(np.int64)
+                for kind, at in ((1, ~f), (2, f)):
+                    yield _rows(kind, int(at.sum()), s=s[at], x=p[at], size=z[at])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, POINTS)
 
 
-REGIONS = "s long, x long, size int, p long, p_size int"
-_REGIONS = pa.schema([("s", pa.int64()), ("x", pa.int64()), ("size", pa.int32()), ("p", pa.int64()), ("p_size", pa.int32())])
+def _by_size(s, x, z):
+    """Regions of the rows (s, x, size): distinct points of a shingle whose sizes lie in one chain of possible links, with the smallest."""
+    o = np.lexsort((x, z, s))
+    s, x, z = s[o], x[o], z[o]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (x[1:] != x[:-1])
+    s, x, z = s[new], x[new], z[new]
+    head = np.ones(len(s), bool)
+    head[1:] = (s[1:] != s[:-1]) | (DEN * z[:-1].astype(np.int64) < NUM * z[1:].astype(np.int64))
+    start = np.flatnonzero(head)
+    n = np.diff(start, append=len(s))
+    low = np.minimum.reduceat(x, start)
+    own = np.repeat(low, n)
+    pz = np.zeros(len(start), np.int32)
+    region = np.repeat(np.arange(len(start)), n)
+    pz[region[x == own]] = z[x == own]
+    name = mix64(s.view(U64) * U64(31) + z[start].astype(U64)[region]).view(np.int64)
+    many = np.repeat(n > 1, n)
+    return [c[many] for c in (name, x, z, own, pz[region])]
 
 
 def _shared_runs(batches):
-    """Rows sorted by (s, x): the distinct points of every shingle that at least two points have, with the smallest."""
+    """Rows sorted by (s, x): regions of rare shingles that at least two points have; other kinds pass."""
     rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
 
-    def emit(s, x, z):
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (x[1:] != x[:-1])
-        s, x, z = s[new], x[new], z[new]
-        start = np.flatnonzero(np.diff(s, prepend=~s[:1]))
-        n = np.diff(start, append=len(s))
-        many = np.repeat(n > 1, n)
-        p, pz = np.repeat(x[start], n), np.repeat(z[start], n)
-        return pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (s, x, z, p, pz)], schema=_REGIONS)
+    def emit(*cols):
+        s, x, z, p, pz = _by_size(*cols)
+        return _rows(1, len(s), s=s, x=x, size=z, p=p, p_size=pz)
 
     for b in batches:
-        cols = [np.concatenate([r, np.asarray(b.column(f))]) for r, f in zip(rest, ("s", "x", "size"))]
+        kind = np.asarray(b.column("kind"))
+        other = kind != 1
+        if other.any():
+            yield b.filter(pa.array(other))
+        mine = b.filter(pa.array(~other))
+        cols = [np.concatenate([r, np.asarray(mine.column(f))]) for r, f in zip(rest, ("s", "x", "size"))]
         if not len(cols[0]):
             continue
         cut = int(np.searchsorted(cols[0], cols[0][-1]))   # the last shingle may go on in the next batch
@@ -158,15 +177,22 @@ def _shared_runs(batches):
         yield emit(*rest)
 
 
-def regions(replicas: DataFrame) -> DataFrame:
-    rows = replicas.select("s", "x", "size", "frequent")
-    rare = (rows.where("not frequent").drop("frequent").repartition("s").sortWithinPartitions("s", "x")
-            .mapInArrow(_shared_runs, REGIONS))
-    hot = rows.where("frequent").drop("frequent")
+def regions(replicas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents' points, regions): rare shingles by one sorted exchange, frequent ones by aggregates and joins that can be split."""
+    key = F.when(F.col("kind") == 1, F.col("s")).otherwise(F.xxhash64("doc_id", "s", "x"))
+    found = stored(replicas.withColumn("key", key).repartition("key").sortWithinPartitions("kind", "s", "x").drop("key")
+                   .mapInArrow(_shared_runs, POINTS), "jaccard_points")
+    rare = found.where("kind = 1").select("s", "x", "size", "p", "p_size")
+    hot = found.where("kind = 2").groupBy("s", "x").agg(F.first("size").alias("size"))
     firsts = (hot.groupBy("s").agg(F.min(F.struct("x", "size")).alias("p"), F.max("x").alias("q")).where("p.x <> q")
               .select("s", F.col("p.x").alias("p"), F.col("p.size").alias("p_size")))
-    hot = hot.groupBy("s", "x").agg(F.first("size").alias("size")).join(firsts, "s").select("s", "x", "size", "p", "p_size")
-    return rare.unionByName(hot)
+    hot = hot.join(firsts, "s").select("s", "x", "size", "p", "p_size")
+    return found.where("kind = 0").select("doc_id", "n", "x"), stored(rare.unionByName(hot), "jaccard_regions")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` (written before, a few numbers each) marked for broadcast if they are counted to be at most ``FEW``; else as they are."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
 def may_link(a, b):
@@ -185,7 +211,7 @@ def sets_of(docs: DataFrame, owners: DataFrame, size: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return stored(docs.select("doc_id", "text").join(owners, "doc_id").select("x", "text").mapInArrow(run, "x long, data binary"),
+    return stored(docs.select("doc_id", "text").join(few(owners), "doc_id").select("x", "text").mapInArrow(run, "x long, data binary"),
                   "jaccard_sets")
 
 
@@ -195,10 +221,11 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     A point with many partners is dealt out in groups of about ``GROUP_ROWS``; its own set goes to each group.
     """
     groups = F.greatest(F.lit(1), F.ceil(F.count("*") / GROUP_ROWS)).cast("int")
-    counts = pairs.groupBy("a").agg(groups.alias("groups"))
-    right = (pairs.join(counts, "a").join(sets.withColumnRenamed("x", "b"), "b")
-             .select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), "b", "data"))
-    left = (counts.join(sets.withColumnRenamed("x", "a"), "a")
+    counts = stored(pairs.groupBy("a").agg(groups.alias("groups")), "jaccard_counts")
+    tasks = stored(pairs.join(few(counts), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g")),
+                   "jaccard_tasks")
+    right = sets.withColumnRenamed("x", "b").join(few(tasks), "b").select("a", "g", "b", "data")
+    left = (sets.withColumnRenamed("x", "a").join(few(counts), "a")
             .select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"),
                     F.lit(None).cast("long").alias("b"), "data"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64()), ("linked", pa.bool_())])
@@ -247,7 +274,7 @@ def labelled(rows: DataFrame, comps: DataFrame | None, key: str, name: str) -> D
     """``rows`` with the component of ``key`` as ``name`` (a point without links is its own)."""
     if comps is None:
         return rows.withColumn(name, F.col(key))
-    c = comps.select(F.col("x").alias(key), F.col("c").alias(name))
+    c = few(comps.select(F.col("x").alias(key), F.col("c").alias(name)))
     return rows.join(c, key, "left").withColumn(name, F.coalesce(name, key))
 
 
@@ -268,10 +295,11 @@ class Join:
         self.comps = stored(components(links), "jaccard_components")
 
     def open_regions(self, rows: DataFrame) -> DataFrame:
-        """The rows (s, x, size, ...) of regions that hold more than one component, with component ``c``."""
-        rows = labelled(rows.drop("c"), self.comps, "x", "c")
-        still = rows.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        return stored(rows.join(still.select("s", "n"), "s"), "jaccard_open")
+        """The rows of regions that hold more than one component, with component ``c`` and the region's size ``n``."""
+        rows = labelled(labelled(rows.select("s", "x", "size", "p"), self.comps, "x", "c"), self.comps, "p", "cp")
+        still = stored(rows.where("c <> cp").select("s").distinct(), "jaccard_still")
+        rows = stored(rows.join(few(still), "s", "left_semi").drop("cp"), "jaccard_open")
+        return rows.join(rows.groupBy("s").agg(F.count("*").alias("n")), "s")
 
     def split(self, rows: DataFrame) -> DataFrame:
         """Voronoi regions of document pivots for every region in ``rows`` (s, x, size); boundary points are replicated."""
@@ -279,9 +307,9 @@ class Join:
         pivots = rows.groupBy("s", slot.alias("slot")).agg(F.min(F.struct("x", "size")).alias("p")).select(
             "s", F.col("p.x").alias("p"))
         met = stored(rows.select("s", "x", "size").join(pivots, "s"), "jaccard_met")
-        self.compare(met.where("x <> p").select(F.greatest("x", "p").alias("a"), F.least("x", "p").alias("b")))
+        self.compare(met.where("x <> p").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")))
         d = self.known.select("a", "b", "d")
-        met = (met.withColumns({"a": F.greatest("x", "p"), "b": F.least("x", "p")}).join(d, ["a", "b"], "left")
+        met = (met.withColumns({"a": F.least("x", "p"), "b": F.greatest("x", "p")}).join(d, ["a", "b"], "left")
                .withColumn("d", F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("d"))))
         own = met.groupBy("s", "x").agg(F.min("d").alias("own"))
         return (met.join(own, ["s", "x"]).where(F.col("d") <= F.col("own") + 2 * RADIUS + 1e-12)
@@ -291,7 +319,7 @@ class Join:
         """Join the regions ``rows`` (s, x, size, p) exactly."""
         last = None
         while True:
-            rows = self.open_regions(rows)
+            rows = stored(self.open_regions(rows), "jaccard_sized")
             sizes = rows.groupBy("s").agg(F.first("n").alias("n"))
             n = sizes.agg(F.count("*").alias("all"), F.count_if(F.col("n") > SMALL).alias("large"), F.max("n").alias("top")).first()
             if not n["all"]:
@@ -309,23 +337,21 @@ class Join:
         pairs = a.join(b, (F.col("l.s") == F.col("r.s")) & (F.col("l.x") > F.col("r.x")) & (F.col("l.c") != F.col("r.c"))
                        & may_link(F.col("l.size"), F.col("r.size"))
                        & F.coalesce(F.abs(F.col("l.d") - F.col("r.d")) <= RADIUS + 1e-12, F.lit(True)))
-        self.compare(pairs.select(F.col("l.x").alias("a"), F.col("r.x").alias("b")))
+        self.compare(pairs.select(F.col("r.x").alias("a"), F.col("l.x").alias("b")))
 
 
 def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(points(docs, frequent_shingles(docs, size), size), "jaccard_points")
-    own = found.where("kind = 0").select("doc_id", "n", "x")
-    rows = stored(regions(found.where("kind = 1")), "jaccard_regions")
-    met = (rows.where((F.col("x") != F.col("p")) & may_link(F.col("size"), F.col("p_size")))
-           .groupBy("x", "p").agg(F.count("*").alias("k")))
+    own, rows = regions(points(docs, frequent_shingles(docs, size), size))
+    met = stored(rows.where((F.col("x") != F.col("p")) & may_link(F.col("size"), F.col("p_size")))
+                 .groupBy("x", "p").agg(F.count("*").alias("k")), "jaccard_met")
     reps = own.where("x is not null and doc_id is not null").groupBy("x").agg(F.min("doc_id").alias("doc_id"))
-    state = Join(sets_of(docs, reps.join(rows.select("x").distinct(), "x", "left_semi"), size))
+    state = Join(sets_of(docs, stored(reps.join(rows.select("x").distinct(), "x", "left_semi"), "jaccard_reps"), size))
     state.compare(met.groupBy("x").agg(F.max_by("p", F.struct("k", "p")).alias("p"))
-                  .select(F.col("x").alias("a"), F.col("p").alias("b")))
+                  .select(F.col("p").alias("a"), F.col("x").alias("b")))
     apart = labelled(labelled(met, state.comps, "x", "cx"), state.comps, "p", "cp").where("cx <> cp")
-    state.compare(apart.select(F.col("x").alias("a"), F.col("p").alias("b")))
+    state.compare(apart.select(F.col("p").alias("a"), F.col("x").alias("b")))
     state.finish(rows.select("s", "x", "size", "p"))
     own = labelled(own, state.comps, "x", "c")
     first = own.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
