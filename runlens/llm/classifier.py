@@ -9,6 +9,8 @@
   sample is left out of the descent and fits the logistic curve that turns margins into scores.
 * Scoring is one pass over all documents with a table of ``buckets`` weights (its size is a parameter).
 
+Texts meet their labels in one exchange on doc_id, at every size (labels grow with the corpus, so they are not broadcast).
+
 What reaches the driver: at most ``buckets`` summed rows and 2 * ``sample`` feature lists.
 
 Defined results: a null or empty text has no features and gets the score of a zero margin sum; a label that is null, not 0 or 1,
@@ -87,7 +89,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, buckets: int,
     # hashes up to these are emitted as sample candidates: about twice the wanted rows per class
     n = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     top = {c: -(1 << 63) + min((1 << 64) - 1, ((1 << 64) * 2 * sample) // max(m, 1)) for c, m in n.items()}
-    joined = docs.select("doc_id", "text").where(training_row(4, 2)).join(known, "doc_id").select("text", "label", "h")
+    joined = docs.select("doc_id", "text").where(training_row(4, 2)).join(known.hint("merge"), "doc_id").select("text", "label", "h")
 
     def run(batches):
         counts = np.zeros((2, buckets), np.int64)
