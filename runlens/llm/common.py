@@ -37,6 +37,14 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FEW = 1 << 18           # most rows of ids or short strings that are broadcast
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` (written before, a few numbers or a short list each) marked for broadcast if they are counted to be at most ``FEW``."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def training_row(mod: int, rest: int):
     """crc32(doc_id as text) mod ``mod`` is not ``rest``; a null id counts as training."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != rest, F.lit(True))

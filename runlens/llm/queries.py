@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runlens.llm import ann, bpe, classifier, hmm, jaccard, mixing, quality_rules, suffix_dedup
+from runlens.llm import ann, bpe, classifier, hmm, html_extract, jaccard, mixing, quality_rules, suffix_dedup
 from runlens.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_suffix_dedup": lambda spark, d: suffix_dedup.report(table(spark, d, "documents")),
     "op3_hmm": lambda spark, d: hmm.report(table(spark, d, "documents")),
     "op5_bpe": lambda spark, d: bpe.report(table(spark, d, "documents")),
+    "op6_html_extract": lambda spark, d: html_extract.report(table(spark, d, "pages")),
     "op7_mixing": lambda spark, d: mixing.report(table(spark, d, "documents")),
     "op8_jaccard": lambda spark, d: jaccard.join(table(spark, d, "documents")),
     "op9_ann": lambda spark, d: ann.report(table(spark, d, "embeddings")),
