@@ -43,7 +43,7 @@ CACHE = 600_000      # cached pieces per task
 GROUP = 1_000        # documents whose pieces are looked up together
 SHORT = 64           # longest piece (bytes) that is cached and merged by scanning
 
-IDS = "doc_id long, n_tokens long, ids binary"
+IDS = "doc_id long, n_tokens long, ids binary, decoded_sha256 string"
 REPORT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CHUNKS = "uid string, doc_id long, chunk int, n_chunks int, text string"
 PARTS = ("uid string, doc_id long, chunk int, n_chunks int, text string, ids binary, sync int,"
@@ -262,14 +262,14 @@ _CHUNKS = pa.schema([("uid", pa.string()), ("doc_id", pa.int64()), ("chunk", pa.
                      ("text", pa.string())])
 _PARTS = pa.schema([*_CHUNKS, ("ids", pa.binary()), ("sync", pa.int32()), ("head", pa.list_(pa.int32())),
                     ("head_ids", pa.list_(pa.int32()))])
-_IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+_IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded_sha256", pa.string())])
 _REPORT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
                      ("decoded_sha256", pa.string())])
 
 
 def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, digest: bool = False,
                      chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """One row per document: ``doc_id, n_tokens, ids`` (packed ids), or with ``digest`` the contract's hashes."""
+    """One row per document: ``doc_id, n_tokens, ids`` (packed ids; with ``digest`` their hash) and the hash of the decoded bytes."""
     known = read_ranks(vocab_path)
     shared = docs.sparkSession.sparkContext.broadcast((known, merge_table(known)))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -277,12 +277,10 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, digest: boo
 
     def tools():
         ranks, table = shared.value
-        return compiled(pattern), Pieces(ranks, table), vocabulary(ranks) if digest else []
+        return compiled(pattern), Pieces(ranks, table), vocabulary(ranks)
 
     def row(doc_id, ids: bytes, vocab):
-        if not digest:
-            return doc_id, len(ids) // 4, ids
-        return (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(),
+        return (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest() if digest else ids,
                 hashlib.sha256(decode(ids, vocab)).hexdigest())
 
     def short(batches):
@@ -322,9 +320,9 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, digest: boo
                 if kept["sync"] >= 0 and kept["sync"] in r["head"]:
                     ids = r["ids"][4 * r["head_ids"][r["head"].index(kept["sync"])]:]
                     kept["n"] += len(ids) // 4
+                    kept["out"].update(decode(ids, vocab))
                     if digest:
                         kept["sha"].update(ids)
-                        kept["out"].update(decode(ids, vocab))
                     else:
                         kept["ids"].append(ids)
                     kept["sync"] = r["sync"]
@@ -336,10 +334,9 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, digest: boo
                     continue
                 if kept["sync"] < 0:
                     done = row(r["doc_id"], encode("".join(kept["text"]), pat, pieces), vocab)
-                elif digest:
-                    done = r["doc_id"], kept["n"], kept["sha"].hexdigest(), kept["out"].hexdigest()
                 else:
-                    done = r["doc_id"], kept["n"], b"".join(kept["ids"])
+                    ids = kept["sha"].hexdigest() if digest else b"".join(kept["ids"])
+                    done = r["doc_id"], kept["n"], ids, kept["out"].hexdigest()
                 yield _batch([done], out_schema)
 
     ddl = REPORT if digest else IDS

@@ -30,18 +30,17 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm import common
-from runlens.llm.common import U64, by_value, lower, mix64, shingle_hashes, slices, stored, text_buffer, words
+from runlens.llm.common import U64, by_value, few, lower, mix64, shingle_hashes, slices, stored, text_buffer, words
 
 SIZE = 5                # words per shingle
 NUM, DEN = 75, 100      # linked: DEN * intersection >= NUM * union
 RADIUS = 1 - NUM / DEN
 FREQUENT = 1 << 18
 SAMPLE = 16             # one document in so many is looked at for frequent shingles
-FEW = 1 << 18           # most rows of ids that are broadcast
 SMALL = 64              # points of a region whose pairs are compared without further pivots
 PIVOTS = 8
 GROUP_ROWS = 512        # comparisons with one point that a task is given together
@@ -86,9 +85,9 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     return s[order], got.n.to_numpy(np.int64)[order]
 
 
-POINTS = "kind int, doc_id long, n long, s long, x long, size int, p long, p_size int"
-_POINTS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("x", pa.int64()),
-                     ("size", pa.int32()), ("p", pa.int64()), ("p_size", pa.int32())])
+POINTS = "kind int, doc_id long, th long, n long, s long, x long, size int, p long, p_size int"
+_POINTS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()),
+                     ("s", pa.int64()), ("x", pa.int64()), ("size", pa.int32()), ("p", pa.int64()), ("p_size", pa.int32())])
 
 
 def _rows(kind: int, m: int, /, **cols) -> pa.RecordBatch:
@@ -121,14 +120,14 @@ def points(docs: DataFrame, frequent, size: int) -> DataFrame:
                     weight = np.where(known[at] == u, count[at], 0)
                 first = np.lexsort((u, weight))[:k] if weight.any() else np.arange(k)
                 out.append((u[first], np.full(k, p), np.full(k, len(u), np.int32), weight[first] > 0))
-            yield _rows(0, part.num_rows, doc_id=ids, n=n, x=pa.array(x, mask=n == 0))
+            yield _rows(0, part.num_rows, doc_id=ids, th=part.column("th"), n=n, x=pa.array(x, mask=n == 0))
             if out:
                 s, p, z, f = (np.concatenate(c) for c in zip(*out))
                 s = s.view(np.int64)
                 for kind, at in ((1, ~f), (2, f)):
                     yield _rows(kind, int(at.sum()), s=s[at], x=p[at], size=z[at])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, POINTS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, POINTS)
 
 
 def _by_size(s, x, z):
@@ -187,12 +186,7 @@ def regions(replicas: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = (hot.groupBy("s").agg(F.min(F.struct("x", "size")).alias("p"), F.max("x").alias("q")).where("p.x <> q")
               .select("s", F.col("p.x").alias("p"), F.col("p.size").alias("p_size")))
     hot = hot.join(firsts, "s").select("s", "x", "size", "p", "p_size")
-    return found.where("kind = 0").select("doc_id", "n", "x"), stored(rare.unionByName(hot), "jaccard_regions")
-
-
-def few(rows: DataFrame) -> DataFrame:
-    """``rows`` (written before, a few numbers each) marked for broadcast if they are counted to be at most ``FEW``; else as they are."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows
+    return found.where("kind = 0").select("doc_id", "th", "n", "x"), stored(rare.unionByName(hot), "jaccard_regions")
 
 
 def may_link(a, b):
@@ -340,8 +334,8 @@ class Join:
         self.compare(pairs.select(F.col("r.x").alias("a"), F.col("l.x").alias("b")))
 
 
-def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
+def classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """``doc_id, th, n, c`` of every row: its text's hash, set size, and the name of its component (null: links with nothing)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own, rows = regions(points(docs, frequent_shingles(docs, size), size))
     met = stored(rows.where((F.col("x") != F.col("p")) & may_link(F.col("size"), F.col("p_size")))
@@ -353,19 +347,33 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     apart = labelled(labelled(met, state.comps, "x", "cx"), state.comps, "p", "cp").where("cx <> cp")
     state.compare(apart.select(F.col("p").alias("a"), F.col("x").alias("b")))
     state.finish(rows.select("s", "x", "size", "p"))
-    own = labelled(own, state.comps, "x", "c")
-    first = own.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return own.join(first, "c", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return labelled(own, state.comps, "x", "c").select("doc_id", "th", "n", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c"))
+
+
+def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row."""
+    rows = classes(docs, size)
+    first = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(first, "c", "left").select("doc_id", F.col("n").alias("n_shingles"),
+                                                F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """One document of every component (the one with the smallest id; rows without an id stay)."""
-    comps = join(docs, size).select("doc_id", "component_id").where("doc_id = component_id").distinct()
-    kept = docs.join(comps.select("doc_id"), "doc_id", "left_semi")
-    kept = kept.withColumn("j_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("j_row = 1")
-    return kept.unionByName(docs.where("doc_id is null"), allowMissingColumns=True).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of every component: smallest id, then text hash. Rows without an id or without words link with nothing and stay."""
+    rows = stored(classes(docs, size), "jaccard_classes")
+    first = rows.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.*")
+    copies = rows.where("c is not null").groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    keys = stored(first.join(copies, ["doc_id", "th"]).withColumnsRenamed({"doc_id": "j_id", "th": "j_th"}), "jaccard_kept")
+    marked = docs.withColumn("j_hash", F.xxhash64("text"))
+    linked = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+
+    def of(chosen: DataFrame) -> DataFrame:
+        chosen = few(chosen.select("j_id", "j_th"))
+        return marked.where(linked).join(chosen, (F.col("doc_id").cast("long") == F.col("j_id"))
+                                         & (F.col("j_hash") == F.col("j_th")), "left_semi")
+
+    kept = of(keys.where("n = 1")).unionByName(of(keys.where("n > 1")).dropDuplicates(["doc_id", "j_hash"]))
+    return kept.unionByName(marked.where(~linked)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 by_value(common, sys.modules[__name__])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from runlens.llm import ann, bpe, classifier, hmm, html_extract, jaccard, mixing, quality_rules, suffix_dedup
+from runlens.llm import ann, bpe, classifier, hmm, html_extract, jaccard, mixing, pii, quality_rules, suffix_dedup
 from runlens.llm.common import table
 
 QUERIES = {
     "op1_quality_rules": lambda spark, d: quality_rules.report(table(spark, d, "documents")),
     "op2_suffix_dedup": lambda spark, d: suffix_dedup.report(table(spark, d, "documents")),
     "op3_hmm": lambda spark, d: hmm.report(table(spark, d, "documents")),
+    "op4_pii": lambda spark, d: pii.report(table(spark, d, "documents")),
     "op5_bpe": lambda spark, d: bpe.report(table(spark, d, "documents")),
     "op6_html_extract": lambda spark, d: html_extract.report(table(spark, d, "pages")),
     "op7_mixing": lambda spark, d: mixing.report(table(spark, d, "documents")),
