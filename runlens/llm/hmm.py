@@ -34,17 +34,16 @@ STATES = 8
 TOP = 4000
 CLASSES = 512
 ROUNDS = 4
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 20 << 20
 PIECE = 256
 LONG = 4096
 TOKENS_AT_ONCE = 1 << 18
 END = np.int64(-0x1234567)
 
-_RAW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-                  ("size", pa.list_(pa.int32())), ("codes", pa.binary()), ("local", pa.int32()), ("hash", pa.int64()),
-                  ("cls", pa.int16()), ("n", pa.int32())])
-RAW = ("block long, ids array<long>, held array<boolean>, size array<int>, codes binary, local int, hash long,"
-       "cls short, n int")
+_HEAD = pa.schema([("id", pa.int64()), ("held", pa.bool_()), ("size", pa.int32())])
+_RAW = pa.schema([("block", pa.int64()), ("head", pa.binary()), ("codes", pa.binary()), ("local", pa.int32()),
+                  ("hash", pa.int64()), ("cls", pa.int16()), ("n", pa.int32())])
+RAW = "block long, head binary, codes binary, local int, hash long, cls short, n int"
 _ENC = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("size", pa.list_(pa.int32())),
                   ("known", pa.list_(pa.int32())), ("base", pa.list_(pa.float64())), ("inner", pa.list_(pa.float64())),
                   ("codes", pa.binary())])
@@ -52,6 +51,17 @@ ENC = ("ids array<long>, held array<boolean>, size array<int>, known array<int>,
        "inner array<double>, codes binary")
 
 
+def packed(codes: np.ndarray, width: int) -> bytes:
+    """Numbers below 256 ** width, low bytes first, then the next, compressed (small numbers are frequent)."""
+    planes = b"".join((codes >> (8 * k) & 255).astype(np.uint8).tobytes() for k in range(width))
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, width: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, n * width, codec="zstd"), np.uint8).reshape(width, n)
+    return sum(planes[k].astype(np.int64) << (8 * k) for k in range(width))
+
+
 def token_classes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, classes: int) -> np.ndarray:
     """Class of each word from its last three bytes."""
     return (span_hash(buf, np.maximum(start, end - 3), end) % U64(classes)).astype(np.int16)
@@ -84,15 +94,20 @@ def blocks(docs: DataFrame, classes: int, block_bytes: int) -> DataFrame:
         for part in slices(batches, block_bytes):
             size, h, cls = tokenised(part, classes)
             held = part.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            seen, first, code = np.unique(h, return_index=True, return_inverse=True)
+            seen, first, code, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")          # frequent tokens get small codes
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            code, seen, first = rank[code], seen[order], first[order]
             n = np.bincount(code[np.repeat(~held, size)], minlength=len(seen)).astype(np.int32)
-            one = [pa.array([x], f.type) for x, f in zip(
-                (block, part.column("doc_id").to_pylist(), held, size, code.astype("<i4").tobytes()), _RAW)]
-            yield pa.RecordBatch.from_arrays(one + [pa.nulls(1, f.type) for f in list(_RAW)[5:]], schema=_RAW)
+            head = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(held), pa.array(size.astype(np.int32))],
+                                              schema=_HEAD)
+            one = [pa.array([x], f.type) for x, f in zip((block, head.serialize().to_pybytes(), packed(code, 4)), _RAW)]
+            yield pa.RecordBatch.from_arrays(one + [pa.nulls(1, f.type) for f in list(_RAW)[3:]], schema=_RAW)
             m = len(seen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, block))] + [pa.nulls(m, f.type) for f in list(_RAW)[1:5]]
-                + [pa.array(np.arange(m, dtype=np.int32)), pa.array(seen), pa.array(cls[first]), pa.array(n)], schema=_RAW)
+                [pa.array(np.full(m, block)), *[pa.nulls(m, f.type) for f in list(_RAW)[1:3]], pa.array(np.arange(m, dtype=np.int32)),
+                 pa.array(seen), pa.array(cls[first]), pa.array(n)], schema=_RAW)
             block += 1
 
     return docs.mapInArrow(run, RAW)
@@ -116,11 +131,11 @@ class Symbols:
         self.class_n[per.cls], self.class_v[per.cls] = per.n, per.v
         self.count = np.concatenate([[top_c[int(x)] for x in self.top], self.class_n]).astype(float)
 
-    def encode(self, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbol, is rare) of token hashes."""
-        at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
-        rare = self.top[at] != h
-        return np.where(rare, len(self.top) + cls, at), rare
+    def numbered(self, counts: DataFrame) -> DataFrame:
+        """``hash, c, sym``: a frequent token is its own symbol, another the one of its class."""
+        known = counts.sparkSession.createDataFrame([(int(x), i) for i, x in enumerate(self.top)], "hash long, own int")
+        return (counts.join(F.broadcast(known), "hash", "left")                        # at most ``top`` + 1 rows
+                .select("hash", "c", F.coalesce("own", F.lit(len(self.top)) + F.col("cls")).cast("int").alias("sym")))
 
 
 def encode_corpus(docs: DataFrame, top: int, classes: int, block_bytes: int):
@@ -130,33 +145,32 @@ def encode_corpus(docs: DataFrame, top: int, classes: int, block_bytes: int):
     counts = stored(tokens.groupBy("hash").agg(F.first("cls").alias("cls"), F.sum("n").alias("c")), "hmm_counts")
     symbols = Symbols(counts, top, classes)
     shared = docs.sparkSession.sparkContext.broadcast(symbols)
-    local = tokens.select("block", "local", "hash", "cls").join(counts.select("hash", "c"), "hash")
-    both = (raw.where("codes is not null").select("block", "ids", "held", "size", "codes", F.lit(-1).alias("local"),
-                                                  F.lit(0).cast("long").alias("hash"), F.lit(0).cast("short").alias("cls"),
-                                                  F.lit(0).cast("long").alias("c"))
-            .unionByName(local.select("block", "local", "hash", "cls", "c"), allowMissingColumns=True))
+    local = tokens.select("block", "local", "hash").join(symbols.numbered(counts), "hash").select("block", "local", "c", "sym")
+    both = (raw.where("codes is not null")
+            .select("block", "head", "codes", F.lit(-1).alias("local"), F.lit(0).cast("long").alias("c"), F.lit(0).alias("sym"))
+            .unionByName(local.withColumns({"head": F.lit(b""), "codes": F.lit(b"")})))
 
-    def encode_block(row, h, cls, c):
+    def encode_block(row, c, sym):
         s = shared.value
-        sym, rare = s.encode(h, cls)
-        inner = np.zeros(len(h))
-        k = cls[rare]
+        rare = sym >= len(s.top)
+        inner = np.zeros(len(sym))
+        k = sym[rare] - len(s.top)
         inner[rare] = np.log10((c[rare] + 0.1) / (s.class_n[k] + 0.1 * (s.class_v[k] + 1)))
         base = np.log10((c + 0.1) / (s.n + 0.1 * (s.v + 1)))
-        code = np.frombuffer(row["codes"][0].as_py(), "<i4")
-        size = np.asarray(row["size"][0].values)
+        head = pa.ipc.read_record_batch(row[0], _HEAD)
+        size = np.asarray(head.column("size")).astype(np.int64)
+        code = unpacked(row[1], int(size.sum()), 4)
         cut = np.concatenate([[0], np.cumsum(size)[:-1]])
         sums = [np.add.reduceat(x[code], cut) for x in ((c > 0).astype(np.int32), base, inner)]
         return pa.RecordBatch.from_arrays(
-            [row["ids"], row["held"], row["size"], *[pa.array([x], f.type) for x, f in zip(sums, list(_ENC)[3:6])],
-             pa.array([sym[code].astype("<u2").tobytes()], pa.binary())], schema=_ENC)
+            [*[pa.array([c], f.type) for c, f in zip(head.columns, _ENC)],
+             *[pa.array([x], f.type) for x, f in zip(sums, list(_ENC)[3:6])], pa.array([packed(sym[code], 2)], pa.binary())], schema=_ENC)
 
     def run(batches):
         row, parts = None, []
 
         def done():
-            h, cls, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            return encode_block(row, h, cls, c)
+            return encode_block(row, *(np.concatenate([p[i] for p in parts]) for i in range(2)))
 
         for b in batches:
             local_id = np.asarray(b.column("local"))
@@ -165,9 +179,9 @@ def encode_corpus(docs: DataFrame, top: int, classes: int, block_bytes: int):
                 if i >= 0:
                     if row is not None:
                         yield done()
-                    row, parts = {f: b.column(f).slice(i, 1) for f in ("ids", "held", "size", "codes")}, []
+                    row, parts = [pa.py_buffer(b.column(f)[i].as_py()) for f in ("head", "codes")], []
                 part = b.slice(i + 1, j - i - 1)
-                parts.append([np.asarray(part.column(f)) for f in ("hash", "cls", "c")])
+                parts.append([np.asarray(part.column(f)) for f in ("c", "sym")])
         if row is not None:
             yield done()
 
@@ -248,8 +262,8 @@ def baum_welch(encoded: DataFrame, p: Params, states: int) -> Params:
         total = None
         for b in batches:
             for r in b.to_pylist():
-                sym = np.frombuffer(r["codes"], "<u2").astype(np.int64)
                 size = np.asarray(r["size"], np.int64)
+                sym = unpacked(r["codes"], int(size.sum()), 2)
                 sym = sym[np.repeat(~np.asarray(r["held"], bool), size)]
                 start, size = pieces(size[~np.asarray(r["held"], bool)], PIECE)
                 group = np.cumsum(size) // TOKENS_AT_ONCE
@@ -332,8 +346,8 @@ def score(encoded: DataFrame, symbols: Symbols, p: Params) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 r = {f: b.column(f)[i].values for f in b.schema.names if f != "codes"}
-                sym = np.frombuffer(b.column("codes")[i].as_py(), "<u2").astype(np.int64)
                 size = np.asarray(r["size"], np.int64)
+                sym = unpacked(b.column("codes")[i].as_py(), int(size.sum()), 2)
                 ll = log_likelihood(sym, size, shared.value) + np.asarray(r["inner"])
                 yield pa.RecordBatch.from_arrays(
                     [r["ids"], r["held"], pa.array(size), r["known"].cast(pa.int64()), r["base"], pa.array(ll)], schema=schema)
