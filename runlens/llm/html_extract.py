@@ -1,7 +1,7 @@
 """op6: main text of web pages by consensus host paths.
 
 1. Every page is parsed into elements and text blocks. A block of a paragraph's length scores for the container it lies in, links count
-   against it. The page's best containers are named by their generalised path (tags and classes from the root, digits folded).
+   against it. The page's best containers are named by their generalised path (tags and classes from the body down, digits folded).
 2. Spark sums the votes per host and path; the ``PATHS`` paths most pages vote for are the host's consensus, in order.
 3. Every page is parsed again: its text is that of the containers on the first consensus path that it has text under. A page of a
    host without votes, or without any of the paths, uses its own best container, and without one all blocks.
@@ -181,9 +181,11 @@ class Page:
         flush()
 
     def path(self, e: int) -> str:
+        """Labels from below the body down (html and body may be left out of a page, so they are not named)."""
         parts = []
         while e > 0:
-            parts.append(self.label[e])
+            if self.tag[e] not in ("html", "body"):
+                parts.append(self.label[e])
             e = self.parent[e]
         return "/".join(reversed(parts))
 

@@ -6,9 +6,9 @@
    sources sorted by ``3 * size / weight`` (the fixed point of resharing the excess).
 2. A source is taken ``floor(target / size)`` whole times. The rest of its budget is fitted on the counts of
    documents by exact size: a proportional share of every size first, then single documents from the longest
-   down until what is left is no more than the longest size, then a bounded-knapsack reachability table for
-   that remainder. The table has at most (longest size + 1) cells and one step per item, so memory is bounded
-   by the longest document, not by the corpus.
+   down until what is left is no more than ``TABLE`` or the longest size, then a bounded-knapsack reachability
+   table for that remainder. The table has a cell per word of it and one step per item, so memory is bounded by
+   the longest document, not by the corpus.
 3. Within a (source, size) the documents with the smallest seeded hash are taken. The hash of the last one is
    the stratum's cutoff, found from counts per hash bucket and a rank inside the one bucket it falls into, so
    no stratum is ranked in one task. The documents meet only a table of cutoffs.
@@ -33,7 +33,7 @@ from runlens.llm.common import WORD, by_value, stored
 
 WEIGHTS = [5, 2, 1]
 MAX_EPOCHS = 3
-BUCKETS = 4096
+TABLE = 1 << 16         # cells the knapsack table may have, if no document is longer
 KEY = ["mix_null", "mix_source"]
 
 
@@ -79,10 +79,10 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         if sizes[i] > 0:
             take[i] = int(counts[i]) * budget // total
     left = budget - int((take * sizes).sum())
-    longest = int(sizes.max())
-    while left > longest:   # one more document per size, longest first; each pass lowers what is left
+    most = max(int(sizes.max()), TABLE)
+    while left > most:      # one more document per size, longest first; each pass lowers what is left
         for i in order:
-            if take[i] < counts[i] and 0 < sizes[i] <= left and left > longest:
+            if take[i] < counts[i] and 0 < sizes[i] <= left and left > most:
                 take[i] += 1
                 left -= int(sizes[i])
     # bounded knapsack over what is left: by[s] is the item that first reached the sum s
