@@ -43,7 +43,7 @@ def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = M.report(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
     taken, target = check([(r.source, r["size"], r.source_size, r.target, r.taken) for r in rows])
-    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    assert all(abs(taken[s] - target[s]) <= 2 for s in target)
     again = {(r.doc_id, r.taken) for r in M.report(docs).collect()}
     assert again == {(r.doc_id, r.taken) for r in rows}
 
