@@ -53,10 +53,10 @@ def decimal_or_null(col: ColumnOrName, precision: int = 18, scale: int = 5) -> C
 
 
 def json_int(col: ColumnOrName, path: str, default: int | None = 0) -> Column:
-    """Integer at a JSON path; any failure (bad JSON, missing, non-int) gives default."""
+    """Integer (bigint) at a JSON path; any failure (bad JSON, missing, non-int) gives default."""
     raw = F.get_json_object(_c(col), path)
-    val = int_or_null(raw)
-    return val if default is None else F.coalesce(val, F.lit(default))
+    val = int_or_null(raw, "bigint")
+    return val if default is None else F.coalesce(val, F.lit(default).cast("bigint"))
 
 
 def before_first(col: ColumnOrName, sep: str) -> Column:
@@ -93,8 +93,8 @@ def first_tokens(col: ColumnOrName, sep: str, n: int) -> Column:
 def bracket_job_id(col: ColumnOrName) -> Column:
     """Job id from ``[service]-[id]``: from the first ``-`` plus two to the last char but one.
 
-    Same slice as ``s[s.find('-') + 2 : len(s) - 1]``; with no ``-`` the
-    slice starts at index 1, as the original does.
+    The two brackets around the id are cut off. Text without a ``-`` only
+    loses its first and last character.
     """
     c = _c(col)
     i = F.instr(c, "-")  # 1-based, 0 when absent == find() + 1
@@ -104,7 +104,11 @@ def bracket_job_id(col: ColumnOrName) -> Column:
 
 # Grammar of compressed host lists (``c401-[101-103,105],gpu2``,
 # ``rack[1-2]-n[01-03]``): an item is a run of non-comma text and bracket groups.
-HOSTLIST_ITEM_RE = r"(?:[^,\[\]]|\[[^\]]*\])+"
+# A group that is never closed runs to the end, a stray ``]`` stays in its item;
+# such items are malformed as a whole and give no host.
+HOSTLIST_ITEM_RE = r"(?:[^,\[]|\[[^\]]*(?:\]|$))+"
+HOSTLIST_VALID_RE = r"^(?:[^\[\]]*\[[^\[\]]*\])*[^\[\]]*$"
+RANGE_RE = r"^\s*(\d+)\s*(?:-\s*(\d+)\s*)?$"
 HOSTLIST_SEGMENT_RE = r"\[[^\]]*\]|[^\[\]]+"
 
 
@@ -115,9 +119,8 @@ def expand_ranges(body: Column) -> Column:
     reversed or malformed range gives nothing.
     """
     def one(r: Column) -> Column:
-        r = F.trim(r)
-        lo_txt = F.regexp_extract(r, r"^(\d+)", 1)
-        hi_txt = F.coalesce(F.nullif(F.regexp_extract(r, r"^\d+-(\d+)$", 1), F.lit("")), lo_txt)
+        lo_txt = F.regexp_extract(r, RANGE_RE, 1)
+        hi_txt = F.coalesce(F.nullif(F.regexp_extract(r, RANGE_RE, 2), F.lit("")), lo_txt)
         lo = lo_txt.try_cast("long")
         hi = hi_txt.try_cast("long")
         width = F.length(lo_txt)
@@ -135,15 +138,16 @@ def expand_hostlist_item(item: Column) -> Column:
     ``rack[1-2]-n[01-02]`` -> rack1-n01, rack1-n02, rack2-n01, rack2-n02. A
     fold over the item's segments; used for items with several groups.
     """
-    segments = F.regexp_extract_all(item, F.lit(HOSTLIST_SEGMENT_RE), 0)
+    segments = F.regexp_extract_all(F.when(item.rlike(HOSTLIST_VALID_RE), item), F.lit(HOSTLIST_SEGMENT_RE), 0)
 
     def values(seg: Column) -> Column:
         return F.when(seg.startswith("["), expand_ranges(F.regexp_extract(seg, r"^\[(.*)\]$", 1))) \
             .otherwise(F.array(seg))
 
-    return F.aggregate(segments, F.array(F.lit("")),
-                       lambda acc, seg: F.flatten(F.transform(
-                           acc, lambda a: F.transform(values(seg), lambda x: F.concat(a, x)))))
+    hosts = F.aggregate(segments, F.array(F.lit("")),
+                        lambda acc, seg: F.flatten(F.transform(
+                            acc, lambda a: F.transform(values(seg), lambda x: F.concat(a, x)))))
+    return F.coalesce(hosts, F.array().cast("array<string>"))
 
 
 def expand_hostlist(col: ColumnOrName) -> Column:

@@ -15,9 +15,10 @@ values with the group split across many tasks:
    before it.
 4. Only keys that cross a slice boundary need a fix (offset, predecessor of
    a slice's first row, first values). There are at most ``2 (n - 1)`` such
-   (key, slice) rows, whatever the data, so they are broadcast to the rows;
-   the rows move in two shuffles (range, then (key, slice) for the window)
-   and never a third.
+   (key, slice) rows, whatever the data. If their columns have a fixed width,
+   the table's bytes are known and, within a limit, it is broadcast, so the
+   rows move in two shuffles (range, then (key, slice) for the window);
+   otherwise the join is left to AQE, which measures the side first.
 
 The range partitioner samples with a seed that depends on the RDD, so two
 independent evaluations of the range exchange may cut different slices.
@@ -35,6 +36,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 _SEG = "_rl_seg"
@@ -49,43 +51,28 @@ def _sort_key(o: Column | str) -> Column:
     return F.col(o) if isinstance(o, str) else o
 
 
-# The boundary-fix table of the split plan has at most 2 (n - 1) rows; it is
-# broadcast while that bound is at most this many rows.
-MAX_FIX_ROWS_CONF = "spark.runlens.maxBroadcastFixRows"
-MAX_FIX_ROWS = 4_000_000
+# The boundary-fix table of the split plan has at most 2 (n - 1) rows. A row
+# holds numbers, keys and carried values of bounded width only if all its
+# columns have a fixed-width type; only then is its size known before running
+# and the table broadcast, up to this many bytes.
+MAX_FIX_BYTES_CONF = "spark.runlens.maxBroadcastFixBytes"
+MAX_FIX_BYTES = 64 << 20
+FIXED_BYTES = 16        # of one fixed-width value, at most (decimal, timestamp, long)
 
-HOT_FACTOR = 2.0
-HOT_MIN_ROWS_CONF = "spark.runlens.hotGroupMinRows"
-HOT_MIN_ROWS = 1_000_000
-
-
-def has_hot_group(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None,
-                  factor: float = HOT_FACTOR, min_rows: int | None = None) -> bool:
-    """Is the largest group too big for one task?
-
-    Hot means: more than ``factor`` times the average partition load (rows /
-    shuffle partitions) *and* more than ``min_rows`` rows (default from
-    ``spark.runlens.hotGroupMinRows``, 1,000,000), the same two-part test as
-    AQE's skew detection (factor and absolute floor). One small job over the
-    key columns only (the scan prunes everything else): a partial count per
-    key, then the maximum and the total.
-    """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if min_rows is None:
-        min_rows = int(spark.conf.get(HOT_MIN_ROWS_CONF, str(HOT_MIN_ROWS)))
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("mx"),
-                                        F.sum("count").alias("total")).collect()[0]
-    if not row.total:
-        return False
-    return row.mx > max(factor * row.total / n, min_rows)
 
+def _fix_bytes(df: DataFrame, columns: Sequence[str], n: int) -> int | None:
+    """Bound on the fix table's bytes, None if a column has no fixed width."""
+    for c in columns:
+        if isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            return None
+    return 2 * max(n - 1, 0) * FIXED_BYTES * (len(columns) + 4)
 
 def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                         prev: Sequence[str] = (), pos_col: str = "pos",
                         prev_prefix: str = "prev_", num_partitions: int | None = None,
-                        skew_safe: bool | str = "auto", first: Sequence[str] = (),
-                        first_prefix: str = "first_", size_col: str | None = None) -> DataFrame:
+                        skew_safe: bool = True, first: Sequence[str] = (),
+                        first_prefix: str = "first_", size_col: str | None = None,
+                        weight: str | None = None) -> DataFrame:
     """Add ``pos_col`` (0-based position within the key group under ``order``),
     (bigint on both plans), ``prev_<c>`` (value of ``c`` on the preceding row,
     NULL for the first) and
@@ -94,29 +81,36 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
     position (``pos = size - 1``, a percentile's position) with a filter
     instead of a join.
 
-    ``skew_safe``: ``True`` always splits groups into slices; ``False`` is the
-    plain one-window plan (one shuffle, whole group per task); ``"auto"``
-    (default) checks the group sizes first (``has_hot_group``) and splits
-    only when a group would overload one task. The split plan shuffles the
-    rows twice (the plain one once), so it is used only where it is needed.
+    ``weight`` names a bigint column: a row then counts that often, its
+    position is the weight of the rows before it and the size their sum.
+
+    ``skew_safe=True`` (default) splits groups into slices at every size, so
+    the plan never depends on the data; ``False`` is the plain one-window
+    plan (one shuffle, whole group per task) for callers who know that their
+    groups fit a task. Both give the same rows and types.
     """
     if df.isStreaming:
         raise ValueError("with_group_position needs a batch DataFrame; for streams use "
                          "runlens.streaming (stateful aggregates and processors)")
     keys = list(keys)
     order_cols = [_sort_key(o) for o in order]
-    if skew_safe == "auto":
-        skew_safe = has_hot_group(df, keys, num_partitions)
+    own = F.col(weight) if weight else F.lit(1).cast("long")
+
+    def before(w) -> Column:
+        """Weight of the rows before this one in its window."""
+        if not weight:
+            return (F.row_number().over(w) - F.lit(1)).cast("long")
+        return F.sum(own).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - own
+
     if not skew_safe:
         w = Window.partitionBy(*keys).orderBy(*order_cols)
-        # bigint on both plans: the schema must not depend on the group sizes.
-        out = df.withColumn(pos_col, (F.row_number().over(w) - F.lit(1)).cast("long"))
+        out = df.withColumn(pos_col, before(w))
         for c in prev:
             out = out.withColumn(f"{prev_prefix}{c}", F.lag(c).over(w))
         for c in first:
             out = out.withColumn(f"{first_prefix}{c}", F.first(c).over(w))
         if size_col:
-            out = out.withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+            out = out.withColumn(size_col, F.sum(own).over(Window.partitionBy(*keys)))
         return out
 
     spark = df.sparkSession
@@ -126,8 +120,8 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
 
     w_slice = Window.partitionBy(*keys, _SEG).orderBy(*order_cols)
     w_slice_all = Window.partitionBy(*keys, _SEG)
-    local = ranged.withColumn(_RN, F.row_number().over(w_slice)) \
-        .withColumn(_CNT, F.count(F.lit(1)).over(w_slice_all))
+    local = ranged.withColumn(_RN, before(w_slice)) \
+        .withColumn(_CNT, F.sum(own).over(w_slice_all))
     for c in prev:
         local = local.withColumn(f"_rl_lp_{c}", F.lag(c).over(w_slice))
     for c in first:
@@ -136,7 +130,7 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
 
     # One row per (key, slice): its size, the values of its last row and of
     # its first row.
-    summary = local.filter(F.col(_RN) == F.col(_CNT)) \
+    summary = local.filter(F.col(_RN) + own == F.col(_CNT)) \
         .select(*keys, _SEG, _CNT, *[F.col(c).alias(f"_rl_last_{c}") for c in prev],
                 *[F.col(f"_rl_lf_{c}").alias(f"_rl_sf_{c}") for c in first])
     w_key = Window.partitionBy(*keys).orderBy(_SEG)
@@ -166,14 +160,15 @@ def with_group_position(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
         + [F.col(_SEG) == F.col("_rl_sseg")]
     # The bound is known before running anything: broadcast while it fits,
     # else leave the join to AQE (a shuffle join of the rows on (key, slice)).
-    max_fix_rows = int(spark.conf.get(MAX_FIX_ROWS_CONF, str(MAX_FIX_ROWS)))
-    right = F.broadcast(fixes) if 2 * max(n - 1, 0) <= max_fix_rows else fixes
+    size = _fix_bytes(df, [*keys, *prev, *first], n)
+    most = int(spark.conf.get(MAX_FIX_BYTES_CONF, str(MAX_FIX_BYTES)))
+    right = F.broadcast(fixes) if size is not None and size <= most else fixes
     out = local.join(right, on=cond, how="left")
     fixed = F.col("_rl_sseg").isNotNull()
-    out = out.withColumn(pos_col, F.coalesce(F.col(_OFF), F.lit(0)) + F.col(_RN) - F.lit(1))
+    out = out.withColumn(pos_col, F.coalesce(F.col(_OFF), F.lit(0)) + F.col(_RN))
     for c in prev:
         out = out.withColumn(f"{prev_prefix}{c}",
-                             F.when(F.col(_RN) == 1, F.col(f"_rl_pl_{c}"))
+                             F.when(F.col(_RN) == 0, F.col(f"_rl_pl_{c}"))
                              .otherwise(F.col(f"_rl_lp_{c}")))
     for c in first:
         out = out.withColumn(f"{first_prefix}{c}",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.columns import strip_ws
+from runlens.functions.ordering import join_on_keys
 
 
 def read_key_values(df: DataFrame, line: str = "line", sep: str = "=", comment: str = "#",
@@ -90,49 +91,27 @@ def resolve_placeholders(df: DataFrame, col: str, vars_df: DataFrame,
 
     ``vars_df`` holds ``(*keys, name, value)``: one environment per key (for
     example per allocation); a name bound twice for one key takes the greatest
-    value. Unknown names keep their text. Each row becomes
-    one row per distinct name it references (the row itself rides on the
-    first of them), those rows are left-joined to the variables on
-    ``keys + name`` (unique there; AQE broadcasts a small environment and
-    splits a hot key otherwise), and one aggregate per row gathers the row
-    back together with a small map of its own bindings, applied by
-    ``transform`` over the row's tokens. The input is read once, so a
-    generated row id cannot differ between two evaluations.
+    value, NULL values count as unbound. Unknown names keep their text. The
+    variables are aggregated to one map per key, which is the size of one
+    environment, and each text meets its map in one join on the keys, so the
+    wide rows move once at most (AQE broadcasts few environments and splits a
+    hot key). Without keys the one map is a scalar subquery and nothing moves.
+    ``row_id`` is no longer needed and only kept for callers that pass it.
     """
     out = out or col
     keys = list(keys)
-    rid = row_id or "_rl_row"
-    base = df if row_id else df.withColumn(rid, F.monotonically_increasing_id())
-    cols = [c for c in base.columns if c != rid]
-
-    names = F.array_distinct(F.transform(
-        F.regexp_extract_all(F.col(col), F.lit(PLACEHOLDER_RE), 0), _placeholder_name))
-    refs = base.select(rid, *keys, F.struct(*cols).alias("_rl_rowdata"),
-                       F.posexplode_outer(names).alias("_rl_i", "_rl_name")) \
-        .withColumn("_rl_rowdata", F.when(F.coalesce(F.col("_rl_i"), F.lit(0)) == 0,
-                                          F.col("_rl_rowdata")))
-    # One binding per (key, name); a name bound twice takes the greatest value
-    # (deterministic), so the per-row map never sees a duplicate key.
-    env = vars_df.groupBy(*keys, name).agg(F.max(value).alias("_rl_value")) \
-        .select(*[F.col(k).alias(f"_rl_ek_{k}") for k in keys],
-                F.col(name).alias("_rl_ename"), "_rl_value")
-    cond = [F.col(k).eqNullSafe(F.col(f"_rl_ek_{k}")) for k in keys] \
-        + [F.col("_rl_name") == F.col("_rl_ename")]
-    bound = refs.join(env, on=cond, how="left")
-    bind = F.when(F.col("_rl_value").isNotNull(), F.struct("_rl_name", "_rl_value"))
-    rows = bound.groupBy(rid).agg(
-        F.first("_rl_rowdata", ignorenulls=True).alias("_rl_rowdata"),
-        F.map_from_entries(F.collect_list(bind)).alias("_rl_env"))
-
+    bound = vars_df.where(F.col(value).isNotNull() & F.col(name).isNotNull()) \
+        .groupBy(*keys, name).agg(F.max(value).alias("_rl_value"))
+    env_map = F.map_from_entries(F.collect_list(F.struct(F.col(name), F.col("_rl_value")))).alias("_rl_env")
+    if keys:
+        rows = join_on_keys(df, bound.groupBy(*keys).agg(env_map), keys, how="left")
+    else:
+        rows = df.withColumn("_rl_env", bound.select(env_map).scalar())
     tokens = F.regexp_extract_all(F.col(col), F.lit(TOKEN_RE), 0)
     resolved = F.array_join(F.transform(tokens, lambda t: F.when(
         t.startswith("$") & (F.length(t) > 1),
         F.coalesce(F.try_element_at(F.col("_rl_env"), _placeholder_name(t)), t)).otherwise(t)), "")
-    res = rows.select(rid, "_rl_rowdata.*", "_rl_env") \
-        .withColumn(out, F.when(F.col(col).isNotNull(), resolved)).drop("_rl_env")
-    ordered = [c for c in base.columns] + ([out] if out not in base.columns else [])
-    res = res.select(*ordered)
-    return res if row_id else res.drop(rid)
+    return rows.withColumn(out, F.when(F.col(col).isNotNull(), resolved)).drop("_rl_env")
 
 
 def overlay_table(base: DataFrame, over: DataFrame, keys: Sequence[str],
@@ -140,16 +119,16 @@ def overlay_table(base: DataFrame, over: DataFrame, keys: Sequence[str],
     """Base rows with same-keyed rows replaced and new rows added (O1).
 
     A full outer join on the keys; every non-key column takes the overlay's
-    value when the key is present there (even if that value is NULL).
+    value when the key is present there (even if that value is NULL). NULL
+    keys match each other.
     """
     keys = list(keys)
     cols = [c for c in base.columns if c not in keys]
-    b = base.select(*keys, *[F.col(c).alias(f"_rl_b_{c}") for c in cols])
-    o = over.select(*keys, *[F.col(c).alias(f"_rl_o_{c}") for c in cols],
-                    F.lit(True).alias("_rl_in_over"))
-    j = b.join(o, on=keys, how="full_outer")
+    b = base.select(*[F.col(c).alias(f"_rl_b_{c}") for c in [*keys, *cols]])
+    o = over.select(*[F.col(c).alias(f"_rl_o_{c}") for c in [*keys, *cols]], F.lit(True).alias("_rl_in_over"))
+    j = b.join(o, on=[F.col(f"_rl_b_{k}").eqNullSafe(F.col(f"_rl_o_{k}")) for k in keys], how="full_outer")
     in_over = F.coalesce(F.col("_rl_in_over"), F.lit(False))
-    sel = [*keys] + [F.when(in_over, F.col(f"_rl_o_{c}")).otherwise(F.col(f"_rl_b_{c}")).alias(c)
+    sel = [F.when(in_over, F.col(f"_rl_o_{k}")).otherwise(F.col(f"_rl_b_{k}")).alias(k) for k in keys] + [F.when(in_over, F.col(f"_rl_o_{c}")).otherwise(F.col(f"_rl_b_{c}")).alias(c)
                      for c in cols]
     if flag:
         sel.append(in_over.alias(flag))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.columns import (
-    HOSTLIST_ITEM_RE, expand_hostlist_item, expand_ranges, int_or_null, nonblank, strip_ws,
+    HOSTLIST_ITEM_RE, HOSTLIST_VALID_RE, RANGE_RE, expand_hostlist_item, expand_ranges, int_or_null, nonblank, strip_ws,
 )
 from runlens.functions.ordering import with_group_position
 
@@ -47,7 +47,8 @@ def expand_slots(df: DataFrame, alloc: str = "alloc_id", line: str = "line",
     host with ``slots <= 0`` vanishes. ``distinct=True`` gives the host set
     of the original (slot counts lost); otherwise ``(alloc, host, slot)``.
     Skipping is done by exploding an empty sequence, not by a filter, so the
-    line is split once per row.
+    line is split once per row; slots are exploded in chunks of at most
+    ``RANGE_CHUNK``, so a line that asks for 2,000,000,000 slots needs no long array.
     """
     fields = df.select(F.col(alloc), F.split(strip_ws(F.col(line)), r"\s+").alias("_rl_f"))
     f = F.col("_rl_f")
@@ -57,8 +58,11 @@ def expand_slots(df: DataFrame, alloc: str = "alloc_id", line: str = "line",
     if distinct:
         return parsed.select(F.col(alloc), F.explode(F.when(ok, F.array("host"))).alias("host")) \
             .dropDuplicates([alloc, "host"])
-    return parsed.select(F.col(alloc), "host",
-                         F.explode(F.when(ok, F.sequence(F.lit(1), F.col("_rl_slots")))).alias("slot"))
+    chunks = parsed.select(F.col(alloc), "host", "_rl_slots", F.explode(F.when(ok, F.sequence(
+        F.lit(1), F.col("_rl_slots"), F.lit(RANGE_CHUNK)))).alias("_rl_c"))
+    c, rest = F.col("_rl_c"), F.col("_rl_slots") - F.col("_rl_c")
+    return chunks.select(F.col(alloc), "host",
+                         F.explode(F.sequence(c, c + F.least(rest, F.lit(RANGE_CHUNK - 1)))).alias("slot"))
 
 
 def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
@@ -73,11 +77,12 @@ def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
     of at most ``RANGE_CHUNK`` numbers. Items with 2..``MAX_STREAMED_GROUPS``
     bracket groups (``rack[1-2]-n[01-03]``, their product) are streamed by one
     explode per group; items with more groups are expanded by an array fold.
-    A reversed or malformed range gives no host.
+    A reversed or malformed range gives no host, an item with a bracket that
+    is not closed or not opened gives none at all.
     """
     items = df.select(F.col(alloc), F.explode(
         F.regexp_extract_all(F.col(expr), F.lit(HOSTLIST_ITEM_RE), 0)).alias("_rl_item"))
-    item = F.trim(F.col("_rl_item"))
+    item = F.when(F.col("_rl_item").rlike(HOSTLIST_VALID_RE), F.trim("_rl_item")).otherwise(F.lit(""))
     n_groups = F.size(F.regexp_extract_all(item, F.lit(r"\["), 0))
     multi = (n_groups >= 2) & (n_groups <= MAX_STREAMED_GROUPS)
     parts = items.select(
@@ -115,9 +120,9 @@ def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
             .otherwise(F.transform(expand_hostlist_item(F.col("_rl_item")), lambda h: F.struct(
                 h.alias("host"), F.lit(None).cast("string").alias("r"))))
         ).alias("_rl_u"))
-    r = F.trim(F.col("_rl_u.r"))
-    lo_txt = F.regexp_extract(r, r"^(\d+)", 1)
-    hi_txt = F.regexp_extract(r, r"^\d+-(\d+)$", 1)
+    r = F.col("_rl_u.r")
+    lo_txt = F.regexp_extract(r, RANGE_RE, 1)
+    hi_txt = F.regexp_extract(r, RANGE_RE, 2)
     bounds = ranges.select(
         F.col(alloc), "_rl_pre", "_rl_suf", F.col("_rl_u.host").alias("_rl_direct"),
         F.col("_rl_u.r").alias("_rl_r"), F.length(lo_txt).alias("_rl_w"),
@@ -191,7 +196,7 @@ def apply_defaults(df: DataFrame, spec: dict[str, tuple[object, str]]) -> DataFr
 
 def assign_ids(df: DataFrame, alloc: str = "alloc_id", host: str = "host",
                id_col: str = "node_id", master_col: str | None = "is_master",
-               skew_safe: bool | str = "auto") -> DataFrame:
+               skew_safe: bool = True) -> DataFrame:
     """Dense ids 0..n-1 per allocation in ascending host order.
 
     The first host is the master. Duplicate hosts get one id. The position is
@@ -199,8 +204,6 @@ def assign_ids(df: DataFrame, alloc: str = "alloc_id", host: str = "host",
     many tasks, not one.
     """
     hosts = df.select(alloc, host).where(F.col(host).isNotNull()).dropDuplicates([alloc, host])
-    if skew_safe == "auto":
-        hosts = hosts.persist()   # the group-size check and the ids read it once
     out = with_group_position(hosts, [alloc], [host], pos_col=id_col, skew_safe=skew_safe)
     if master_col:
         out = out.withColumn(master_col, F.col(id_col) == 0)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.ordering import has_hot_group, join_on_keys, with_group_position
+from runlens.functions.ordering import join_on_keys, with_group_position
 
 
 def _pct_name(q: float) -> str:
@@ -16,69 +16,65 @@ def _pct_name(q: float) -> str:
 
 def run_stats(df: DataFrame, keys: Sequence[str], value: str, scale: int = 5,
               percentiles: Sequence[float] = (0.5, 0.9), approx: bool = False,
-              skew_safe: bool | str = "auto") -> DataFrame:
+              skew_safe: bool = True) -> DataFrame:
     """Per group: ``n, mean, stddev, min, max`` and percentiles.
 
-    * ``mean`` is exact: the sum is taken in integer units of ``10^-scale``
-      and rounded half up once, as ``decimal(18, scale)``.
+    * ``mean`` is exact: a decimal sum in units of ``10^-scale``, divided and
+      rounded once, half away from zero, as ``decimal(18, scale)``.
     * ``stddev`` (sample) is a double; count, sum, min and max are algebraic
       aggregates with a map-side partial step.
     * Percentiles are exact and interpolated (``(n-1)q``, as ``percentile``
-      / ``quantile_cont``). When no group is hot (``skew_safe="auto"`` checks
-      the group sizes first) they are part of the same aggregate (Spark's
-      ``percentile`` holds a group's values). With a hot group (or
-      ``skew_safe=True``) no group is ever held in one task: each value's
-      position and its group's size come from ``with_group_position`` and
-      only the rows at the target positions pass a filter. ``approx=True`` uses
+      / ``quantile_cont``), by one plan at every size: equal values of a group
+      are counted first (with a partial step, so a value that repeats without
+      end costs a row per task), ``with_group_position`` sums the counts over
+      the distinct values in slices that can be cut anywhere, and a filter
+      keeps the at most two values each percentile lies on. ``approx=True`` uses
       ``percentile_approx`` instead (one pass, bounded memory, approximate).
     """
     keys = list(keys)
     v = F.col(value)
-    if skew_safe == "auto" and percentiles and not approx:
-        skew_safe = has_hot_group(df, keys)
-    # No hot group: Spark's exact ``percentile`` may hold a group's values,
-    # so everything is one aggregate.
-    in_one_pass = bool(percentiles) and not approx and not skew_safe
-    units = F.round(v * F.lit(10 ** scale)).cast("long")
-    aggs = [F.count(v).alias("n"), F.sum(units).alias("_rl_su"),
+    units = F.round(v.cast("decimal(38,10)") * F.lit(10 ** scale)).cast("decimal(38,0)")
+    aggs = [F.count(v).alias("n"), F.sum(units).cast("decimal(38,0)").alias("_rl_su"),
             F.stddev_samp(v.cast("double")).alias("stddev"),
             F.min(v).alias("min"), F.max(v).alias("max")]
     if approx and percentiles:
         aggs.append(F.percentile_approx(v.cast("double"), list(percentiles), 10000).alias("_rl_pa"))
-    if in_one_pass:
-        aggs.append(F.percentile(v.cast("double"), list(percentiles)).alias("_rl_pa"))
     stats = df.groupBy(*keys).agg(*aggs)
     unit = "0." + "0" * (scale - 1) + "1" if scale > 0 else "1"
-    mean = F.expr(f"CAST(CAST((2 * _rl_su + n) div (2 * n) AS DECIMAL(38,0)) * {unit} "
-                  f"AS DECIMAL(18,{scale}))")
+    whole = F.expr("(abs(_rl_su) * 2 + n) div (2 * n)")       # |sum| / n, rounded half up
+    mean = (F.signum("_rl_su").cast("decimal(1,0)") * whole.cast("decimal(20,0)") * F.expr(unit)).cast(f"decimal(18,{scale})")
     stats = stats.withColumn("mean", F.when(F.col("n") > 0, mean)).drop("_rl_su")
     if not percentiles:
         return stats
-    if approx or in_one_pass:
+    if approx:
         for i, q in enumerate(percentiles):
             stats = stats.withColumn(_pct_name(q), F.col("_rl_pa").getItem(i))
         return stats.drop("_rl_pa")
 
-    vals = df.select(*keys, v.cast("double").alias("_rl_v")).where(F.col("_rl_v").isNotNull())
-    pos = with_group_position(vals, keys, [F.col("_rl_v")], pos_col="_rl_pos", size_col="_rl_n",
-                              skew_safe=skew_safe)
-    # Each row knows its position and its group's size, so the (at most two)
-    # rows each percentile needs are kept by a filter: no join of all values
-    # against a table of targets, and a hot group ships at most 2 rows per
-    # percentile to the final aggregate.
-    p, n = F.col("_rl_pos"), F.col("_rl_n")
+    counts = df.select(*keys, v.cast("double").alias("_rl_v")).where(F.col("_rl_v").isNotNull()) \
+        .groupBy(*keys, "_rl_v").agg(F.count(F.lit(1)).alias("_rl_c"))
+    pos = with_group_position(counts, keys, [F.col("_rl_v")], pos_col="_rl_pos", size_col="_rl_n",
+                              weight="_rl_c", skew_safe=skew_safe)
+    # A value stands at the positions _rl_pos .. _rl_pos + _rl_c - 1 of its
+    # group, so the (at most two) values each percentile needs are kept by a
+    # filter; a group ships at most 2 rows per percentile to the aggregate.
+    start, end, n = F.col("_rl_pos"), F.col("_rl_pos") + F.col("_rl_c"), F.col("_rl_n")
+
+    def holds(i: Column) -> Column:
+        return (start <= i) & (i < end)
+
     ends = []
     for q in percentiles:
         idx = (n - 1) * F.lit(float(q))
         ends.append((F.floor(idx).cast("long"), F.ceil(idx).cast("long"), idx - F.floor(idx)))
     wanted = F.lit(False)
     for lo, hi, _ in ends:
-        wanted = wanted | (p == lo) | (p == hi)
+        wanted = wanted | holds(lo) | holds(hi)
     picked = pos.where(wanted)
     sel = []
     for i, (lo, hi, fr) in enumerate(ends):
-        sel += [F.max(F.when(p == lo, F.col("_rl_v"))).alias(f"_rl_lv{i}"),
-                F.max(F.when(p == hi, F.col("_rl_v"))).alias(f"_rl_hv{i}"),
+        sel += [F.max(F.when(holds(lo), F.col("_rl_v"))).alias(f"_rl_lv{i}"),
+                F.max(F.when(holds(hi), F.col("_rl_v"))).alias(f"_rl_hv{i}"),
                 F.max(fr).alias(f"_rl_f{i}")]
     pv = picked.groupBy(*keys).agg(*sel)
     for i, q in enumerate(percentiles):

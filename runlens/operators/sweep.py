@@ -31,7 +31,9 @@ def missing_runs(grid: DataFrame, present: DataFrame, keys: Sequence[str]) -> Da
 
     ``present`` is reduced to its distinct keys first: the map-side partial
     aggregate shrinks the shuffle to one row per key and task, and its hash
-    partitioning on the keys is the one the join needs.
+    partitioning on the keys is the one the join needs. A NULL key is a value
+    like any other.
     """
     keys = list(keys)
-    return grid.join(present.select(*keys).dropDuplicates(keys), on=keys, how="left_anti")
+    seen = present.select(*[F.col(k).alias(f"_rl_p_{k}") for k in keys]).dropDuplicates()
+    return grid.join(seen, on=[F.col(k).eqNullSafe(F.col(f"_rl_p_{k}")) for k in keys], how="left_anti")

@@ -21,8 +21,16 @@ SELECT {FW} AS framework,
 FROM events
 """
 
-MEAN5 = ("CAST(CAST((2 * sum(CAST(round(seconds * 100000) AS BIGINT)) + count(*)) // (2 * count(*)) "
-         "AS DECIMAL(38,0)) * CAST('0.00001' AS DECIMAL(6,5)) AS DECIMAL(18,5))")
+# Exact mean in units of 1e-5: quotient and remainder of the integer sum, half away from zero.
+_U = "sum(CAST(seconds * 100000 AS HUGEINT))"
+MEAN5 = (f"CAST(({_U} // count(*) + CASE WHEN 2 * abs({_U} % count(*)) >= count(*) THEN sign({_U}) ELSE 0 END) "
+         "* CAST('0.00001' AS DECIMAL(6,5)) AS DECIMAL(18,5))")
+
+STATS5 = f"""count(*) AS n, {MEAN5} AS mean_s,
+       round(stddev_samp(CAST(seconds AS DOUBLE)), 4) AS sd_s,
+       min(seconds) AS min_s, max(seconds) AS max_s,
+       round(quantile_cont(CAST(seconds AS DOUBLE), 0.5), 4) AS p50_s,
+       round(quantile_cont(CAST(seconds AS DOUBLE), 0.9), 4) AS p90_s"""
 
 HOSTS = """
 SELECT DISTINCT l_orderkey % 50 AS alloc_id, 'node' || l_suppkey AS host
@@ -72,9 +80,9 @@ SELECT job_id,
 FROM b
 """
 
-# Jobs are emitted once the final watermark (latest event minus one hour)
-# has passed start + 3 days; members count only if first seen by then.
-DEADLINE_STREAM = """
+# The stream emits a job once the final watermark (latest event minus one hour) has
+# passed start + 3 days; undecided jobs after that are open. Members count only by the deadline.
+DEADLINE_BATCH = """
 WITH f AS (SELECT user_id, event_type, min(ts) AS first_ts FROM events GROUP BY user_id, event_type),
 s AS (SELECT user_id, min(ts) AS start_ts, min(ts) FILTER (WHERE event_type = 'error') AS fail_ts
       FROM events GROUP BY user_id),
@@ -91,7 +99,13 @@ o AS (SELECT *, CASE WHEN ready_ts IS NOT NULL AND (failed_ts IS NULL OR ready_t
                      WHEN failed_ts IS NOT NULL THEN 'failed' ELSE 'timed_out' END AS outcome FROM v)
 SELECT user_id AS job_id, start_ts, n_members, ready_ts, failed_ts, outcome, outcome = 'ready' AS met
 FROM o
-WHERE (epoch_us(start_ts) + 259200000000) // 1000 <= epoch_ms((SELECT max(ts) FROM events)) - 3600000
+"""
+
+DEADLINE_STREAM = f"""
+SELECT * REPLACE (CASE WHEN outcome = 'timed_out'
+                        AND (epoch_us(start_ts) + 259200000000) // 1000 > epoch_ms((SELECT max(ts) FROM events)) - 3600000
+                  THEN 'open' ELSE outcome END AS outcome)
+FROM ({DEADLINE_BATCH})
 """
 
 ORACLE: dict[str, str] = {
@@ -280,7 +294,7 @@ WITH p AS (
   FROM events),
 v AS (SELECT event_id, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS raw FROM p)
 SELECT event_id,
-       coalesce(CASE WHEN regexp_full_match(raw, '\\s*[+-]?\\d+\\s*') THEN TRY_CAST(trim(raw) AS INTEGER) END, 0) AS k
+       coalesce(CASE WHEN regexp_full_match(raw, '\\s*[+-]?\\d+\\s*') THEN TRY_CAST(trim(raw) AS BIGINT) END, CAST(0 AS BIGINT)) AS k
 FROM v
 """,
     "last_match": f"""
@@ -363,5 +377,55 @@ FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10
 SELECT job_id, start_ts, ready_ts,
        coalesce(epoch_us(ready_ts) - epoch_us(start_ts) <= {3 * 86400 * 1_000_000}, false) AS met
 FROM ({BARRIER}) b
+""",
+    "run_stats_signed": f"""
+WITH t AS (SELECT user_id % 40 AS run_id,
+                  CAST(CASE WHEN event_id % 2 = 0 THEN -CAST(value AS DECIMAL(18,5)) ELSE CAST(value AS DECIMAL(18,5)) END
+                       AS DECIMAL(18,5)) AS seconds FROM events)
+SELECT run_id, {STATS5} FROM t GROUP BY run_id
+""",
+    "run_stats_repeats": f"""
+WITH t AS (SELECT user_id % 7 AS run_id,
+                  CAST(CASE WHEN event_id % 10 <> 0 THEN CAST(-1 AS DECIMAL(18,5)) ELSE CAST(value AS DECIMAL(18,5)) END
+                       AS DECIMAL(18,5)) AS seconds FROM events)
+SELECT run_id, {STATS5} FROM t GROUP BY run_id
+""",
+    "hostlist_groups": """
+WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS m, o_custkey % 90 AS k FROM orders),
+p AS (SELECT o.*, 'r' || (k + a.i) || 'n' || n.t AS host
+      FROM o CROSS JOIN range(0, 2) a(i) CROSS JOIN (VALUES ('08'), ('09'), ('10')) n(t) WHERE m <> 3)
+SELECT DISTINCT alloc_id, host FROM (
+  SELECT o_orderkey AS alloc_id, host FROM p WHERE m = 0
+  UNION ALL SELECT o_orderkey, host || 'c' || c FROM p CROSS JOIN (VALUES ('1'), ('3')) v(c) WHERE m = 1
+  UNION ALL SELECT o_orderkey, host || 'c' || c || 'd' || d || 'x'
+  FROM p CROSS JOIN (VALUES ('1'), ('3')) v(c) CROSS JOIN (VALUES ('0'), ('1')) w(d) WHERE m = 2
+  UNION ALL SELECT o_orderkey, 'n' || x FROM o CROSS JOIN (VALUES ('5'), ('6')) v(x) WHERE m = 2) u
+""",
+    "deadline_batch": DEADLINE_BATCH,
+    "keys_contains": """
+SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'a') OR contains(p_name, 'e')
+""",
+    "class_equals": """
+SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'spark' WHEN 'MACHINERY' THEN 'flink' ELSE 'other' END AS framework
+FROM customer
+""",
+    "last_match_all": f"""
+WITH m AS (
+  SELECT conv_id, arg_max(trim(text, {WS}), turn) FILTER (WHERE role = 'user' OR instr(role || '=' || text, 'user=') > 0) AS v
+  FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id)
+SELECT c.conv_id, coalesce(m.v, 'empty') AS last_user
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON m.conv_id = c.conv_id
+""",
+    "overlay_null_keys": """
+SELECT nullif(s_suppkey, 1) AS cfg_key, CASE WHEN s_suppkey % 5 = 1 THEN s_name || '*' ELSE s_name END AS cfg_value,
+       s_suppkey % 5 = 1 AS from_over
+FROM supplier
+""",
+    "missing_null_keys": """
+WITH e AS (SELECT CASE WHEN user_id % 50 <> 0 THEN user_id END AS user_id, event_type FROM events)
+SELECT user_id FROM e GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'purchase') = 0
+""",
+    "json_large": """
+SELECT o_orderkey, o_orderkey * 3000000000 AS k FROM orders
 """,
 }

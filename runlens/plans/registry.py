@@ -138,10 +138,6 @@ def q_xml_props(spark, sf_dir):
     return src.read_xml_properties(spark, path).select("profile", "name", "value", "description")
 
 
-def q_catalog(spark, sf_dir):
-    return src.read_catalog(spark, sf_dir, glob="*.parquet")
-
-
 def q_kv_split(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     k = F.col("p_partkey") % 7
@@ -458,9 +454,7 @@ def q_phase_durations(spark, sf_dir):
 
 def q_phase_durations_hot(spark, sf_dir):
     """D3 with one run holding a third of all readings (every third event is
-    moved to run 0), on the split position plan: that run is numbered by many
-    tasks. (``auto`` would pick the split plan only once the run outgrows a
-    task, see ``has_hot_group``.)"""
+    moved to run 0): that run is numbered by many tasks."""
     ev = table(spark, sf_dir, "events")
     run = F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("user_id"))
     df = ev.select(run.alias("run_id"), "event_id", F.col("event_type").alias("phase"), "ts")
@@ -473,11 +467,7 @@ def _stats(spark, sf_dir, percentiles=(0.5, 0.9)):
 
 
 def q_trace_stats(spark, sf_dir):
-    s = _stats(spark, sf_dir)
-    return s.select("framework", "phase", "nodes", "n", F.col("mean").alias("mean_s"),
-                    F.round("stddev", 4).alias("sd_s"), F.col("min").alias("min_s"),
-                    F.col("max").alias("max_s"), F.round("p50", 4).alias("p50_s"),
-                    F.round("p90", 4).alias("p90_s"))
+    return _named_stats(_stats(spark, sf_dir), "framework", "phase", "nodes")
 
 
 def q_run_stats_hot(spark, sf_dir):
@@ -487,10 +477,7 @@ def q_run_stats_hot(spark, sf_dir):
     run = F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("user_id"))
     secs = F.format_string("%.5f", F.col("value")).cast("decimal(18,5)")
     df = ev.select(run.alias("run_id"), secs.alias("seconds"))
-    s = op.run_stats(df, ["run_id"], "seconds", scale=5, percentiles=(0.5, 0.9), skew_safe=True)
-    return s.select("run_id", "n", F.col("mean").alias("mean_s"), F.round("stddev", 4).alias("sd_s"),
-                    F.col("min").alias("min_s"), F.col("max").alias("max_s"),
-                    F.round("p50", 4).alias("p50_s"), F.round("p90", 4).alias("p90_s"))
+    return _named_stats(op.run_stats(df, ["run_id"], "seconds"), "run_id")
 
 
 def q_trace_scaling(spark, sf_dir):
@@ -596,6 +583,90 @@ def q_stream_deadline(spark, sf_dir):
         .withColumnRenamed("user_id", "job_id")
 
 
+def _named_stats(s: DataFrame, *keys: str) -> DataFrame:
+    return s.select(*keys, "n", F.col("mean").alias("mean_s"), F.round("stddev", 4).alias("sd_s"),
+                    F.col("min").alias("min_s"), F.col("max").alias("max_s"),
+                    F.round("p50", 4).alias("p50_s"), F.round("p90", 4).alias("p90_s"))
+
+
+def q_run_stats_signed(spark, sf_dir):
+    """D4 with negative readings: every other event counts against its run."""
+    ev = table(spark, sf_dir, "events")
+    secs = F.format_string("%.5f", F.col("value")).cast("decimal(18,5)")
+    df = ev.select((F.col("user_id") % 40).alias("run_id"),
+                   F.when(F.col("event_id") % 2 == 0, -secs).otherwise(secs).cast("decimal(18,5)").alias("seconds"))
+    return _named_stats(op.run_stats(df, ["run_id"], "seconds"), "run_id")
+
+
+def q_run_stats_repeats(spark, sf_dir):
+    """D4 with nine of ten readings equal."""
+    ev = table(spark, sf_dir, "events")
+    secs = F.format_string("%.5f", F.col("value")).cast("decimal(18,5)")
+    df = ev.select((F.col("user_id") % 7).alias("run_id"),
+                   F.when(F.col("event_id") % 10 != 0, F.lit("-1.00000").cast("decimal(18,5)")).otherwise(secs).alias("seconds"))
+    return _named_stats(op.run_stats(df, ["run_id"], "seconds"), "run_id")
+
+
+def q_hostlist_groups(spark, sf_dir):
+    """B3 with items of two, three and four bracket groups, and malformed ones that give no host."""
+    o = table(spark, sf_dir, "orders")
+    k = (F.col("o_custkey") % 90).cast("string")
+    expr = F.concat(F.lit("r["), k, F.lit("-"), (F.col("o_custkey") % 90 + 1).cast("string"), F.lit("]n[08-10]")) 
+    expr = F.when(F.col("o_orderkey") % 4 == 0, expr) \
+        .when(F.col("o_orderkey") % 4 == 1, F.concat(expr, F.lit("c[1,3],bad[1-3"))) \
+        .when(F.col("o_orderkey") % 4 == 2, F.concat(expr, F.lit("c[1, 3]d[0-1]x,n[5- 6]"))) \
+        .otherwise(F.concat(F.lit("a[1-2]b[3,ok"), k))
+    return op.expand_hostlist(o.select(F.col("o_orderkey").alias("alloc_id"), expr.alias("expr")), "alloc_id", "expr")
+
+
+def q_deadline_batch(spark, sf_dir):
+    """The whole wait loop in batch form."""
+    ev = table(spark, sf_dir, "events").withColumn("expected", _expected())
+    return op.barrier_within_deadline(ev, "user_id", "ts", "event_type", "expected", DEADLINE_S, _failed_cond()) \
+        .withColumnRenamed("user_id", "job_id")
+
+
+def q_keys_contains(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return op.filter_keys(part, "p_name", prefixes=["a"], contains=["e"])
+
+
+def q_class_equals(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    rules = [("BUILDING", "spark"), ("MACHINERY", "flink"), ("building", "kafka")]
+    return op.classify(c, "c_mktsegment", rules, "other", out="framework", how="equals").select("c_custkey", "framework")
+
+
+def q_last_match_all(spark, sf_dir):
+    """S4 with keys that have no listing at all."""
+    conv = table(spark, sf_dir, "conversations")
+    lines = conv.where(F.col("conv_id") % 3 != 0).select(
+        "conv_id", "turn", F.concat(F.lit(" "), F.col("role"), F.lit("="), F.col("text")).alias("line"))
+    return op.last_match_value(lines, "conv_id", "turn", "line", "user=", "empty", out="last_user",
+                               keys_df=conv.select("conv_id"))
+
+
+def q_overlay_null_keys(spark, sf_dir):
+    n = table(spark, sf_dir, "supplier")
+    key = F.when(F.col("s_suppkey") != 1, F.col("s_suppkey"))
+    base = n.select(key.alias("cfg_key"), F.col("s_name").alias("cfg_value"))
+    over = n.where(F.col("s_suppkey") % 5 == 1).select(key.alias("cfg_key"), F.concat("s_name", F.lit("*")).alias("cfg_value"))
+    return op.overlay_table(base, over, ["cfg_key"], flag="from_over")
+
+
+def q_missing_null_keys(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    user = F.when(F.col("user_id") % 50 != 0, F.col("user_id"))
+    present = ev.where(F.col("event_type") == "purchase").select(user.alias("user_id"))
+    return op.missing_runs(ev.select(user.alias("user_id")).distinct(), present, ["user_id"])
+
+
+def q_json_large(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    text = F.concat(F.lit('{"k": '), F.col("o_orderkey") * F.lit(3_000_000_000), F.lit("}"))
+    return op.json_int(o.select("o_orderkey", text.alias("j")), "j", "$.k", 0, out="k").select("o_orderkey", "k")
+
+
 QUERIES: dict[str, Query] = {
     "trace_parse": q_trace_parse,
     "trace_files": q_trace_files,
@@ -645,6 +716,15 @@ QUERIES: dict[str, Query] = {
     "stream_outcome": q_stream_outcome,
     "stream_barrier": q_stream_barrier,
     "stream_deadline": q_stream_deadline,
-    "catalog": q_catalog,
+    "run_stats_signed": q_run_stats_signed,
+    "run_stats_repeats": q_run_stats_repeats,
+    "hostlist_groups": q_hostlist_groups,
+    "deadline_batch": q_deadline_batch,
+    "keys_contains": q_keys_contains,
+    "class_equals": q_class_equals,
+    "last_match_all": q_last_match_all,
+    "overlay_null_keys": q_overlay_null_keys,
+    "missing_null_keys": q_missing_null_keys,
+    "json_large": q_json_large,
 }
 

@@ -12,39 +12,8 @@ TRACE = T.StructType([
     T.StructField("file", T.StringType()),
 ])
 
-SECONDS = T.DecimalType(18, 5)
-
-# Raw text line with its origin (host files, traces, configs).
-LINE = T.StructType([
-    T.StructField("file", T.StringType()),
-    T.StructField("line", T.StringType()),
-])
-
-HOST = T.StructType([
-    T.StructField("alloc_id", T.StringType()),
-    T.StructField("host", T.StringType()),
-])
-
-SLOT = T.StructType([
-    T.StructField("alloc_id", T.StringType()),
-    T.StructField("host", T.StringType()),
-    T.StructField("slot", T.IntegerType()),
-])
-
 XML_PROPERTY = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("value", T.StringType()),
     T.StructField("description", T.StringType()),
 ])
-
-JOB_STATE = T.StructType([
-    T.StructField("job_id", T.StringType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("state", T.StringType()),
-])
-
-CATALOG = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("modificationTime", T.TimestampType()),
-    T.StructField("length", T.LongType()),
-])

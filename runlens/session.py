@@ -31,7 +31,7 @@ def get_spark(master: str | None = None, app: str = "runlens",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("RUNLENS_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("RUNLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )

@@ -48,12 +48,6 @@ from runlens.streaming.readiness import _run_append
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-# A job's rows of one micro-batch up to this many are folded by a plain loop
-# (a job usually brings a few events per batch, and per-call pandas overhead
-# would dominate); larger batches (a hot fleet job) take the vectorised path.
-SMALL_BATCH = 512
-
-
 class _Fold:
     """Minima and maxima of one job's rows: first event, first failure, the
     largest ``expected`` and each member's first time (rows without a time
@@ -65,16 +59,8 @@ class _Fold:
         self.firsts: dict[str, int] = {}
 
     def add(self, pdf: pd.DataFrame) -> None:
-        us_s, mem_s, exp_s, fail_s = (pdf.iloc[:, i] for i in (-4, -3, -2, -1))
-        if len(pdf) <= SMALL_BATCH:
-            self._add_rows(us_s.tolist(), mem_s.tolist(), exp_s.tolist(), fail_s.tolist())
-        else:
-            self._add_frame(pd.DataFrame({"us": us_s, "member": mem_s,
-                                          "expected": exp_s, "failed": fail_s}))
-
-    def _add_rows(self, uss, members, exps, fails) -> None:
         firsts = self.firsts
-        for us, member, exp, fail in zip(uss, members, exps, fails):
+        for us, member, exp, fail in zip(*(pdf.iloc[:, i].tolist() for i in (-4, -3, -2, -1))):
             if us is None or us != us:          # NULL arrives as None or NaN
                 continue
             us = int(us)
@@ -92,27 +78,6 @@ class _Fold:
                 if old is None or us < old:
                     firsts[member] = us
 
-    def _add_frame(self, pdf: pd.DataFrame) -> None:
-        pdf = pdf[pdf["us"].notna()]
-        if pdf.empty:
-            return
-        lo = int(pdf["us"].min())
-        self.start = lo if self.start is None else min(self.start, lo)
-        fail = pdf.loc[pdf["failed"].fillna(False).astype(bool), "us"]
-        if not fail.empty:
-            f = int(fail.min())
-            self.failed = f if self.failed is None else min(self.failed, f)
-        exp = pdf["expected"].dropna()
-        if not exp.empty:
-            e = int(exp.max())
-            self.expected = e if self.expected is None else max(self.expected, e)
-        m = pdf[pdf["member"].notna()].groupby("member")["us"].min()
-        for member, us in m.items():
-            us = int(us)
-            old = self.firsts.get(member)
-            if old is None or us < old:
-                self.firsts[member] = us
-
 
 class DeadlineBarrier(StatefulProcessor):
     """Per-job state machine; the last four input columns are
@@ -255,9 +220,34 @@ def stream_deadline_barrier(stream: DataFrame, job: str, ts: str, member: str,
 def stream_deadline_table(spark: SparkSession, stream: DataFrame, job: str, ts: str, member: str,
                           expected: str | int, deadline_s: float, delay: str = "1 hour",
                           retention_s: float | None = None, failed: Column | None = None,
-                          timeout_s: float | None = 900, partitions: int | None = None) -> DataFrame:
-    """Run the deadline barrier to the end of the available input; return its table."""
-    out = _run_append(spark, stream_deadline_barrier(stream, job, ts, member, expected,
-                                                     deadline_s, delay, retention_s, failed),
-                      "deadline", timeout_s, partitions)
-    return spark.read.parquet(out)
+                          timeout_s: float | None = None, partitions: int | None = None) -> DataFrame:
+    """Run the deadline barrier to the end of the available input; return its table.
+
+    Jobs whose deadline the last watermark has not passed have emitted nothing
+    yet. They get a row from the state they left in the checkpoint: ``ready`` or
+    ``failed`` if that is already certain from the events so far, else ``open``.
+    """
+    base = _run_append(spark, stream_deadline_barrier(stream, job, ts, member, expected,
+                                                      deadline_s, delay, retention_s, failed),
+                       "deadline", timeout_s, partitions)
+    done = spark.read.parquet(f"{base}/out")
+    return done.unionByName(open_jobs(spark, f"{base}/checkpoint", done, job, deadline_s))
+
+
+def open_jobs(spark: SparkSession, checkpoint: str, done: DataFrame, job: str, deadline_s: float) -> DataFrame:
+    """Rows, in the columns of ``done``, of the jobs that the stream's state still holds."""
+    state = spark.read.format("statestore").option("stateVarName", "info").load(checkpoint)
+    limit = F.col("value.start_us") + F.lit(int(round(deadline_s * 1_000_000)))
+    s = state.select(F.col("key").getField(state.schema["key"].dataType.names[0]).alias(job), "value.*", limit.alias("limit"))
+    s = s.withColumn("seen", F.sort_array(F.filter("firsts", lambda x: x <= F.col("limit"))))
+    ready = F.when(F.col("expected") > 0, F.get("seen", F.col("expected") - 1))
+    failed = F.when(F.col("failed_us") <= F.col("limit"), F.col("failed_us"))
+    outcome = F.when(ready.isNotNull() & (failed.isNull() | (ready <= failed)), "ready") \
+        .when(failed.isNotNull(), "failed").otherwise("open")
+
+    def time(us: Column, name: str) -> Column:
+        return F.timestamp_micros(us).cast(done.schema[name].dataType).alias(name)
+
+    return s.select(job, time(F.col("start_us"), "start_ts"), F.size("seen").cast("long").alias("n_members"),
+                    time(ready, "ready_ts"), time(failed, "failed_ts"), outcome.alias("outcome"),
+                    (outcome == "ready").alias("met"))

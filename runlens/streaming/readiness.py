@@ -115,7 +115,10 @@ def _run(spark: SparkSession, agg: DataFrame, kind: str, timeout_s: float | None
 
 def _run_append(spark: SparkSession, stream: DataFrame, kind: str, timeout_s: float | None,
                 partitions: int | None = None) -> str:
-    """Run an append-mode stream into a Parquet file sink (exactly once) to the end of input."""
+    """Run an append-mode stream into a Parquet file sink (exactly once) to the end of input.
+
+    Returns the folder that holds ``out`` and ``checkpoint``.
+    """
     base = scratch_path(spark, kind)
     with state_partitions(spark, partitions):
         q = (stream.writeStream.format("parquet").outputMode("append")
@@ -127,12 +130,12 @@ def _run_append(spark: SparkSession, stream: DataFrame, kind: str, timeout_s: fl
         raise TimeoutError(f"stream {kind} did not finish in {timeout_s}s")
     if q.exception():
         raise q.exception()
-    return f"{base}/out"
+    return base
 
 
 def stream_outcome_table(spark: SparkSession, stream: DataFrame, job: str, ts: str,
                          ready: Column | Sequence[Column], failed: Column | None = None,
-                         timeout_s: float | None = 600, partitions: int | None = None) -> DataFrame:
+                         timeout_s: float | None = None, partitions: int | None = None) -> DataFrame:
     """Run streaming E1 to the end of the available input; return its result table."""
     out = _run(spark, stream_first_outcome(stream, job, ts, ready, failed), "outcome", timeout_s,
                partitions)
@@ -140,7 +143,7 @@ def stream_outcome_table(spark: SparkSession, stream: DataFrame, job: str, ts: s
 
 
 def stream_barrier_table(spark: SparkSession, stream: DataFrame, job: str, ts: str, member: str,
-                         expected: str | int, timeout_s: float | None = 600,
+                         expected: str | int, timeout_s: float | None = None,
                          partitions: int | None = None) -> DataFrame:
     """Run streaming first-seen to the end of the input, then the barrier."""
     out = _run(spark, stream_first_seen(stream, job, ts, member, expected), "barrier", timeout_s,

@@ -1,5 +1,4 @@
-"""The deadline processor folds a job's rows by a loop (small batches) or with
-pandas (large batches); both give the same minima, maxima and member table."""
+"""The deadline processor's fold gives the same minima and member table however a job's rows are cut into frames."""
 
 import random
 
@@ -20,25 +19,15 @@ def _frame(rnd: random.Random, n: int) -> pd.DataFrame:
                          "failed": failed})
 
 
-def test_loop_and_frame_fold_agree():
-    rnd = random.Random(11)
-    for _ in range(30):
-        batches = [_frame(rnd, rnd.randint(0, 40)) for _ in range(rnd.randint(1, 4))]
-        loop, frame = deadline._Fold(), deadline._Fold()
-        for b in batches:
-            cols = [b.iloc[:, i] for i in (-4, -3, -2, -1)]
-            loop._add_rows(*[c.tolist() for c in cols])
-            frame._add_frame(pd.DataFrame(dict(zip(["us", "member", "expected", "failed"], cols))))
-        assert (loop.start, loop.expected, loop.failed, loop.firsts) == \
-            (frame.start, frame.expected, frame.failed, frame.firsts)
-
-
-def test_large_batches_take_the_frame_path():
+def test_fold_does_not_depend_on_frames():
     rnd = random.Random(5)
-    big = _frame(rnd, deadline.SMALL_BATCH + 1)
-    small_parts = [big.iloc[i:i + 100] for i in range(0, len(big), 100)]
-    a, b = deadline._Fold(), deadline._Fold()
-    a.add(big)
-    for p in small_parts:
-        b.add(p)
-    assert (a.start, a.expected, a.failed, a.firsts) == (b.start, b.expected, b.failed, b.firsts)
+    for n in (0, 1, 40, 1500):
+        whole = _frame(rnd, n)
+        a, b = deadline._Fold(), deadline._Fold()
+        a.add(whole)
+        for i in range(0, n, 100):
+            b.add(whole.iloc[i:i + 100])
+        assert (a.start, a.expected, a.failed, a.firsts) == (b.start, b.expected, b.failed, b.firsts)
+        seen = whole[whole["us"].notna()]
+        firsts = seen[seen["member"].notna()].groupby("member")["us"].min()
+        assert a.firsts == {m: int(v) for m, v in firsts.items()}

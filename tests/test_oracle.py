@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from runlens import sources as src
 from runlens.plans.registry import QUERIES
 from conftest import SF_ORACLE
 from oracle_compare import compare, duck
@@ -17,7 +18,7 @@ def con():
 
 def test_every_query_has_oracle_or_is_rows_only():
     assert set(QUERIES) <= set(E.queries())
-    assert set(QUERIES) - set(ORACLE) == {"catalog"}
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -28,7 +29,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_catalog_rows(spark):
-    df = E.queries()["catalog"](spark, SF_ORACLE)
+    df = src.read_catalog(spark, SF_ORACLE, glob="*.parquet")
     names = {r.name for r in df.collect()}
     assert {"events.parquet", "orders.parquet", "lineitem.parquet"} <= names
 

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
 from runlens import operators as op
+from runlens.plans.registry import QUERIES
 
 
 def plan(df):
@@ -24,13 +24,13 @@ def test_top_k_per_key_limits_before_shuffle(spark):
 
 
 def test_missing_runs_is_anti_join_without_cartesian(spark):
-    p = plan(E.queries()["sweep_missing"](spark, SF_SMALL))
+    p = plan(QUERIES["sweep_missing"](spark, SF_SMALL))
     assert "LeftAnti" in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
 def test_scan_prunes_columns(spark):
-    p = plan(E.queries()["derived"](spark, SF_SMALL))
+    p = plan(QUERIES["derived"](spark, SF_SMALL))
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in p
 
 
@@ -67,7 +67,7 @@ def test_split_plan_moves_rows_twice_at_most(spark):
 
 def test_fix_table_is_broadcast_only_within_its_bound(spark):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    spark.conf.set("spark.runlens.maxBroadcastFixRows", "4")      # 2 (n - 1) = 14 rows > 4
+    spark.conf.set("spark.runlens.maxBroadcastFixBytes", "64")    # 2 (n - 1) = 14 rows need more
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
@@ -77,32 +77,46 @@ def test_fix_table_is_broadcast_only_within_its_bound(spark):
         ref = op.phase_durations(ev, "user_id", "ts", tiebreak=["event_id"], skew_safe=False)
         assert got == sorted(tuple(r) for r in ref.collect())
     finally:
-        for k in ("spark.runlens.maxBroadcastFixRows", "spark.sql.autoBroadcastJoinThreshold",
+        for k in ("spark.runlens.maxBroadcastFixBytes", "spark.sql.autoBroadcastJoinThreshold",
                   "spark.sql.adaptive.autoBroadcastJoinThreshold"):
             spark.conf.unset(k)
         spark.catalog.clearCache()
     assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
 
 
-def test_auto_splits_only_hot_groups(spark):
-    from runlens.functions import has_hot_group
+def test_no_builder_runs_a_job(spark):
+    """Building a query never measures the data, so its plan cannot depend on the data's size."""
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    assert not has_hot_group(ev, ["user_id"], 8, min_rows=0)       # 150 users, none hot
-    hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
-    assert has_hot_group(hot, ["user_id"], 8, min_rows=0)           # one user holds a third
-    assert not has_hot_group(hot, ["user_id"], 8)                   # ... but fits one task (floor)
-    spark.conf.set("spark.runlens.hotGroupMinRows", "10")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "builders")
     try:
-        assert has_hot_group(hot, ["user_id"], 8)
+        op.phase_durations(ev, "user_id", "ts", tiebreak=["event_id"])
+        op.run_stats(ev, ["user_id"], "value")
+        op.readiness_barrier(ev, "user_id", "ts", "event_type", 5)
+        op.assign_ids(ev.withColumn("host", F.col("event_type")), "user_id", "host")
+        assert list(tracker.getJobIdsForGroup("build")) == []
     finally:
-        spark.conf.unset("spark.runlens.hotGroupMinRows")
-    assert "rangepartitioning(run_id" in plan(E.queries()["phase_durations_hot"](spark, SF_SMALL))
-    assert "rangepartitioning(run_id" not in plan(E.queries()["phase_durations"](spark, SF_SMALL))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - {"stream_outcome", "stream_barrier", "stream_deadline"}))
+def test_repeated_value_is_one_row_per_slice(spark):
+    """Nine of ten readings are equal: the exchange that orders values sees each value of a group once."""
+    df = spark.range(20_000).select((F.col("id") % 1).alias("k"), F.when(F.col("id") % 10 != 0, 5.0).otherwise(F.col("id")).alias("v"))
+    out = op.run_stats(df, ["k"], "v")
+    p = plan(out)
+    assert "rangepartitioning(k" in p and "partial_count(1)" in p
+    r = out.first()
+    assert (r.n, r.p50, r.p90) == (20_000, 5.0, 5.0)
+
+
+def test_placeholders_move_the_texts_once(spark):
+    p = plan(QUERIES["placeholders"](spark, SF_SMALL))
+    assert "ObjectHashAggregate" in p and p.count("SortMergeJoin") + p.count("BroadcastHashJoin") == 2   # one builds the variables
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"stream_outcome", "stream_barrier", "stream_deadline"}))
 def test_no_python_in_plans(spark, name):
-    p = plan(E.queries()[name](spark, SF_SMALL))
+    p = plan(QUERIES[name](spark, SF_SMALL))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"):
         assert node not in p, f"{name} runs Python: {node}"
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
@@ -116,8 +130,8 @@ def test_sweep_grid_is_generated_not_joined(spark):
     _ = F  # noqa
 
 
-@pytest.mark.parametrize("name", sorted(q for q in E.queries() if q.endswith("_hot")))
+@pytest.mark.parametrize("name", sorted(q for q in QUERIES if q.endswith("_hot")))
 def test_hot_queries_take_the_split_plan(spark, name):
-    p = plan(E.queries()[name](spark, SF_SMALL))
+    p = plan(QUERIES[name](spark, SF_SMALL))
     assert "rangepartitioning(" in p and "_rl_seg" in p
     spark.catalog.clearCache()

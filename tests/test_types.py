@@ -1,15 +1,16 @@
 """Column types of every registered query equal those of its DuckDB SQL.
 
 The value comparison canonicalises numbers, so an int/bigint drift (for
-example a schema that depends on the group-size check) would pass it; this
-test does not let it.
+example a schema that depends on the data) would pass it; this test does not
+let it.
 """
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
 from oracle_compare import duck
+from runlens.plans.oracle import ORACLE
+from runlens.plans.registry import QUERIES
 
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "string": "VARCHAR",
                  "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN", "date": "DATE",
@@ -21,10 +22,10 @@ def con():
     return duck(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_types_match_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF_SMALL)
-    rel = con.sql(E.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_SMALL)
+    rel = con.sql(ORACLE[name])
     duck_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
     for col, t in df.dtypes:
         assert SPARK_TO_DUCK.get(t, t.upper()) == duck_types[col], f"{name}.{col}: {t} vs {duck_types[col]}"
