@@ -16,7 +16,7 @@ distance ``d = 1 - J`` is a metric; two points link when ``d <= r`` (``r = 0.25`
    and those that no longer shrink, compare the pairs whose distances to a common pivot differ by at most ``r`` (the window) and
    whose sizes allow a link.
 
-All comparisons are exact set intersections. The frequent shingles come from a sixteenth of the documents and are at most ``FREQUENT``;
+All decisions are exact: a pair is dropped on a bound that can only be too high, and else decided on the whole sets. The frequent shingles come from a sixteenth of the documents and are at most ``FREQUENT``;
 they only change the order, never the result. Regions of frequent shingles are found with partial aggregates and joins that Spark
 can split, all others by one sorted exchange.
 
@@ -40,6 +40,7 @@ SIZE = 5                # words per shingle
 NUM, DEN = 75, 100      # linked: DEN * intersection >= NUM * union
 RADIUS = 1 - NUM / DEN
 FREQUENT = 1 << 18
+CLOSE = 0.5             # bound on the similarity from which a pair is measured on whole sets
 SAMPLE = 16             # one document in so many is looked at for frequent shingles
 SMALL = 64              # points of a region whose pairs are compared without further pivots
 PIVOTS = 8
@@ -194,14 +195,15 @@ def may_link(a, b):
     return (DEN * a >= NUM * b) & (DEN * b >= NUM * a)
 
 
-def sets_of(docs: DataFrame, owners: DataFrame, size: int) -> DataFrame:
-    """``x, data`` (packed sorted hashes) for the points in ``owners`` (x, doc_id)."""
+def sets_of(docs: DataFrame, owners: DataFrame, size: int, sketch: bool) -> DataFrame:
+    """``x, data`` for the points in ``owners`` (x, doc_id): packed sorted hashes, or their highest 16 bits only."""
     schema = pa.schema([("x", pa.int64()), ("data", pa.binary())])
 
     def run(batches):
         for part in slices(batches, PART_BYTES):
             want = part.column("x")
-            out = [(want[row].as_py(), u.tobytes()) for row, u in shingle_sets(part, size) if point(u) == want[row].as_py()]
+            out = [(want[row].as_py(), (u >> U64(48)).astype(np.uint16).tobytes() if sketch else u.tobytes())
+                   for row, u in shingle_sets(part, size) if point(u) == want[row].as_py()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -209,8 +211,26 @@ def sets_of(docs: DataFrame, owners: DataFrame, size: int) -> DataFrame:
                   "jaccard_sets")
 
 
-def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, d`` and ``linked`` for the pairs (a, b): the exact distance of both sets.
+def common_hashes(own: np.ndarray):
+    """Size of the intersection with ``own``, a sorted set of hashes."""
+    def count(u: np.ndarray) -> int:
+        at = np.minimum(np.searchsorted(own, u), len(own) - 1)
+        return int((own[at] == u).sum())
+    return count
+
+
+def common_bits(own: np.ndarray):
+    """At least the size of the intersection: values both have, as often as both have them."""
+    times = np.bincount(own, minlength=1 << 16)
+
+    def count(u: np.ndarray) -> int:
+        value, n = np.unique(u, return_counts=True)
+        return int(np.minimum(times[value], n).sum())
+    return count
+
+
+def paired(pairs: DataFrame, sets: DataFrame, sketch: bool) -> DataFrame:
+    """``a, b, common, total`` of the pairs: the (bound on the) size of the intersection, and the sum of both sizes.
 
     A point with many partners is dealt out in groups of about ``GROUP_ROWS``; its own set goes to each group.
     """
@@ -222,27 +242,25 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = (sets.withColumnRenamed("x", "a").join(few(counts), "a")
             .select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"),
                     F.lit(None).cast("long").alias("b"), "data"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64()), ("linked", pa.bool_())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("total", pa.int64())])
+    kind, common = (np.uint16, common_bits) if sketch else (U64, common_hashes)
 
     def run(batches):
-        own = None
+        count, n = None, 0
         for batch in batches:
             out = []
             a_col, b_col = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             for a, b, data in zip(a_col, b_col, batch.column("data")):
-                u = np.frombuffer(data.as_buffer(), U64)
+                u = np.frombuffer(data.as_buffer(), kind)
                 if b is None:
-                    own = u.copy()
-                    continue
-                at = np.minimum(np.searchsorted(own, u), len(own) - 1)
-                both = int((own[at] == u).sum())
-                union = len(own) + len(u) - both
-                out.append((a, b, 1 - both / union, DEN * both >= NUM * union))
+                    count, n = common(u.copy()), len(u)
+                else:
+                    out.append((a, b, count(u), n + len(u)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return stored(left.unionByName(right).repartition("a", "g").sortWithinPartitions("a", "g", F.asc_nulls_first("b"))
-                  .mapInArrow(run, "a long, b long, d double, linked boolean"), "jaccard_distances")
+                  .mapInArrow(run, "a long, b long, common long, total long"), "jaccard_pairs")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,6 +282,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def apart(near, exact, far):
+    """The triangle window: with these distances to a common pivot (``far`` may be a lower bound) two points cannot link."""
+    return exact & (far - near > RADIUS + 1e-12)
+
+
 def labelled(rows: DataFrame, comps: DataFrame | None, key: str, name: str) -> DataFrame:
     """``rows`` with the component of ``key`` as ``name`` (a point without links is its own)."""
     if comps is None:
@@ -273,17 +296,42 @@ def labelled(rows: DataFrame, comps: DataFrame | None, key: str, name: str) -> D
 
 
 class Join:
-    """State of the recursive join: distances measured so far and the components of their links."""
+    """State of the recursive join: distances measured so far and the components of their links.
+
+    A pair is first compared by 16 bits of each hash, which can only raise the intersection. If even so the similarity stays under
+    ``CLOSE``, the distance's lower bound is kept (``exact`` false); all other pairs are measured on the whole sets.
+    """
 
-    def __init__(self, sets: DataFrame):
-        self.sets, self.known, self.comps = sets, None, None
+    def __init__(self, docs: DataFrame, owners: DataFrame, size: int):
+        self.docs, self.owners, self.size = docs, owners, size
+        self.sketches = sets_of(docs, owners, size, sketch=True)
+        self.known, self.comps = None, None
+
+    def measure(self, pairs: DataFrame) -> DataFrame:
+        """``a, b, d, exact, linked`` of the pairs (a, b)."""
+        rough = paired(pairs, self.sketches, sketch=True)
+        near = F.col("common") >= CLOSE * (F.col("total") - F.col("common"))
+        close = stored(rough.where(near).select("a", "b"), "jaccard_close")
+        union = F.col("total") - F.col("common")
+        d = (1 - F.col("common") / union).alias("d")
+        far = rough.where(~near).select("a", "b", d, F.lit(False).alias("exact"), F.lit(False).alias("linked"))
+        if close.isEmpty():
+            return stored(far, "jaccard_distances")
+        ids = stored(close.select(F.col("a").alias("x")).unionByName(close.select(F.col("b").alias("x"))).distinct(), "jaccard_ids")
+        owners = stored(self.owners.join(few(ids), "x", "left_semi"), "jaccard_owners")
+        whole = paired(close, sets_of(self.docs, owners, self.size, sketch=False), sketch=False)
+        return stored(far.unionByName(whole.select(
+            "a", "b", d, F.lit(True).alias("exact"), (DEN * F.col("common") >= NUM * union).alias("linked"))), "jaccard_distances")
 
     def compare(self, pairs: DataFrame) -> None:
         """Measure the distinct pairs (a, b) not measured yet and renew the components."""
         pairs = pairs.select("a", "b").distinct()
         if self.known is not None:
             pairs = pairs.join(self.known.select("a", "b"), ["a", "b"], "left_anti")
-        got = measure(stored(pairs, "jaccard_pairs"), self.sets)
+        pairs = stored(pairs, "jaccard_pairs")
+        if self.known is not None and pairs.isEmpty():
+            return
+        got = self.measure(pairs)
         self.known = got if self.known is None else self.known.unionByName(got)
         links = self.known.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         self.comps = stored(components(links), "jaccard_components")
@@ -302,10 +350,11 @@ class Join:
             "s", F.col("p.x").alias("p"))
         met = stored(rows.select("s", "x", "size").join(pivots, "s"), "jaccard_met")
         self.compare(met.where("x <> p").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")))
-        d = self.known.select("a", "b", "d")
+        d = self.known.select("a", "b", "d", "exact")
         met = (met.withColumns({"a": F.least("x", "p"), "b": F.greatest("x", "p")}).join(d, ["a", "b"], "left")
+               .withColumn("exact", (F.col("x") == F.col("p")) | F.col("exact"))
                .withColumn("d", F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("d"))))
-        own = met.groupBy("s", "x").agg(F.min("d").alias("own"))
+        own = met.groupBy("s", "x").agg(F.coalesce(F.min(F.when(F.col("exact"), F.col("d"))), F.lit(1.0)).alias("own"))
         return (met.join(own, ["s", "x"]).where(F.col("d") <= F.col("own") + 2 * RADIUS + 1e-12)
                 .select(F.xxhash64("s", "p").alias("s"), "x", "size", "p", "d", F.col("s").alias("parent")))
 
@@ -324,13 +373,14 @@ class Join:
             cells = self.split(rows.where(F.col("n") > SMALL))
             rows = stored(rows.where(F.col("n") <= SMALL).select("s", "x", "size", "p")
                           .unionByName(cells.select("s", "x", "size", "p")), "jaccard_regions")
-        d = self.known.select(F.col("a").alias("x"), F.col("b").alias("p"), "d").unionByName(
-            self.known.select(F.col("b").alias("x"), F.col("a").alias("p"), "d"))
+        d = self.known.select(F.col("a").alias("x"), F.col("b").alias("p"), "d", "exact").unionByName(
+            self.known.select(F.col("b").alias("x"), F.col("a").alias("p"), "d", "exact"))
         near = rows.select("s", "x", "size", "c", "p").join(d, ["x", "p"], "left")
         a, b = near.alias("l"), near.alias("r")
         pairs = a.join(b, (F.col("l.s") == F.col("r.s")) & (F.col("l.x") > F.col("r.x")) & (F.col("l.c") != F.col("r.c"))
                        & may_link(F.col("l.size"), F.col("r.size"))
-                       & F.coalesce(F.abs(F.col("l.d") - F.col("r.d")) <= RADIUS + 1e-12, F.lit(True)))
+                       & ~F.coalesce(apart(F.col("l.d"), F.col("l.exact"), F.col("r.d")), F.lit(False))
+                       & ~F.coalesce(apart(F.col("r.d"), F.col("r.exact"), F.col("l.d")), F.lit(False)))
         self.compare(pairs.select(F.col("r.x").alias("a"), F.col("l.x").alias("b")))
 
 
@@ -341,11 +391,11 @@ def classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     met = stored(rows.where((F.col("x") != F.col("p")) & may_link(F.col("size"), F.col("p_size")))
                  .groupBy("x", "p").agg(F.count("*").alias("k")), "jaccard_met")
     reps = own.where("x is not null and doc_id is not null").groupBy("x").agg(F.min("doc_id").alias("doc_id"))
-    state = Join(sets_of(docs, stored(reps.join(rows.select("x").distinct(), "x", "left_semi"), "jaccard_reps"), size))
+    state = Join(docs, stored(reps.join(rows.select("x").distinct(), "x", "left_semi"), "jaccard_reps"), size)
     state.compare(met.groupBy("x").agg(F.max_by("p", F.struct("k", "p")).alias("p"))
                   .select(F.col("p").alias("a"), F.col("x").alias("b")))
-    apart = labelled(labelled(met, state.comps, "x", "cx"), state.comps, "p", "cp").where("cx <> cp")
-    state.compare(apart.select(F.col("p").alias("a"), F.col("x").alias("b")))
+    open_ = labelled(labelled(met, state.comps, "x", "cx"), state.comps, "p", "cp").where("cx <> cp")
+    state.compare(open_.select(F.col("p").alias("a"), F.col("x").alias("b")))
     state.finish(rows.select("s", "x", "size", "p"))
     return labelled(own, state.comps, "x", "c").select("doc_id", "th", "n", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c"))
 
