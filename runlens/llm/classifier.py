@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm import common
-from runlens.llm.common import U64, by_value, mix64, span_hash, stored, text_buffer, training_row, words
+from runlens.llm.common import U64, by_value, mix64, slices, span_hash, stored, text_buffer, training_row, words
 
 BUCKETS = 1 << 18
-SAMPLE = 4096          # rows per class that the descent and the calibration see
+SAMPLE = 3000          # rows per class that the descent and the calibration see
 MIN_DOCS = 5
 EPOCHS = 8
 COST = 1.0
 KEEP = 0.7
-GROUP = 2_000          # documents whose features are made together
+PART_BYTES = 2 << 20   # text whose features are made together
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[ord("a"):ord("z") + 1] = ord("a")
@@ -94,8 +94,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, buckets: int,
     def run(batches):
         counts = np.zeros((2, buckets), np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, GROUP):
-                part = batch.slice(k, GROUP)
+            for part in slices([batch], PART_BYTES):
                 row, bucket = features(part.column("text"), buckets)
                 label = np.asarray(part.column("label"))
                 for c in (0, 1):
@@ -203,8 +202,7 @@ def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, GROUP):
-                part = batch.slice(k, GROUP)
+            for part in slices([batch], PART_BYTES):
                 row, bucket = features(part.column("text"), buckets)
                 s = m.scores(m.margins(row, bucket, part.num_rows))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s),
