@@ -5,7 +5,7 @@
 * Index: every row goes to the cell (left centroid, right centroid). Cells that hold many rows are dealt out in
   blocks of about ``block`` rows by a hash of the id, so a very common vector does not land in one task.
 * Search: each query walks the centroid pairs in order of their summed squared distance, taken off a heap
-  that grows along both sorted lists, until the cells passed hold ``visit`` of all rows (the cell sizes, at most
+  that grows along both sorted lists, until the cells passed hold ``visit`` of all rows, and ``LEAST`` (the cell sizes, at most
   k * k numbers, are known). Query and blocks meet by cell; each block returns a query's best rows, reranked
   by the exact cosine of the original vectors in double precision, and the best of all blocks are kept.
 
@@ -35,6 +35,7 @@ CENTROIDS = 32
 SAMPLE = 16384
 ROUNDS = 10
 VISIT = 0.5
+LEAST = 1000            # candidates a query sees at least, if there are so many
 BLOCK = 4096
 HITS = "query_id long, vec_id long, score double"
 
@@ -138,7 +139,7 @@ def search(rows: DataFrame, queries: DataFrame, n: int = 5, k: int = CENTROIDS,
     fits = F.size("v") == dim
     index = stored(rows.where(fits).mapInPandas(place, "vec_id long, v array<double>, cell int"), "ann_index")
     count = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()}   # at most k * k rows
-    want = visit * sum(count.values())
+    want = max(visit * sum(count.values()), LEAST)
     n_queries = queries.count()
     q_blocks = max(1, -(-n_queries // block))
     slots = F.create_map(*[F.lit(x) for c, m in sorted(count.items()) if m > block for x in (c, -(-m // block))]

@@ -6,7 +6,8 @@
   sums them. Buckets seen in fewer than ``min_docs`` documents get ``r = 0``.
 * The linear hinge-loss model on ``r``-scaled, length-normalised indicators is fitted by dual coordinate descent on
   a bounded sample: per class the ``sample`` labelled training rows with the smallest seeded hash of the id. A quarter of the
-  sample is left out of the descent and fits the logistic curve that turns margins into scores.
+  sample is left out of the descent and fits the logistic curve that turns margins into scores, weighted to the classes' shares
+  among the labels.
 * Scoring is one pass over all documents with a table of ``buckets`` weights (its size is a parameter).
 
 Texts meet their labels in one exchange on doc_id, at every size (labels grow with the corpus, so they are not broadcast).
@@ -80,8 +81,8 @@ _TRAIN = pa.schema([("bucket", pa.int32()), ("pos", pa.int64()), ("neg", pa.int6
 TRAIN = "bucket int, pos long, neg long, label int, h long, f array<int>"
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int, buckets: int, seed: int) -> DataFrame:
-    """Class counts per bucket of all labelled training documents, and the sample's feature lists."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int, buckets: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """(class counts per bucket of all labelled training documents and the sample's feature lists, labels per class)."""
     known = (labels.where(training_row(4, 2) & F.col("quality").isin(0, 1)).groupBy("doc_id")
              .agg(F.min("quality").cast("int").alias("label"), F.max("quality").alias("other"))
              .where("label = other").drop("other")
@@ -114,7 +115,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, buckets: int,
             [pa.array(at, pa.int32()), pa.array(counts[1][at]), pa.array(counts[0][at]), pa.nulls(m, pa.int32()),
              pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int32()))], schema=_TRAIN)
 
-    return joined.mapInArrow(run, TRAIN)
+    return joined.mapInArrow(run, TRAIN), n
 
 
 def descend(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: float, epochs: int, seed: int) -> np.ndarray:
@@ -168,7 +169,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, min_docs: int = MIN_DOCS,
         cost: float = COST, epochs: int = EPOCHS, seed: int = 10) -> Model:
-    rows = stored(training_rows(docs, labels, sample, buckets, seed), "nbsvm_train")
+    rows, labelled = training_rows(docs, labels, sample, buckets, seed)
+    rows = stored(rows, "nbsvm_train")
     counts = (rows.where("bucket is not null").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
               .toPandas())
     p, q = np.zeros(buckets), np.zeros(buckets)
@@ -189,7 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int =
     check = np.flatnonzero(held) if held.any() else np.arange(len(x))
     row = np.repeat(np.arange(len(check)), [len(x[i]) for i in check])
     m = model.margins(row, np.concatenate([x[i] for i in check]), len(check))
-    model.a, model.b = calibrate(m, y[check], np.ones(len(check)))
+    share = np.array([labelled[c] / n[c] for c in (0, 1)])     # the sample takes classes alike, the labels do not
+    model.a, model.b = calibrate(m, y[check], (share / share.max())[y[check]])
     return model
 
 
