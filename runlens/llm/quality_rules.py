@@ -143,8 +143,14 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, text: str = "t
 
 
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
-    """The documents that pass, with their own columns only."""
-    return apply_rules(docs, rules, text).where("q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that pass, with their own columns only.
+
+    Rejected rows go by exploding an empty array: a filter would be pushed below the measures and repeat them per rule.
+    """
+    judged = apply_rules(docs, rules, text)
+    none = F.array().cast("array<int>")
+    kept = judged.withColumn("q_row", F.explode(F.when(F.col("q_kept"), F.array(F.lit(0))).otherwise(none)))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

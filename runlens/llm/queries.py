@@ -20,4 +20,5 @@ QUERIES = {
 
 ORACLE = {
     "op1_quality_rules": quality_rules.REPORT_SQL,
+    "op8_jaccard": jaccard.JOIN_SQL,
 }

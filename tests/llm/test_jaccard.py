@@ -79,3 +79,12 @@ def test_edges(frame, docs):
     by = {r[0]: r[1:] for r in rows}
     assert by[1] == (0, 1) and by[3] == (0, 3) and by[None][1] is None and by[5][1] == by[6][1] == 5 and by[9] == (7, 9)
     assert J.join(docs.limit(0)).collect() == []
+
+
+def test_sql_against_brute_force(spark, docs, texts):
+    import duckdb
+    from llm.conftest import SF
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = {r[0]: r[1:] for r in con.sql(J.JOIN_SQL).fetchall()}
+    assert got == brute(texts) == {r.doc_id: tuple(r)[1:] for r in J.join(docs).collect()}
