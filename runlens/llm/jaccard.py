@@ -337,42 +337,61 @@ class Join:
         self.comps = stored(components(links), "jaccard_components")
 
     def open_regions(self, rows: DataFrame) -> DataFrame:
-        """The rows of regions that hold more than one component, with component ``c`` and the region's size ``n``."""
+        """The rows of regions that hold more than one component, with component ``c`` and the region's size ``n``.
+
+        Of regions with the same points (near copies share most of their shingles) one is kept.
+        """
         rows = labelled(labelled(rows.select("s", "x", "size", "p"), self.comps, "x", "c"), self.comps, "p", "cp")
         still = stored(rows.where("c <> cp").select("s").distinct(), "jaccard_still")
         rows = stored(rows.join(few(still), "s", "left_semi").drop("cp"), "jaccard_open")
-        return rows.join(rows.groupBy("s").agg(F.count("*").alias("n")), "s")
+        mark = F.sum(F.xxhash64("x").cast("decimal(20,0)")).cast("string")
+        each = rows.groupBy("s").agg(F.count("*").alias("n"), mark.alias("mark"), F.min("p").alias("p"))
+        one = stored(each.groupBy("n", "mark", "p").agg(F.min("s").alias("s")).select("s", "n"), "jaccard_one")
+        return stored(rows.join(few(one), "s"), "jaccard_sized")
+
+    def meet(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Every point of the regions ``rows`` with each of up to ``PIVOTS`` pivots, and their distance; ``turn`` draws other pivots."""
+        drawn = F.xxhash64("x", "s", F.lit(turn))
+        pivots = (rows.groupBy("s", F.pmod(drawn, F.lit(PIVOTS)).alias("slot")).agg(F.min_by("x", F.struct(drawn, "x")).alias("q"))
+                  .select("s", "q"))
+        met = stored(rows.select("s", "x", "size", "c").join(stored(pivots, "jaccard_pivots"), "s"), "jaccard_met")
+        at = labelled(met, self.comps, "q", "cq").where("c <> cq") if turn else met.where("x <> q")
+        self.compare(at.select(F.least("x", "q").alias("a"), F.greatest("x", "q").alias("b")))
+        return met
 
     def split(self, rows: DataFrame) -> DataFrame:
         """Voronoi regions of document pivots for every region in ``rows`` (s, x, size); boundary points are replicated."""
-        slot = F.pmod(F.xxhash64("x", "s"), F.lit(PIVOTS))
-        pivots = rows.groupBy("s", slot.alias("slot")).agg(F.min(F.struct("x", "size")).alias("p")).select(
-            "s", F.col("p.x").alias("p"))
-        met = stored(rows.select("s", "x", "size").join(pivots, "s"), "jaccard_met")
-        self.compare(met.where("x <> p").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")))
+        met = self.meet(rows, 0)
         d = self.known.select("a", "b", "d", "exact")
-        met = (met.withColumns({"a": F.least("x", "p"), "b": F.greatest("x", "p")}).join(d, ["a", "b"], "left")
-               .withColumn("exact", (F.col("x") == F.col("p")) | F.col("exact"))
-               .withColumn("d", F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("d"))))
+        met = (met.withColumns({"a": F.least("x", "q"), "b": F.greatest("x", "q")}).join(d, ["a", "b"], "left")
+               .withColumn("exact", (F.col("x") == F.col("q")) | F.col("exact"))
+               .withColumn("d", F.when(F.col("x") == F.col("q"), 0.0).otherwise(F.col("d"))))
         own = met.groupBy("s", "x").agg(F.coalesce(F.min(F.when(F.col("exact"), F.col("d"))), F.lit(1.0)).alias("own"))
         return (met.join(own, ["s", "x"]).where(F.col("d") <= F.col("own") + 2 * RADIUS + 1e-12)
-                .select(F.xxhash64("s", "p").alias("s"), "x", "size", "p", "d", F.col("s").alias("parent")))
+                .select(F.xxhash64("s", "q").alias("s"), "x", "size", F.col("q").alias("p")))
 
     def finish(self, rows: DataFrame) -> None:
-        """Join the regions ``rows`` (s, x, size, p) exactly."""
-        last = None
+        """Join the regions ``rows`` (s, x, size, p) exactly.
+
+        Large regions first meet a few drawn pivots, turn by turn, while that still joins components; only what stays apart is
+        split into Voronoi regions, and only regions that are small or no longer shrink compare their remaining pairs.
+        """
+        turn, last, split = 0, None, False
         while True:
-            rows = stored(self.open_regions(rows), "jaccard_sized")
-            sizes = rows.groupBy("s").agg(F.first("n").alias("n"))
-            n = sizes.agg(F.count("*").alias("all"), F.count_if(F.col("n") > SMALL).alias("large"), F.max("n").alias("top")).first()
+            rows = self.open_regions(rows)
+            n = (rows.groupBy("s").agg(F.first("n").alias("n"), F.count_distinct("c").alias("k"))
+                 .agg(F.count("*").alias("all"), F.count_if(F.col("n") > SMALL).alias("large"), F.sum("k").alias("apart")).first())
             if not n["all"]:
                 return
-            if not n.large or (last is not None and n.top > 0.9 * last):
+            if not n.large or split:
                 break
-            last = n.top
-            cells = self.split(rows.where(F.col("n") > SMALL))
-            rows = stored(rows.where(F.col("n") <= SMALL).select("s", "x", "size", "p")
-                          .unionByName(cells.select("s", "x", "size", "p")), "jaccard_regions")
+            large, small = rows.where(F.col("n") > SMALL), rows.where(F.col("n") <= SMALL)
+            if last is None or n.apart <= 0.7 * last:
+                turn, last = turn + 1, n.apart
+                self.meet(large, turn)
+            else:
+                split = True
+                rows = stored(small.select("s", "x", "size", "p").unionByName(self.split(large)), "jaccard_regions")
         d = self.known.select(F.col("a").alias("x"), F.col("b").alias("p"), "d", "exact").unionByName(
             self.known.select(F.col("b").alias("x"), F.col("a").alias("p"), "d", "exact"))
         near = rows.select("s", "x", "size", "c", "p").join(d, ["x", "p"], "left")
