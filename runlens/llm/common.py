@@ -23,7 +23,7 @@ WORD = "[^ \\t-\\r]+"
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
-_PIECE = 1 << 22
+_PIECE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
