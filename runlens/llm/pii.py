@@ -3,11 +3,12 @@
 1. Seeds: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers found by patterns. Spans are places in code points. A
    text is split by a pattern once and its matches are read off once; places follow from the lengths.
 2. Candidates: other words that look like identifiers (at least ``MIN_DIGITS`` digits).
-3. Patterns: the one and the two words before an entity. A pattern-instance graph (weighted by distinct instances) is scored in rounds:
+3. Patterns: the one and the two words before an entity, read whole; inside a word ('tel:0800-12345') its part before the entity is the
+   last of them. They are told apart by 64-bit hashes. A pattern-instance graph (weighted by distinct instances) is scored in rounds:
    a pattern's score is the mean score of its instances (smoothed), an instance that is no seed gets the
    chance that not all of its patterns are wrong. Seeds keep the score 1.
-4. Patterns are trusted with ``MIN_SEEDS`` distinct seeds, a score of ``TRUST``, and if at least ``PRECISE`` of all places of
-   their words in the corpus are followed by an entity; so ordinary words never become patterns, however many entities follow
+4. Patterns are trusted with ``MIN_SEEDS`` distinct seeds, a score of ``TRUST``, and if at least ``PRECISE`` of all places that
+   their words stand before in the corpus, after a word or inside one (``PLACE``), are followed by an entity; so ordinary words never become patterns, however many entities follow
    them. Candidates after a trusted pattern with an instance score of ``TRUST`` are added, as the kind most of its seeds have.
 
 Every step is a projection, a partial aggregate or a join on a pattern, an instance or a document, so common words and entities are
@@ -39,7 +40,10 @@ ROUNDS = 3
 MIN_SEEDS = 5
 TRUST = 0.8
 PRECISE = 0.5
-CONTEXT = 80            # characters before an entity that its two words are read from
+CONTEXT = 80            # characters before an entity that are read first; if its two words are longer, all are read
+# Places inside a word: before a digit, a letter after no letter or digit, a plus sign with a digit, and signs that begin an identifier.
+PLACE = (r"(?<![0-9 \t-\r])(?=[0-9])|(?<![A-Za-z0-9 \t-\r])(?=[A-Za-z])|(?=\+[0-9])|"
+         r"(?<![A-Za-z0-9._%+#@/ \t-\r-])(?=[._%+#-]+[A-Za-z0-9])")
 
 FOUND = "array<struct<s:int,e:int,t:string>>"
 
@@ -93,11 +97,27 @@ def listed(spans: Column) -> Column:
 
 
 def contexts(text: Column, at: Column) -> Column:
-    """The patterns of a place: the word before it, and the two words before it (lower case)."""
-    before = F.substring(text, F.greatest(at - CONTEXT, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT)))
-    one = F.regexp_extract(F.lower(before), f"({WORD})[ \\t-\\r]*$", 1)
-    two = F.regexp_extract(F.lower(before), f"({WORD}[ \\t-\\r]+{WORD})[ \\t-\\r]*$", 1)
-    return F.filter(F.array(one, F.regexp_replace(two, "[ \\t-\\r]+", " ")), lambda p: p != "")
+    """The patterns of a place, as (hash, length of the last word): the word before it (the part of its own word before it, if there is
+    one), and the two words before it, in lower case."""
+    gap, word = "[ \\t-\\r]", "[^ \\t-\\r]"
+
+    def read(back: Column) -> Column:
+        one, two = (F.reverse(F.regexp_extract(back, f"^{gap}*+({word}++)(?:{gap}++({word}++))?", k)) for k in (1, 2))
+        return F.struct(one.alias("one"), two.alias("two"))
+
+    def patterns(w: Column) -> Column:
+        made = F.array(F.when(w["one"] != "", pattern(w["one"])), F.when(w["two"] != "", pattern(w["one"], w["two"])))
+        return F.transform(F.filter(made, lambda p: p.isNotNull()), lambda p: F.struct(
+            p.alias("p"), F.length(w["one"]).alias("size")))
+
+    near = F.reverse(F.substring(text, F.greatest(at - CONTEXT, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT))))
+    whole = near.rlike(f"^{gap}*+{word}++{gap}++{word}++{gap}") | (at <= CONTEXT)
+    return let(F.when(whole, near).otherwise(F.reverse(F.substring(text, F.lit(1), at))), lambda back: let(read(back), patterns))
+
+
+def pattern(one: Column, two: Column | None = None) -> Column:
+    """Hash of the last word, or of the last two."""
+    return F.xxhash64(F.lower(one) if two is None else F.concat(F.lower(two), F.lit(" "), F.lower(one)))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -112,7 +132,15 @@ def occurrences(docs: DataFrame) -> DataFrame:
                      F.transform(free, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["t"].alias("t"),
                                                           F.lit(None).cast("string").alias("kind"))))
     return (found.select("doc_id", "th", "text", F.explode(every).alias("o"))
-            .select("doc_id", "th", "o.*", F.explode(contexts(text, F.col("o.s"))).alias("pattern")))
+            .select("doc_id", "th", "o.*", inside(text, F.col("o.s")).alias("inside"),
+                    F.explode(contexts(text, F.col("o.s"))).alias("c"))
+            .select("doc_id", "th", "s", "e", "t", "kind", "inside", F.col("c.p").alias("pattern"), F.col("c.size").alias("size")))
+
+
+def inside(text: Column, at: Column) -> Column:
+    """Whether a place is inside a word where ``PLACE`` has none (a seed that begins right after another, for instance)."""
+    last = F.substring(text, F.greatest(at, F.lit(1)), F.lit(1))
+    return (at > 0) & ~last.rlike("[ \\t-\\r]") & ~F.substring(text, at, F.lit(CONTEXT)).rlike(rf"^(?s:.)(?:{PLACE})")
 
 
 def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -130,23 +158,47 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
     return patterns.join(by_kind, "pattern"), instances
 
 
+def prefixes(word: Column, longest: int) -> Column:
+    """The parts of a word before its places, up to ``longest`` characters, and the word."""
+    def step(acc: Column, piece: Column) -> Column:
+        end = acc["pos"] + F.length(piece)
+        fits = (end <= longest) & (end < F.length(word))
+        return F.struct(end.alias("pos"), F.when(fits, F.concat(acc["out"], F.array(F.substring(word, F.lit(1), end))))
+                        .otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+    parts = F.aggregate(F.split(word, PLACE, -1), start, step)["out"]
+    return F.when(word.rlike("[^A-Za-z]"), F.concat(parts, F.array(word))).otherwise(F.array(word))
+
+
 def word_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``pattern, places``: how often the patterns' words stand in the corpus."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
-    pairs = let(words, lambda w: F.concat(w, F.transform(w, lambda x, i: F.concat_ws(" ", F.get(w, i - 1), x))))
-    return (docs.select(F.explode(pairs).alias("pattern")).join(few(patterns), "pattern", "left_semi")
+    """``pattern, places``: how many places the patterns (with their ``size``) stand before in the corpus, after a word or inside one."""
+    longest = patterns.agg(F.max("size")).first()[0] or 0     # longer parts of words are no pattern of these
+    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+
+    def of_word(w: Column, x: Column, i: Column) -> Column:
+        ends = prefixes(x, longest)
+        return F.when(i == 0, F.transform(ends, pattern)).otherwise(let(F.get(w, i - 1), lambda y: F.flatten(
+            F.transform(ends, lambda z: F.array(pattern(z), pattern(z, y))))))
+
+    places = let(words, lambda w: F.flatten(F.transform(w, lambda x, i: of_word(w, x, i))))
+    return (docs.select(F.explode(places).alias("pattern")).join(few(patterns.select("pattern")), "pattern", "left_semi")
             .groupBy("pattern").agg(F.count("*").alias("places")))
 
 
 def added_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, th, s, e, kind`` of the identifiers that trusted patterns discover."""
     occ = stored(occurrences(docs), "pii_occurrences")
-    edges = stored(occ.groupBy("pattern", "t").agg(F.max("kind").alias("kind"), F.count("*").alias("n")), "pii_edges")
+    edges = stored(occ.groupBy("pattern", "t").agg(F.max("kind").alias("kind"), F.count("*").alias("n"),
+                                                F.sum(F.col("inside").cast("long")).alias("inside"), F.max("size").alias("size")), "pii_edges")
     patterns, instances = score_graph(edges, rounds)
-    likely = stored(patterns.where((F.col("seeds") >= MIN_SEEDS) & (F.col("score") >= TRUST)).select("pattern", "kind"), "pii_likely")
-    placed = word_counts(docs, likely.select("pattern"))
-    followed = edges.where("kind is not null").groupBy("pattern").agg(F.sum("n").alias("followed"))
-    trusted = (likely.join(placed, "pattern").join(followed, "pattern").where(F.col("followed") >= PRECISE * F.col("places"))
+    sizes = edges.groupBy("pattern").agg(F.max("size").alias("size"), F.sum("inside").alias("inside"),
+                                         F.sum(F.when(F.col("kind").isNotNull(), F.col("n"))).alias("followed"))
+    likely = stored(patterns.where((F.col("seeds") >= MIN_SEEDS) & (F.col("score") >= TRUST)).select("pattern", "kind")
+                    .join(sizes, "pattern"), "pii_likely")
+    placed = word_counts(docs, likely.select("pattern", "size"))
+    trusted = (likely.join(placed, "pattern", "left")
+               .where(F.col("followed") >= PRECISE * (F.coalesce("places", F.lit(0)) + F.col("inside")))
                .select("pattern", F.col("kind").alias("as_kind")))
     return (occ.where("kind is null").join(trusted, "pattern").join(instances.where(F.col("score") >= TRUST), "t")
             .groupBy("doc_id", "th", "s", "e").agg(F.min("as_kind").alias("kind")))

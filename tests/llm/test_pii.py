@@ -67,6 +67,36 @@ def test_common_words_are_no_patterns(frame):
     assert got[100] == ""
 
 
+def found(frame, rows):
+    return {r.doc_id: r.spans for r in P.report(frame(rows)).collect()}
+
+
+def test_patterns_that_touch_their_identifier(frame):
+    for k, mark in enumerate(["tel:", "id=", '"', "(", '{"phone":"']):
+        rows = [(i, f"foo{i} bar {mark}+49 30 {1000000 + i * 7919} x{i}") for i in range(40)]
+        at = 6 + len(mark)
+        assert found(frame, rows + [(100, f"other {mark}0800-12345 now")])[100] == f"phone:{at}:{at + 10}", mark
+
+
+def test_places_inside_words_count_for_the_share(frame):
+    rows = [(i, f"foo{i} bar tel:+49 30 {1000000 + i * 7919} x{i}") for i in range(40)]
+    rows += [(200 + i, f"see{i} tel:none{chr(97 + i % 26)}") for i in range(60)]
+    assert found(frame, rows + [(100, "other tel:0800-12345 now"), (101, "one tel: b")])[100] == ""
+
+
+def test_long_words_are_read_whole(frame):
+    long = "w" * 100
+    rows = [(i, f"{long} {long}: +49 30 {1000000 + i * 7919} x") for i in range(40)]
+    got = found(frame, rows + [(100, f"{long} {long}: 0800-12345 now"), (101, "www " + "w" * 79 + ": 0800-12345 now")])
+    assert got[100] == "phone:203:213" and got[101] == ""
+
+
+def test_first_words_are_counted_once(frame):
+    rows = [(i, f"ring: +49 30 {1000000 + i * 7919} x") for i in range(40)]
+    rows += [(200 + i, f"ring: me{chr(97 + i % 26)}") for i in range(30)]
+    assert found(frame, rows + [(100, "ring: 0800-12345 now")])[100] == "phone:6:16"
+
+
 def test_redact_keeps_other_columns(frame):
     rows = CALLS + [(100, "please ring hotline: 0800-12345 now"), (None, "mail a@b.cd x"), (7, None), (8, "clean é")]
     df = frame(rows)
