@@ -2,9 +2,10 @@
 
 1. Every page is parsed into elements and text blocks. A block of a paragraph's length scores for the container it lies in, links count
    against it. The page's best containers are named by their generalised path (tags and classes from the body down, digits folded).
-2. Spark sums the votes per host and path; the ``PATHS`` paths most pages vote for are the host's consensus, in order.
-3. Every page is parsed again: its text is that of the containers on the first consensus path that it has text under. A page of a
-   host without votes, or without any of the paths, uses its own best container, and without one all blocks.
+2. Spark sums the votes per host and path: every path that at least ``PAGES`` pages of the host vote for first is in the host's
+   consensus, and the paths a page has text under are joined to it by host and path. The one most pages vote for is the page's.
+3. Every page is parsed again: its text is that of the containers on its path. A page without any of the paths uses its own best
+   container, and without one all blocks.
 
 Menus, headers and footers of the page, side bars, notices, adverts, forms, scripts, styles, comments and hidden parts are left out by tag, role and
 class or id words, inside the winning container too (a header or footer element inside an article belongs to it unless its
@@ -23,14 +24,13 @@ import sys
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm import common
 from runlens.llm.common import by_value, few, slices, stored
 
-PATHS = 5               # consensus paths kept per host
-VOTES = 3               # containers a page votes for
+PAGES = 1               # pages of a host that vote for a path first, from which it is in the consensus
 PROSE = 25              # characters from which a block counts as prose
 PART_BYTES = 8 << 20
 
@@ -215,22 +215,32 @@ class Page:
         return "\n".join(t for e, t, _ in self.blocks if inside[e])
 
 
-def extract(source: str, paths: list[str]) -> str:
+def extract(source: str, path: str | None) -> str:
     page = Page(source)
     if not page.blocks:
         return ""
-    if paths:
-        by_path = defaultdict(set)
-        for e in {a for b, _, _ in page.blocks for a in _ancestors(page, b)}:
-            if page.tag[e] in CONTAINER:
-                by_path[page.path(e)].add(e)
-        for p in paths:
-            if p in by_path:
-                return page.text_under(by_path[p])
+    if path is not None:
+        roots = present(page).get(path)
+        if roots:
+            return page.text_under(roots)
     top = page.best()
     return page.text_under({top[0][0]} if top else None)
 
 
+def present(page: Page) -> dict[str, set[int]]:
+    """The containers that hold text, by path."""
+    by_path = defaultdict(set)
+    seen = set()
+    for b, _, _ in page.blocks:
+        for e in _ancestors(page, b):
+            if e in seen:
+                break
+            seen.add(e)
+            if page.tag[e] in CONTAINER:
+                by_path[page.path(e)].add(e)
+    return by_path
+
+
 def _ancestors(page: Page, e: int):
     while e > 0:
         yield e
@@ -243,29 +253,37 @@ def host(url: str | Column = "url") -> Column:
     return F.coalesce(F.lower(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def consensus(pages: DataFrame) -> DataFrame:
-    """``host, paths``: the paths that most pages of a host vote for."""
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("first", pa.int64()), ("score", pa.float64())])
+def page_paths(pages: DataFrame) -> DataFrame:
+    """``host, page, path, first, score``: the paths a page (hash of its source) has text under, whether its best container is there, and
+    the score of its containers there."""
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("first", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
         for part in slices(batches, PART_BYTES, "html"):
-            votes = defaultdict(lambda: [0, 0.0])
-            for h, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
+            rows = []
+            for h, k, source in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html"))):
                 page = Page(source)
-                for k, (e, s) in enumerate(page.best()[:VOTES]):
-                    v = votes[h, page.path(e)]
-                    v[0] += k == 0
-                    v[1] += s
-            cols = [(h, p, n, s) for (h, p), (n, s) in votes.items()]
-            if cols:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*cols), schema)], schema=schema)
-
-    votes = (pages.where("html is not null").select("host", "html")
-             .mapInArrow(run, "host string, path string, first long, score double")
-             .groupBy("host", "path").agg(F.sum("first").alias("first"), F.round(F.sum("score"), 3).alias("score")))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("first"), F.desc("score"), "path"))
-    return (votes.withColumn("rank", rank).where(F.col("rank") <= PATHS).groupBy("host")
-            .agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("p")).select("host", F.col("p.path").alias("paths")))
+                scores, top = page.scores(), page.best()[:1]
+                for p, roots in present(page).items():
+                    rows.append((h, k, p, int(bool(top) and top[0][0] in roots), sum(scores.get(e, 0.0) for e in roots)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return (pages.where("html is not null").select("host", F.xxhash64("html").alias("page"), "html")
+            .mapInArrow(run, "host string, page long, path string, first long, score double"))
+
+
+def consensus(paths: DataFrame) -> DataFrame:
+    """``host, path, first, score``: the paths that pages of a host vote for first."""
+    return (paths.groupBy("host", "path").agg(F.sum("first").alias("first"), F.round(F.sum("score"), 3).alias("score"))
+            .where(F.col("first") >= PAGES))
+
+
+def chosen(paths: DataFrame) -> DataFrame:
+    """``host, page, path``: of the consensus paths a page has text under, the one most pages vote for."""
+    votes = few(stored(consensus(paths), "html_votes"))
+    return (paths.select("host", "page", "path").join(votes, ["host", "path"]).groupBy("host", "page")
+            .agg(F.min_by("path", F.struct(-F.col("first"), -F.col("score"), "path")).alias("path")))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -275,11 +293,12 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for part in slices(batches, PART_BYTES, "html"):
-            text = [extract(s or "", p or []) for s, p in zip(part.column("html").to_pylist(), part.column("paths").to_pylist())]
+            text = [extract(s or "", p) for s, p in zip(part.column("html").to_pylist(), part.column("path").to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string())], schema=schema)
 
-    joined = pages.join(few(stored(consensus(pages), "html_paths")), "host", "left")
-    return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "paths").mapInArrow(
+    best = few(stored(chosen(stored(page_paths(pages), "html_page_paths")), "html_chosen"))
+    joined = pages.withColumn("page", F.xxhash64("html")).join(best, ["host", "page"], "left")
+    return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "path").mapInArrow(
         run, "page_id long, url string, text string")
 
 

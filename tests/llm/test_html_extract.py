@@ -42,6 +42,19 @@ def test_consensus_helps_a_short_page(spark):
     assert got[9] == "Short\nTiny."
 
 
+def test_every_layout_of_a_host_counts(spark):
+    prose = "This is the main text of a page, and it is long enough to be read as prose by anybody. "
+    block = "A long block of something else that is not in the place where this host keeps its articles. " * 4
+    rows = [(10 * k + n, f"http://b.example/{k}/{n}", f'<body><div class="lay{chr(97 + k)}"><p>{prose}{k} {n}</p></div>')
+            for k in range(9) for n in range(12 - k)]
+    short = [(1000 + k, f"http://b.example/s{k}", f'<body><div class="lay{chr(97 + k)}"><p>Tiny.</div><div class="box"><p>{block}</div>')
+             for k in range(9)]
+    got = {r.page_id: r.text for r in H.report(spark.createDataFrame(rows + short[8:], PAGES)).collect()}
+    assert got[1008] == "Tiny."
+    got = {r.page_id: r.text for r in H.report(spark.createDataFrame(rows + short[6:7], PAGES)).collect()}
+    assert got[1006] == "Tiny." and got[83] == f"{prose}8 3"
+
+
 def test_edges(spark):
     rows = [(1, None, None), (2, "", ""), (3, "no url", "just text &amp; more"), (4, "http://h/", "<"), (5, "http://h/", '<a href="x'),
             (6, "http://h/", "<!-- open"), (7, "http://h/", "<p>" * 2000 + "x"), (8, "http://h/", "</p></div>"), (None, "http://h/", "<b>a<i>b"),
