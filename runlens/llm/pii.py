@@ -2,14 +2,18 @@
 
 1. Seeds: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers found by patterns. Spans are places in code points. A
    text is split by a pattern once and its matches are read off once; places follow from the lengths.
-2. Candidates: other words that look like identifiers (at least ``MIN_DIGITS`` digits).
+2. Candidates: other words that look like identifiers (at least ``MIN_DIGITS`` digits); after a trusted pattern any token (``TOKEN``).
 3. Patterns: the one and the two words before an entity, read whole; inside a word ('tel:0800-12345') its part before the entity is the
    last of them. They are told apart by 64-bit hashes. A pattern-instance graph (weighted by distinct instances) is scored in rounds:
    a pattern's score is the mean score of its instances (smoothed), an instance that is no seed gets the
    chance that not all of its patterns are wrong. Seeds keep the score 1.
-4. Patterns are trusted with ``MIN_SEEDS`` distinct seeds, a score of ``TRUST``, and if at least ``PRECISE`` of all places that
-   their words stand before in the corpus, after a word or inside one (``PLACE``), are followed by an entity; so ordinary words never become patterns, however many entities follow
-   them. Candidates after a trusted pattern with an instance score of ``TRUST`` are added, as the kind most of its seeds have.
+4. Patterns are trusted with ``MIN_SEEDS`` distinct entities, a score of ``TRUST``, and if at least ``PRECISE`` of all places that
+   their words stand before in the corpus, after a word or inside one (``PLACE``), are followed by an entity: a seed, or an instance
+   of score ``TRUST``. Patterns of fewer identifier-shaped places pass on no score, so ordinary words never become patterns.
+   Candidates after a trusted pattern with an instance score of ``TRUST`` are added, as the kind most of its entities have. Other
+   tokens there are added if the shares of their trusted patterns give a chance of ``TRUST`` that not all are wrong, and at least
+   ``PRECISE`` of the token's own places follow trusted patterns. What is added counts as an entity, wherever it stands, in the next of
+   ``ROUNDS`` rounds; rounds end when nothing is added.
 
 Every step is a projection, a partial aggregate or a join on a pattern, an instance or a document, so common words and entities are
 combined before they are moved.
@@ -42,8 +46,11 @@ TRUST = 0.8
 PRECISE = 0.5
 CONTEXT = 80            # characters before an entity that are read first; if its two words are longer, all are read
 # Places inside a word: before a digit, a letter after no letter or digit, a plus sign with a digit, and signs that begin an identifier.
-PLACE = (r"(?<![0-9 \t-\r])(?=[0-9])|(?<![A-Za-z0-9 \t-\r])(?=[A-Za-z])|(?=\+[0-9])|"
-         r"(?<![A-Za-z0-9._%+#@/ \t-\r-])(?=[._%+#-]+[A-Za-z0-9])")
+PLACE = (r"(?<![0-9 \t-\r])(?=[0-9])|(?<![\p{L}\p{M}0-9 \t-\r])(?=\p{L})|(?=\+[0-9])|"
+         r"(?<![\p{L}\p{M}0-9._%+#@/ \t-\r-])(?=[._%+#-]+[A-Za-z0-9])")
+MAY_HOLD = r"[^\p{L}\p{M}][^ \t-\r]|.[0-9]"         # words without this have no place inside
+# What may be an identifier after a trusted pattern, whatever its characters: to a bracket, quote or separator, and to a last letter or digit.
+TOKEN = r"""^[\p{L}0-9_+#.@-][^ \t-\r"'<>\[\]{},;|=&]*(?<=[\p{L}\p{N}_])"""
 
 FOUND = "array<struct<s:int,e:int,t:string>>"
 
@@ -168,40 +175,138 @@ def prefixes(word: Column, longest: int) -> Column:
 
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
     parts = F.aggregate(F.split(word, PLACE, -1), start, step)["out"]
-    return F.when(word.rlike("[^A-Za-z]"), F.concat(parts, F.array(word))).otherwise(F.array(word))
+    return F.when(word.rlike(MAY_HOLD), F.concat(parts, F.array(word))).otherwise(F.array(word))
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
 
 
 def word_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``pattern, places``: how many places the patterns (with their ``size``) stand before in the corpus, after a word or inside one."""
+    """``th, pattern, places``: how many places the patterns (with their ``size``) stand before in the texts, after a word or inside one."""
     longest = patterns.agg(F.max("size")).first()[0] or 0     # longer parts of words are no pattern of these
-    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(f"({WORD})"), F.lit(1))
 
     def of_word(w: Column, x: Column, i: Column) -> Column:
         ends = prefixes(x, longest)
-        return F.when(i == 0, F.transform(ends, pattern)).otherwise(let(F.get(w, i - 1), lambda y: F.flatten(
+        return F.when(i == 0, F.transform(ends, lambda z: pattern(z))).otherwise(let(F.get(w, i - 1), lambda y: F.flatten(
             F.transform(ends, lambda z: F.array(pattern(z), pattern(z, y))))))
 
-    places = let(words, lambda w: F.flatten(F.transform(w, lambda x, i: of_word(w, x, i))))
-    return (docs.select(F.explode(places).alias("pattern")).join(few(patterns.select("pattern")), "pattern", "left_semi")
-            .groupBy("pattern").agg(F.count("*").alias("places")))
+    places = let(words_of(F.col("text")), lambda w: F.flatten(F.transform(w, lambda x, i: of_word(w, x, i))))
+    return (docs.select(F.xxhash64("text").alias("th"), F.explode(places).alias("pattern"))
+            .join(few(patterns.select("pattern")), "pattern", "left_semi")
+            .groupBy("th", "pattern").agg(F.count("*").alias("places")))
+
+
+def offsets(word: Column) -> Column:
+    """0 and the places inside a word."""
+    start = F.struct(F.lit(0).alias("pos"), F.array(F.lit(0)).alias("out"))
+    ends = F.aggregate(F.split(word, PLACE, -1), start, lambda acc, x: F.struct(
+        (acc["pos"] + F.length(x)).alias("pos"), F.concat(acc["out"], F.array(acc["pos"] + F.length(x))).alias("out")))["out"]
+    return F.when(word.rlike(MAY_HOLD), F.filter(F.array_distinct(ends), lambda k: k < F.length(word))).otherwise(F.array(F.lit(0)))
+
+
+def token(word: Column, at: Column) -> Column:
+    return F.regexp_extract(F.substring(word, at + 1, F.length(word)), TOKEN, 0)
+
+
+def token_counts(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``th, key, n``: how often the tokens (``key``: hash) stand at a place of the texts."""
+    keys = F.flatten(F.transform(words_of(F.col("text")), lambda w: F.transform(offsets(w), lambda k: F.xxhash64(token(w, k)))))
+    return (docs.select(F.xxhash64("text").alias("th"), F.explode(keys).alias("key")).join(few(tokens.select("key")), "key", "left_semi")
+            .groupBy("th", "key").agg(F.count("*").alias("n")))
+
+
+def token_places(docs: DataFrame, texts: DataFrame, only: DataFrame, by: str) -> DataFrame:
+    """``doc_id, th, s, e, t, pattern, size, inside`` of the tokens that overlap no seed in the ``texts``, where column ``by`` is in ``only``."""
+    text = F.col("text")
+    at = F.flatten(F.transform(matches(text, WORD), lambda m: F.transform(offsets(m["t"]), lambda k: F.struct(
+        (m["s"] + k).alias("s"), token(m["t"], k).alias("t")))))
+    here = docs.withColumn("th", F.xxhash64("text")).join(few(texts), "th", "left_semi")
+    free = F.filter("at", lambda c: (c["t"] != "") & ~F.exists(
+        "own", lambda x: (x["s"] < c["s"] + F.length(c["t"])) & (c["s"] < x["e"])))
+    rows = (here.select("doc_id", "th", "text", seeds(text).alias("own"), at.alias("at"))
+            .select("doc_id", "th", "text", F.explode(free).alias("o")).withColumn("key", F.xxhash64("o.t")))
+    if by == "key":
+        rows = rows.join(few(only), "key", "left_semi")
+    rows = (rows.select("doc_id", "th", "o.s", (F.col("o.s") + F.length("o.t")).alias("e"), "o.t", F.explode(
+        contexts(text, F.col("o.s"))).alias("c")).select("doc_id", "th", "s", "e", "t", F.lit(0).cast("long").alias("inside"),
+                                                         F.col("c.p").alias("pattern"), F.col("c.size").alias("size")))
+    return rows if by == "key" else rows.join(few(only), "pattern", "left_semi")
 
 
 def added_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, th, s, e, kind`` of the identifiers that trusted patterns discover."""
     occ = stored(occurrences(docs), "pii_occurrences")
-    edges = stored(occ.groupBy("pattern", "t").agg(F.max("kind").alias("kind"), F.count("*").alias("n"),
-                                                F.sum(F.col("inside").cast("long")).alias("inside"), F.max("size").alias("size")), "pii_edges")
-    patterns, instances = score_graph(edges, rounds)
-    sizes = edges.groupBy("pattern").agg(F.max("size").alias("size"), F.sum("inside").alias("inside"),
-                                         F.sum(F.when(F.col("kind").isNotNull(), F.col("n"))).alias("followed"))
-    likely = stored(patterns.where((F.col("seeds") >= MIN_SEEDS) & (F.col("score") >= TRUST)).select("pattern", "kind")
-                    .join(sizes, "pattern"), "pii_likely")
-    placed = word_counts(docs, likely.select("pattern", "size"))
-    trusted = (likely.join(placed, "pattern", "left")
-               .where(F.col("followed") >= PRECISE * (F.coalesce("places", F.lit(0)) + F.col("inside")))
-               .select("pattern", F.col("kind").alias("as_kind")))
-    return (occ.where("kind is null").join(trusted, "pattern").join(instances.where(F.col("score") >= TRUST), "t")
-            .groupBy("doc_id", "th", "s", "e").agg(F.min("as_kind").alias("kind")))
+    # Places per text of the patterns counted so far, identifiers accepted so far (with a kind), and where the accepted tokens stand.
+    counted = known = tokens = spans = seen = None
+    for _ in range(rounds):
+        every = occ.select("pattern", "t", "kind", "size", F.col("inside").cast("long").alias("inside"))
+        if tokens is not None:
+            every = every.unionByName(tokens.select("pattern", "t", F.lit(None).cast("string").alias("kind"), "size", "inside"))
+        edges = every.groupBy("pattern", "t").agg(F.max("kind").alias("kind"), F.count("*").alias("n"),
+                                                  F.sum("inside").alias("inside"), F.max("size").alias("size"))
+        if known is not None:
+            edges = (edges.join(known.select("t", F.col("kind").alias("known")), "t", "left")
+                     .withColumn("kind", F.coalesce("kind", "known")).drop("known"))
+        edges = stored(edges, "pii_edges")
+        # Patterns of many identifier-shaped words are counted first: those mostly followed by others are ordinary and pass on no score.
+        shaped = edges.groupBy("pattern").agg(F.count("*").alias("many"), F.sum("n").alias("shaped"), F.max("size").alias("size"),
+                                              F.sum("inside").alias("inside"), F.max(F.col("kind").isNotNull()).alias("has"))
+        asked = shaped.where((F.col("many") >= MIN_SEEDS) & F.col("has")).select("pattern", "size")
+        if counted is not None:
+            asked = asked.join(counted, "pattern", "left_anti")
+        asked = stored(asked, "pii_asked")
+        if asked.count():
+            fresh = stored(word_counts(docs, asked), "pii_places")
+            counted = fresh if counted is None else counted.unionByName(fresh)
+        if counted is None:
+            break
+        places = counted.groupBy("pattern").agg(F.sum("places").alias("places"))
+        shares = stored(shaped.join(places, "pattern", "left").withColumn(
+            "places", F.coalesce("places", F.lit(0)) + F.col("inside")), "pii_shares")
+        ordinary = shares.where((F.col("many") >= MIN_SEEDS) & F.col("has") & (F.col("shaped") < PRECISE * F.col("places")))
+        edges = stored(edges.join(ordinary, "pattern", "left_anti"), "pii_edges")
+        patterns, instances = score_graph(edges, ROUNDS)
+        entities = (edges.join(instances, "t").where(F.col("kind").isNotNull() | (F.col("score") >= TRUST)).groupBy("pattern")
+                    .agg(F.count("*").alias("entities"), F.sum("n").alias("followed")))
+        trusted = stored(patterns.where(F.col("score") >= TRUST).join(entities, "pattern").join(shares.select("pattern", "places"), "pattern")
+                         .where((F.col("entities") >= MIN_SEEDS) & (F.col("followed") >= PRECISE * F.col("places")))
+                         .select("pattern", F.col("kind").alias("as_kind"),
+                                 F.least(F.lit(1.0), F.col("followed") / F.greatest(F.col("places"), F.lit(1))).alias("share")), "pii_trusted")
+        # Identifier-shaped words after a trusted pattern, by their score in the graph.
+        shape = (occ.where("kind is null").join(trusted, "pattern").join(instances.where(F.col("score") >= TRUST).select("t"), "t")
+                 .select("doc_id", "th", "s", "e", "t", "as_kind"))
+        # Other tokens after one: not all of their patterns may be wrong, and at least PRECISE of their places must follow one.
+        texts = counted.join(trusted, "pattern", "left_semi").select("th").distinct()
+        after = stored(token_places(docs, stored(texts, "pii_texts"), trusted.select("pattern"), "pattern").join(trusted, "pattern")
+                       .groupBy("doc_id", "th", "s", "e", "t").agg(
+                           F.min("as_kind").alias("as_kind"), F.max("share").alias("top"),
+                           (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("share")))))).alias("share")), "pii_after")
+        likely = stored(after.groupBy("t").agg(F.count("*").alias("follows"), F.max("share").alias("score"), F.min("as_kind").alias("kind"))
+                        .where(F.col("score") >= TRUST).withColumn("key", F.xxhash64("t")), "pii_likely")
+        new = likely if seen is None else likely.join(seen, "key", "left_anti")
+        new = stored(new.select("key"), "pii_new")
+        if new.count():
+            fresh = stored(token_counts(docs, new), "pii_tokens")
+            seen = fresh if seen is None else seen.unionByName(fresh)
+        if seen is not None:
+            stands = seen.groupBy("key").agg(F.sum("n").alias("stands"))
+            found = stored(likely.join(stands, "key").where(F.col("follows") >= PRECISE * F.col("stands")), "pii_found")
+            shape = shape.unionByName(after.join(found.select("t"), "t", "left_semi").select("doc_id", "th", "s", "e", "t", "as_kind"))
+        now = stored(shape if spans is None else shape.unionByName(spans), "pii_spans")
+        before = 0 if known is None else known.count()
+        known = stored(now.groupBy("t").agg(F.min("as_kind").alias("kind")), "pii_known")
+        spans = now.distinct()
+        if known.count() == before:
+            break
+        if seen is not None:
+            where = stored(seen.join(found, "key", "left_semi").select("th").distinct(), "pii_texts")
+            more = token_places(docs, where, found.select("key"), "key")
+            tokens = stored(more.join(occ.select("th", "s", "e", "t", "pattern"), ["th", "s", "e", "t", "pattern"], "left_anti"), "pii_token_places")
+    if spans is None:
+        return occ.where("false").select("doc_id", "th", "s", "e", "kind")
+    # The longest of those that begin at one place: a shaped word may be a part of a token.
+    return (spans.groupBy("doc_id", "th", "s").agg(F.max("e").alias("e"), F.min_by("as_kind", F.struct(-F.col("e"), "as_kind")).alias("kind")))
 
 
 def find(docs: DataFrame) -> DataFrame:

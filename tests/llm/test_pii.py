@@ -97,6 +97,27 @@ def test_first_words_are_counted_once(frame):
     assert found(frame, rows + [(100, "ring: 0800-12345 now")])[100] == "phone:6:16"
 
 
+def test_tokens_with_few_digits_are_found(frame):
+    rows = [(i, f"foo{i} mail email: user{i}@example.org thanks") for i in range(40)]
+    rows += [(300 + i, f"foo{i} bar host: 10.0.{i}.7 up") for i in range(40)]
+    rows += [(100, "xx email: jane(at)example now"), (101, "xx email: johnny, now"), (102, "xx email: the end"), (103, "the a the b the c"),
+             (104, "xx host: 2001:db8::ff00:42:8329 up"), (105, "xx email:john.doe1990")]
+    got = found(frame, rows)
+    assert [got[i] for i in range(100, 106)] == ["email:10:25", "email:10:16", "", "", "ip:9:31", "email:9:21"]
+
+
+def test_accepted_instances_count_as_entities(frame):
+    card = "4111111111111111 4012888888881881 5555555555554444 5105105105105100 378282246310005 371449635398431 6011111111111117 " \
+           "6011000990139424"
+    rows = [(i, f"pay acct nr: {c} x") for i, c in enumerate(card.split())]
+    rows += [(100 + i, f"pay acct nr: A{70000 + i * 37} x") for i in range(12)]        # 40 % seeds
+    rows += [(200 + i, f"see{i} my konto= A{70000 + i * 37} y") for i in range(12)]     # a pattern without seeds
+    rows += [(300, "we konto= A99887 y")]
+    got = found(frame, rows)
+    assert all(got[100 + i] == "card:13:19" for i in range(12))
+    assert got[300] == "card:10:16"
+
+
 def test_redact_keeps_other_columns(frame):
     rows = CALLS + [(100, "please ring hotline: 0800-12345 now"), (None, "mail a@b.cd x"), (7, None), (8, "clean é")]
     df = frame(rows)
