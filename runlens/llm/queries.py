@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from runlens.llm import ann, bpe, classifier, hmm, html_extract, jaccard, mixing, pii, quality_rules, suffix_dedup
+from runlens.llm import (
+    alignment, ann, bpe, classifier, hmm, html_extract, jaccard, licenses, mixing, negatives, pii, quality_rules, suffix_dedup,
+)
 from runlens.llm.common import table
 
 QUERIES = {
@@ -16,9 +18,13 @@ QUERIES = {
     "op8_jaccard": lambda spark, d: jaccard.join(table(spark, d, "documents")),
     "op9_ann": lambda spark, d: ann.report(table(spark, d, "embeddings")),
     "op10_classifier": lambda spark, d: classifier.report(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op11_licenses": lambda spark, d: licenses.report(table(spark, d, "documents")),
+    "op12_alignment": lambda spark, d: alignment.report(table(spark, d, "documents")),
+    "op13_negatives": lambda spark, d: negatives.report(table(spark, d, "embeddings")),
 }
 
 ORACLE = {
     "op1_quality_rules": quality_rules.REPORT_SQL,
     "op8_jaccard": jaccard.JOIN_SQL,
+    "op13_negatives": negatives.REPORT_SQL,
 }
