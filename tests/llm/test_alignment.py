@@ -15,6 +15,7 @@ A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.
 TOK = Tokenizer.from_file(A_PATH)
 TOK.encode_special_tokens = True
 SP = sentencepiece.SentencePieceProcessor(model_file=B_PATH)
+PATTERN = public_tokenizers.PATTERN
 VISIBLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 BACK = {chr(b): b for b in VISIBLE}
 for rest in range(256):
@@ -71,8 +72,8 @@ def test_equals_brute_force(frame):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice(ODD) for _ in range(rng.randint(0, 40)))) for i in range(300)]
     rows += [(400 + i, t) for i, t in enumerate(ODD)] + [(i, t) for i, t, *_ in EDGES]
-    for hot in (A.HOT, 40, 0):     # all pairs in the workers, some joined, all joined
-        got = Counter(map(tuple, A.alignment(frame(rows), A_PATH, B_PATH, hot=hot).select(*A.REPORT).collect()))
+    for hot, pattern in [(A.HOT, PATTERN), (40, PATTERN), (0, None)]:     # all pairs in the workers, some joined, all joined
+        got = Counter(map(tuple, A.alignment(frame(rows), A_PATH, B_PATH, pattern, hot).select(*A.REPORT).collect()))
         assert got == brute(rows)
 
 
@@ -82,6 +83,17 @@ def test_report_of_the_table(docs, texts):
     assert sum(r[1] for r in got) > 10_000
 
 
+def test_both_libraries_of_a_give_the_same_ids():
+    with open(A_PATH, encoding="utf-8") as f, open(B_PATH, "rb") as g:
+        t = A.Tokenizers(f.read(), g.read(), PATTERN)
+    assert t.a.__name__ == "encode_ordinary"
+    texts = [f" a{c}b 1{c}2 !{c}? {c}{c} x" for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    texts += [x.decode() for x in t.a_bytes if x.isascii()] + ["x" * 5000, " " * 5000 + "a", "ab" * 3000]
+    for i in range(0, len(texts), 50_000):
+        part = texts[i:i + 50_000]
+        assert [t.a(x) for x in part] == [e.ids for e in TOK.encode_batch_fast(part, add_special_tokens=False)]
+
+
 def test_empty_table(spark):
     out = A.report(spark.createDataFrame([], "doc_id long, text string"))
     assert out.columns == A.REPORT and out.collect() == []
