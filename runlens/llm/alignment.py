@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from runlens.llm import common
 from runlens.llm.common import by_value, slices, stored
 
-PART = 1 << 20          # bytes of text aligned at once
+PART = 1 << 19          # bytes of text aligned at once
+LINKS = 1 << 18         # links counted or looked up at once
 HOT = 1 << 20           # most pairs whose counts go to every worker
 HELD = 1 << 20          # distinct pairs a task gathers before it passes them on
 SHIFT = np.int64(32)
@@ -189,6 +190,16 @@ def keys(a, b) -> np.ndarray:
     return a << SHIFT | b
 
 
+def link_slices(batches):
+    """Consecutive parts of the batches with about ``LINKS`` links each (a longer row is a part of its own)."""
+    for batch in batches:
+        if batch.num_rows:
+            part = np.cumsum(pc.list_value_length(batch.column("link_a")).to_numpy(zero_copy_only=False)) // LINKS
+            cut = np.flatnonzero(np.diff(part, prepend=-1, append=part[-1] + 1))
+            for i, j in zip(cut[:-1], cut[1:]):
+                yield batch.slice(i, j - i)
+
+
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """``a, b, n, best``: how many links hold each pair of ids, and whether no pair of the same id of B has more."""
     def count(batches):
@@ -197,15 +208,15 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
         def rows():
             return pa.RecordBatch.from_arrays([pa.array((held >> SHIFT).astype(np.int32)), pa.array((held & 0xFFFFFFFF).astype(np.int32)),
                                                pa.array(n)], names=["a", "b", "n"])
-        for batch in batches:
-            if batch.num_rows:
-                k, m = np.unique(keys(batch.column("link_a").flatten(), batch.column("link_b").flatten()), return_counts=True)
-                both, at = np.unique(np.concatenate([held, k]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([n, m]), len(both)).astype(np.int64)
-                held = both
-                if len(held) > HELD:
-                    yield rows()
-                    held, n = held[:0], n[:0]
+        for batch in link_slices(batches):
+            k, m = np.unique(keys(batch.column("link_a").flatten(), batch.column("link_b").flatten()), return_counts=True)
+            at = np.searchsorted(held, k)
+            known = held[np.minimum(at, max(len(held) - 1, 0))] == k if len(held) else np.zeros(len(k), bool)
+            n[at[known]] += m[known]
+            held, n = np.insert(held, at[~known], k[~known]), np.insert(n, at[~known], m[~known])
+            if len(held) > HELD:
+                yield rows()
+                held, n = held[:0], n[:0]
         if len(held):
             yield rows()
 
@@ -234,9 +245,7 @@ def scored(aligned: DataFrame, hot) -> DataFrame:
 
     def run(batches):
         known, n, best = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in link_slices(batches):
             lists = [batch.column(c) for c in ("link_a", "link_b")]
             a, b = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
             ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))])
