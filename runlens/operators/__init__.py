@@ -9,7 +9,8 @@ from runlens.operators.hosts import (
     node_count,
 )
 from runlens.operators.readiness import (
-    barrier_within_deadline, first_outcome, first_seen, readiness_barrier, within_deadline,
+    barrier_within_deadline, first_outcome, first_seen, readiness_barrier, state_outcome,
+    within_deadline,
 )
 from runlens.operators.recency import latest_by_prefix, newest, phase_durations
 from runlens.operators.stats import run_stats, scaling_ratio
@@ -22,5 +23,5 @@ __all__ = [
     "filter_map_keys", "first_outcome", "first_present", "first_seen", "json_int",
     "last_match_value", "latest_by_prefix", "missing_runs", "newest", "node_count",
     "overlay_maps", "overlay_table", "phase_durations", "read_key_values", "readiness_barrier",
-    "resolve_placeholders", "run_stats", "scaling_ratio", "sweep_grid", "within_deadline",
+    "resolve_placeholders", "run_stats", "scaling_ratio", "state_outcome", "sweep_grid", "within_deadline",
 ]

@@ -51,14 +51,48 @@ def first_outcome(df: DataFrame, job: str, ts: str, ready: Column | Sequence[Col
                   failed: Column | None = None) -> DataFrame:
     """First terminal outcome per job (E1): ``ready``, ``failed`` or ``open``.
 
-    ``ready`` is one predicate or a list that must all have held (for example
-    state ``Running`` and the marker event). One hash aggregate of minima:
-    map-side partial, so a hot job costs no more than any other.
+    ``ready`` is one predicate or a list that must all have held at some time:
+    conditions that stay true once seen (marker files, registrations). For a
+    job *state*, which can be left again, use ``state_outcome``. One hash
+    aggregate of minima: map-side partial, so a hot job costs no more than any other.
     """
     n = len(_as_list(ready))
     return df.groupBy(job).agg(*outcome_aggs(ts, ready, failed)).select(*outcome_columns(job, n))
 
 
+def state_outcome(df: DataFrame, job: str, ts: str, state: str, marker: Column,
+                  seq: str | None = None, running: str = "Running", failed: str = "Failed") -> DataFrame:
+    """The wait loop's exit per job (E1): ``ready`` at the first instant at which the job **is** ``running`` and its marker
+    is there, ``failed`` at the first instant at which it is ``failed``, whichever comes first; ``open`` without either.
+
+    ``state`` holds the state a job enters at ``ts`` (NULL on rows that change none), ``marker`` tells the rows that write
+    the marker, which stays. A state lasts until the next one; of several at one instant only the last by ``seq`` counts
+    (without ``seq`` the greatest name). ``ready_ts`` and ``failed_ts`` are the two exits' times on their own. Rows without a
+    time are ignored; a NULL job is a job.
+
+    Plan: one aggregate per (job, instant), one per job for the marker and the failure, the as-of match as a third: the state
+    at the marker and the first run after it. All three combine map-side, and the per-job times are joined back on the job
+    (AQE broadcasts them if they are small and splits a hot job's side if not), so no task ever orders a job's events.
+    """
+    order = F.struct(F.col(seq), F.col(state)) if seq else F.col(state)
+    at = df.where(F.col(ts).isNotNull()).groupBy(job, ts).agg(
+        F.max_by(F.when(F.col(state).isNotNull(), F.col(state)), F.when(F.col(state).isNotNull(), order)).alias("_rl_state"),
+        F.max(F.coalesce(marker, F.lit(False))).alias("_rl_mark"))
+    t, now = F.col(ts), F.col("_rl_state")
+    times = at.groupBy(job).agg(F.min(F.when(F.col("_rl_mark"), t)).alias("_rl_marked"),
+                                F.min(F.when(now == failed, t)).alias("failed_ts"))
+    seen = F.col("_rl_marked")
+    by_job = join_on_keys(at, times, [job]).groupBy(job).agg(
+        F.max_by(now, F.when(now.isNotNull() & (t <= seen), t)).alias("_rl_then"),
+        F.min(F.when((now == running) & (t > seen), t)).alias("_rl_later"),
+        F.first("_rl_marked").alias("_rl_marked"), F.first("failed_ts").alias("failed_ts"))
+    ready = F.when(F.col("_rl_then") == running, seen).otherwise(F.col("_rl_later"))
+    won = ready.isNotNull() & (F.col("failed_ts").isNull() | (ready < F.col("failed_ts")))
+    return by_job.select(
+        job, F.when(won, "ready").when(F.col("failed_ts").isNotNull(), "failed").otherwise("open").alias("outcome"),
+        F.when(won, ready).otherwise(F.col("failed_ts")).alias("outcome_ts"), ready.alias("ready_ts"), "failed_ts")
+
+
 def first_seen(df: DataFrame, job: str, ts: str, member: str,
                expected: str | int) -> DataFrame:
     """Earliest registration of every member of every job."""

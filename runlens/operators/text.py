@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import columns as C
 from runlens.functions.columns import strip_ws
+from runlens.functions.ordering import join_on_keys
 
 
 # Fixed value: worker ids on a standalone master's status page (text right
@@ -45,13 +46,14 @@ def last_match_value(df: DataFrame, key: str, seq: str, line: str, token: str,
 
     The value is the text after the first ``=``, stripped. Keys whose lines
     never match get ``default``; ``keys_df`` adds keys with no lines at all.
+    A NULL key is a key like any other.
     One hash aggregate (``max_by``) with a partial step: no sort of a group.
     """
     hit = F.instr(F.col(line), token) > 1
     value = strip_ws(C.after_first(F.col(line), "="))
     res = df.groupBy(key).agg(F.max_by(F.when(hit, value), F.when(hit, F.col(seq))).alias(out))
     if keys_df is not None:
-        res = keys_df.select(key).dropDuplicates([key]).join(res, on=key, how="left")
+        res = join_on_keys(keys_df.select(key).dropDuplicates([key]), res, [key], how="left")
     if default is not None:
         res = res.withColumn(out, F.coalesce(F.col(out), F.lit(default)))
     return res

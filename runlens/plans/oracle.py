@@ -101,6 +101,26 @@ SELECT user_id AS job_id, start_ts, n_members, ready_ts, failed_ts, outcome, out
 FROM o
 """
 
+# States as intervals up to the next state; the job is ready where a running interval and the time since the marker meet.
+STATES = """
+WITH e AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE user_id END AS job_id, ts, event_id,
+         CASE WHEN event_type = 'click' THEN 'Running' WHEN event_type = 'view' THEN 'Queued'
+              WHEN event_type = 'error' AND event_id % 5 = 0 AND user_id % 3 <> 0 THEN 'Failed' END AS state,
+         event_type = 'signup' AND user_id % 10 <> 0 AS mark
+  FROM events),
+s AS (SELECT job_id, state, ts AS t0, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS t1 FROM e WHERE state IS NOT NULL),
+m AS (SELECT job_id, min(ts) AS t FROM e WHERE mark GROUP BY job_id),
+r AS (SELECT s.job_id, min(greatest(t0, t)) AS ready_ts FROM s JOIN m ON s.job_id = m.job_id
+      WHERE state = 'Running' AND (t1 IS NULL OR t1 > greatest(t0, t)) GROUP BY s.job_id),
+f AS (SELECT job_id, min(t0) AS failed_ts FROM s WHERE state = 'Failed' AND (t1 IS NULL OR t1 > t0) GROUP BY job_id),
+x AS (SELECT j.job_id, ready_ts, failed_ts, least(ready_ts, failed_ts) AS outcome_ts
+      FROM (SELECT DISTINCT job_id FROM e) j LEFT JOIN r ON r.job_id = j.job_id LEFT JOIN f ON f.job_id = j.job_id)
+SELECT job_id, CASE outcome_ts WHEN ready_ts THEN 'ready' WHEN failed_ts THEN 'failed' ELSE 'open' END AS outcome, outcome_ts,
+       ready_ts, failed_ts
+FROM x
+"""
+
 DEADLINE_STREAM = f"""
 SELECT * REPLACE (CASE WHEN outcome = 'timed_out'
                         AND (epoch_us(start_ts) + 259200000000) // 1000 > epoch_ms((SELECT max(ts) FROM events)) - 3600000
@@ -424,6 +444,18 @@ FROM supplier
     "missing_null_keys": """
 WITH e AS (SELECT CASE WHEN user_id % 50 <> 0 THEN user_id END AS user_id, event_type FROM events)
 SELECT user_id FROM e GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'purchase') = 0
+""",
+    "first_outcome_states": STATES,
+    "stream_outcome_states": f"SELECT job_id, outcome, outcome_ts FROM ({STATES}) s",
+    "last_match_null_keys": f"""
+WITH c AS (SELECT CASE WHEN conv_id % 5 <> 0 THEN conv_id END AS k, conv_id, turn, ' ' || role || '=' || text AS line FROM conversations),
+h AS (SELECT * FROM c WHERE instr(line, 'user=') > 1
+      QUALIFY row_number() OVER (PARTITION BY k ORDER BY conv_id DESC, turn DESC) = 1)
+SELECT d.k, coalesce(trim(substr(h.line, instr(h.line, '=') + 1), {WS}), 'empty') AS last_user
+FROM (SELECT DISTINCT k FROM c) d LEFT JOIN h ON h.k IS NOT DISTINCT FROM d.k
+""",
+    "missing_null_run": """
+SELECT DISTINCT CASE WHEN user_id % 50 <> 0 THEN user_id END AS user_id FROM events WHERE user_id % 50 = 0 OR user_id % 7 = 3
 """,
     "json_large": """
 SELECT o_orderkey, o_orderkey * 3000000000 AS k FROM orders

@@ -24,7 +24,7 @@ from runlens.operators.text import WORKER_ID_RE
 from runlens.schemas import TRACE
 from runlens.session import scratch_path
 from runlens.streaming import (
-    event_stream, stream_barrier_table, stream_deadline_table, stream_outcome_table,
+    event_stream, stream_barrier_table, stream_deadline_table, stream_outcome_table, stream_state_outcome_table,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -667,6 +667,42 @@ def q_json_large(spark, sf_dir):
     return op.json_int(o.select("o_orderkey", text.alias("j")), "j", "$.k", 0, out="k").select("o_orderkey", "k")
 
 
+def _job_states(ev: DataFrame) -> DataFrame:
+    """Events as job states: clicks run a job, views queue it again, every fifth error fails it, signups write the marker
+    (not for every tenth user), purchases change nothing. Every third event belongs to one fleet job."""
+    kind = F.col("event_type")
+    state = F.when(kind == "click", "Running").when(kind == "view", "Queued") \
+        .when((kind == "error") & (F.col("event_id") % 5 == 0) & (F.col("user_id") % 3 != 0), "Failed")
+    return ev.select(F.when(F.col("event_id") % 3 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("user_id")).alias("job_id"),
+                     "ts", "event_id", state.alias("state"), ((kind == "signup") & (F.col("user_id") % 10 != 0)).alias("mark"))
+
+
+def q_first_outcome_states(spark, sf_dir):
+    ev = _job_states(table(spark, sf_dir, "events"))
+    return op.state_outcome(ev, "job_id", "ts", "state", F.col("mark"), "event_id")
+
+
+def q_stream_outcome_states(spark, sf_dir):
+    return stream_state_outcome_table(spark, _job_states(_event_stream(spark, sf_dir)), "job_id", "ts", "state", F.col("mark"), "event_id",
+                                      delay=WATERMARK_DELAY, retention_s=RETENTION_S, partitions=_state_partitions(spark))
+
+
+def q_last_match_null_keys(spark, sf_dir):
+    """S4 where one listing has no key."""
+    conv = table(spark, sf_dir, "conversations").withColumn("k", F.when(F.col("conv_id") % 5 != 0, F.col("conv_id")))
+    order = F.struct("conv_id", "turn")
+    lines = conv.select("k", order.alias("at"), F.concat(F.lit(" "), F.col("role"), F.lit("="), F.col("text")).alias("line"))
+    return op.last_match_value(lines, "k", "at", "line", "user=", "empty", out="last_user", keys_df=conv.select("k"))
+
+
+def q_missing_null_run(spark, sf_dir):
+    """D7 where the run without a key is among the missing."""
+    ev = table(spark, sf_dir, "events")
+    user = F.when(F.col("user_id") % 50 != 0, F.col("user_id"))
+    present = ev.where((F.col("user_id") % 50 != 0) & (F.col("user_id") % 7 != 3)).select("user_id")
+    return op.missing_runs(ev.select(user.alias("user_id")).distinct(), present, ["user_id"])
+
+
 QUERIES: dict[str, Query] = {
     "trace_parse": q_trace_parse,
     "trace_files": q_trace_files,
@@ -726,5 +762,9 @@ QUERIES: dict[str, Query] = {
     "overlay_null_keys": q_overlay_null_keys,
     "missing_null_keys": q_missing_null_keys,
     "json_large": q_json_large,
+    "first_outcome_states": q_first_outcome_states,
+    "stream_outcome_states": q_stream_outcome_states,
+    "last_match_null_keys": q_last_match_null_keys,
+    "missing_null_run": q_missing_null_run,
 }
 

@@ -9,7 +9,12 @@ from runlens.streaming.deadline import (  # noqa: E402
     DeadlineBarrier, stream_deadline_barrier, stream_deadline_table,
 )
 
+from runlens.streaming.outcome import (  # noqa: E402
+    StateOutcome, stream_state_outcome, stream_state_outcome_table,
+)
+
 __all__ = [
+    "StateOutcome", "stream_state_outcome", "stream_state_outcome_table",
     "DeadlineBarrier", "stream_deadline_barrier", "stream_deadline_table",
     "event_stream", "latest_versions", "run_update_stream", "state_partitions", "stream_first_outcome",
     "stream_first_seen", "stream_outcome_table", "stream_barrier_table",
