@@ -101,6 +101,24 @@ SELECT user_id AS job_id, start_ts, n_members, ready_ts, failed_ts, outcome, out
 FROM o
 """
 
+FLEET = """
+WITH e AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE user_id END AS job_id, ts,
+         CASE WHEN event_id % 3 = 0 THEN 'u' || user_id || '-' || event_type ELSE event_type END AS member,
+         CASE WHEN event_id % 3 = 0 THEN 200 ELSE 4 END AS expected, event_id % 3 <> 0 AND event_type = 'error' AS fail
+  FROM events),
+s AS (SELECT job_id, min(ts) AS start_ts, max(expected) AS expected, min(ts) FILTER (WHERE fail) AS fail_ts FROM e GROUP BY job_id),
+m AS (SELECT job_id, member, min(ts) AS first_ts FROM e GROUP BY job_id, member),
+n AS (SELECT s.*, first_ts, row_number() OVER (PARTITION BY s.job_id ORDER BY first_ts, member) AS rn
+      FROM s JOIN m ON m.job_id = s.job_id AND first_ts <= start_ts + INTERVAL 3 DAY),
+v AS (SELECT job_id, start_ts, count(*) AS n_members, min(first_ts) FILTER (WHERE rn = expected) AS ready_ts,
+             CASE WHEN min(fail_ts) <= start_ts + INTERVAL 3 DAY THEN min(fail_ts) END AS failed_ts FROM n GROUP BY job_id, start_ts),
+o AS (SELECT *, CASE WHEN ready_ts <= coalesce(failed_ts, ready_ts) THEN 'ready' WHEN failed_ts IS NOT NULL THEN 'failed'
+                     WHEN start_ts + INTERVAL 3 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR THEN 'timed_out'
+                     ELSE 'open' END AS outcome FROM v)
+SELECT job_id, start_ts, n_members, ready_ts, failed_ts, outcome, outcome = 'ready' AS met FROM o
+"""
+
 # States as intervals up to the next state; the job is ready where a running interval and the time since the marker meet.
 STATES = """
 WITH e AS (
@@ -447,6 +465,7 @@ SELECT user_id FROM e GROUP BY user_id HAVING count(*) FILTER (WHERE event_type
 """,
     "first_outcome_states": STATES,
     "stream_outcome_states": f"SELECT job_id, outcome, outcome_ts FROM ({STATES}) s",
+    "stream_deadline_hot": FLEET,
     "last_match_null_keys": f"""
 WITH c AS (SELECT CASE WHEN conv_id % 5 <> 0 THEN conv_id END AS k, conv_id, turn, ' ' || role || '=' || text AS line FROM conversations),
 h AS (SELECT * FROM c WHERE instr(line, 'user=') > 1

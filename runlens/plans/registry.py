@@ -24,7 +24,8 @@ from runlens.operators.text import WORKER_ID_RE
 from runlens.schemas import TRACE
 from runlens.session import scratch_path
 from runlens.streaming import (
-    event_stream, stream_barrier_table, stream_deadline_table, stream_outcome_table, stream_state_outcome_table,
+    event_stream, stream_barrier_table, stream_deadline_table, stream_fleet_deadline_table, stream_outcome_table,
+    stream_state_outcome_table,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -687,6 +688,21 @@ def q_stream_outcome_states(spark, sf_dir):
                                       delay=WATERMARK_DELAY, retention_s=RETENTION_S, partitions=_state_partitions(spark))
 
 
+def _fleet_events(ev: DataFrame) -> DataFrame:
+    """Every third event registers member ``u<user>-<type>`` of one fleet job (200 expected, no failures)."""
+    hot = F.col("event_id") % 3 == 0
+    return ev.select(
+        F.when(hot, F.lit(-1).cast("bigint")).otherwise(F.col("user_id")).alias("job_id"), "ts",
+        F.when(hot, F.concat(F.lit("u"), F.col("user_id"), F.lit("-"), F.col("event_type"))).otherwise(F.col("event_type")).alias("member"),
+        F.when(hot, F.lit(200)).otherwise(F.lit(4)).alias("expected"), (~hot & _failed_cond()).alias("fail"))
+
+
+def q_stream_deadline_hot(spark, sf_dir):
+    return stream_fleet_deadline_table(spark, _fleet_events(_event_stream(spark, sf_dir)), "job_id", "ts", "member", "expected", DEADLINE_S,
+                                       delay=WATERMARK_DELAY, retention_s=RETENTION_S, failed=F.col("fail"),
+                                       partitions=_state_partitions(spark))
+
+
 def q_last_match_null_keys(spark, sf_dir):
     """S4 where one listing has no key."""
     conv = table(spark, sf_dir, "conversations").withColumn("k", F.when(F.col("conv_id") % 5 != 0, F.col("conv_id")))
@@ -764,6 +780,7 @@ QUERIES: dict[str, Query] = {
     "json_large": q_json_large,
     "first_outcome_states": q_first_outcome_states,
     "stream_outcome_states": q_stream_outcome_states,
+    "stream_deadline_hot": q_stream_deadline_hot,
     "last_match_null_keys": q_last_match_null_keys,
     "missing_null_run": q_missing_null_run,
 }

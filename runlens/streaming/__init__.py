@@ -13,7 +13,12 @@ from runlens.streaming.outcome import (  # noqa: E402
     StateOutcome, stream_state_outcome, stream_state_outcome_table,
 )
 
+from runlens.streaming.fleet import (  # noqa: E402
+    JobMerge, MemberBucket, stream_fleet_deadline, stream_fleet_deadline_table,
+)
+
 __all__ = [
+    "JobMerge", "MemberBucket", "stream_fleet_deadline", "stream_fleet_deadline_table",
     "StateOutcome", "stream_state_outcome", "stream_state_outcome_table",
     "DeadlineBarrier", "stream_deadline_barrier", "stream_deadline_table",
     "event_stream", "latest_versions", "run_update_stream", "state_partitions", "stream_first_outcome",
