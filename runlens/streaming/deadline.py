@@ -41,7 +41,7 @@ from pyspark.sql.streaming.stateful_processor import (
     ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues,
 )
 
-from runlens.streaming.readiness import _run_append
+from runlens.streaming.readiness import _run_append, as_key
 
 # The processor is the only Python that runs on executors: ship it by value,
 # so workers need no copy of this package (no --py-files step).
@@ -196,7 +196,7 @@ def stream_deadline_barrier(stream: DataFrame, job: str, ts: str, member: str,
     prepared = (stream
                 .withColumn("_rl_ets", F.col(ts).cast("timestamp"))
                 .withWatermark("_rl_ets", delay)
-                .select(F.col(job), "_rl_ets",
+                .select(as_key(job), "_rl_ets",
                         F.unix_micros("_rl_ets").alias("_rl_us"),
                         F.col(member).cast("string").alias("_rl_member"),
                         exp.cast("int").alias("_rl_expected"),
@@ -206,10 +206,10 @@ def stream_deadline_barrier(stream: DataFrame, job: str, ts: str, member: str,
     retention_ms = int(1000 * (retention_s if retention_s is not None else deadline_s))
     out = prepared.groupBy(job).transformWithStateInPandas(
         DeadlineBarrier(deadline_us, retention_ms),
-        f"job {job_type}, start_us long, n_members long, ready_us long, failed_us long, "
+        "job string, start_us long, n_members long, ready_us long, failed_us long, "
         "outcome string, met boolean",
         "Append", "EventTime")
-    return out.select(F.col("job").alias(job),
+    return out.select(F.col("job").cast(job_type).alias(job),
                       F.timestamp_micros("start_us").cast(ts_type).alias("start_ts"),
                       "n_members",
                       F.timestamp_micros("ready_us").cast(ts_type).alias("ready_ts"),
@@ -238,7 +238,7 @@ def open_jobs(spark: SparkSession, checkpoint: str, done: DataFrame, job: str, d
     """Rows, in the columns of ``done``, of the jobs that the stream's state still holds."""
     state = spark.read.format("statestore").option("stateVarName", "info").load(checkpoint)
     limit = F.col("value.start_us") + F.lit(int(round(deadline_s * 1_000_000)))
-    s = state.select(F.col("key").getField(state.schema["key"].dataType.names[0]).alias(job), "value.*", limit.alias("limit"))
+    s = state.select(F.col("key").getField(state.schema["key"].dataType.names[0]).cast(done.schema[job].dataType).alias(job), "value.*", limit.alias("limit"))
     s = s.withColumn("seen", F.sort_array(F.filter("firsts", lambda x: x <= F.col("limit"))))
     ready = F.when(F.col("expected") > 0, F.get("seen", F.col("expected") - 1))
     failed = F.when(F.col("failed_us") <= F.col("limit"), F.col("failed_us"))

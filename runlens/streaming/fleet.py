@@ -32,7 +32,7 @@ from pyspark.sql.streaming.stateful_processor import (
 from runlens.functions.ordering import join_on_keys
 from runlens.session import scratch_path
 from runlens.streaming.deadline import _Fold, _use_rocksdb
-from runlens.streaming.readiness import state_partitions
+from runlens.streaming.readiness import as_key, state_partitions
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -181,20 +181,20 @@ def stream_fleet_deadline(stream: DataFrame, job: str, ts: str, member: str, exp
     ts_type, job_type = (stream.schema[c].dataType.simpleString() for c in (ts, job))
     exp = F.lit(expected) if isinstance(expected, int) else F.col(expected)
     rows = (stream.withColumn("_rl_ets", F.col(ts).cast("timestamp")).withWatermark("_rl_ets", delay)
-            .select(job, F.pmod(F.hash(F.col(member).cast("string")), F.lit(buckets)).alias("_rl_bucket"), "_rl_ets",
+            .select(as_key(job), F.pmod(F.hash(F.col(member).cast("string")), F.lit(buckets)).alias("_rl_bucket"), "_rl_ets",
                     F.unix_micros("_rl_ets").alias("_rl_us"), F.col(member).cast("string").alias("_rl_member"),
                     exp.cast("int").alias("_rl_expected"),
                     F.coalesce(failed if failed is not None else F.lit(False), F.lit(False)).alias("_rl_failed")))
     limits = int(round(deadline_s * 1_000_000)), int(1000 * (retention_s if retention_s is not None else deadline_s))
     parts = rows.groupBy(job, "_rl_bucket").transformWithStateInPandas(
-        MemberBucket(*limits), f"job {job_type}, ets timestamp, {PART}", "Append", "EventTime", eventTimeColumnName="ets")
+        MemberBucket(*limits), f"job string, ets timestamp, {PART}", "Append", "EventTime", eventTimeColumnName="ets")
     out = parts.groupBy("job").transformWithStateInPandas(
-        JobMerge(*limits), f"job {job_type}, start_us long, n_members long, ready_us long, failed_us long, outcome string, met boolean",
+        JobMerge(*limits), "job string, start_us long, n_members long, ready_us long, failed_us long, outcome string, met boolean",
         "Append", "EventTime")
 
     def time(c):
         return F.timestamp_micros(c).cast(ts_type)
-    return out.select(F.col("job").alias(job), time("start_us").alias("start_ts"), "n_members", time("ready_us").alias("ready_ts"),
+    return out.select(F.col("job").cast(job_type).alias(job), time("start_us").alias("start_ts"), "n_members", time("ready_us").alias("ready_ts"),
                       time("failed_us").alias("failed_ts"), "outcome", "met")
 
 
@@ -223,7 +223,7 @@ def open_fleet_jobs(spark: SparkSession, checkpoint: str, done: DataFrame, job:
     """Rows, in the columns of ``done``, of the jobs that only the operators' state holds."""
     def state(operator: int, var: str):
         df = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", var).load(checkpoint)
-        return df.withColumn(job, F.col("key").getField(df.schema["key"].dataType.names[0]))
+        return df.withColumn(job, F.col("key").getField(df.schema["key"].dataType.names[0]).cast(done.schema[job].dataType))
 
     merge, bucket = 0, 1       # operators are numbered from the sink
     waiting = state(bucket, "info").select(job, "value.start_us", "value.expected", "value.failed_us", "value.firsts")

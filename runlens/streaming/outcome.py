@@ -28,7 +28,7 @@ from pyspark.sql.streaming.stateful_processor import (
 
 from runlens.operators.readiness import state_outcome
 from runlens.streaming.deadline import _use_rocksdb
-from runlens.streaming.readiness import _run_append
+from runlens.streaming.readiness import _run_append, as_key
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -125,12 +125,12 @@ def stream_state_outcome(stream: DataFrame, job: str, ts: str, state: str, marke
     _use_rocksdb(stream.sparkSession)
     ts_type, job_type = (stream.schema[c].dataType.simpleString() for c in (ts, job))
     rows = (stream.withColumn("_rl_ets", F.col(ts).cast("timestamp")).withWatermark("_rl_ets", delay)
-            .select(job, "_rl_ets", F.unix_micros("_rl_ets").alias("_rl_us"),
+            .select(as_key(job), "_rl_ets", F.unix_micros("_rl_ets").alias("_rl_us"),
                     F.coalesce(F.col(seq).cast("long") if seq else F.lit(0).cast("long"), F.lit(0).cast("long")).alias("_rl_seq"),
                     F.col(state).cast("string").alias("_rl_state"), F.coalesce(marker, F.lit(False)).alias("_rl_mark")))
     out = rows.groupBy(job).transformWithStateInPandas(
-        StateOutcome(running, failed, int(1000 * retention_s)), f"job {job_type}, {EMITTED}", "Append", "EventTime")
-    return out.select(F.col("job").alias(job), "outcome", F.timestamp_micros("outcome_us").cast(ts_type).alias("outcome_ts"))
+        StateOutcome(running, failed, int(1000 * retention_s)), f"job string, {EMITTED}", "Append", "EventTime")
+    return out.select(F.col("job").cast(job_type).alias(job), "outcome", F.timestamp_micros("outcome_us").cast(ts_type).alias("outcome_ts"))
 
 
 def stream_state_outcome_table(spark: SparkSession, stream: DataFrame, job: str, ts: str, state: str, marker: Column,
@@ -147,7 +147,7 @@ def stream_state_outcome_table(spark: SparkSession, stream: DataFrame, job: str,
 def open_states(spark: SparkSession, checkpoint: str, done: DataFrame, job: str, running: str, failed: str) -> DataFrame:
     """Rows, in the columns of ``done``, of the jobs whose machine the stream's state still holds."""
     held = spark.read.format("statestore").option("stateVarName", "info").load(checkpoint)
-    held = held.select(F.col("key").getField(held.schema["key"].dataType.names[0]).alias(job), "value.*")
+    held = held.select(F.col("key").getField(held.schema["key"].dataType.names[0]).cast(done.schema[job].dataType).alias(job), "value.*")
     first = F.coalesce(F.array_min("us"), F.lit(0)) - 1        # what was released lies before all that waits
     known = F.struct(F.coalesce(F.col("marked_us"), first).alias("us"), F.lit(0).cast("long").alias("seq"), F.col("now").alias("state"),
                      F.col("marked_us").isNotNull().alias("mark"))

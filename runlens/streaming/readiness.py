@@ -79,6 +79,12 @@ def latest_versions(spark: SparkSession, out_path: str, keys: Sequence[str]) ->
         .drop("_rl_rn", "batch_id")
 
 
+def as_key(job: str) -> Column:
+    """The job as text, for a stateful pandas operator: one NULL in an Arrow batch turns a column of whole-number keys into
+    floats, and other jobs of the batch would share the NULL job's state. Cast back with the job's own type."""
+    return F.col(job).cast("string").alias(job)
+
+
 @contextmanager
 def state_partitions(spark: SparkSession, n: int | None):
     """Number of state-store partitions for streams started inside the block.

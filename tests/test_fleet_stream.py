@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from runlens import operators as op
 from runlens.plans.registry import _fleet_events
-from runlens.streaming import event_stream, stream_fleet_deadline, stream_fleet_deadline_table
+from runlens.streaming import event_stream, stream_deadline_table, stream_fleet_deadline, stream_fleet_deadline_table
 from runlens.streaming.fleet import verdict
 
 COLS = ["job_id", "start_ts", "n_members", "ready_ts", "failed_ts", "outcome", "met"]
@@ -55,7 +55,7 @@ def test_a_hot_jobs_state_is_spread_and_released(spark, tmp_dir):
         state = spark.read.format("statestore").option("operatorId", 1).option("stateVarName", "info").load(f"{base}/ck")
         held[days] = state.select("partition_id", "key.*", "value.start_us", F.size("value.members").alias("n")).collect()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mine = [r for r in held[400] if r.job_id == -1]
+    mine = [r for r in held[400] if r.job_id == "-1"]
     members = _fleet_events(ev).where("job_id = -1").select("member").distinct().count()
     assert len({r.partition_id for r in mine}) == parts and sum(r.n for r in mine) == members
     assert max(r.n for r in mine) < members / 8
@@ -83,4 +83,6 @@ def test_rows_without_member_time_or_job(spark, tmp_dir):
     path = os.path.join(tmp_dir, "odd")
     df.write.parquet(path)
     got = stream_fleet_deadline_table(spark, event_stream(spark, path, df.schema), "job_id", "ts", "member", 2, 60, failed=F.col("fail"), buckets=4)
+    plain = stream_deadline_table(spark, event_stream(spark, path, df.schema), "job_id", "ts", "member", 2, 60, failed=F.col("fail"), partitions=1)
+    assert {(r.job_id, r.n_members, r.outcome) for r in plain.collect()} == {(None, 2, "ready"), (1, 1, "failed"), (2, 1, "failed"), (9, 1, "open")}
     assert {(r.job_id, r.n_members, r.outcome) for r in got.collect()} == {(None, 2, "ready"), (1, 1, "failed"), (2, 1, "failed"), (9, 1, "open")}
