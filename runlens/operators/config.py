@@ -90,23 +90,30 @@ def resolve_placeholders(df: DataFrame, col: str, vars_df: DataFrame,
     """Replace ``$NAME`` / ``${NAME}`` from a variables table.
 
     ``vars_df`` holds ``(*keys, name, value)``: one environment per key (for
-    example per allocation); a name bound twice for one key takes the greatest
-    value, NULL values count as unbound. Unknown names keep their text. The
-    variables are aggregated to one map per key, which is the size of one
-    environment, and each text meets its map in one join on the keys, so the
-    wide rows move once at most (AQE broadcasts few environments and splits a
-    hot key). Without keys the one map is a scalar subquery and nothing moves.
-    ``row_id`` is no longer needed and only kept for callers that pass it.
+    example per allocation), or one for all without ``keys``; a name bound twice
+    for one key takes the greatest value, NULL values count as unbound. Unknown
+    names keep their text; a NULL text stays NULL.
+
+    No environment is ever gathered: the names that a text uses are exploded
+    once each and meet the variables in a join on the keys **and** the name, so
+    a key that holds a third of all variables is spread over its names (AQE
+    splits a name that very many texts use). What comes back per text is at most
+    as long as its own placeholders, by ``row_id`` (a unique column) if there is
+    one, so the texts move once, else by the keys and the text itself, so equal
+    texts are resolved once.
     """
     out = out or col
     keys = list(keys)
     bound = vars_df.where(F.col(value).isNotNull() & F.col(name).isNotNull()) \
-        .groupBy(*keys, name).agg(F.max(value).alias("_rl_value"))
-    env_map = F.map_from_entries(F.collect_list(F.struct(F.col(name), F.col("_rl_value")))).alias("_rl_env")
-    if keys:
-        rows = join_on_keys(df, bound.groupBy(*keys).agg(env_map), keys, how="left")
-    else:
-        rows = df.withColumn("_rl_env", bound.select(env_map).scalar())
+        .groupBy(*[F.col(k) for k in keys], F.col(name).alias("_rl_name")).agg(F.max(value).alias("_rl_value"))
+    own = [row_id] if row_id else [*keys, col]
+    names = F.array_distinct(F.transform(F.regexp_extract_all(F.col(col), F.lit(PLACEHOLDER_RE), 0), _placeholder_name))
+    used = df.select(*dict.fromkeys([*own, *keys, col])).where(F.col(col).contains("$"))
+    used = used if row_id else used.dropDuplicates(own)
+    used = used.select(*dict.fromkeys([*own, *keys]), F.explode(names).alias("_rl_name"))
+    env = join_on_keys(used, bound, [*keys, "_rl_name"]).groupBy(*own).agg(
+        F.map_from_entries(F.collect_list(F.struct("_rl_name", "_rl_value"))).alias("_rl_env"))
+    rows = join_on_keys(df, env, own, how="left")
     tokens = F.regexp_extract_all(F.col(col), F.lit(TOKEN_RE), 0)
     resolved = F.array_join(F.transform(tokens, lambda t: F.when(
         t.startswith("$") & (F.length(t) > 1),

@@ -12,20 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.columns import (
-    HOSTLIST_ITEM_RE, HOSTLIST_VALID_RE, RANGE_RE, expand_hostlist_item, expand_ranges, int_or_null, nonblank, strip_ws,
+    HOSTLIST_ITEM_RE, HOSTLIST_VALID_RE, RANGE_RE, int_or_null, nonblank, strip_ws,
 )
 from runlens.functions.ordering import with_group_position
 
 
 # Largest number of range values one row materialises as an array.
 RANGE_CHUNK = 4096
-# Items with up to this many bracket groups have their product streamed by
-# explodes; items with more are expanded by an array fold.
-MAX_STREAMED_GROUPS = 3
-# ``pre [g1] t1 [g2] t2 [g3] t3``: capture 1 is the text before the first
-# group, even captures are group bodies, odd ones the text after each group.
-MULTI_GROUP_RE = (r"^([^\[\]]*)\[([^\]]*)\]([^\[\]]*)(?:\[([^\]]*)\]([^\[\]]*))?"
-                  r"(?:\[([^\]]*)\]([^\[\]]*))?$")
+BRACKETS_RE = r"\[([^\]]*)\]"
 
 
 def distinct_hosts(df: DataFrame, alloc: str = "alloc_id", line: str = "line",
@@ -65,88 +59,103 @@ def expand_slots(df: DataFrame, alloc: str = "alloc_id", line: str = "line",
                          F.explode(F.sequence(c, c + F.least(rest, F.lit(RANGE_CHUNK - 1)))).alias("slot"))
 
 
+def _ranges(body: Column) -> Column:
+    """``08-11,15`` as an array of (low bound, width, count); malformed and reversed ranges are left out."""
+    def one(r: Column) -> Column:
+        low, high = F.regexp_extract(r, RANGE_RE, 1), F.regexp_extract(r, RANGE_RE, 2)
+        lo = low.try_cast("long")
+        hi = F.coalesce(F.nullif(high, F.lit("")), low).try_cast("long")
+        return F.struct(lo.alias("lo"), F.length(low).alias("w"), (hi - lo + 1).alias("n"))
+    return F.filter(F.transform(F.split(body, ","), one), lambda r: r["n"] > 0)
+
+
+def _digit_text(ranges: Column, digit: Column) -> Column:
+    """The number at position ``digit`` of a group's ranges, zero-padded."""
+    start = F.struct(digit.alias("d"), F.lit(None).cast("string").alias("v"))
+
+    def step(acc: Column, r: Column) -> Column:
+        n = (r["lo"] + acc["d"]).cast("string")
+        hit = acc["v"].isNull() & (acc["d"] < r["n"])
+        return F.struct(F.when(acc["v"].isNull() & ~hit, acc["d"] - r["n"]).otherwise(acc["d"]).alias("d"),
+                        F.when(hit, F.lpad(n, F.greatest(r["w"], F.length(n)), "0")).otherwise(acc["v"]).alias("v"))
+    return F.aggregate(ranges, start, step, lambda acc: acc["v"])
+
+
+def _combination(texts: Column, groups: Column, sizes: Column, number: Column) -> Column:
+    """Text of combination ``number`` of the groups: its mixed-radix digits (the last group turns fastest) between the texts."""
+    start = F.struct(number.alias("rest"), F.lit("").alias("text"))
+
+    def step(acc: Column, k: Column) -> Column:
+        size = F.get(sizes, k)
+        digit = acc["rest"] % size
+        return F.struct(((acc["rest"] - digit) / size).cast("long").alias("rest"),
+                        F.concat(F.get(texts, k), _digit_text(F.get(groups, k), digit), acc["text"]).alias("text"))
+    order = F.sequence(F.size(groups) - 1, F.lit(0), F.lit(-1))
+    return F.aggregate(order, start, step, lambda acc: acc["text"])
+
+
 def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
                     out: str = "host") -> DataFrame:
     """SLURM compressed host expression -> distinct hosts per allocation.
 
     ``c401-[101-103,105],gpu2`` -> c401-101, c401-102, c401-103, c401-105,
-    gpu2; the zero padding of a range's low bound is kept (``[08-11]``). The
-    common shapes (plain name, one bracket group) go through a chain of
-    ``explode``s with plain string expressions between them, inside
-    whole-stage codegen and without filters; a range is exploded in chunks
-    of at most ``RANGE_CHUNK`` numbers. Items with 2..``MAX_STREAMED_GROUPS``
-    bracket groups (``rack[1-2]-n[01-03]``, their product) are streamed by one
-    explode per group; items with more groups are expanded by an array fold.
-    A reversed or malformed range gives no host, an item with a bracket that
-    is not closed or not opened gives none at all.
+    gpu2; the zero padding of a range's low bound is kept (``[08-11]``).
+    Items may have any number of bracket groups (``rack[1-2]-n[01-03]``, their
+    product), all by one path: the combinations of all groups but the last are
+    numbered in mixed radix (a group's size comes from its ranges' bounds, so no
+    value is listed), the numbers are exploded and decoded, and the last group's
+    ranges are exploded by plain string expressions. Numbers are exploded in
+    chunks of at most ``RANGE_CHUNK``, so no array is longer than that or the
+    item's own list of ranges. A reversed or malformed range gives no host, an
+    item with a bracket that is not closed or not opened gives none at all.
     """
     items = df.select(F.col(alloc), F.explode(
         F.regexp_extract_all(F.col(expr), F.lit(HOSTLIST_ITEM_RE), 0)).alias("_rl_item"))
     item = F.when(F.col("_rl_item").rlike(HOSTLIST_VALID_RE), F.trim("_rl_item")).otherwise(F.lit(""))
-    n_groups = F.size(F.regexp_extract_all(item, F.lit(r"\["), 0))
-    multi = (n_groups >= 2) & (n_groups <= MAX_STREAMED_GROUPS)
-    parts = items.select(
-        F.col(alloc), item.alias("_rl_item"), n_groups.alias("_rl_groups"),
-        F.regexp_extract(item, r"^([^\[]*)", 1).alias("_rl_pre"),
-        F.regexp_extract(item, r"\]([^\[\]]*)$", 1).alias("_rl_suf"),
-        F.when(n_groups == 1, F.regexp_extract(item, r"\[([^\]]*)\]", 1)).alias("_rl_body"),
-        *[F.when(multi, F.regexp_extract(item, MULTI_GROUP_RE, i)).alias(f"_rl_m{i}")
-          for i in range(1, 2 * MAX_STREAMED_GROUPS + 2)])
-    # Items with 2..MAX_STREAMED_GROUPS bracket groups: their product is
-    # streamed by one explode per group (each array holds one group's values),
-    # never built as one array. Other items pass through with a NULL value.
-    groups = F.col("_rl_groups")
-    for k in range(1, MAX_STREAMED_GROUPS + 1):
-        values = F.when((groups >= 2) & (groups <= MAX_STREAMED_GROUPS) & (groups >= k),
-                        expand_ranges(F.col(f"_rl_m{2 * k}"))) \
-            .otherwise(F.array(F.lit(None).cast("string")))
-        parts = parts.select("*", F.explode(values).alias(f"_rl_v{k}"))
-    streamed = F.concat(F.col("_rl_m1"), *[F.concat(F.coalesce(F.col(f"_rl_v{k}"), F.lit("")),
-                                                    F.coalesce(F.col(f"_rl_m{2 * k + 1}"), F.lit("")))
-                                           for k in range(1, MAX_STREAMED_GROUPS + 1)])
-    # One row per range of a one-group item, or per finished host otherwise.
-    unit = "struct<host:string,r:string>"
-    body = F.col("_rl_body")
-    ranges = parts.select(
-        F.col(alloc), "_rl_pre", "_rl_suf",
-        F.explode(
-            F.when(F.col("_rl_item") == "", F.array().cast(f"array<{unit}>"))
-            .when(groups == 0, F.array(F.struct(F.col("_rl_item").alias("host"),
-                                                F.lit(None).cast("string").alias("r"))))
-            .when(groups == 1, F.transform(F.split(body, ","), lambda x: F.struct(
-                F.lit(None).cast("string").alias("host"), x.alias("r"))))
-            .when(groups <= MAX_STREAMED_GROUPS, F.array(F.struct(
-                streamed.alias("host"), F.lit(None).cast("string").alias("r"))))
-            .otherwise(F.transform(expand_hostlist_item(F.col("_rl_item")), lambda h: F.struct(
-                h.alias("host"), F.lit(None).cast("string").alias("r"))))
-        ).alias("_rl_u"))
-    r = F.col("_rl_u.r")
-    lo_txt = F.regexp_extract(r, RANGE_RE, 1)
-    hi_txt = F.regexp_extract(r, RANGE_RE, 2)
+    parts = items.select(F.col(alloc), item.alias("_rl_item")).select(
+        F.col(alloc), (F.col("_rl_item") != "").alias("_rl_any"),
+        F.split("_rl_item", r"\[[^\]]*\]").alias("_rl_texts"),
+        F.regexp_extract_all("_rl_item", F.lit(BRACKETS_RE), 1).alias("_rl_bodies"))
+    n = F.size("_rl_bodies")
+    groups = F.transform(F.slice("_rl_bodies", 1, F.greatest(n - 1, F.lit(0))), _ranges)
+    last = F.when(n > 0, F.split(F.get("_rl_bodies", n - 1), ",")).otherwise(F.array(F.lit(None).cast("string")))
+    parts = parts.select(F.col(alloc), "_rl_any", "_rl_texts", F.when(n > 1, groups).alias("_rl_groups"),
+                         last.alias("_rl_last"), F.get("_rl_texts", n).alias("_rl_suf"))
+    sizes = F.transform("_rl_groups", lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, r: a + r["n"]))
+    parts = parts.withColumn("_rl_sizes", sizes)
+    several = F.col("_rl_groups").isNotNull()
+    total = F.aggregate("_rl_sizes", F.lit(1).cast("long"), lambda a, s: a * s)
+    parts = parts.withColumn("_rl_total", total)
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+    chunk = F.lit(RANGE_CHUNK).cast("long")
+    combos = parts.select("*", F.explode(
+        F.when(~F.col("_rl_any"), none).when(~several, F.array(zero))
+        .when(F.col("_rl_total") > 0, F.sequence(zero, F.col("_rl_total") - 1, chunk)).otherwise(none)).alias("_rl_first"))
+    combos = combos.select("*", F.explode(F.when(several, F.sequence(
+        F.col("_rl_first"), F.least(F.col("_rl_first") + chunk - 1, F.col("_rl_total") - 1))).otherwise(F.array(zero))).alias("_rl_number"))
+    head = F.when(several, F.concat(
+        _combination(F.col("_rl_texts"), F.col("_rl_groups"), F.col("_rl_sizes"), F.col("_rl_number")),
+        F.get("_rl_texts", F.size("_rl_groups")))).otherwise(F.get("_rl_texts", F.lit(0)))
+    ranges = combos.select(F.col(alloc), head.alias("_rl_pre"), "_rl_suf", "_rl_last") \
+        .select(F.col(alloc), "_rl_pre", "_rl_suf", F.explode("_rl_last").alias("_rl_r"))
+    low, high = F.regexp_extract("_rl_r", RANGE_RE, 1), F.regexp_extract("_rl_r", RANGE_RE, 2)
     bounds = ranges.select(
-        F.col(alloc), "_rl_pre", "_rl_suf", F.col("_rl_u.host").alias("_rl_direct"),
-        F.col("_rl_u.r").alias("_rl_r"), F.length(lo_txt).alias("_rl_w"),
-        lo_txt.try_cast("long").alias("_rl_lo"),
-        F.coalesce(F.nullif(hi_txt, F.lit("")), lo_txt).try_cast("long").alias("_rl_hi"))
+        F.col(alloc), "_rl_pre", "_rl_suf", "_rl_r", F.length(low).alias("_rl_w"), low.try_cast("long").alias("_rl_lo"),
+        F.coalesce(F.nullif(high, F.lit("")), low).try_cast("long").alias("_rl_hi"))
     lo, hi = F.col("_rl_lo"), F.col("_rl_hi")
-    # A range is exploded in two steps, chunk starts and then the numbers of
-    # one chunk, so no row ever holds an array longer than RANGE_CHUNK
-    # (``n[1-100000000]`` would otherwise be one array of 10^8 numbers).
+    plain = F.col("_rl_r").isNull()       # an item without brackets
     chunks = bounds.select(
-        F.col(alloc), "_rl_pre", "_rl_suf", "_rl_w", "_rl_direct", "_rl_hi",
-        F.explode(F.when(F.col("_rl_r").isNull(), F.array(F.lit(None).cast("long")))
-                  .when(lo.isNotNull() & (hi >= lo), F.sequence(lo, hi, F.lit(RANGE_CHUNK).cast("long")))
-                  .otherwise(F.array().cast("array<bigint>"))).alias("_rl_c"))
+        F.col(alloc), "_rl_pre", "_rl_suf", "_rl_w", "_rl_hi",
+        F.explode(F.when(plain, F.array(F.lit(None).cast("long")))
+                  .when(lo.isNotNull() & (hi >= lo), F.sequence(lo, hi, chunk)).otherwise(none)).alias("_rl_c"))
     c = F.col("_rl_c")
     numbers = chunks.select(
-        F.col(alloc), "_rl_pre", "_rl_suf", "_rl_w", "_rl_direct",
+        F.col(alloc), "_rl_pre", "_rl_suf", "_rl_w",
         F.explode(F.when(c.isNull(), F.array(F.lit(None).cast("long")))
-                  .otherwise(F.sequence(c, F.least(c + F.lit(RANGE_CHUNK - 1), F.col("_rl_hi")))))
-        .alias("_rl_num"))
+                  .otherwise(F.sequence(c, F.least(c + F.lit(RANGE_CHUNK - 1), F.col("_rl_hi"))))).alias("_rl_num"))
     num = F.col("_rl_num").cast("string")
-    host = F.when(F.col("_rl_direct").isNotNull(), F.col("_rl_direct")).otherwise(F.concat(
-        F.col("_rl_pre"), F.lpad(num, F.greatest(F.col("_rl_w"), F.length(num)), "0"),
-        F.col("_rl_suf")))
+    host = F.when(num.isNull(), F.col("_rl_pre")).otherwise(F.concat(
+        F.col("_rl_pre"), F.lpad(num, F.greatest(F.col("_rl_w"), F.length(num)), "0"), F.col("_rl_suf")))
     return numbers.select(F.col(alloc), host.alias(out)).dropDuplicates([alloc, out])
 
 

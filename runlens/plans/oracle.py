@@ -466,6 +466,19 @@ SELECT user_id FROM e GROUP BY user_id HAVING count(*) FILTER (WHERE event_type
     "first_outcome_states": STATES,
     "stream_outcome_states": f"SELECT job_id, outcome, outcome_ts FROM ({STATES}) s",
     "stream_deadline_hot": FLEET,
+    "placeholders_hot_key": """
+WITH t AS (SELECT o_orderkey, o_orderkey % 997 AS m, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS cust, o_orderpriority
+           FROM orders),
+r AS (SELECT t.o_orderkey,
+             'p=' || t.o_orderpriority || ' q=' || coalesce(u.o_orderpriority, '${V' || t.m || '}') || ' $'
+               || coalesce(w.o_orderpriority, '$V1') AS resolved
+      FROM t LEFT JOIN t u ON u.o_orderkey = t.m AND u.cust = t.cust LEFT JOIN t w ON w.o_orderkey = 1 AND w.cust = t.cust)
+SELECT * FROM r UNION ALL SELECT * FROM r WHERE o_orderkey % 5 = 0
+""",
+    "placeholders_global": """
+SELECT o_orderkey, 'by ' || coalesce(c.c_name, '$C' || o_custkey) || ' not ${C} of ' || coalesce(d.c_name, '${C' || (o_orderkey % 2000) || '}') AS resolved
+FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey LEFT JOIN customer d ON d.c_custkey = o_orderkey % 2000
+""",
     "last_match_null_keys": f"""
 WITH c AS (SELECT CASE WHEN conv_id % 5 <> 0 THEN conv_id END AS k, conv_id, turn, ' ' || role || '=' || text AS line FROM conversations),
 h AS (SELECT * FROM c WHERE instr(line, 'user=') > 1

@@ -703,6 +703,27 @@ def q_stream_deadline_hot(spark, sf_dir):
                                        partitions=_state_partitions(spark))
 
 
+def q_placeholders_hot_key(spark, sf_dir):
+    """S6 where one key holds a third of all variables and texts; without a row id, the first text of each kind twice."""
+    o = table(spark, sf_dir, "orders")
+    key = F.when(F.col("o_orderkey") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("o_custkey"))
+    env = o.select(key.alias("cust"), F.concat(F.lit("V"), F.col("o_orderkey")).alias("name"), F.col("o_orderpriority").alias("value"))
+    text = F.concat(F.lit("p=$V"), F.col("o_orderkey"), F.lit(" q=${V"), F.col("o_orderkey") % 997, F.lit("} $$V1"))
+    texts = o.select(key.alias("cust"), text.alias("text"), "o_orderkey")
+    res = op.resolve_placeholders(texts.unionByName(texts.where(F.col("o_orderkey") % 5 == 0)), "text", env, keys=["cust"], out="resolved")
+    return res.select("o_orderkey", "resolved")
+
+
+def q_placeholders_global(spark, sf_dir):
+    """S6 with one environment for all texts."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    env = c.select(F.concat(F.lit("C"), F.col("c_custkey")).alias("name"), F.col("c_name").alias("value"))
+    text = F.concat(F.lit("by $C"), F.col("o_custkey"), F.lit(" not ${C} of ${C"), F.col("o_orderkey") % 2000, F.lit("}"))
+    res = op.resolve_placeholders(o.select("o_orderkey", text.alias("text")), "text", env, out="resolved", row_id="o_orderkey")
+    return res.select("o_orderkey", "resolved")
+
+
 def q_last_match_null_keys(spark, sf_dir):
     """S4 where one listing has no key."""
     conv = table(spark, sf_dir, "conversations").withColumn("k", F.when(F.col("conv_id") % 5 != 0, F.col("conv_id")))
@@ -781,6 +802,8 @@ QUERIES: dict[str, Query] = {
     "first_outcome_states": q_first_outcome_states,
     "stream_outcome_states": q_stream_outcome_states,
     "stream_deadline_hot": q_stream_deadline_hot,
+    "placeholders_hot_key": q_placeholders_hot_key,
+    "placeholders_global": q_placeholders_global,
     "last_match_null_keys": q_last_match_null_keys,
     "missing_null_run": q_missing_null_run,
 }

@@ -111,7 +111,17 @@ def test_repeated_value_is_one_row_per_slice(spark):
 
 def test_placeholders_move_the_texts_once(spark):
     p = plan(QUERIES["placeholders"](spark, SF_SMALL))
-    assert "ObjectHashAggregate" in p and p.count("SortMergeJoin") + p.count("BroadcastHashJoin") == 2   # one builds the variables
+    assert p.count("SortMergeJoin") + p.count("BroadcastHashJoin") == 3      # one builds the variables, one finds values, one brings them to the texts
+
+
+def test_placeholders_gather_no_environment(spark):
+    """Variables are only aggregated by key and name, and no subquery brings them through the driver."""
+    for name in ("placeholders_hot_key", "placeholders_global"):
+        p = plan(QUERIES[name](spark, SF_SMALL))
+        assert "Subquery" not in p and "_rl_name" in p
+        for line in p.splitlines():
+            if "collect_list" in line and "keys=" in line:
+                assert "o_orderkey" in line or "text" in line
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"stream_outcome", "stream_barrier", "stream_deadline"}))
@@ -130,7 +140,7 @@ def test_sweep_grid_is_generated_not_joined(spark):
     _ = F  # noqa
 
 
-@pytest.mark.parametrize("name", sorted(q for q in QUERIES if q.endswith("_hot")))
+@pytest.mark.parametrize("name", sorted(q for q in QUERIES if q.endswith("_hot") and not q.startswith("stream")))
 def test_hot_queries_take_the_split_plan(spark, name):
     p = plan(QUERIES[name](spark, SF_SMALL))
     assert "rangepartitioning(" in p and "_rl_seg" in p
