@@ -37,3 +37,19 @@ def missing_runs(grid: DataFrame, present: DataFrame, keys: Sequence[str]) -> Da
     keys = list(keys)
     seen = present.select(*[F.col(k).alias(f"_rl_p_{k}") for k in keys]).dropDuplicates()
     return grid.join(seen, on=[F.col(k).eqNullSafe(F.col(f"_rl_p_{k}")) for k in keys], how="left_anti")
+
+
+def within_limit(keys: Sequence[str], at: str, done: str, limit_s: float) -> list[Column]:
+    """Join condition: equal keys (NULLs too, on the right as ``_rl_p_<key>``) and ``done`` from ``at`` up to ``limit_s`` later."""
+    limit = F.expr(f"INTERVAL {int(round(limit_s * 1_000_000))} MICROSECOND")
+    return [F.col(k).eqNullSafe(F.col(f"_rl_p_{k}")) for k in keys] \
+        + [F.col(done) >= F.col(at), F.col(done) <= F.col(at) + limit]
+
+
+def missing_phase(starts: DataFrame, done: DataFrame, keys: Sequence[str], ts: str, limit_s: float) -> DataFrame:
+    """Starts whose phase did not come within ``limit_s`` (D7 over time): a left anti join on the keys within the limit.
+
+    Several finished phases of a key at one time are one. Starts without a time are left out.
+    """
+    seen = done.select(*[F.col(k).alias(f"_rl_p_{k}") for k in keys], F.col(ts).alias("_rl_done")).dropDuplicates()
+    return starts.where(F.col(ts).isNotNull()).join(seen, on=within_limit(keys, ts, "_rl_done", limit_s), how="left_anti")

@@ -101,6 +101,14 @@ SELECT user_id AS job_id, start_ts, n_members, ready_ts, failed_ts, outcome, out
 FROM o
 """
 
+MISSING = """
+WITH e AS (SELECT CASE WHEN user_id % 25 <> 0 THEN user_id END AS run_id, * FROM events)
+SELECT s.event_id, s.run_id, s.ts FROM e s
+WHERE s.event_type = 'view' AND NOT EXISTS (
+  SELECT 1 FROM e d WHERE d.event_type = 'click' AND d.run_id IS NOT DISTINCT FROM s.run_id
+                      AND d.ts BETWEEN s.ts AND s.ts + INTERVAL 12 HOUR)
+"""
+
 FLEET = """
 WITH e AS (
   SELECT CASE WHEN event_id % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE user_id END AS job_id, ts,
@@ -478,6 +486,12 @@ SELECT * FROM r UNION ALL SELECT * FROM r WHERE o_orderkey % 5 = 0
     "placeholders_global": """
 SELECT o_orderkey, 'by ' || coalesce(c.c_name, '$C' || o_custkey) || ' not ${C} of ' || coalesce(d.c_name, '${C' || (o_orderkey % 2000) || '}') AS resolved
 FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey LEFT JOIN customer d ON d.c_custkey = o_orderkey % 2000
+""",
+    "missing_startups": MISSING,
+    "stream_missing": f"""
+WITH w AS (SELECT least(max(ts) FILTER (WHERE event_type = 'view'), max(ts) FILTER (WHERE event_type = 'click')) - INTERVAL 1 HOUR AS mark
+           FROM events)
+SELECT m.* FROM ({MISSING}) m, w WHERE m.ts + INTERVAL 12 HOUR < mark
 """,
     "last_match_null_keys": f"""
 WITH c AS (SELECT CASE WHEN conv_id % 5 <> 0 THEN conv_id END AS k, conv_id, turn, ' ' || role || '=' || text AS line FROM conversations),

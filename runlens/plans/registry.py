@@ -24,7 +24,7 @@ from runlens.operators.text import WORKER_ID_RE
 from runlens.schemas import TRACE
 from runlens.session import scratch_path
 from runlens.streaming import (
-    event_stream, stream_barrier_table, stream_deadline_table, stream_fleet_deadline_table, stream_outcome_table,
+    event_stream, stream_barrier_table, stream_deadline_table, stream_fleet_deadline_table, stream_missing_table, stream_outcome_table,
     stream_state_outcome_table,
 )
 
@@ -724,6 +724,28 @@ def q_placeholders_global(spark, sf_dir):
     return res.select("o_orderkey", "resolved")
 
 
+PHASE_LIMIT_S = 12 * 3600
+
+
+def _run_phases(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Downloads (views) and startups (clicks) of runs; every 25th user has no run key."""
+    ev = ev.withColumn("run_id", F.when(F.col("user_id") % 25 != 0, F.col("user_id")))
+    return (ev.where(F.col("event_type") == "view").select("event_id", "run_id", "ts"),
+            ev.where(F.col("event_type") == "click").select("run_id", "ts"))
+
+
+def q_missing_startups(spark, sf_dir):
+    starts, done = _run_phases(table(spark, sf_dir, "events"))
+    return op.missing_phase(starts, done, ["run_id"], "ts", PHASE_LIMIT_S)
+
+
+def q_stream_missing(spark, sf_dir):
+    starts, _ = _run_phases(_event_stream(spark, sf_dir))
+    _, done = _run_phases(_event_stream(spark, sf_dir))
+    return stream_missing_table(spark, starts, done, ["run_id"], "ts", PHASE_LIMIT_S, delay=WATERMARK_DELAY,
+                                partitions=_state_partitions(spark))
+
+
 def q_last_match_null_keys(spark, sf_dir):
     """S4 where one listing has no key."""
     conv = table(spark, sf_dir, "conversations").withColumn("k", F.when(F.col("conv_id") % 5 != 0, F.col("conv_id")))
@@ -804,6 +826,8 @@ QUERIES: dict[str, Query] = {
     "stream_deadline_hot": q_stream_deadline_hot,
     "placeholders_hot_key": q_placeholders_hot_key,
     "placeholders_global": q_placeholders_global,
+    "missing_startups": q_missing_startups,
+    "stream_missing": q_stream_missing,
     "last_match_null_keys": q_last_match_null_keys,
     "missing_null_run": q_missing_null_run,
 }
