@@ -11,10 +11,10 @@
    the longest document, not by the corpus.
 3. Within a (source, size) the documents with the smallest seeded hash are taken. The hash of the last one is
    the stratum's cutoff, found from counts per hash bucket and a rank inside the one bucket it falls into, so
-   no stratum is ranked in one task. The documents meet only a table of cutoffs.
+   no stratum is ranked in one task; rows equal in id and text are told apart by their place in the input. The documents meet only a table of cutoffs.
 
 Defined results: a null or empty text has size 0 and takes 0 words (it stays in the result); null is a source
-of its own; a source without words has target 0; rows equal in id and text share a hash and are taken together;
+of its own; a source without words has target 0; of rows equal in id and text as many are taken as the cutoff leaves;
 an empty table gives an empty result. Input columns pass through ``mix`` unchanged, its own start with ``mix_``.
 """
 
@@ -43,6 +43,7 @@ def with_size(docs: DataFrame, seed: int) -> DataFrame:
         "mix_source": F.coalesce(F.col("source"), F.lit("")),
         "mix_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
         "mix_hash": F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")),
+        "mix_row": F.monotonically_increasing_id(),
     })
 
 
@@ -124,7 +125,7 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
 def cutoffs(sized: DataFrame, weights: list[int] = WEIGHTS) -> DataFrame:
     """One row per (source, size): target, whole copies, and the last hash that is taken once more (null: none)."""
     stratum = [*KEY, "mix_size"]
-    sized = sized.select(*stratum, "mix_hash").withColumn(
+    sized = sized.select(*stratum, "mix_hash", "mix_row").withColumn(
         "mix_bucket", F.shiftrightunsigned("mix_hash", 52).cast("int"))
     counts = sized.groupBy(*stratum, "mix_bucket").agg(F.count("*").alias("n"))
     by_size = counts.groupBy(*stratum).agg(F.sum("n").alias("n_docs"))
@@ -135,10 +136,10 @@ def cutoffs(sized: DataFrame, weights: list[int] = WEIGHTS) -> DataFrame:
     edge = (counts.withColumn("upto", upto).join(fits.select(*stratum, "mix_take").where("mix_take > 0"), stratum)
             .where("upto >= mix_take and upto - n < mix_take")
             .select(*stratum, "mix_bucket", (F.col("mix_take") - F.col("upto") + F.col("n")).alias("want")))
-    in_bucket = W.partitionBy(*stratum, "mix_bucket").orderBy("mix_low")
+    in_bucket = W.partitionBy(*stratum, "mix_bucket").orderBy("mix_low", "mix_row")
     last = (sized.withColumn("mix_low", F.col("mix_hash").bitwiseAND(F.lit((1 << 52) - 1)))
             .join(edge, [*stratum, "mix_bucket"]).withColumn("rank", F.row_number().over(in_bucket))
-            .where("rank = want").select(*stratum, F.col("mix_bucket").alias("cut_bucket"), F.col("mix_low").alias("cut_low")))
+            .where("rank = want").select(*stratum, F.col("mix_bucket").alias("cut_bucket"), F.col("mix_low").alias("cut_low"), F.col("mix_row").alias("cut_row")))
     return fits.join(last, stratum, "left").drop("mix_take")
 
 
@@ -146,16 +147,17 @@ def copies(sized: DataFrame, cuts: DataFrame) -> DataFrame:
     """``sized`` with target columns and ``mix_copies``, how often each document is taken."""
     bucket = F.shiftrightunsigned("mix_hash", 52).cast("int")
     low = F.col("mix_hash").bitwiseAND(F.lit((1 << 52) - 1))
-    once_more = (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & (low <= F.col("cut_low")))
+    once_more = (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & (
+        (low < F.col("cut_low")) | ((low == F.col("cut_low")) & (F.col("mix_row") <= F.col("cut_row")))))
     return (sized.join(cuts, [*KEY, "mix_size"])
             .withColumn("mix_copies", F.when(F.col("mix_size") == 0, 0).otherwise(
                 F.col("mix_whole") + F.coalesce(once_more, F.lit(False)).cast("long")))
-            .drop("cut_bucket", "cut_low", "mix_whole"))
+            .drop("cut_bucket", "cut_low", "cut_row", "mix_whole"))
 
 
 def mix(docs: DataFrame, weights: list[int] = WEIGHTS, seed: int = 7) -> DataFrame:
     """The mixed corpus: every document as often as it is taken (documents without words go)."""
-    narrow = stored(with_size(docs, seed).select(*KEY, "mix_size", "mix_hash"), "mix_sizes")
+    narrow = stored(with_size(docs, seed).select(*KEY, "mix_size", "mix_hash", "mix_row"), "mix_sizes")
     taken = copies(with_size(docs, seed), stored(cutoffs(narrow, weights), "mix_cuts"))
     each = F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))
     return taken.withColumn("mix_n", each).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -164,7 +166,7 @@ def mix(docs: DataFrame, weights: list[int] = WEIGHTS, seed: int = 7) -> DataFra
 def report(docs: DataFrame, seed: int = 7) -> DataFrame:
     """op7's contract columns."""
     sized = stored(with_size(docs.select("doc_id", "source", "text"), seed)
-                   .select("doc_id", *KEY, "mix_size", "mix_hash"), "mix_sizes")
+                   .select("doc_id", *KEY, "mix_size", "mix_hash", "mix_row"), "mix_sizes")
     out = copies(sized, cutoffs(sized))
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
                       F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))

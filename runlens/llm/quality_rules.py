@@ -26,6 +26,7 @@ from runlens.llm.common import WORD, let
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+MARKS = ".,;:!?\"()"      # left off a word before it is looked up among the stop words
 
 # Frequent function words of the corpus languages.
 STOP_WORDS = [
@@ -38,10 +39,10 @@ STOP_WORDS = [
 
 @dataclass(frozen=True)
 class Rule:
-    """``min_pct * den <= 100 * count <= max_pct * den``; ``den`` None means a plain count of units (1)."""
+    """``min_pct * den <= 100 * count <= max_pct * den``."""
     name: str
     count: str
-    den: str | None
+    den: str
     min_pct: int | None = None
     max_pct: int | None = None
 
@@ -51,7 +52,7 @@ RULES = [
     Rule("symbols_per_word", "n_symbols", "n_words", None, 10),
     Rule("exclamations_per_word", "n_exclaims", "n_words", None, 20),
     Rule("upper_case_share", "n_upper", "word_chars", None, 30),
-    Rule("stop_words", "n_stop", None, 200, None),
+    Rule("stop_words", "n_stop", "n_words", 5, None),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 60),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 90),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 30),
@@ -95,7 +96,7 @@ def measures(text: Column) -> dict[str, Column]:
     counts = {
         "n_words": lambda w, ln: F.size(w),
         "n_repeat_words": lambda w, ln: repeat_words(w),
-        "n_stop": lambda w, ln: F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))),
+        "n_stop": lambda w, ln: F.size(F.filter(w, lambda x: F.lower(F.translate(x, MARKS, "")).isin(STOP_WORDS))),
         "n_lines": lambda w, ln: F.size(ln),
         "n_dup_lines": lambda w, ln: F.size(ln) - F.size(F.array_distinct(ln)),
         "n_bullet_lines": lambda w, ln: F.size(F.filter(ln, lambda x: x.rlike("^[ \\t]*[-*\u2022]"))),
@@ -120,7 +121,7 @@ def compile_rules(rules: list[Rule], col) -> Column:
     """One boolean column: every rule holds. ``col`` maps a measure name to its column."""
     ok = F.lit(True)
     for r in rules:
-        den = col(r.den) if r.den else F.lit(1)
+        den = col(r.den)
         if r.min_pct is not None:
             ok = ok & (100 * col(r.count) >= r.min_pct * den)
         if r.max_pct is not None:
@@ -184,7 +185,7 @@ WITH t AS (
          (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
          (length(text) - length(replace(text, '!', '')))::BIGINT AS n_exclaims,
          length(regexp_replace(text, '[^A-Z\u00c0-\u00d6\u00d8-\u00de]+', '', 'g'))::BIGINT AS n_upper,
-         len(list_filter(ws, lambda x: x IN ({_STOP_SQL})))::BIGINT AS n_stop,
+         len(list_filter(ws, lambda x: lower(translate(x, '{MARKS}', '')) IN ({_STOP_SQL})))::BIGINT AS n_stop,
          len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
          len(list_filter(ls, lambda x: regexp_matches(x, '^[ \\t]*[-*\u2022]')))::BIGINT AS n_bullet_lines,
          len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|\u2026)[ \\t\\r]*$')))::BIGINT AS n_ellipsis_lines,
@@ -196,7 +197,7 @@ WITH t AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 100 * word_chars BETWEEN 200 * n_words AND 1400 * n_words
        AND 100 * n_symbols <= 10 * n_words AND 100 * n_exclaims <= 20 * n_words AND 100 * n_upper <= 30 * word_chars
-       AND n_stop >= 2 AND 100 * n_dup_lines <= 60 * n_lines AND 100 * n_bullet_lines <= 90 * n_lines
+       AND 100 * n_stop >= 5 * n_words AND 100 * n_dup_lines <= 60 * n_lines AND 100 * n_bullet_lines <= 90 * n_lines
        AND 100 * n_ellipsis_lines <= 30 * n_lines AS kept
 FROM b
 """

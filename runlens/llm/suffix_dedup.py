@@ -13,7 +13,7 @@ these strings cover (180 at most) are the anchor's context.
 
 So suffix arrays are built over what differs between repetitions, and no task holds more than one small group at a time.
 
-Order: documents by id, null ids after all others by content; repeated ids by content. Rows equal in id and text are one document:
+Order: documents by id, null ids after all others by content; texts of one id by their hash. Rows equal in id and text are one document:
 each gets its result. A null text is empty; texts shorter than 100 bytes keep all bytes; an empty table gives an empty result.
 Equal grams, contexts and strings are told by 64-bit hashes of their bytes (two of them together for contexts and dealt-out strings, the
 bytes themselves in suffix arrays).
@@ -26,15 +26,16 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm import common, lyndon
-from runlens.llm.common import U64, by_value, mix64, prefix_hashes, slices, stored, text_buffer
+from runlens.llm.common import U64, by_value, few, mix64, prefix_hashes, slices, stored, text_buffer
 from runlens.llm.lyndon import ragged, suffix_arrays
 
 LENGTH = 100
 GRAM = 20
+TEXTS = 1 << 25         # most different texts of one id
 CONTEXTS = 64           # most contexts of a gram whose suffix array is built
 PART_BYTES = 2 << 20
 HELD = 1_500_000        # anchors a task holds before it passes them on
@@ -52,17 +53,37 @@ _COVERED = pa.schema([("dk", pa.int64()), ("w", pa.int64())])
 
 
 def pack(lo, width, th):
-    """A run of strings of one document: first start, number of strings less one (under 128), text mark."""
-    return (lo << 23) | (width << 16) | th
+    """A run of strings of one document: number of the text among those of its id (``TEXTS`` at most), first start (a
+    text has under 2^31 bytes), number of strings less one (under 128). Runs of one id are ordered by text, then start."""
+    return (th << 38) | (lo << 7) | width
+
+
+def place_of(w):
+    """Text and first start as one number that orders the strings of an id."""
+    return w >> 7
+
+
+def start_of(w):
+    return (w >> 7) & 0x7FFFFFFF
+
+
+def text_of(w):
+    return w >> 38
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``dk`` orders documents, ``th`` marks the text; together they name a document."""
+    """``dk`` orders documents, ``th`` numbers the different texts of one id by their hash (0 almost always); together they name a
+    document. Ids with several texts are found by one aggregate of two hashes per id, and only their rows are numbered."""
     text = F.coalesce(F.col("text"), F.lit(""))
     h = F.xxhash64(text)
     dk: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + h.bitwiseAND(F.lit((1 << 62) - 1)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), dk.alias("dk"),
-                       h.bitwiseAND(F.lit(0xFFFF)).alias("th"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), dk.alias("dk"), h.alias("h"), text.alias("text"))
+    several = rows.groupBy("dk").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("dk")
+    number = F.row_number().over(Window.partitionBy("dk").orderBy("h")) - 1
+    fits = F.when(number < TEXTS, number).otherwise(F.raise_error(F.lit(f"an id has more than {TEXTS} different texts")))
+    marks = stored(rows.select("dk", "h").join(several, "dk", "left_semi").distinct().withColumn("th", fits.cast("long")), "suffix_texts")
+    return (rows.join(few(marks), ["dk", "h"], "left")
+            .select("doc_id", "dk", F.coalesce("th", F.lit(0).cast("long")).alias("th"), "text"))
 
 
 def anchors(buf: np.ndarray, off: np.ndarray):
@@ -215,7 +236,7 @@ def cut_out(batches):
         for i in range(b.num_rows):
             buf = np.frombuffer(b.column("text")[i].as_buffer(), np.uint8)
             kind, g, w = (np.asarray(b.column(f)[i].values) for f in ("kinds", "gs", "ws"))
-            lo, width = w >> 23, (w >> 16) & 127
+            lo, width = start_of(w), w & 127
             for k in np.flatnonzero(kind == 1):
                 rows.append((1, g[k], 0, dk_col[i], w[k], buf[lo[k]:lo[k] + width[k] + LENGTH].tobytes()))
             many = np.flatnonzero(kind == 2)
@@ -224,7 +245,7 @@ def cut_out(batches):
                 at = ragged(lo[many], width[many] + 1)
                 h = mix64((s[at + LENGTH] - s[at]) * inv[at]).view(np.int64)
                 held.append((h, np.repeat(g[many], width[many] + 1), np.full(len(at), dk_col[i]),
-                             pack(at, 0, w[many[0]] & 0xFFFF)))
+                             pack(at, 0, text_of(w[many[0]]))))
                 n += len(at)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CUT)], schema=_CUT)
@@ -295,9 +316,9 @@ def solve(batches):
         g = np.array([r[0] for r in rows])
         group = np.cumsum(np.diff(g, prepend=~g[:1]) != 0)
         dk, w = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        ctx, lo, width = runs(*later_strings([r[3] for r in rows], group, dk, w >> 23))
+        ctx, lo, width = runs(*later_strings([r[3] for r in rows], group, dk, place_of(w)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(dk[ctx]), pa.array(pack((w[ctx] >> 23) + lo, width, w[ctx] & 0xFFFF))], schema=_COVERED)
+            [pa.array(dk[ctx]), pa.array(pack(start_of(w[ctx]) + lo, width, text_of(w[ctx])))], schema=_COVERED)
 
     for b in batches:
         kind = np.asarray(b.column("kind"))
@@ -346,8 +367,8 @@ def cut_runs(batches):
                 out.append((len(data), 0, 0, data))
                 continue
             w = np.asarray(ws.values)
-            lo = w >> 23
-            hi = lo + ((w >> 16) & 127) + LENGTH
+            lo = start_of(w)
+            hi = lo + (w & 127) + LENGTH
             o = np.argsort(lo)
             lo, hi = lo[o], np.maximum.accumulate(hi[o])
             head = np.flatnonzero(np.append(True, lo[1:] > hi[:-1]))
@@ -363,7 +384,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row."""
     texts = keyed(docs)
     found = stored(places(texts).repartition("g").sortWithinPartitions("g", "c", "dk", "w").mapInArrow(resolve, FOUND), "suffix_found")
-    th = F.col("w").bitwiseAND(F.lit(0xFFFF)).alias("th")
+    th = F.shiftright("w", 38).alias("th")
     asked = (found.where("kind > 0").groupBy("dk", th).agg(F.collect_list(F.struct("kind", "g", "w")).alias("a"))
              .select("dk", "th", F.col("a.kind").alias("kinds"), F.col("a.g").alias("gs"), F.col("a.w").alias("ws")))
     spread = texts.repartition("dk", "th")                      # one exchange, read by both joins

@@ -86,3 +86,15 @@ def test_edges(frame, docs):
     assert len(rows) == len(EDGES)
     assert M.report(docs.limit(0)).collect() == []
     assert M.mix(docs.limit(0)).collect() == []
+
+
+def test_equal_rows_meet_the_target_too(frame):
+    """200 rows equal in id and text: just as many are taken as the target asks."""
+    rows = [(None, "one two three four five six seven eight", "b")] * 200 + [(k, "w " * 16, "a") for k in range(40)]
+    got = M.report(frame(rows)).collect()
+    for source in (200 * 8, 40 * 16):
+        mine = [r for r in got if r.source_size == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine)
+        assert all(r.taken <= 3 * r.size for r in mine)
+    df = frame(rows)
+    assert M.mix(df).count() == sum(r.taken // r.size for r in got)

@@ -40,3 +40,11 @@ def test_oracle(spark):
     from oracle_compare import compare, duck
     ok, msg = compare(QUERIES["op1_quality_rules"](spark, SF), duck(SF), ORACLE["op1_quality_rules"])
     assert ok, msg
+
+
+def test_stop_words_are_read_whatever_their_case_and_marks(frame):
+    plain = " ".join(f"the word{k} of" for k in range(20))
+    rows = [(1, plain), (2, plain.replace("the", "The")), (3, plain.replace("the", "the,").replace("of", "OF.")), (4, " ".join(f"word{k}" for k in range(60))),
+            (5, " ".join(f"word{k}" for k in range(58)) + " the of")]
+    got = {r.doc_id: r.kept for r in Q.report(frame(rows)).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False}

@@ -65,3 +65,26 @@ def test_edges(frame):
 
 def test_empty_table(docs):
     assert S.report(docs.limit(0)).collect() == []
+
+
+def test_texts_of_one_id_do_not_share_their_runs(frame):
+    """Many different texts under one id, some that repeat others in part: each loses its own bytes only."""
+    rng = random.Random(9)
+    words = [f"v{k}x" for k in range(400)]
+    passage = " ".join(rng.choice(words) for _ in range(50))
+    lone = " ".join(rng.choice(words) for _ in range(90))
+    many = [(7, " ".join(rng.choice(words) for _ in range(rng.randint(0, 80))) + (" " + passage if k % 3 == 0 else "")) for k in range(200)]
+    got = {}
+    for r in S.report(frame([(3, passage + " tail"), (7, lone), *many])).collect():
+        got.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    n = sum(passage in t for _, t in many)
+    assert sum(r[1] > 0 for r in got[7]) == n and got[3][0][1] == 0
+    whole = sorted((len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()) for _, t in [(7, lone), *many] if passage not in t)
+    assert sorted(r for r in got[7] if not r[1]) == whole
+
+
+def test_numbers_of_a_place_come_back():
+    for lo, width, th in [(0, 0, 0), (2 ** 31 - 1, 127, 2 ** 25 - 1), (12345, 3, 9)]:
+        w = S.pack(np.int64(lo), np.int64(width), np.int64(th))
+        assert w >= 0 and (S.start_of(w), w & 127, S.text_of(w)) == (lo, width, th)
+    assert S.pack(5, 0, 1) > S.pack(2 ** 31 - 1, 127, 0)
