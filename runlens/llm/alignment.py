@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm import common
-from runlens.llm.common import by_value, slices, stored
+from runlens.llm.common import by_value, scratch, slices, stored
 
 PART = 1 << 19          # bytes of text aligned at once
 LINKS = 1 << 18         # links counted or looked up at once
@@ -269,9 +269,10 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, pattern: str | None = N
 
     ``pattern`` is the pre-tokeniser's regex of A, if A is byte-level.
     """
-    aligned = stored(tokenized(docs, a_path, b_path, pattern), "alignment")
-    pairs = stored(pair_counts(aligned), "alignment_pairs")
-    done = stored(scored(aligned, common_pairs(pairs, hot)), "alignment_scored")
+    with scratch() as keep:
+        aligned = stored(tokenized(docs, a_path, b_path, pattern), "alignment")
+        pairs = keep(stored(pair_counts(aligned), "alignment_pairs"))
+        done = keep(stored(scored(aligned, common_pairs(pairs, hot)), "alignment_scored"))
     plain = done.where(F.size("rare_a") == 0).select(*REPORT)
     links = done.where(F.size("rare_a") > 0).select("uid", F.explode(F.arrays_zip("rare_a", "rare_b")).alias("x"))
     rest = (links.select("uid", F.col("x.rare_a").alias("a"), F.col("x.rare_b").alias("b")).join(pairs, ["a", "b"])

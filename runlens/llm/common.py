@@ -9,6 +9,7 @@ hash with probability about 2**-64 per pair.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +31,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCOPES: list[dict[str, DataFrame]] = []
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` written to a new folder of the shared checkpoint folder and read back."""
+    """``df`` written to a new folder of the shared checkpoint folder and read back. A ``scratch`` block around it deletes the folder."""
     path = scratch_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = [path]
+    if _SCOPES:
+        _SCOPES[-1][path] = out
+    return out
+
+
+@contextmanager
+def scratch():
+    """Folders written inside are deleted at the end, but for those of the tables given to the yielded function, which the next
+    block outside takes over. Whatever reads a folder must have been written (``stored``) before its block ends."""
+    mine: dict[str, DataFrame] = {}
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.extend(table.stored_at)
+        return table
+
+    _SCOPES.append(mine)
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        for path, table in mine.items():
+            if path in kept:
+                if _SCOPES:
+                    _SCOPES[-1][path] = table
+            else:
+                _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:    # a remote session has none: its folders stay until the shared folder is cleared
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 FEW = 1 << 18           # most rows of ids or short strings that are broadcast

@@ -12,9 +12,10 @@ distance ``d = 1 - J`` is a metric; two points link when ``d <= r`` (``r = 0.25`
    far as still apart, against its other regions' pivots. Links found on the way join points to components, and points already
    joined are not compared again, so a large group of near copies costs one or a few comparisons a point.
 3. Regions that still hold more than one component are joined recursively: a large one gets document pivots, its points go to the
-   Voronoi region of their nearest pivot and, by the triangle inequality, to every other whose distance is at most ``2 r`` larger. Small ones,
-   and those that no longer shrink, compare the pairs whose distances to a common pivot differ by at most ``r`` (the window) and
-   whose sizes allow a link.
+   Voronoi region of their nearest pivot and, by the triangle inequality, to every other whose distance is at most ``2 r`` larger (the
+   window), and those regions are split again while that leaves fewer pairs. Small ones, and those that no longer shrink, are
+   compared in tiles: blocks of the points outside the largest component meet the region's points as they stream past, and
+   only pairs that may link leave a task.
 
 All decisions are exact: a pair is dropped on a bound that can only be too high, and else decided on the whole sets. The frequent shingles come from a sixteenth of the documents and are at most ``FREQUENT``;
 they only change the order, never the result. Regions of frequent shingles are found with partial aggregates and joins that Spark
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm import common
-from runlens.llm.common import U64, by_value, few, lower, mix64, shingle_hashes, slices, stored, text_buffer, words
+from runlens.llm.common import U64, by_value, few, lower, mix64, scratch, shingle_hashes, slices, stored, text_buffer, words
 
 SIZE = 5                # words per shingle
 NUM, DEN = 75, 100      # linked: DEN * intersection >= NUM * union
@@ -45,6 +46,8 @@ SAMPLE = 16             # one document in so many is looked at for frequent shin
 SMALL = 64              # points of a region whose pairs are compared without further pivots
 PIVOTS = 8
 GROUP_ROWS = 512        # comparisons with one point that a task is given together
+TILE = 512              # points of a tile's block
+TILE_CELLS = 1 << 16    # comparisons of a tile held at once
 PART_BYTES = 2 << 20
 
 
@@ -180,6 +183,11 @@ def _shared_runs(batches):
 def regions(replicas: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents' points, regions): rare shingles by one sorted exchange, frequent ones by aggregates and joins that can be split."""
     key = F.when(F.col("kind") == 1, F.col("s")).otherwise(F.xxhash64("doc_id", "s", "x"))
+    with scratch() as keep:
+        return _regions(replicas, key, keep)
+
+
+def _regions(replicas: DataFrame, key, keep) -> tuple[DataFrame, DataFrame]:
     found = stored(replicas.withColumn("key", key).repartition("key").sortWithinPartitions("kind", "s", "x").drop("key")
                    .mapInArrow(_shared_runs, POINTS), "jaccard_points")
     rare = found.where("kind = 1").select("s", "x", "size", "p", "p_size")
@@ -187,7 +195,8 @@ def regions(replicas: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = (hot.groupBy("s").agg(F.min(F.struct("x", "size")).alias("p"), F.max("x").alias("q")).where("p.x <> q")
               .select("s", F.col("p.x").alias("p"), F.col("p.size").alias("p_size")))
     hot = hot.join(firsts, "s").select("s", "x", "size", "p", "p_size")
-    return found.where("kind = 0").select("doc_id", "th", "n", "x"), stored(rare.unionByName(hot), "jaccard_regions")
+    return (keep(stored(found.where("kind = 0").select("doc_id", "th", "n", "x"), "jaccard_own")),
+            keep(stored(rare.unionByName(hot), "jaccard_regions")))
 
 
 def may_link(a, b):
@@ -282,11 +291,6 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def apart(near, exact, far):
-    """The triangle window: with these distances to a common pivot (``far`` may be a lower bound) two points cannot link."""
-    return exact & (far - near > RADIUS + 1e-12)
-
-
 def labelled(rows: DataFrame, comps: DataFrame | None, key: str, name: str) -> DataFrame:
     """``rows`` with the component of ``key`` as ``name`` (a point without links is its own)."""
     if comps is None:
@@ -317,37 +321,49 @@ class Join:
         far = rough.where(~near).select("a", "b", d, F.lit(False).alias("exact"), F.lit(False).alias("linked"))
         if close.isEmpty():
             return stored(far, "jaccard_distances")
+        return stored(far.unionByName(self.whole(close)), "jaccard_distances")
+
+    def whole(self, close: DataFrame) -> DataFrame:
+        """``a, b, d, exact, linked`` of the pairs (a, b), on whole sets."""
+        union = F.col("total") - F.col("common")
         ids = stored(close.select(F.col("a").alias("x")).unionByName(close.select(F.col("b").alias("x"))).distinct(), "jaccard_ids")
         owners = stored(self.owners.join(few(ids), "x", "left_semi"), "jaccard_owners")
         whole = paired(close, sets_of(self.docs, owners, self.size, sketch=False), sketch=False)
-        return stored(far.unionByName(whole.select(
-            "a", "b", d, F.lit(True).alias("exact"), (DEN * F.col("common") >= NUM * union).alias("linked"))), "jaccard_distances")
+        return whole.select("a", "b", (1 - F.col("common") / union).alias("d"), F.lit(True).alias("exact"),
+                            (DEN * F.col("common") >= NUM * union).alias("linked"))
 
     def compare(self, pairs: DataFrame) -> None:
         """Measure the distinct pairs (a, b) not measured yet and renew the components."""
         pairs = pairs.select("a", "b").distinct()
         if self.known is not None:
             pairs = pairs.join(self.known.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "jaccard_pairs")
-        if self.known is not None and pairs.isEmpty():
-            return
-        got = self.measure(pairs)
+        with scratch() as keep:
+            pairs = stored(pairs, "jaccard_pairs")
+            if self.known is not None and pairs.isEmpty():
+                return
+            got = keep(self.measure(pairs))
+        self.join(got)
+
+    def join(self, got: DataFrame) -> None:
+        """Take over new distances and renew the components."""
         self.known = got if self.known is None else self.known.unionByName(got)
         links = self.known.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        self.comps = stored(components(links), "jaccard_components")
+        with scratch() as keep:
+            self.comps = keep(stored(components(links), "jaccard_components"))
 
     def open_regions(self, rows: DataFrame) -> DataFrame:
         """The rows of regions that hold more than one component, with component ``c`` and the region's size ``n``.
 
         Of regions with the same points (near copies share most of their shingles) one is kept.
         """
-        rows = labelled(labelled(rows.select("s", "x", "size", "p"), self.comps, "x", "c"), self.comps, "p", "cp")
-        still = stored(rows.where("c <> cp").select("s").distinct(), "jaccard_still")
-        rows = stored(rows.join(few(still), "s", "left_semi").drop("cp"), "jaccard_open")
-        mark = F.sum(F.xxhash64("x").cast("decimal(20,0)")).cast("string")
-        each = rows.groupBy("s").agg(F.count("*").alias("n"), mark.alias("mark"), F.min("p").alias("p"))
-        one = stored(each.groupBy("n", "mark", "p").agg(F.min("s").alias("s")).select("s", "n"), "jaccard_one")
-        return stored(rows.join(few(one), "s"), "jaccard_sized")
+        with scratch() as keep:
+            rows = labelled(labelled(rows.select("s", "x", "size", "p"), self.comps, "x", "c"), self.comps, "p", "cp")
+            still = stored(rows.where("c <> cp").select("s").distinct(), "jaccard_still")
+            rows = stored(rows.join(few(still), "s", "left_semi").drop("cp"), "jaccard_open")
+            mark = F.sum(F.xxhash64("x").cast("decimal(20,0)")).cast("string")
+            each = rows.groupBy("s").agg(F.count("*").alias("n"), mark.alias("mark"), F.min("p").alias("p"))
+            one = stored(each.groupBy("n", "mark", "p").agg(F.min("s").alias("s")).select("s", "n"), "jaccard_one")
+            return keep(stored(rows.join(few(one), "s"), "jaccard_sized"))
 
     def meet(self, rows: DataFrame, turn: int) -> DataFrame:
         """Every point of the regions ``rows`` with each of up to ``PIVOTS`` pivots, and their distance; ``turn`` draws other pivots."""
@@ -373,50 +389,124 @@ class Join:
     def finish(self, rows: DataFrame) -> None:
         """Join the regions ``rows`` (s, x, size, p) exactly.
 
-        Large regions first meet a few drawn pivots, turn by turn, while that still joins components; only what stays apart is
-        split into Voronoi regions, and only regions that are small or no longer shrink compare their remaining pairs.
+        Large regions first meet a few drawn pivots, turn by turn, while that still joins components. What stays apart is split into
+        Voronoi regions, again and again while that makes the pairs inside regions fewer; then the regions are compared in tiles.
         """
-        turn, last, split = 0, None, False
+        turn, last = 0, None
         while True:
             rows = self.open_regions(rows)
-            n = (rows.groupBy("s").agg(F.first("n").alias("n"), F.count_distinct("c").alias("k"))
-                 .agg(F.count("*").alias("all"), F.count_if(F.col("n") > SMALL).alias("large"), F.sum("k").alias("apart")).first())
+            sizes = rows.groupBy("s").agg(F.first("n").alias("n"), F.count_distinct("c").alias("k"))
+            n = sizes.agg(F.count("*").alias("all"), F.sum(F.when(F.col("n") > SMALL, F.col("n") * F.col("n"))).alias("large"),
+                          F.sum("k").alias("apart")).first()
             if not n["all"]:
                 return
-            if not n.large or split:
+            if not n.large:
                 break
             large, small = rows.where(F.col("n") > SMALL), rows.where(F.col("n") <= SMALL)
             if last is None or n.apart <= 0.7 * last:
                 turn, last = turn + 1, n.apart
                 self.meet(large, turn)
-            else:
-                split = True
-                rows = stored(small.select("s", "x", "size", "p").unionByName(self.split(large)), "jaccard_regions")
-        d = self.known.select(F.col("a").alias("x"), F.col("b").alias("p"), "d", "exact").unionByName(
-            self.known.select(F.col("b").alias("x"), F.col("a").alias("p"), "d", "exact"))
-        near = rows.select("s", "x", "size", "c", "p").join(d, ["x", "p"], "left")
-        a, b = near.alias("l"), near.alias("r")
-        pairs = a.join(b, (F.col("l.s") == F.col("r.s")) & (F.col("l.x") > F.col("r.x")) & (F.col("l.c") != F.col("r.c"))
-                       & may_link(F.col("l.size"), F.col("r.size"))
-                       & ~F.coalesce(apart(F.col("l.d"), F.col("l.exact"), F.col("r.d")), F.lit(False))
-                       & ~F.coalesce(apart(F.col("r.d"), F.col("r.exact"), F.col("l.d")), F.lit(False)))
-        self.compare(pairs.select(F.col("r.x").alias("a"), F.col("l.x").alias("b")))
+                continue
+            parts = stored(self.split(large), "jaccard_regions")
+            pairs = parts.groupBy("s").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+            if pairs is None or pairs > 0.7 * n.large:
+                break
+            rows, last = stored(small.select("s", "x", "size", "p").unionByName(parts), "jaccard_regions"), None
+        self.tiles(rows)
+
+    def tiles(self, rows: DataFrame) -> None:
+        """Compare the points of different components in each region ``rows`` (s, x, size, c).
+
+        Those outside the region's largest component are dealt into blocks of about ``TILE``; all the region's points stream past each
+        block, as 16-bit sketches. Only pairs that may link by their sketches leave a task; they are measured on whole sets.
+        """
+        each = rows.groupBy("s", "c").agg(F.count("*").alias("m"))
+        plan = (each.groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("main"), (F.sum("m") - F.max("m")).alias("side"))
+                .select("s", "main", F.ceil(F.col("side") / TILE).cast("int").alias("blocks")))
+        rows = stored(rows.select("s", "x", "c").join(few(stored(plan, "jaccard_plan")), "s"), "jaccard_tiled")
+        side = rows.where("c <> main").select("s", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"),
+                                              F.lit(0).alias("kind"), "x", "c", "main")
+        past = rows.select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "x", "c", "main")
+        close = stored(side.unionByName(past).join(self.sketches, "x").select("s", "block", "kind", "x", "c", "main", "data")
+                       .repartition("s", "block").sortWithinPartitions("s", "block", "kind")
+                       .mapInArrow(near_pairs, "a long, b long").distinct(), "jaccard_close")
+        if not close.isEmpty():
+            with scratch() as keep:
+                got = keep(stored(self.whole(close), "jaccard_distances"))
+            self.join(got)
+
+
+def coded(data: pa.Buffer) -> np.ndarray:
+    """A sketch as distinct numbers: of equal values the second, third and so on are told apart."""
+    v = np.frombuffer(data, np.uint16).astype(np.int64)
+    new = np.flatnonzero(np.diff(v, prepend=-1))
+    return v | (np.arange(len(v)) - np.repeat(new, np.diff(new, append=len(v)))) << 16
+
+
+def near_pairs(batches):
+    """Rows sorted by (s, block, kind): pairs (a, b) of a block's points (kind 0) and the points that pass (kind 1), of different
+    components, whose sketches allow a link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    at, block, index = None, [], None
+
+    def indexed():
+        codes = [c for _, _, c in block]
+        flat, row = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        order = np.argsort(flat, kind="stable")
+        x, c = (np.array([b[k] for b in block], np.int64) for k in (0, 1))
+        return flat[order], row[order], x, c, np.array([len(c) for c in codes])
+
+    def compare(x, c, main, codes):
+        flat, row, bx, bc, size = index
+        all_codes, own = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(k) for k in codes])
+        lo, hi = np.searchsorted(flat, all_codes), np.searchsorted(flat, all_codes, "right")
+        n = hi - lo
+        hit = row[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        both = np.bincount(np.repeat(own, n) * len(bx) + hit, minlength=len(x) * len(bx)).reshape(len(x), len(bx))
+        total = np.array([len(k) for k in codes])[:, None] + size[None, :]
+        ok = (DEN * both >= NUM * (total - both)) & (c[:, None] != bc[None, :])
+        ok &= (c == main)[:, None] | (x[:, None] > bx[None, :])
+        i, j = np.nonzero(ok)
+        return np.minimum(x[i], bx[j]), np.maximum(x[i], bx[j])
+
+    for batch in batches:
+        s, blk, kind, x, c, main = (np.asarray(batch.column(k)) for k in ("s", "block", "kind", "x", "c", "main"))
+        data = batch.column("data")
+        cut = np.flatnonzero((np.diff(s, prepend=~s[:1]) != 0) | (np.diff(blk, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0))
+        out = []
+        for i, j in zip(cut, np.append(cut[1:], len(s))):
+            if (s[i], blk[i]) != at:
+                at, block, index = (s[i], blk[i]), [], None
+            if kind[i] == 0:
+                block += [(x[k], c[k], coded(data[k].as_buffer())) for k in range(i, j)]
+                continue
+            if not block:
+                continue
+            index = index or indexed()
+            step = max(1, TILE_CELLS // len(block))
+            for k in range(i, j, step):
+                e = min(k + step, j)
+                out.append(compare(x[k:e], c[k:e], main[i], [coded(data[m].as_buffer()) for m in range(k, e)]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col)) for col in zip(*out)], schema=schema)
 
 
 def classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``doc_id, th, n, c`` of every row: its text's hash, set size, and the name of its component (null: links with nothing)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own, rows = regions(points(docs, frequent_shingles(docs, size), size))
-    met = stored(rows.where((F.col("x") != F.col("p")) & may_link(F.col("size"), F.col("p_size")))
-                 .groupBy("x", "p").agg(F.count("*").alias("k")), "jaccard_met")
-    reps = own.where("x is not null and doc_id is not null").groupBy("x").agg(F.min("doc_id").alias("doc_id"))
-    state = Join(docs, stored(reps.join(rows.select("x").distinct(), "x", "left_semi"), "jaccard_reps"), size)
-    state.compare(met.groupBy("x").agg(F.max_by("p", F.struct("k", "p")).alias("p"))
-                  .select(F.col("p").alias("a"), F.col("x").alias("b")))
-    open_ = labelled(labelled(met, state.comps, "x", "cx"), state.comps, "p", "cp").where("cx <> cp")
-    state.compare(open_.select(F.col("p").alias("a"), F.col("x").alias("b")))
-    state.finish(rows.select("s", "x", "size", "p"))
-    return labelled(own, state.comps, "x", "c").select("doc_id", "th", "n", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c"))
+    with scratch() as keep:
+        own, rows = regions(points(docs, frequent_shingles(docs, size), size))
+        met = stored(rows.where((F.col("x") != F.col("p")) & may_link(F.col("size"), F.col("p_size")))
+                     .groupBy("x", "p").agg(F.count("*").alias("k")), "jaccard_met")
+        reps = own.where("x is not null and doc_id is not null").groupBy("x").agg(F.min("doc_id").alias("doc_id"))
+        state = Join(docs, stored(reps.join(rows.select("x").distinct(), "x", "left_semi"), "jaccard_reps"), size)
+        state.compare(met.groupBy("x").agg(F.max_by("p", F.struct("k", "p")).alias("p"))
+                      .select(F.col("p").alias("a"), F.col("x").alias("b")))
+        open_ = labelled(labelled(met, state.comps, "x", "cx"), state.comps, "p", "cp").where("cx <> cp")
+        state.compare(open_.select(F.col("p").alias("a"), F.col("x").alias("b")))
+        state.finish(rows.select("s", "x", "size", "p"))
+        return keep(stored(labelled(own, state.comps, "x", "c").select(
+            "doc_id", "th", "n", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c")), "jaccard_classes"))
 
 
 def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -429,10 +519,11 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 def keep_first(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """One row of every component: smallest id, then text hash. Rows without an id or without words link with nothing and stay."""
-    rows = stored(classes(docs, size), "jaccard_classes")
-    first = rows.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.*")
-    copies = rows.where("c is not null").groupBy("doc_id", "th").agg(F.count("*").alias("n"))
-    keys = stored(first.join(copies, ["doc_id", "th"]).withColumnsRenamed({"doc_id": "j_id", "th": "j_th"}), "jaccard_kept")
+    with scratch() as keep:
+        rows = classes(docs, size)
+        first = rows.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.*")
+        copies = rows.where("c is not null").groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+        keys = keep(stored(first.join(copies, ["doc_id", "th"]).withColumnsRenamed({"doc_id": "j_id", "th": "j_th"}), "jaccard_kept"))
     marked = docs.withColumn("j_hash", F.xxhash64("text"))
     linked = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from runlens.llm import common
-from runlens.llm.common import WORD, by_value, stored
+from runlens.llm.common import WORD, by_value, scratch, stored
 
 WEIGHTS = [5, 2, 1]
 MAX_EPOCHS = 3
@@ -157,8 +157,10 @@ def copies(sized: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: list[int] = WEIGHTS, seed: int = 7) -> DataFrame:
     """The mixed corpus: every document as often as it is taken (documents without words go)."""
-    narrow = stored(with_size(docs, seed).select(*KEY, "mix_size", "mix_hash", "mix_row"), "mix_sizes")
-    taken = copies(with_size(docs, seed), stored(cutoffs(narrow, weights), "mix_cuts"))
+    with scratch() as keep:
+        narrow = stored(with_size(docs, seed).select(*KEY, "mix_size", "mix_hash", "mix_row"), "mix_sizes")
+        cuts = keep(stored(cutoffs(narrow, weights), "mix_cuts"))
+    taken = copies(with_size(docs, seed), cuts)
     each = F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))
     return taken.withColumn("mix_n", each).select(*[F.col(f"`{c}`") for c in docs.columns])
 

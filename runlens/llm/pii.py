@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import WORD, few, let, stored
+from runlens.llm.common import WORD, few, let, scratch, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 # The patterns of the seeds, written so that a failing start is not tried again inside the same run of characters.
@@ -235,7 +235,12 @@ def token_places(docs: DataFrame, texts: DataFrame, only: DataFrame, by: str) ->
 
 
 def added_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, th, s, e, kind`` of the identifiers that trusted patterns discover."""
+    """``doc_id, th, s, e, kind`` of the identifiers that trusted patterns discover, written; what led to them is deleted."""
+    with scratch() as keep:
+        return keep(stored(_added_spans(docs, rounds), "pii_added"))
+
+
+def _added_spans(docs: DataFrame, rounds: int) -> DataFrame:
     occ = stored(occurrences(docs), "pii_occurrences")
     # Places per text of the patterns counted so far, identifiers accepted so far (with a kind), and where the accepted tokens stand.
     counted = known = tokens = spans = seen = None
