@@ -366,8 +366,11 @@ class Join:
             return keep(stored(rows.join(few(one), "s"), "jaccard_sized"))
 
     def meet(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Every point of the regions ``rows`` with each of up to ``PIVOTS`` pivots, and their distance; ``turn`` draws other pivots."""
-        drawn = F.xxhash64("x", "s", F.lit(turn))
+        """Every point of the regions ``rows`` with each of up to ``PIVOTS`` pivots, and their distance; ``turn`` draws other pivots.
+
+        A pivot is the point with the smallest hash of its slot, so regions that overlap draw the same ones.
+        """
+        drawn = F.xxhash64("x", F.lit(turn))
         pivots = (rows.groupBy("s", F.pmod(drawn, F.lit(PIVOTS)).alias("slot")).agg(F.min_by("x", F.struct(drawn, "x")).alias("q"))
                   .select("s", "q"))
         met = stored(rows.select("s", "x", "size", "c").join(stored(pivots, "jaccard_pivots"), "s"), "jaccard_met")
@@ -436,57 +439,50 @@ class Join:
             self.join(got)
 
 
-def coded(data: pa.Buffer) -> np.ndarray:
-    """A sketch as distinct numbers: of equal values the second, third and so on are told apart."""
-    v = np.frombuffer(data, np.uint16).astype(np.int64)
-    new = np.flatnonzero(np.diff(v, prepend=-1))
-    return v | (np.arange(len(v)) - np.repeat(new, np.diff(new, append=len(v)))) << 16
-
-
 def near_pairs(batches):
     """Rows sorted by (s, block, kind): pairs (a, b) of a block's points (kind 0) and the points that pass (kind 1), of different
-    components, whose sketches allow a link."""
+    components, whose sketches allow a link. Equal 16-bit values of a set count as often as they meet, which can only raise the bound."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     at, block, index = None, [], None
 
     def indexed():
-        codes = [c for _, _, c in block]
-        flat, row = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        order = np.argsort(flat, kind="stable")
-        x, c = (np.array([b[k] for b in block], np.int64) for k in (0, 1))
-        return flat[order], row[order], x, c, np.array([len(c) for c in codes])
-
-    def compare(x, c, main, codes):
-        flat, row, bx, bc, size = index
-        all_codes, own = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(k) for k in codes])
-        lo, hi = np.searchsorted(flat, all_codes), np.searchsorted(flat, all_codes, "right")
-        n = hi - lo
-        hit = row[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        both = np.bincount(np.repeat(own, n) * len(bx) + hit, minlength=len(x) * len(bx)).reshape(len(x), len(bx))
-        total = np.array([len(k) for k in codes])[:, None] + size[None, :]
-        ok = (DEN * both >= NUM * (total - both)) & (c[:, None] != bc[None, :])
+        x, c, n, v = (np.concatenate(col) for col in zip(*block))
+        order = np.argsort(v, kind="stable")
+        return v[order], np.repeat(np.arange(len(n)), n)[order], x, c, n
+
+    def compare(x, c, main, n, v):
+        flat, row, bx, bc, bn = index
+        lo = np.searchsorted(flat, v)
+        m = np.searchsorted(flat, v, "right") - lo
+        hit = row[np.repeat(lo - np.cumsum(m) + m, m) + np.arange(m.sum())]
+        own = np.repeat(np.repeat(np.arange(len(x)) * len(bx), n), m)
+        both = np.bincount(own + hit, minlength=len(x) * len(bx)).reshape(len(x), len(bx))
+        both = np.minimum(both, np.minimum(n[:, None], bn[None, :]))
+        ok = (DEN * both >= NUM * (n[:, None] + bn[None, :] - both)) & (c[:, None] != bc[None, :])
         ok &= (c == main)[:, None] | (x[:, None] > bx[None, :])
         i, j = np.nonzero(ok)
         return np.minimum(x[i], bx[j]), np.maximum(x[i], bx[j])
 
     for batch in batches:
         s, blk, kind, x, c, main = (np.asarray(batch.column(k)) for k in ("s", "block", "kind", "x", "c", "main"))
-        data = batch.column("data")
+        raw, off = text_buffer(batch.column("data"))
+        values, off = raw.view(np.uint16), off // 2
+        n = np.diff(off)
         cut = np.flatnonzero((np.diff(s, prepend=~s[:1]) != 0) | (np.diff(blk, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0))
         out = []
-        for i, j in zip(cut, np.append(cut[1:], len(s))):
+        for i, j in zip(cut.tolist(), np.append(cut[1:], len(s)).tolist()):
             if (s[i], blk[i]) != at:
                 at, block, index = (s[i], blk[i]), [], None
             if kind[i] == 0:
-                block += [(x[k], c[k], coded(data[k].as_buffer())) for k in range(i, j)]
+                block.append((x[i:j].copy(), c[i:j].copy(), n[i:j], values[off[i]:off[j]].copy()))
                 continue
             if not block:
                 continue
             index = index or indexed()
-            step = max(1, TILE_CELLS // len(block))
+            step = max(1, TILE_CELLS // len(index[2]))
             for k in range(i, j, step):
                 e = min(k + step, j)
-                out.append(compare(x[k:e], c[k:e], main[i], [coded(data[m].as_buffer()) for m in range(k, e)]))
+                out.append(compare(x[k:e], c[k:e], main[i], n[k:e], values[off[k]:off[e]]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col)) for col in zip(*out)], schema=schema)
 

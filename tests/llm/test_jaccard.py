@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from llm.conftest import EDGES
@@ -88,3 +89,74 @@ def test_sql_against_brute_force(spark, docs, texts):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     got = {r[0]: r[1:] for r in con.sql(J.JOIN_SQL).fetchall()}
     assert got == brute(texts) == {r.doc_id: tuple(r)[1:] for r in J.join(docs).collect()}
+
+
+def test_tiles_find_what_may_link():
+    """Pairs of different components whose sketches allow a link, across batches and blocks, and no others."""
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    rows, sets = [], {}
+    for s in range(6):
+        base = rng.integers(0, 1 << 62, 80, dtype=np.int64).astype(np.uint64)
+        for k in range(20):
+            u = base.copy()
+            u[rng.permutation(80)[:rng.integers(0, 30)]] = rng.integers(0, 1 << 62)
+            sets[s * 100 + k] = np.unique(u)
+        comp = {k: s * 100 + (k if k > 8 else 0) for k in range(20)}
+        for block in range(2):
+            side = [k for k in range(20) if k > 8 and k % 2 == block]
+            rows += [(s, block, 0, s * 100 + k, comp[k], s * 100) for k in side] + [(s, block, 1, s * 100 + k, comp[k], s * 100) for k in range(20)]
+    names = ["s", "block", "kind", "x", "c", "main"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    data = [(sets[r[3]] >> np.uint64(48)).astype(np.uint16).tobytes() for r in rows]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] + [pa.array(data, pa.binary())], names=[*names, "data"])
+    for size in (len(rows), 7, 1):
+        got = set()
+        for b in J.near_pairs(whole.slice(i, size) for i in range(0, len(rows), size)):
+            got |= set(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+        label = {r[3]: r[4] for r in rows}
+        links = {(a, b) for a in sets for b in sets if a < b and a // 100 == b // 100 and label[a] != label[b]
+                 and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+        assert links and links <= got and len(got) <= 1.2 * len(links) + 5
+
+
+def test_scratch_folders_go_and_results_stay(spark, frame, tmp_path):
+    from runlens.llm.common import scratch, stored
+    from runlens.session import shared_dir
+    import pathlib
+    root = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    before = {p for p in root.glob("runlens/jaccard_*/*")}
+    words = [f"w{k} " * 3 for k in range(400)]
+    df = frame([(k, "".join(words[k % 7:k % 7 + 60])) for k in range(60)])
+    rows = J.join(df).collect()
+    left = {p for p in root.glob("runlens/jaccard_*/*")} - before
+    assert len(rows) == 60 and len(left) == 1                     # the classes that the result is read from
+    with scratch() as keep:
+        with scratch() as inner:
+            a = inner(stored(spark.range(5), "t"))
+            b = stored(spark.range(6), "t")
+        assert a.count() == 5 and not pathlib.Path(b.stored_at[0].removeprefix("file://")).exists()
+        keep(a)
+    assert a.count() == 5
+
+
+def test_splits_go_on_and_stay_exact(frame, monkeypatch):
+    monkeypatch.setattr(J, "SMALL", 3)
+    monkeypatch.setattr(J, "TILE", 2)
+    rng = random.Random(12)
+    base = [f"a{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(60)] = f"b{rng.randrange(9)}"
+        rows.append((k, " ".join(w)))
+    sets = {i: {tuple(t.split()[j:j + 5]) for j in range(56)} for i, t in rows}
+    comp = {i: i for i in sets}
+    for _ in range(60):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    got = {r.doc_id: r.component_id for r in J.join(frame(rows)).collect()}
+    assert got == comp and 3 < len(set(comp.values())) < 60
