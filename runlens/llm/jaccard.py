@@ -47,7 +47,8 @@ SMALL = 64              # points of a region whose pairs are compared without fu
 PIVOTS = 8
 GROUP_ROWS = 512        # comparisons with one point that a task is given together
 TILE = 512              # points of a tile's block
-TILE_CELLS = 1 << 16    # comparisons of a tile held at once
+TILE_POINTS = 256       # points that pass a block together, if they
+TILE_HITS = 1 << 20     # meet no more than so many equal values in it
 PART_BYTES = 2 << 20
 
 
@@ -418,11 +419,12 @@ class Join:
         self.tiles(rows)
 
     def tiles(self, rows: DataFrame) -> None:
-        """Compare the points of different components in each region ``rows`` (s, x, size, c).
+        """Compare the points of different components in each region ``rows`` (s, x, p, c).
 
-        Those outside the region's largest component are dealt into blocks of about ``TILE``; all the region's points stream past each
+        Regions around the same pivot overlap and are compared as one, so a point passes once. Those outside the region's largest component are dealt into blocks of about ``TILE``; all the region's points stream past each
         block, as 16-bit sketches. Only pairs that may link by their sketches leave a task; they are measured on whole sets.
         """
+        rows = stored(rows.select(F.col("p").alias("s"), "x", "c").distinct(), "jaccard_around")
         each = rows.groupBy("s", "c").agg(F.count("*").alias("m"))
         plan = (each.groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("main"), (F.sum("m") - F.max("m")).alias("side"))
                 .select("s", "main", F.ceil(F.col("side") / TILE).cast("int").alias("blocks")))
@@ -450,10 +452,19 @@ def near_pairs(batches):
         order = np.argsort(v, kind="stable")
         return v[order], np.repeat(np.arange(len(n)), n)[order], x, c, n
 
-    def compare(x, c, main, n, v):
-        flat, row, bx, bc, bn = index
-        lo = np.searchsorted(flat, v)
-        m = np.searchsorted(flat, v, "right") - lo
+    def compared(x, c, main, n, v):
+        lo = np.searchsorted(index[0], v)
+        m = np.searchsorted(index[0], v, "right") - lo
+        ends = np.concatenate([[0], np.cumsum(n)])
+        hits = np.concatenate([[0], np.cumsum(m)])[ends]
+        k = 0
+        while k < len(x):
+            e = max(k + 1, int(np.searchsorted(hits, hits[k] + TILE_HITS, "right")) - 1)
+            yield compare(x[k:e], c[k:e], main, n[k:e], lo[ends[k]:ends[e]], m[ends[k]:ends[e]])
+            k = e
+
+    def compare(x, c, main, n, lo, m):
+        _, row, bx, bc, bn = index
         hit = row[np.repeat(lo - np.cumsum(m) + m, m) + np.arange(m.sum())]
         own = np.repeat(np.repeat(np.arange(len(x)) * len(bx), n), m)
         both = np.bincount(own + hit, minlength=len(x) * len(bx)).reshape(len(x), len(bx))
@@ -479,10 +490,9 @@ def near_pairs(batches):
             if not block:
                 continue
             index = index or indexed()
-            step = max(1, TILE_CELLS // len(index[2]))
-            for k in range(i, j, step):
-                e = min(k + step, j)
-                out.append(compare(x[k:e], c[k:e], main[i], n[k:e], values[off[k]:off[e]]))
+            for k in range(i, j, TILE_POINTS):
+                e = min(k + TILE_POINTS, j)
+                out += compared(x[k:e], c[k:e], main[i], n[k:e], values[off[k]:off[e]])
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col)) for col in zip(*out)], schema=schema)
 

@@ -91,7 +91,7 @@ def test_sql_against_brute_force(spark, docs, texts):
     assert got == brute(texts) == {r.doc_id: tuple(r)[1:] for r in J.join(docs).collect()}
 
 
-def test_tiles_find_what_may_link():
+def test_tiles_find_what_may_link(monkeypatch):
     """Pairs of different components whose sketches allow a link, across batches and blocks, and no others."""
     import pyarrow as pa
     rng = np.random.default_rng(3)
@@ -110,7 +110,8 @@ def test_tiles_find_what_may_link():
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     data = [(sets[r[3]] >> np.uint64(48)).astype(np.uint16).tobytes() for r in rows]
     whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] + [pa.array(data, pa.binary())], names=[*names, "data"])
-    for size in (len(rows), 7, 1):
+    for size, hits in ((len(rows), J.TILE_HITS), (len(rows), 50), (7, 200), (1, 1)):
+        monkeypatch.setattr(J, "TILE_HITS", hits)
         got = set()
         for b in J.near_pairs(whole.slice(i, size) for i in range(0, len(rows), size)):
             got |= set(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
