@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from runlens.functions.columns import strip_ws
@@ -13,15 +13,21 @@ from runlens.functions.ordering import join_on_keys
 
 
 def read_key_values(df: DataFrame, line: str = "line", sep: str = "=", comment: str = "#",
-                    key_out: str = "key", value_out: str = "value") -> DataFrame:
+                    key_out: str = "key", value_out: str = "value", dropped: Observation | str | None = None) -> DataFrame:
     """Split ``key<sep>value`` lines on the first separator (A3).
 
     Blank lines, comment lines and lines without the separator give no row;
     key and value are stripped. ``sep='='`` reads properties, ``sep=': '``
-    flat YAML.
+    flat YAML. ``dropped`` counts the lines read and, in the same pass, those
+    without a row: ``blank`` (also NULL), ``comment``, ``no_separator``.
     """
     text = strip_ws(F.col(line))
     pos = F.instr(text, sep)
+    if dropped is not None:
+        blank = F.coalesce(text == "", F.lit(True))
+        df = df.observe(dropped, F.count(F.lit(1)).alias("lines"), F.count_if(blank).alias("blank"),
+                        F.count_if(~blank & text.startswith(comment)).alias("comment"),
+                        F.count_if(~blank & ~text.startswith(comment) & (pos == 0)).alias("no_separator"))
     key = strip_ws(text.substr(F.lit(1), pos - 1))
     value = strip_ws(text.substr(pos + len(sep), F.length(text) + 1))
     return df.where((text != "") & ~text.startswith(comment) & (pos > 0)) \

@@ -505,5 +505,19 @@ SELECT DISTINCT CASE WHEN user_id % 50 <> 0 THEN user_id END AS user_id FROM eve
 """,
     "json_large": """
 SELECT o_orderkey, o_orderkey * 3000000000 AS k FROM orders
+""",
+    "stream_trace_append": TRACES,
+    "trace_dropped": """
+SELECT unnest(['lines', 'bad_shape', 'no_phase', 'bad_nodes', 'bad_seconds']) AS what,
+       unnest([count(*), count(*) FILTER (WHERE event_id % 7 = 0), count(*) FILTER (WHERE event_id % 7 = 1),
+               count(*) FILTER (WHERE event_id % 7 = 3), count(*) FILTER (WHERE event_id % 7 = 2)]) AS n
+FROM events
+""",
+    "kv_dropped": """
+SELECT unnest(['lines', 'blank', 'comment', 'no_separator']) AS what,
+       unnest([count(*), count(*) FILTER (WHERE p_partkey % 5 = 0), count(*) FILTER (WHERE p_partkey % 5 = 1),
+               count(*) FILTER (WHERE p_partkey % 5 = 2)]) AS n
+FROM part
 """,
 }
+ORACLE |= {f"stream_{k}": ORACLE[k] for k in ("phase_durations", "phase_durations_hot")}

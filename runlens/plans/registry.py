@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runlens import operators as op
@@ -23,9 +23,10 @@ from runlens import sources as src
 from runlens.operators.text import WORKER_ID_RE
 from runlens.schemas import TRACE
 from runlens.session import scratch_path
+from runlens.sources.traces import TRACE_NAME_RE
 from runlens.streaming import (
     event_stream, stream_barrier_table, stream_deadline_table, stream_fleet_deadline_table, stream_missing_table, stream_outcome_table,
-    stream_state_outcome_table,
+    stream_phase_table, stream_state_outcome_table,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -762,6 +763,59 @@ def q_missing_null_run(spark, sf_dir):
     return op.missing_runs(ev.select(user.alias("user_id")).distinct(), present, ["user_id"])
 
 
+def q_stream_phase_durations(spark, sf_dir):
+    ev = _event_stream(spark, sf_dir).select(F.col("user_id").alias("run_id"), "event_id", F.col("event_type").alias("phase"), "ts")
+    return stream_phase_table(spark, ev, "run_id", "ts", "event_id", delay=WATERMARK_DELAY, retention_s=RETENTION_S,
+                              partitions=_state_partitions(spark))
+
+
+def q_stream_phase_durations_hot(spark, sf_dir):
+    """Streaming D3 with one run holding a third of all readings."""
+    run = F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("user_id"))
+    ev = _event_stream(spark, sf_dir).select(run.alias("run_id"), "event_id", F.col("event_type").alias("phase"), "ts")
+    return stream_phase_table(spark, ev, "run_id", "ts", "event_id", delay=WATERMARK_DELAY, retention_s=RETENTION_S,
+                              partitions=_state_partitions(spark))
+
+
+def q_stream_trace_append(spark, sf_dir):
+    """A1 and A6 as a continuous ingest: the trace files of the first half of the month, then a restart that finds the others."""
+    base = scratch_path(spark, "stream_trace_append")
+    lines = trace_lines(spark, sf_dir)
+    first = F.regexp_extract("file", TRACE_NAME_RE, 2) < "20240116-"
+    for part in (first, ~first):
+        lines.where(part).hint("rebalance", "file").write.mode("append").partitionBy("file").text(f"{base}/in")
+        src.append_traces_stream(src.stream_traces(spark, f"{base}/in"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(TRACE).parquet(f"{base}/out").select(*[F.col(f.name) for f in TRACE.fields])
+
+
+def _counted(spark, df: DataFrame, seen: Observation, kind: str) -> DataFrame:
+    """Write ``df`` once and return what was observed on the way, one row per count (a fixed number of them)."""
+    df.write.parquet(scratch_path(spark, kind))
+    return spark.createDataFrame(sorted(seen.get.items()), "what string, n long")
+
+
+def q_trace_dropped(spark, sf_dir):
+    """A1 over lines of which some are cut, lack a phase or hold no numbers: lines read and dropped, counted while they are parsed."""
+    ev = table(spark, sf_dir, "events")
+    k = F.col("event_id") % 7
+    phase = F.when(k == 1, F.lit(" ")).otherwise(F.col("event_type"))
+    nodes = F.when(k == 3, F.lit("x")).otherwise(_size(F.col("user_id")).cast("string"))
+    secs = F.concat(F.format_string("%.5f", F.col("value")), F.when(k == 2, F.lit("s")).otherwise(F.lit("")))
+    line = F.when(k == 0, phase).otherwise(F.concat_ws(", ", phase, nodes, secs))
+    lines = ev.select(line.alias("line"), src.trace_file_name(_framework(F.col("user_id")), F.col("ts")).alias("file"))
+    seen = Observation()
+    return _counted(spark, src.parse_trace_lines(lines, dropped=seen), seen, "trace_dropped")
+
+
+def q_kv_dropped(spark, sf_dir):
+    """A3 over properties of which some are blank, comments or lack the separator."""
+    part = table(spark, sf_dir, "part")
+    line = F.when(F.col("p_partkey") % 5 == 0, F.lit(" ")).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit(" # "), F.col("p_brand"))) \
+        .when(F.col("p_partkey") % 5 == 2, F.col("p_brand")).otherwise(F.concat(F.lit("brand="), F.col("p_brand")))
+    seen = Observation()
+    return _counted(spark, op.read_key_values(part.select(line.alias("line")), dropped=seen), seen, "kv_dropped")
+
+
 QUERIES: dict[str, Query] = {
     "trace_parse": q_trace_parse,
     "trace_files": q_trace_files,
@@ -830,5 +884,10 @@ QUERIES: dict[str, Query] = {
     "stream_missing": q_stream_missing,
     "last_match_null_keys": q_last_match_null_keys,
     "missing_null_run": q_missing_null_run,
+    "stream_phase_durations": q_stream_phase_durations,
+    "stream_phase_durations_hot": q_stream_phase_durations_hot,
+    "stream_trace_append": q_stream_trace_append,
+    "trace_dropped": q_trace_dropped,
+    "kv_dropped": q_kv_dropped,
 }
 

@@ -12,7 +12,7 @@ give no row. Everything is native expressions over ``read.text``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.columns import decimal_or_null, int_or_null, nonblank
@@ -49,9 +49,14 @@ def _stamp_ntz(stamp: Column) -> Column:
                                                part(10, 2), part(12, 2), part(14, 2)))
 
 
-def parse_trace_lines(df: DataFrame, line: str = "line", file: str = "file") -> DataFrame:
+def parse_trace_lines(df: DataFrame, line: str = "line", file: str = "file", dropped: Observation | str | None = None) -> DataFrame:
     """Parse trace text lines into the ``TRACE`` schema.
 
+    ``dropped`` counts, in the same pass, the lines read (``lines``) and those that give no row, by the first thing wrong
+    with them: ``bad_shape`` (neither three nor four fields), ``no_phase``, ``bad_nodes``, ``bad_seconds``. A batch caller
+    passes an ``Observation`` and reads it after its action; a stream takes a name and reports the counts of every
+    micro-batch under it in ``observedMetrics``.
+
     ``file`` may be a bare name or a full path; the trace name is found
     anywhere in it, so partition folders named after the file work too.
     The line is split once in its own projection; the fields are then cheap
@@ -84,6 +89,11 @@ def parse_trace_lines(df: DataFrame, line: str = "line", file: str = "file") ->
     # filter: a filter on parsed fields would be pushed below the projections
     # and re-evaluate every parsing expression inside the predicate.
     t = F.col("_rl_t")
+    if dropped is not None:
+        wrong = F.when(~F.coalesce("_rl_shape", F.lit(False)), "bad_shape").when(t["phase"].isNull(), "no_phase") \
+            .when(t["nodes"].isNull(), "bad_nodes").when(t["seconds"].isNull(), "bad_seconds")
+        typed = typed.observe(dropped, F.count(F.lit(1)).alias("lines"),
+                              *[F.count_if(wrong == r).alias(r) for r in ("bad_shape", "no_phase", "bad_nodes", "bad_seconds")])
     ok = F.col("_rl_shape") & t["phase"].isNotNull() & t["nodes"].isNotNull() \
         & t["seconds"].isNotNull()
     out = typed.select(F.inline(F.when(ok, F.array(t)).otherwise(F.array().cast(
@@ -92,12 +102,25 @@ def parse_trace_lines(df: DataFrame, line: str = "line", file: str = "file") ->
     return out.select([F.col(f.name).cast(f.dataType) for f in TRACE.fields])
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
+def _lines(raw: DataFrame) -> DataFrame:
+    return raw.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+
+
+def read_traces(spark: SparkSession, path: str, dropped: Observation | None = None) -> DataFrame:
     """Read every trace file below ``path`` (A1)."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    lines = raw.select(F.col("value").alias("line"),
-                       F.col("_metadata.file_path").alias("file"))
-    return parse_trace_lines(lines)
+    return parse_trace_lines(_lines(spark.read.option("recursiveFileLookup", "true").text(path)), dropped=dropped)
+
+
+def stream_traces(spark: SparkSession, path: str, max_files_per_trigger: int | None = None, dropped: str | None = None) -> DataFrame:
+    """Follow the trace files that arrive below ``path`` (A1 as a stream).
+
+    A file is read once, when it first appears. A trace that is flushed phase by phase is delivered as one closed segment per flush
+    in a folder named after the trace (``<trace name>/<segment>``), because lines added to a file already read are not seen.
+    """
+    reader = spark.readStream.option("recursiveFileLookup", "true")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return parse_trace_lines(_lines(reader.text(path)), dropped=dropped)
 
 
 def append_traces(df: DataFrame, path: str) -> None:
@@ -112,7 +135,11 @@ def append_traces(df: DataFrame, path: str) -> None:
 
 
 def append_traces_stream(stream_df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Streaming form of A6: exactly-once file sink with a checkpoint."""
+    """Streaming form of A6: exactly-once file sink with a checkpoint.
+
+    Started again with the same ``path`` and ``checkpoint`` it goes on after the last finished micro-batch. A micro-batch whose
+    files were written but whose end was not recorded is run again; the sink's log knows it, so its rows are not added twice.
+    """
     writer = (stream_df.writeStream.format("parquet").outputMode("append")
               .partitionBy("framework").option("checkpointLocation", checkpoint))
     writer = writer.trigger(**(trigger or {"availableNow": True}))

@@ -18,7 +18,10 @@ from runlens.streaming.fleet import (  # noqa: E402
     JobMerge, MemberBucket, stream_fleet_deadline, stream_fleet_deadline_table,
 )
 
+from runlens.streaming.phases import PhaseClock, stream_phase_durations, stream_phase_table  # noqa: E402
+
 __all__ = [
+    "PhaseClock", "stream_phase_durations", "stream_phase_table",
     "JobMerge", "MemberBucket", "stream_fleet_deadline", "stream_fleet_deadline_table",
     "StateOutcome", "stream_missing_phase", "stream_missing_table", "stream_state_outcome", "stream_state_outcome_table",
     "DeadlineBarrier", "stream_deadline_barrier", "stream_deadline_table",
