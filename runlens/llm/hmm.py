@@ -5,9 +5,10 @@
 * A token's symbol is itself if it is one of the ``top`` most frequent, else a class of rare words
   (a hash of the last bytes); inside a class a token has probability ``(c + 0.1) / (N_class + 0.1 * (V_class + 1))``. The state-dependent
   part of the model is over symbols only, so its size is bounded by parameters.
-* Baum-Welch: each round, tasks run the scaled forward-backward recursion over their encoded training documents
-  (in pieces of ``PIECE`` tokens) and emit expected start, transition and emission counts; Spark sums them across
-  partitions and the driver re-estimates the few parameters.
+* Baum-Welch: each round, tasks run the scaled forward-backward recursion over their encoded training documents and emit expected start,
+  transition and emission counts; Spark sums them across partitions and the driver re-estimates the few parameters. Every text counts
+  as one sequence: one over ``LONG`` tokens is cut into parts of ``PIECE``, whose products of step matrices, chained forwards and
+  backwards, give the exact state vectors at the cuts, so that the parts can be taken at the same time.
 * Scoring: the scaled forward recursion over each whole text gives its exact log10 likelihood under the model. Documents of
   a block advance together; a text over ``LONG`` tokens is cut, each part's product of step matrices is taken at the same time,
   and the products are chained in order, which is the same likelihood.
@@ -37,7 +38,7 @@ ROUNDS = 4
 BLOCK_BYTES = 12 << 20
 PIECE = 256
 LONG = 4096
-TOKENS_AT_ONCE = 1 << 18
+TOKENS_AT_ONCE = 1 << 19
 END = np.int64(-0x1234567)
 
 _HEAD = pa.schema([("id", pa.int64()), ("held", pa.bool_()), ("size", pa.int32())])
@@ -212,17 +213,24 @@ def in_step(size: np.ndarray):
     return order, len(size) - np.searchsorted(np.sort(size), np.arange(longest), "right")
 
 
-def expected_counts(sym: np.ndarray, start: np.ndarray, size: np.ndarray, p: Params):
-    """Scaled forward-backward over the sequences sym[start : start + size], all in step."""
+def posteriors(sym: np.ndarray, start: np.ndarray, size: np.ndarray, p: Params, enter: np.ndarray | None = None, leave: np.ndarray | None = None):
+    """Scaled forward-backward over the sequences sym[start : start + size], all in step.
+
+    ``enter`` is each sequence's state distribution before its first token (default: the start probabilities), ``leave`` the backward
+    vector at its last (default: ones, nothing follows). Returns each sequence's first state posterior, and the sums of
+    expected transitions and emissions.
+    """
     s = len(p.start)
     order, running = in_step(size)
     start, steps = start[order], len(running)
+    first = p.start if enter is None else enter[order]
+    last = np.ones((len(size), s)) if leave is None else leave[order]
     at = np.concatenate([[0], np.cumsum(running)])
     alpha, scale, seen = np.empty((at[-1], s)), np.empty(at[-1]), np.empty(at[-1], np.int64)
     for t in range(steps):
         m = running[t]
         k = sym[start[:m] + t]
-        a = (alpha[at[t - 1]:at[t - 1] + m] @ p.move if t else p.start) * p.emit[k]
+        a = (alpha[at[t - 1]:at[t - 1] + m] @ p.move if t else first) * p.emit[k]
         c = a.sum(axis=1)
         a /= c[:, None]
         alpha[at[t]:at[t + 1]], scale[at[t]:at[t + 1]], seen[at[t]:at[t + 1]] = a, c, k
@@ -230,7 +238,7 @@ def expected_counts(sym: np.ndarray, start: np.ndarray, size: np.ndarray, p: Par
     beta = np.ones((0, s))
     for t in range(steps - 1, -1, -1):
         m = running[t]
-        full = np.ones((m, s))
+        full = last[:m].copy()
         if t + 1 < steps:
             n = running[t + 1]
             nxt = slice(at[t + 1], at[t + 2])
@@ -240,16 +248,63 @@ def expected_counts(sym: np.ndarray, start: np.ndarray, size: np.ndarray, p: Par
         beta = full
         alpha[at[t]:at[t + 1]] *= beta           # posterior of the states
     emit = np.stack([np.bincount(seen, alpha[:, i], minlength=len(p.emit)) for i in range(s)])
-    return alpha[:running[0]].sum(axis=0), moves * p.move, emit
+    heads = np.empty((len(size), s))
+    heads[order] = alpha[:len(size)]
+    return heads, moves * p.move, emit
+
+
+def expected_counts(sym: np.ndarray, start: np.ndarray, size: np.ndarray, p: Params):
+    """Expected start, transition and emission counts of whole sequences."""
+    heads, moves, emit = posteriors(sym, start, size, p)
+    return heads.sum(axis=0), moves, emit
 
 
-def pieces(size: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of consecutive runs of at most ``longest`` tokens that cover each document."""
+def pieces(begin: np.ndarray, size: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number in its sequence, start, size) of consecutive runs of at most ``longest`` tokens that cover each sequence."""
     n = -(-size // longest)
-    doc = np.repeat(np.arange(len(size)), n)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    seq = np.repeat(np.arange(len(size)), n)
+    k = np.arange(len(seq)) - np.repeat(np.cumsum(n) - n, n)
+    return k, begin[seq] + k * longest, np.minimum(longest, size[seq] - k * longest)
+
+
+def at_once(size: np.ndarray):
+    """Consecutive groups of about ``TOKENS_AT_ONCE`` tokens."""
+    group = np.cumsum(size) // TOKENS_AT_ONCE
+    for g in np.unique(group):
+        yield np.flatnonzero(group == g)
+
+
+def cut_counts(sym: np.ndarray, begin: np.ndarray, size: np.ndarray, p: Params):
+    """``expected_counts`` of long sequences, cut into parts that are taken in step."""
+    k, start, n = pieces(begin, size, PIECE)
+    mats = np.concatenate([_forward(sym, start[g], n[g], p, None)[0] for g in at_once(n)])
+    enter, end, leave = np.empty((len(n), len(p.start))), np.empty((len(n), len(p.start))), np.ones((len(n), len(p.start)))
+    for i in range(len(n)):
+        enter[i] = end[i - 1] @ p.move if k[i] else p.start
+        x = enter[i] @ mats[i]
+        end[i] = x / x.sum()
+    for i in np.flatnonzero(k)[::-1]:
+        x = p.move @ (mats[i] @ leave[i])
+        leave[i - 1] = x / (end[i - 1] @ x)
+    heads, total = np.empty_like(enter), None
+    for g in at_once(n):
+        heads[g], *got = posteriors(sym, start[g], n[g], p, enter[g], leave[g])
+        total = got if total is None else [x + y for x, y in zip(total, got)]
+    cut = np.flatnonzero(k)
+    over = end[cut - 1].T @ (heads[cut] / enter[cut])          # transitions over the cuts
+    return heads[k == 0].sum(axis=0), total[0] + over * p.move, total[1]
+
+
+def corpus_counts(sym: np.ndarray, size: np.ndarray, p: Params):
+    """Expected counts, part by part, of the sequences that lie one after the other in ``sym``."""
     begin = np.cumsum(size) - size
-    return begin[doc] + k * longest, np.minimum(longest, size[doc] - k * longest)
+    short = np.flatnonzero(size <= LONG)
+    short = short[np.argsort(size[short], kind="stable")]      # sequences of a group end at about the same step
+    for g in at_once(size[short]):
+        yield expected_counts(sym, begin[short[g]], size[short[g]], p)
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        yield cut_counts(sym, begin[long], size[long], p)
 
 
 def baum_welch(encoded: DataFrame, p: Params, states: int) -> Params:
@@ -265,10 +320,7 @@ def baum_welch(encoded: DataFrame, p: Params, states: int) -> Params:
                 size = np.asarray(r["size"], np.int64)
                 sym = unpacked(r["codes"], int(size.sum()), 2)
                 sym = sym[np.repeat(~np.asarray(r["held"], bool), size)]
-                start, size = pieces(size[~np.asarray(r["held"], bool)], PIECE)
-                group = np.cumsum(size) // TOKENS_AT_ONCE
-                for g in np.unique(group):
-                    got = expected_counts(sym, start[group == g], size[group == g], shared.value)
+                for got in corpus_counts(sym, size[~np.asarray(r["held"], bool)], shared.value):
                     total = got if total is None else [x + y for x, y in zip(total, got)]
         if total is not None:
             flat = np.concatenate([np.ravel(x) for x in total])
@@ -295,8 +347,8 @@ def log_likelihood(sym: np.ndarray, size: np.ndarray, p: Params) -> np.ndarray:
             out[docs] = ll
             continue
         for d in docs:                           # one matrix per part, chained in order
-            start, n = pieces(size[d:d + 1], PIECE)
-            mats, logs = _forward(sym, begin[d] + start, n, p, None)
+            _, start, n = pieces(begin[d:d + 1], size[d:d + 1], PIECE)
+            mats, logs = _forward(sym, start, n, p, None)
             v, ll = p.start.copy(), 0.0
             for i, (m, lg) in enumerate(zip(mats, logs)):
                 v = (v if i == 0 else v @ p.move) @ m

@@ -73,6 +73,62 @@ def test_expected_counts_match_enumeration():
     assert np.allclose(start, ws) and np.allclose(move, wm) and np.allclose(emit, we)
 
 
+def test_cut_texts_count_as_whole_ones(monkeypatch):
+    """Texts cut into parts give the counts of whole texts, over the cuts too."""
+    rng = np.random.default_rng(4)
+    p = H.Params(rng.random(4), rng.random((4, 4)), rng.random((4, 6)))
+    size = np.array([1, 9, 2, 700, 3, 4, 33])
+    sym = rng.integers(0, 6, size.sum())
+    want = H.expected_counts(sym, np.cumsum(size) - size, size, p)
+    for longest, piece, tokens in ((3, 2, 5), (1, 1, 64), (8, 256, 1 << 19), (10 ** 6, 2, 7)):
+        monkeypatch.setattr(H, "LONG", longest)
+        monkeypatch.setattr(H, "PIECE", piece)
+        monkeypatch.setattr(H, "TOKENS_AT_ONCE", tokens)
+        got = [sum(x) for x in zip(*H.corpus_counts(sym, size, p))]
+        assert all(np.allclose(a, b) for a, b in zip(got, want))
+    assert np.isclose(want[0].sum(), len(size)) and np.isclose(want[1].sum(), (size - 1).sum())
+
+
+def test_a_round_equals_plain_baum_welch_over_whole_texts(frame, monkeypatch):
+    """The distributed round, with texts cut into parts, against one plain recursion per text; then the scores."""
+    monkeypatch.setattr(H, "LONG", 6)
+    monkeypatch.setattr(H, "PIECE", 4)
+    texts = [(i, " ".join("abcdefgh"[(i * j * j + j) % 8] for j in range(3 + i % 29))) for i in range(60)]
+    encoded, symbols, p = H.train(frame(texts), states=3, top=5, classes=2, rounds=2)
+    tok = [[w.encode() for w in t.split()] for _, t in texts]
+    known = {}
+    for r in encoded.collect():
+        codes = np.split(H.unpacked(r.codes, sum(r["size"]), 2), np.cumsum(r["size"])[:-1])
+        known |= dict(zip(r.ids, codes))
+    assert [len(known[i]) for i, _ in texts] == [len(t) + 1 for t in tok]
+    q = H.first_params(symbols.count, 3, 3)
+    for _ in range(2):
+        start, move, emit = 0.1, 0.1, 0.01
+        for i, _ in texts:
+            if zlib.crc32(str(i).encode()) % 10:
+                x = known[i]
+                a, b, c = forward_backward(x, q)
+                start, move, emit = start + a, move + b, emit + c
+        q = H.Params(start, move, emit)
+    assert np.allclose(q.start, p.start) and np.allclose(q.move, p.move) and np.allclose(q.emit, p.emit)
+
+
+def forward_backward(x, p):
+    """Unscaled textbook recursion over one short sequence."""
+    n, s = len(x), len(p.start)
+    f, b = np.zeros((n, s)), np.ones((n, s))
+    for t in range(n):
+        f[t] = (f[t - 1] @ p.move if t else p.start) * p.emit[x[t]]
+    for t in range(n - 2, -1, -1):
+        b[t] = p.move @ (p.emit[x[t + 1]] * b[t + 1])
+    z = f[-1].sum()
+    emit = np.zeros((s, len(p.emit)))
+    for t in range(n):
+        emit[:, x[t]] += f[t] * b[t] / z
+    move = sum((np.outer(f[t], p.emit[x[t + 1]] * b[t + 1]) * p.move / z for t in range(n - 1)), np.zeros((s, s)))
+    return f[0] * b[0] / z, move, emit
+
+
 def test_model_is_a_distribution(frame):
     """Class and symbol probabilities of a tiny model: an unseen word of each class fills the class up to one."""
     encoded, symbols, p = H.train(frame([(i, "aa bb cc aa dd") for i in range(30)]), top=2, classes=4)
