@@ -5,12 +5,13 @@
 * Index: every row goes to the cell (left centroid, right centroid). Cells that hold many rows are dealt out in
   blocks of about ``block`` rows by a hash of the id, so a very common vector does not land in one task.
 * Search: each query walks the centroid pairs in order of their summed squared distance, taken off a heap
-  that grows along both sorted lists, until the cells passed hold ``visit`` of all rows, and ``LEAST`` (the cell sizes, at most
-  k * k numbers, are known). Query and blocks meet by cell; each block returns a query's best rows, reranked
+  that grows along both sorted lists, until the cells passed hold ``visit`` of all rows (the cell sizes, at most
+  k * k numbers, are known). ``visit`` is measured, by one rule at every size: ``PROBES`` rows of the sample are searched in it by brute
+  force and by the walk, and the share is taken within which ``TARGET`` of their true neighbours lie. In the sample neighbours are no nearer
+  than in all rows, so all rows need no larger share. Query and blocks meet by cell; each block returns a query's best rows, reranked
   by the exact cosine of the original vectors in double precision, and the best of all blocks are kept.
 
-With ``visit=1`` the search is exact. The default was measured against brute force on the test tables: recall above
-0.9 (README). Sums run along each row in one fixed order, so equal vectors get equal scores and ties go to
+With ``visit=1`` the search is exact. Sums run along each row in one fixed order, so equal vectors get equal scores and ties go to
 the smaller id.
 
 Defined results: rows whose vector is null, zero, has another length than most of the sample, or holds a null or
@@ -34,8 +35,8 @@ from runlens.llm.common import by_value, stored
 CENTROIDS = 32
 SAMPLE = 16384
 ROUNDS = 10
-VISIT = 0.5
-LEAST = 1000            # candidates a query sees at least, if there are so many
+TARGET = 0.97
+PROBES = 512
 BLOCK = 4096
 HITS = "query_id long, vec_id long, score double"
 
@@ -71,14 +72,31 @@ def codebook(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 def fit(rows: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE, rounds: int = ROUNDS, seed: int = 9):
-    """(left codebook, right codebook) or None if no row takes part."""
+    """(left codebook, right codebook, the sample's unit vectors) or None if no row takes part."""
     got = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample).toPandas()
     if not len(got):
         return None
     dim = int(got.v.map(len).mode()[0])
     x = unit(np.stack([v for v in got.v if len(v) == dim]).astype(float))
     half = (dim + 1) // 2
-    return codebook(x[:, :half], k, rounds, seed), codebook(x[:, half:], k, rounds, seed + 1)
+    return codebook(x[:, :half], k, rounds, seed), codebook(x[:, half:], k, rounds, seed + 1), x
+
+
+def needed_share(x: np.ndarray, c0: np.ndarray, c1: np.ndarray, n: int, target: float = TARGET, probes: int = PROBES) -> float:
+    """Share of the rows ``x`` that a walk has to pass until it holds ``target`` of the probes' ``n`` nearest among them."""
+    half = c0.shape[1]
+    cell = distances(x[:, :half], c0).argmin(axis=1) * len(c1) + distances(x[:, half:], c1).argmin(axis=1)
+    count = dict(zip(*(a.tolist() for a in np.unique(cell, return_counts=True))))
+    d0, d1 = distances(x[:probes, :half], c0), distances(x[:probes, half:], c1)
+    shares = []
+    for i in range(len(d0)):
+        near = x @ x[i]
+        near[i] = -np.inf
+        cells = walk(d0[i], d1[i], count, len(x))
+        held = dict(zip(cells, np.cumsum([count[c] for c in cells]).tolist()))
+        top = np.argpartition(-near, min(n, len(x)) - 1)[:n]
+        shares += [held[c] / len(x) for c in cell[top[near[top] > -np.inf]].tolist()]
+    return float(np.quantile(shares, target, method="higher")) if shares else 1.0
 
 
 def walk(left: np.ndarray, right: np.ndarray, count: dict[int, int], want: float) -> list[int]:
@@ -120,14 +138,15 @@ def best(q: np.ndarray, q_id: np.ndarray, v: np.ndarray, v_id: np.ndarray, n: in
 
 
 def search(rows: DataFrame, queries: DataFrame, n: int = 5, k: int = CENTROIDS, sample: int = SAMPLE,
-           visit: float = VISIT, block: int = BLOCK, seed: int = 9) -> DataFrame:
-    """``query_id, rank, vec_id, score``; ``rows`` and ``queries`` hold ``vec_id`` and ``embedding``."""
+           visit: float | None = None, block: int = BLOCK, seed: int = 9) -> DataFrame:
+    """``query_id, rank, vec_id, score``; ``rows`` and ``queries`` hold ``vec_id`` and ``embedding``. ``visit`` None: measured."""
     spark = rows.sparkSession
     rows, queries = valid(rows), valid(queries)
     books = fit(rows, k, sample, seed=seed)
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    c0, c1 = books
+    c0, c1, x = books
+    share = needed_share(x, c0, c1, n) if visit is None else visit
     half, dim = c0.shape[1], c0.shape[1] + c1.shape[1]
 
     def place(batches):
@@ -139,7 +158,7 @@ def search(rows: DataFrame, queries: DataFrame, n: int = 5, k: int = CENTROIDS,
     fits = F.size("v") == dim
     index = stored(rows.where(fits).mapInPandas(place, "vec_id long, v array<double>, cell int"), "ann_index")
     count = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()}   # at most k * k rows
-    want = max(visit * sum(count.values()), LEAST)
+    want = share * sum(count.values())
     n_queries = queries.count()
     q_blocks = max(1, -(-n_queries // block))
     slots = F.create_map(*[F.lit(x) for c, m in sorted(count.items()) if m > block for x in (c, -(-m // block))]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from runlens.llm import ann as A
 
@@ -30,8 +31,9 @@ def test_exact_when_all_cells_are_visited(spark):
     assert by == want and {r.rank for r in got} == {1, 2, 3, 4, 5}
 
 
-def test_recall_on_the_table(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_on_the_table(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     rows = df.orderBy("vec_id").collect()
     ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows])
     want = brute(ids, x, [i for i in ids if i % 50 == 0])
@@ -61,3 +63,25 @@ def test_walk_takes_pairs_in_order():
     cells = A.walk(left, right, {c: 1 for c in range(30)}, 30)
     sums = [left[c // 5] + right[c % 5] for c in cells]
     assert len(cells) == 30 and sums == sorted(sums)
+
+
+def test_the_measured_share_finds_the_target_and_falls_where_rows_cluster():
+    """Close clusters need a small share; rows without structure need a large one. Either way the walk finds the target."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    close, loose = centres[rng.integers(0, 40, 2000)] + 0.05 * rng.normal(size=(2000, 16)), rng.normal(size=(2000, 16))
+    share = {}
+    for name, x in (("close", A.unit(close)), ("loose", A.unit(loose))):
+        c0, c1 = A.codebook(x[:, :8], 8, 10, 1), A.codebook(x[:, 8:], 8, 10, 2)
+        share[name] = A.needed_share(x, c0, c1, 5, 0.9, 200)
+        cell = A.distances(x[:, :8], c0).argmin(axis=1) * len(c1) + A.distances(x[:, 8:], c1).argmin(axis=1)
+        count = dict(zip(*np.unique(cell, return_counts=True)))
+        found = []
+        for i in range(200):
+            near = x @ x[i]
+            near[i] = -2
+            seen = set(A.walk(A.distances(x[i:i + 1, :8], c0)[0], A.distances(x[i:i + 1, 8:], c1)[0], count, share[name] * len(x)))
+            found += [c in seen for c in cell[np.argsort(-near)[:5]]]
+        assert np.mean(found) >= 0.9
+    assert share["close"] < share["loose"] / 2
+    assert A.needed_share(A.unit(loose[:1]), c0, c1, 5) == 1.0
