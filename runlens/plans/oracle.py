@@ -521,3 +521,4 @@ FROM part
 """,
 }
 ORACLE |= {f"stream_{k}": ORACLE[k] for k in ("phase_durations", "phase_durations_hot")}
+ORACLE["sweep_missing_cells"] = ORACLE["sweep_missing"]

@@ -504,6 +504,14 @@ def q_sweep_missing(spark, sf_dir):
     return op.missing_runs(grid, present, ["user_id", "day", "event_type"])
 
 
+def q_sweep_missing_cells(spark, sf_dir):
+    """The same sweep through bit words: no row per grid cell or present cell is shuffled."""
+    day = F.to_date("ts")
+    ev = table(spark, sf_dir, "events").select("user_id", day.alias("day"), "event_type")
+    bounds = ev.select(F.struct(F.min("day").alias("lo"), F.max("day").alias("hi"), F.array_sort(F.collect_set("event_type")).alias("kinds"))).scalar()
+    return op.missing_cells(ev, ev, ["user_id"], {"day": F.sequence(bounds["lo"], bounds["hi"]), "event_type": bounds["kinds"]})
+
+
 # --- E: readiness --------------------------------------------------------
 
 def _ready_conds():
@@ -826,6 +834,7 @@ QUERIES: dict[str, Query] = {
     "phase_durations": q_phase_durations,
     "phase_durations_hot": q_phase_durations_hot,
     "sweep_missing": q_sweep_missing,
+    "sweep_missing_cells": q_sweep_missing_cells,
     "host_file_scan": q_host_file_scan,
     "hosts_distinct": q_hosts_distinct,
     "slots_expand": q_slots_expand,
