@@ -119,13 +119,8 @@ def _run(spark: SparkSession, agg: DataFrame, kind: str, timeout_s: float | None
     return f"{base}/out"
 
 
-def _run_append(spark: SparkSession, stream: DataFrame, kind: str, timeout_s: float | None,
-                partitions: int | None = None) -> str:
-    """Run an append-mode stream into a Parquet file sink (exactly once) to the end of input.
-
-    Returns the folder that holds ``out`` and ``checkpoint``.
-    """
-    base = scratch_path(spark, kind)
+def _append_to(spark: SparkSession, stream: DataFrame, base: str, kind: str, timeout_s: float | None, partitions: int | None = None):
+    """Run an append-mode stream into a Parquet file sink (exactly once) below ``base`` to the end of input; the ended query."""
     with state_partitions(spark, partitions):
         q = (stream.writeStream.format("parquet").outputMode("append")
              .option("checkpointLocation", f"{base}/checkpoint")
@@ -136,6 +131,19 @@ def _run_append(spark: SparkSession, stream: DataFrame, kind: str, timeout_s: fl
         raise TimeoutError(f"stream {kind} did not finish in {timeout_s}s")
     if q.exception():
         raise q.exception()
+    return q
+
+
+def last_watermark(query) -> str | None:
+    """The watermark an ended query stopped at."""
+    return max((p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in p.get("eventTime", {})), default=None)
+
+
+def _run_append(spark: SparkSession, stream: DataFrame, kind: str, timeout_s: float | None,
+                partitions: int | None = None) -> str:
+    """``_append_to`` a new folder that holds ``out`` and ``checkpoint``."""
+    base = scratch_path(spark, kind)
+    _append_to(spark, stream, base, kind, timeout_s, partitions)
     return base
 
 

@@ -53,3 +53,23 @@ def test_stream_equals_batch_with_late_events_and_releases_state(spark, tmp_dir)
         "checkpointLocation", f"{base}/ck").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     held = spark.read.format("statestore").option("joinSide", "left").load(f"{base}/ck").count()
     assert held <= 2          # only the starts after the last watermark
+
+
+def test_a_busy_keys_starts_meet_two_windows_each(spark, tmp_dir):
+    """One key (NULL) with many phases in reach of every start: the join keeps windows, not phases, and stays right."""
+    rng = random.Random(7)
+    rows = [(None, rng.randint(0, 3000), rng.choice(["download", "startup"])) for _ in range(600)]
+    rows += [(None, 3000 + 7 * k, "download") for k in range(200)] + [("end", 6000, "download"), ("end", 6000, "startup")]
+    df = frame(spark, rows)
+    path = os.path.join(tmp_dir, "busy")
+    df.coalesce(1).write.parquet(path)
+
+    def sides():
+        return [event_stream(spark, path, df.schema).where(f"kind = '{k}'") for k in ("download", "startup")]
+    got = stream_missing_table(spark, *sides(), ["run"], "ts", 600, delay="1 minute").collect()
+    want = [x for x in brute(rows, 600) if x[1] + 600 < 6000 - 60]
+    assert sorted(((r.run, r.t) for r in got), key=repr) == sorted(want, key=repr) and len(want) > 50
+    base = os.path.join(tmp_dir, "q")
+    stream_missing_phase(*sides(), ["run"], "ts", 10, delay="1 day").writeStream.format("parquet").option(
+        "checkpointLocation", f"{base}/ck").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    assert spark.read.format("statestore").option("joinSide", "right").load(f"{base}/ck").count() == 0      # no phase waits one by one
