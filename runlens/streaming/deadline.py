@@ -48,6 +48,15 @@ from runlens.streaming.readiness import _run_append, as_key
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# Rows of one list-state element: a key's waiting rows are kept in columns, so an arrival costs one call per so many rows.
+CHUNK = 4096
+
+
+def chunks(*columns: list) -> list[tuple]:
+    """The columns cut into tuples of at most ``CHUNK`` values each."""
+    return [tuple(c[k:k + CHUNK] for c in columns) for k in range(0, len(columns[0]), CHUNK)]
+
+
 class _Fold:
     """Minima and maxima of one job's rows: first event, first failure, the
     largest ``expected`` and each member's first time (rows without a time

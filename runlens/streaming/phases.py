@@ -1,7 +1,7 @@
 """D3 over a stream: the clock differences of each run's readings, in order, with state that is released.
 
 Readings may arrive in any order within the watermark's delay. Those the watermark has not passed wait in the run's list state
-(appended to, never rewritten by an arrival). When it passes them they are released in time order, each with its position, the
+(appended to in chunks of columns, never rewritten by an arrival). When it passes them they are released in time order, each with its position, the
 difference to the reading before it and to the run's first; the run then carries only its position, first and last reading. So the state
 of a run is three numbers and the readings of the last ``delay``. What is emitted does not depend on micro-batch boundaries
 and equals ``runlens.operators.phase_durations``. A run without a reading for ``retention`` is forgotten; a later reading of the
@@ -13,9 +13,11 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import (
     ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues,
@@ -23,12 +25,12 @@ from pyspark.sql.streaming.stateful_processor import (
 
 from runlens.functions.ordering import join_on_keys
 from runlens.operators.recency import phase_durations
-from runlens.streaming.deadline import _use_rocksdb
+from runlens.streaming.deadline import _use_rocksdb, chunks
 from runlens.streaming.readiness import _run_append, as_key
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-READING = "us long, tie long, row array<string>"
+READINGS = "us array<long>, tie array<long>, row array<string>"
 OUT_ROWS = 1 << 16
 
 
@@ -47,15 +49,27 @@ def release(clock: tuple, readings: list[tuple], limit: int, retention_us: int)
     return (n, first, last), rows, []
 
 
+def positions(clock: tuple, us: np.ndarray, retention_us: int) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray]:
+    """``release`` over the times of released readings in order: ``(clock after, position, difference (-1: none), since the first)``."""
+    n, first, last = clock
+    step = np.diff(us, prepend=us[0] if last is None else last)
+    fresh = step > retention_us
+    fresh[0] |= last is None
+    begin = np.maximum.accumulate(np.where(fresh, np.arange(len(us)), -1))         # -1: goes on from the clock
+    seq = np.arange(len(us)) - np.maximum(begin, 0) + np.where(begin < 0, n, 0)
+    start = np.where(begin < 0, 0 if first is None else first, us[np.maximum(begin, 0)])
+    return (int(seq[-1]) + 1, int(start[-1]), int(us[-1])), seq, np.where(fresh, -1, step), us - start
+
+
 class PhaseClock(StatefulProcessor):
-    """One run's clock; the last three input columns are those of ``READING``."""
+    """One run's clock; the last three input columns are micros, tie and the carried columns as JSON."""
 
     def __init__(self, retention_us: int):
         self.retention_us = retention_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", READING)
+        self.waiting = handle.getListState("waiting", READINGS)
         self.clock = handle.getValueState("clock", "n long, first_us long, last_us long, timer_ms long")
 
     def set_timer(self, old, new) -> None:
@@ -65,46 +79,67 @@ class PhaseClock(StatefulProcessor):
             self.handle.registerTimer(new)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        got = []
+        least = None
         for pdf in rows:
-            for us, tie, row in zip(*(pdf.iloc[:, i].tolist() for i in (-3, -2, -1))):
-                got.append((int(us), int(tie), list(row)))
-        if not got:
+            if not len(pdf):
+                continue
+            us, tie, row = (pdf.iloc[:, i].tolist() for i in (-3, -2, -1))
+            self.waiting.appendList(chunks(us, tie, row))
+            least = min(us) if least is None else min(least, min(us))
+        if least is None:
             return iter([])
         n, first, last, timer = self.clock.get() or (0, None, None, None)
-        due = -(-min(g[0] for g in got) // 1000)
+        due = -(-least // 1000)
         due = due if timer is None else min(due, timer)
         self.set_timer(timer, due)
-        self.waiting.appendList(got)
-        self.clock.update((n, first, last, due))
+        if due != timer:
+            self.clock.update((n, first, last, due))
         return iter([])
 
+    def held(self) -> tuple[np.ndarray, np.ndarray, pa.ChunkedArray]:
+        """The waiting readings in columns: a busy run's are never Python objects all at once."""
+        us, tie, row = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+        for u, t, r in self.waiting.get():
+            us.append(np.asarray(u, np.int64))
+            tie.append(np.asarray(t, np.int64))
+            row.append(pa.array(r, pa.large_string()))
+        return np.concatenate(us), np.concatenate(tie), pa.chunked_array(row, pa.large_string())
+
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         known = self.clock.get()
         if known is None:
             return iter([])
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.waiting.get()]
-        clock, rows, left = release(known[:3], held, limit, self.retention_us)
-        if rows and left:
-            self.waiting.put([(us, tie, list(row)) for us, tie, row in left])
-        elif rows:
-            self.waiting.clear()
-        end_us = left[0][0] if left else clock[2] + self.retention_us
-        if not left and end_us <= limit:
+        us, tie, row = self.held()
+        order = np.lexsort((tie, us))
+        us = us[order]
+        n = int(np.searchsorted(us, limit, "right"))
+        clock, rest = known[:3], order[n:]
+        cols = None
+        if n:
+            clock, *cols = positions(clock, us[:n], self.retention_us)
+            if len(rest):
+                self.waiting.put(chunks(us[n:].tolist(), tie[rest].tolist(), row.take(pa.array(rest)).to_pylist()))
+            else:
+                self.waiting.clear()
+        end_us = int(us[n]) if len(rest) else clock[2] + self.retention_us
+        if not len(rest) and end_us <= limit:
             self.clock.clear()
         else:
             due = -(-end_us // 1000)
             self.handle.registerTimer(due)
             self.clock.update((*clock, due))
-        return self.emitted(key[0], rows)
+        return self.emitted(key[0], us[:n], row, order[:n], cols) if n else iter([])
 
     @staticmethod
-    def emitted(run, rows) -> Iterator[pd.DataFrame]:
-        for k in range(0, len(rows), OUT_ROWS):
-            n, us, step, total, row = zip(*rows[k:k + OUT_ROWS])
-            yield pd.DataFrame({"run": pd.Series([run] * len(n), dtype=object), "n": n, "us": us, "step": pd.array(step, "Int64"),
-                                "total": total, "row": [list(r) for r in row]})
+    def emitted(run, us, row, order, cols) -> Iterator[pd.DataFrame]:
+        row = row.combine_chunks()
+        for k in range(0, len(us), OUT_ROWS):
+            part = slice(k, k + OUT_ROWS)
+            n, step, total = (c[part] for c in cols)
+            yield pd.DataFrame({"run": pd.Series([run] * len(n), dtype=object), "n": n, "us": us[part],
+                                "step": pd.arrays.IntegerArray(step, step < 0), "total": total,
+                                "row": row.take(pa.array(order[part])).to_pylist()})
 
     def close(self) -> None:
         pass
@@ -114,6 +149,10 @@ def _carried(df: DataFrame, run: str, ts: str) -> list[str]:
     return [c for c in df.columns if c not in (run, ts)]
 
 
+def _carried_back(row: str) -> Column:
+    return F.from_json(row, "array<string>")
+
+
 def stream_phase_durations(stream: DataFrame, run: str, ts: str, tiebreak: str, seq: str = "seq", step: str = "step_us",
                            total: str = "total_us", delay: str = "1 hour", retention_s: float = 7 * 86400) -> DataFrame:
     """Streaming D3 in append mode: the columns of ``stream`` and ``seq, step, total`` as ``phase_durations`` gives them.
@@ -132,9 +171,10 @@ def stream_phase_durations(stream: DataFrame, run: str, ts: str, tiebreak: str,
     rows = (stream.where(F.col(ts).isNotNull()).withColumn("_rl_ets", F.col(ts).cast("timestamp")).withWatermark("_rl_ets", delay)
             .select(as_key(run), "_rl_ets", F.unix_micros("_rl_ets").alias("_rl_us"),
                     F.coalesce(F.col(tiebreak).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_rl_tie"),
-                    F.array(*[F.col(c).cast("string") for c in rest]).cast("array<string>").alias("_rl_row")))
+                    F.to_json(F.array(*[F.col(c).cast("string") for c in rest]).cast("array<string>")).alias("_rl_row")))
     out = rows.groupBy(run).transformWithStateInPandas(
-        PhaseClock(int(retention_s * 1_000_000)), "run string, n long, us long, step long, total long, row array<string>", "Append", "EventTime")
+        PhaseClock(int(retention_s * 1_000_000)), "run string, n long, us long, step long, total long, row string", "Append", "EventTime") \
+        .withColumn("row", _carried_back("row"))
     back = {c: F.get("row", F.lit(i)).cast(kind[c]) for i, c in enumerate(rest)}
     back |= {run: F.col("run").cast(kind[run]), ts: F.timestamp_micros("us").cast(kind[ts])}
     return out.select(*[back[c].alias(c) for c in stream.columns], F.col("n").alias(seq), F.col("step").alias(step), F.col("total").alias(total))
@@ -160,7 +200,8 @@ def waiting_readings(spark: SparkSession, checkpoint: str, done: DataFrame, rest
         return df.withColumn("_rl_run", F.col("key").getField(df.schema["key"].dataType.names[0]))
 
     clock = state("clock").select("_rl_run", "value.n", "value.first_us", "value.last_us")
-    held = state("waiting").select("_rl_run", "list_element.*").withColumn("_rl_at", F.timestamp_micros("us"))
+    held = state("waiting").select("_rl_run", F.inline(F.arrays_zip("list_element.us", "list_element.tie", "list_element.row")).alias("us", "tie", "row")) \
+        .withColumn("_rl_at", F.timestamp_micros("us")).withColumn("row", _carried_back("row"))
     own = phase_durations(held, "_rl_run", "_rl_at", tiebreak=["tie"], seq="_rl_seq", step="_rl_step", total="_rl_total")
     both = join_on_keys(own, clock, ["_rl_run"], how="left")
     start = F.col("us") - F.col("_rl_total")

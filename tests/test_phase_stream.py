@@ -4,12 +4,13 @@ import os
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from runlens import operators as op
 from runlens.streaming import event_stream, stream_phase_durations, stream_phase_table
-from runlens.streaming.phases import release
+from runlens.streaming.phases import positions, release
 
 SCHEMA = "run long, phase string, cost decimal(9,3), tie long, t long"
 
@@ -81,3 +82,29 @@ def test_no_readings_and_columns_that_cannot_travel(spark, tmp_dir):
     assert stream_phase_table(spark, s, "run", "ts", "tie").collect() == []
     with pytest.raises(TypeError):
         stream_phase_durations(s.withColumn("bad", F.array("run")), "run", "ts", "tie")
+
+
+def test_positions_equal_release():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        us = np.sort(rng.integers(0, 200, rng.integers(1, 12)))
+        clock = [(0, None, None), (4, -30, -5), (1, -90, -90)][rng.integers(3)]
+        after, rows, left = release(clock, [(int(u), k, k) for k, u in enumerate(us)], 1000, 50)
+        got, seq, step, total = positions(clock, us, 50)
+        assert got == after and not left
+        assert [(int(n), int(u), None if s < 0 else int(s), int(t)) for n, u, s, t in zip(seq, us, step, total)] == [r[:4] for r in rows]
+
+
+def test_a_busy_run_waits_in_chunks(spark, tmp_dir):
+    rows = [(1, "ab"[k % 2], None, k, 7 * ((k * 7919) % 9000)) for k in range(9000)]
+    df = rows_of(spark, rows)
+    path, base = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "q")
+    df.coalesce(1).write.parquet(path)
+    for delay in ("1 day", "20 seconds"):      # all wait at the end; most are released
+        got = stream_phase_table(spark, event_stream(spark, path, df.schema), "run", "ts", "tie", delay=delay, partitions=2)
+        want = op.phase_durations(df, "run", "ts", tiebreak=["tie"]).select(*got.columns)
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    stream_phase_durations(event_stream(spark, path, df.schema), "run", "ts", "tie", delay="1 day").writeStream.format("parquet").option(
+        "checkpointLocation", f"{base}/ck").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{base}/ck").selectExpr("size(list_element.us) AS n").collect()
+    assert sum(r.n for r in held) == 9000 and len(held) < 10
