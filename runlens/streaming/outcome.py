@@ -1,7 +1,7 @@
 """E1 by job states over a stream: the wait loop as an event-time state machine whose state is released.
 
-Events may arrive in any order within the watermark's delay. A job's unreleased events wait in its state; when the watermark
-passes them they are replayed in time order, as the wait loop would have seen them:
+Events may arrive in any order within the watermark's delay. A job's unreleased events wait in its list state (appended to in
+chunks of columns, never rewritten by an arrival); when the watermark passes them they are replayed in time order, as the wait loop would have seen them:
 
 * the job's state is the one entered last (of several at one instant the last by ``seq``),
 * ``ready`` at the first instant at which it is ``Running`` and the marker has been written,
@@ -18,6 +18,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,12 +28,14 @@ from pyspark.sql.streaming.stateful_processor import (
 )
 
 from runlens.operators.readiness import state_outcome
-from runlens.streaming.deadline import _use_rocksdb
+from runlens.streaming.deadline import _use_rocksdb, chunks
 from runlens.streaming.readiness import _run_append, as_key
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-INFO = "now string, marked_us long, timer_ms long, us array<long>, seq array<long>, state array<string>, mark array<boolean>"
+INFO = "now string, marked_us long, timer_ms long"
+EVENTS = "us array<long>, seq array<long>, state array<string>, mark array<boolean>"
+PIECE = 1 << 16
 EMITTED = "outcome string, outcome_us long"
 
 
@@ -65,44 +68,71 @@ class StateOutcome(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.info = handle.getValueState("info", INFO)
+        self.waiting = handle.getListState("waiting", EVENTS)
         self.done = handle.getValueState("done", "clear_ms long")
 
-    def keep(self, old_timer, now, marked, events) -> None:
+    def keep(self, old_timer, now, marked, first_us) -> None:
         """Store the machine; a timer stands at its first waiting event."""
-        timer = -(-min(e[0] for e in events) // 1000) if events else None
+        timer = None if first_us is None else -(-first_us // 1000)
         if timer != old_timer:
             if old_timer is not None:
                 self.handle.deleteTimer(old_timer)
             if timer is not None:
                 self.handle.registerTimer(timer)
-        self.info.update((now, marked, timer, *([e[k] for e in events] for k in range(4))))
+        self.info.update((now, marked, timer))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         if self.done.exists():
             for _ in rows:
                 pass
             return iter([])
-        events = []
+        first_us = None
         for pdf in rows:
-            for us, seq, state, mark in zip(*(pdf.iloc[:, i].tolist() for i in (-4, -3, -2, -1))):
-                if us is not None and us == us:
-                    events.append((int(us), int(seq), state if isinstance(state, str) else None, bool(mark)))
+            pdf = pdf[pdf.iloc[:, -4].notna()]
+            if not len(pdf):
+                continue
+            us, seq = (pdf.iloc[:, i].astype("int64").tolist() for i in (-4, -3))
+            state = [s if isinstance(s, str) else None for s in pdf.iloc[:, -2].tolist()]
+            self.waiting.appendList(chunks(us, seq, state, pdf.iloc[:, -1].astype(bool).tolist()))
+            first_us = min(us) if first_us is None else min(first_us, min(us))
         old = self.info.get()
-        now, marked, timer = (None, None, None) if old is None else old[:3]
-        if old is not None:
-            events += zip(*old[3:])
-        self.keep(timer, now, marked, events)
+        now, marked, timer = (None, None, None) if old is None else old
+        if old is None or first_us is not None and (timer is None or -(-first_us // 1000) < timer):
+            self.keep(timer, now, marked, first_us)
         return iter([])
 
+    def replayed(self, now, marked, limit: int):
+        """``replay`` over what waits, in time order and a piece at a time, none cut within an instant; the columns that are left."""
+        parts = [[np.asarray(c, d) for c, d in zip(e, (np.int64, np.int64, object, bool))] for e in self.waiting.get()]
+        if not parts:
+            return now, marked, None, None, None
+        us, seq, state, mark = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(us, kind="stable")
+        at, end, k = us[order], int(np.searchsorted(us[order], limit, "right")), 0
+        while k < end:
+            stop = min(int(np.searchsorted(at, at[min(k + PIECE, end) - 1], "right")), end)
+            here = order[k:stop]
+            events = list(zip(at[k:stop].tolist(), seq[here].tolist(), state[here].tolist(), mark[here].tolist()))
+            now, marked, outcome, when, _ = replay(now, marked, events, limit, self.running, self.failed)
+            if outcome is not None:
+                return now, marked, outcome, when, None
+            k = stop
+        rest = order[end:]
+        return now, marked, None, None, tuple(c[rest].tolist() for c in (us, seq, state, mark)) if len(rest) else None
+
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         info = self.info.get()
         if info is None:
             self.done.clear()
             return iter([])
         mark_ms = timerValues.getCurrentWatermarkInMs()
-        now, marked, outcome, us, left = replay(info[0], info[1], list(zip(*info[3:])), mark_ms * 1000, self.running, self.failed)
+        now, marked, outcome, us, left = self.replayed(info[0], info[1], mark_ms * 1000)
+        if left:
+            self.waiting.put(chunks(*left))
+        else:
+            self.waiting.clear()
         if outcome is None:
-            self.keep(None, now, marked, left)
+            self.keep(None, now, marked, left[0][0] if left else None)
             return iter([])
         self.info.clear()
         clear_ms = us // 1000 + self.retention_ms
@@ -146,12 +176,17 @@ def stream_state_outcome_table(spark: SparkSession, stream: DataFrame, job: str,
 
 def open_states(spark: SparkSession, checkpoint: str, done: DataFrame, job: str, running: str, failed: str) -> DataFrame:
     """Rows, in the columns of ``done``, of the jobs whose machine the stream's state still holds."""
-    held = spark.read.format("statestore").option("stateVarName", "info").load(checkpoint)
-    held = held.select(F.col("key").getField(held.schema["key"].dataType.names[0]).cast(done.schema[job].dataType).alias(job), "value.*")
-    first = F.coalesce(F.array_min("us"), F.lit(0)) - 1        # what was released lies before all that waits
-    known = F.struct(F.coalesce(F.col("marked_us"), first).alias("us"), F.lit(0).cast("long").alias("seq"), F.col("now").alias("state"),
-                     F.col("marked_us").isNotNull().alias("mark"))
-    rows = held.select(job, F.inline(F.concat(F.array(known), F.arrays_zip("us", "seq", "state", "mark"))))
+    def state(var: str) -> DataFrame:
+        df = spark.read.format("statestore").option("stateVarName", var).load(checkpoint)
+        return df.withColumn(job, F.col("key").getField(df.schema["key"].dataType.names[0]).cast(done.schema[job].dataType))
+
+    info = state("info").select(job, "value.now", "value.marked_us")
+    e = F.col("list_element")
+    rows = state("waiting").select(job, F.inline(F.arrays_zip(e["us"].alias("us"), e["seq"].alias("seq"), e["state"].alias("state"),
+                                                              e["mark"].alias("mark"))).alias("us", "seq", "state", "mark"))
+    known = info.select(job, F.coalesce(F.col("marked_us"), F.lit(-(1 << 62))).cast("long").alias("us"), F.lit(0).cast("long").alias("seq"),
+                        F.col("now").alias("state"), F.col("marked_us").isNotNull().alias("mark"))   # released: before all that waits
+    rows = rows.unionByName(known)
     out = state_outcome(rows, job, "us", "state", F.col("mark"), "seq", running, failed)
     kind = done.schema["outcome_ts"].dataType
     return out.select(job, "outcome", F.timestamp_micros("outcome_ts").cast(kind).alias("outcome_ts"))

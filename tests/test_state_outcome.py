@@ -130,3 +130,21 @@ def test_stream_equals_batch_with_late_events_and_releases_state(spark, tmp_dir)
             assert {r.job for r in held} == {f"j{j}" for j in range(60)} - emitted and done == len(emitted)
         else:
             assert done < len(emitted)
+
+
+def test_a_busy_jobs_events_wait_in_chunks(spark, tmp_dir):
+    """Thousands of events of one job: appended in chunks, replayed in pieces (also when no instant may be cut)."""
+    rows = [("hot", (k * 7919) % 1700, "Queued" if k % 3 else None, False) for k in range(9000)]
+    rows += [("hot", 1500, None, True), ("hot", 1500, "Running", False), ("late", 1799, "Running", False)]
+    df = frame(spark, rows)
+    path, base = os.path.join(tmp_dir, "hot"), os.path.join(tmp_dir, "q")
+    df.coalesce(1).write.parquet(path)
+    cols = ["job", "outcome", "outcome_ts"]
+    want = op.state_outcome(df, "job", "ts", "state", F.col("mark"), "seq").select(*cols).collect()
+    for delay in ("1 minute", "1 day"):
+        got = stream_state_outcome_table(spark, event_stream(spark, path, df.schema), "job", "ts", "state", F.col("mark"), "seq", delay=delay)
+        assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want))
+    stream_state_outcome(event_stream(spark, path, df.schema), "job", "ts", "state", F.col("mark"), "seq", delay="1 day").writeStream.format(
+        "parquet").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{base}/ck").selectExpr("size(list_element.us) AS n").collect()
+    assert sum(r.n for r in held) == len(rows) and len(held) < 10
