@@ -19,6 +19,8 @@ from runlens.functions.ordering import with_group_position
 
 # Largest number of range values one row materialises as an array.
 RANGE_CHUNK = 4096
+# Least number of partitions the hosts of B3 are dealt over before they are made distinct.
+HOST_PARTITIONS = 200
 BRACKETS_RE = r"\[([^\]]*)\]"
 
 
@@ -108,6 +110,10 @@ def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
     chunks of at most ``RANGE_CHUNK``, so no array is longer than that or the
     item's own list of ranges. A reversed or malformed range gives no host, an
     item with a bracket that is not closed or not opened gives none at all.
+
+    A short expression stands for many hosts that are nearly all distinct, so a task that expands must not keep them in a
+    table: the hosts are dealt by ``(alloc, host)`` first, over a fixed number of partitions (sized by bytes they would be
+    too few), and made distinct there.
     """
     items = df.select(F.col(alloc), F.explode(
         F.regexp_extract_all(F.col(expr), F.lit(HOSTLIST_ITEM_RE), 0)).alias("_rl_item"))
@@ -156,7 +162,8 @@ def expand_hostlist(df: DataFrame, alloc: str = "alloc_id", expr: str = "expr",
     num = F.col("_rl_num").cast("string")
     host = F.when(num.isNull(), F.col("_rl_pre")).otherwise(F.concat(
         F.col("_rl_pre"), F.lpad(num, F.greatest(F.col("_rl_w"), F.length(num)), "0"), F.col("_rl_suf")))
-    return numbers.select(F.col(alloc), host.alias(out)).dropDuplicates([alloc, out])
+    parts = max(HOST_PARTITIONS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return numbers.select(F.col(alloc), host.alias(out)).repartition(parts, alloc, out).dropDuplicates([alloc, out])
 
 
 def first_present(df: DataFrame, cols: Sequence[str], default: str | None = "localhost",

@@ -145,3 +145,13 @@ def test_hot_queries_take_the_split_plan(spark, name):
     p = plan(QUERIES[name](spark, SF_SMALL))
     assert "rangepartitioning(" in p and "_rl_seg" in p
     spark.catalog.clearCache()
+
+
+def test_hosts_are_made_distinct_after_they_are_dealt(spark):
+    """No task that expands expressions keeps a table of the hosts it made (below the exchange there is no aggregate)."""
+    df = spark.createDataFrame([(1, "n[1-3]c[1-2],n1"), (1, "n1"), (2, "n1")], "alloc_id int, expr string")
+    out = op.expand_hostlist(df)
+    plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    dealt = next(i for i, line in enumerate(plan) if "RepartitionBy" in line or "Exchange" in line)
+    assert not any("Aggregate" in line for line in plan[dealt:]) and any("Aggregate" in line for line in plan[:dealt])
+    assert sorted(map(tuple, out.collect())) == [(1, "n1"), *[(1, f"n{a}c{b}") for a in (1, 2, 3) for b in (1, 2)], (2, "n1")]
