@@ -17,6 +17,8 @@ distance ``d = 1 - J`` is a metric; two points link when ``d <= r`` (``r = 0.25`
    compared in tiles: blocks of the points outside the largest component meet the region's points as they stream past, and
    only pairs that may link leave a task.
 
+Replicas at rare shingles travel packed, by bucket of the shingle's hash; sketches travel as low bytes and a bit map of the high ones.
+
 All decisions are exact: a pair is dropped on a bound that can only be too high, and else decided on the whole sets. The frequent shingles come from a sixteenth of the documents and are at most ``FREQUENT``;
 they only change the order, never the result. Regions of frequent shingles are found with partial aggregates and joins that Spark
 can split, all others by one sorted exchange.
@@ -50,6 +52,8 @@ TILE = 512              # points of a tile's block
 TILE_POINTS = 256       # points that pass a block together, if they
 TILE_HITS = 1 << 20     # meet no more than so many equal values in it
 PART_BYTES = 2 << 20
+BUCKET_BITS = 13        # replicas at rare shingles are dealt by so many bits of the shingle's hash, and told apart by 32 more
+PACK = 1 << 19          # replicas that a task packs together
 
 
 def shingle_sets(part: pa.RecordBatch, size: int):
@@ -90,24 +94,70 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     return s[order], got.n.to_numpy(np.int64)[order]
 
 
+def pack_bits(u: np.ndarray) -> bytes:
+    """The highest 16 bits of sorted hashes: a byte each for the lower eight, and a bit map in which the k-th one bit stands at k plus the
+    upper eight."""
+    v = (u >> U64(48)).astype(np.uint16)
+    high = np.zeros(len(v) + 256, np.uint8)
+    high[(v >> np.uint16(8)).astype(np.int64) + np.arange(len(v))] = 1
+    return (v & np.uint16(255)).astype(np.uint8).tobytes() + np.packbits(high).tobytes()
+
+
+def unpack_bits(data) -> np.ndarray:
+    """The sorted 16-bit values of ``pack_bits``."""
+    raw = np.frombuffer(data, np.uint8)
+    n = (len(raw) - 32) * 8 // 9       # len(raw) = n + ceil((n + 256) / 8)
+    high = np.flatnonzero(np.unpackbits(raw[n:])) - np.arange(n)
+    return (high << 8).astype(np.uint16) | raw[:n]
+
+
 POINTS = "kind int, doc_id long, th long, n long, s long, x long, size int, p long, p_size int"
 _POINTS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()),
                      ("s", pa.int64()), ("x", pa.int64()), ("size", pa.int32()), ("p", pa.int64()), ("p_size", pa.int32())])
+_PACKED = _POINTS.append(pa.field("data", pa.binary()))
 
 
-def _rows(kind: int, m: int, /, **cols) -> pa.RecordBatch:
+def _rows(kind: int, m: int, /, schema=_POINTS, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)) if f.name == "kind" else
                                        pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(m, f.type)
-                                       for f in _POINTS], schema=_POINTS)
+                                       for f in schema], schema=schema)
+
+
+def packed(s: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(buckets, data) of replicas (shingle, point, size): each bucket's points, next 32 bits of the shingles' hashes, and sizes by byte."""
+    t = mix64(s)
+    bucket = (t >> U64(64 - BUCKET_BITS)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, x, z = bucket[order], x[order].astype(np.int64), z[order].astype(np.int32)
+    low = (t >> U64(32 - BUCKET_BITS)).astype(np.uint32)[order]
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    return bucket[cut[:-1]], [x[i:j].tobytes() + low[i:j].tobytes() + z[i:j].view(np.uint8).reshape(-1, 4).T.tobytes()
+                              for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
+def unpacked(bucket: int, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The replicas (shingle, point, size) of one bucket; two shingles are one where all dealt bits agree, which only adds points to regions."""
+    sizes = [len(d) // 16 for d in data]
+    x = np.concatenate([np.frombuffer(d, np.int64, n) for d, n in zip(data, sizes)])
+    low = np.concatenate([np.frombuffer(d, np.uint32, n, 8 * n) for d, n in zip(data, sizes)])
+    z = np.concatenate([np.frombuffer(d, np.uint8, 4 * n, 12 * n).reshape(4, n).T for d, n in zip(data, sizes)])
+    s = mix64((U64(bucket) << U64(32)) | low.astype(U64))
+    return s.view(np.int64), x, np.ascontiguousarray(z).view(np.int32)[:, 0]
 
 
 def points(docs: DataFrame, frequent, size: int) -> DataFrame:
-    """kind 0: each document's point; 1 and 2: each point's replicas (once per task) at rare and at frequent shingles."""
+    """kind 0: each document's point; 1 and 2: each point's replicas (once per task) at rare (``packed``, ``s`` is the bucket) and at
+    frequent shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         known, count = shared.value
-        done = set()
+        done, rare, held = set(), [], 0
+
+        def flush():
+            bucket, data = packed(*(np.concatenate(c) for c in zip(*rare)))
+            return _rows(1, len(data), _PACKED, s=bucket, data=data)
+
         for part in slices(batches, PART_BYTES):
             ids = part.column("doc_id")
             x, n = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
@@ -125,14 +175,21 @@ def points(docs: DataFrame, frequent, size: int) -> DataFrame:
                     weight = np.where(known[at] == u, count[at], 0)
                 first = np.lexsort((u, weight))[:k] if weight.any() else np.arange(k)
                 out.append((u[first], np.full(k, p), np.full(k, len(u), np.int32), weight[first] > 0))
-            yield _rows(0, part.num_rows, doc_id=ids, th=part.column("th"), n=n, x=pa.array(x, mask=n == 0))
+            yield _rows(0, part.num_rows, _PACKED, doc_id=ids, th=part.column("th"), n=n, x=pa.array(x, mask=n == 0))
             if out:
                 s, p, z, f = (np.concatenate(c) for c in zip(*out))
-                s = s.view(np.int64)
-                for kind, at in ((1, ~f), (2, f)):
-                    yield _rows(kind, int(at.sum()), s=s[at], x=p[at], size=z[at])
+                if f.any():
+                    yield _rows(2, int(f.sum()), _PACKED, s=s[f].view(np.int64), x=p[f], size=z[f])
+                rare.append((s[~f], p[~f], z[~f]))
+                held += len(rare[-1][0])
+                if held >= PACK:
+                    yield flush()
+                    rare, held = [], 0
+        if held:
+            yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, POINTS)
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+            .mapInArrow(run, POINTS + ", data binary"))
 
 
 def _by_size(s, x, z):
@@ -157,28 +214,27 @@ def _by_size(s, x, z):
 
 
 def _shared_runs(batches):
-    """Rows sorted by (s, x): regions of rare shingles that at least two points have; other kinds pass."""
-    rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+    """Rows sorted by (kind, s): regions of rare shingles that at least two points have, bucket by bucket; other kinds pass."""
+    at, held = None, []
 
-    def emit(*cols):
-        s, x, z, p, pz = _by_size(*cols)
+    def emit():
+        s, x, z, p, pz = _by_size(*unpacked(at, held))
         return _rows(1, len(s), s=s, x=x, size=z, p=p, p_size=pz)
 
     for b in batches:
         kind = np.asarray(b.column("kind"))
         other = kind != 1
         if other.any():
-            yield b.filter(pa.array(other))
+            yield b.filter(pa.array(other)).select(_POINTS.names)
         mine = b.filter(pa.array(~other))
-        cols = [np.concatenate([r, np.asarray(mine.column(f))]) for r, f in zip(rest, ("s", "x", "size"))]
-        if not len(cols[0]):
-            continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))   # the last shingle may go on in the next batch
-        rest = [c[cut:] for c in cols]
-        if cut:
-            yield emit(*[c[:cut] for c in cols])
-    if len(rest[0]):
-        yield emit(*rest)
+        for bucket, data in zip(mine.column("s").to_pylist(), mine.column("data")):
+            if bucket != at and held:
+                yield emit()
+                held = []
+            at = bucket
+            held.append(data.as_py())
+    if held:
+        yield emit()
 
 
 def regions(replicas: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -189,7 +245,7 @@ def regions(replicas: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _regions(replicas: DataFrame, key, keep) -> tuple[DataFrame, DataFrame]:
-    found = stored(replicas.withColumn("key", key).repartition("key").sortWithinPartitions("kind", "s", "x").drop("key")
+    found = stored(replicas.withColumn("key", key).repartition("key").sortWithinPartitions("kind", "s").drop("key")
                    .mapInArrow(_shared_runs, POINTS), "jaccard_points")
     rare = found.where("kind = 1").select("s", "x", "size", "p", "p_size")
     hot = found.where("kind = 2").groupBy("s", "x").agg(F.first("size").alias("size"))
@@ -206,13 +262,13 @@ def may_link(a, b):
 
 
 def sets_of(docs: DataFrame, owners: DataFrame, size: int, sketch: bool) -> DataFrame:
-    """``x, data`` for the points in ``owners`` (x, doc_id): packed sorted hashes, or their highest 16 bits only."""
+    """``x, data`` for the points in ``owners`` (x, doc_id): sorted hashes, or their highest 16 bits only (``pack_bits``)."""
     schema = pa.schema([("x", pa.int64()), ("data", pa.binary())])
 
     def run(batches):
         for part in slices(batches, PART_BYTES):
             want = part.column("x")
-            out = [(want[row].as_py(), (u >> U64(48)).astype(np.uint16).tobytes() if sketch else u.tobytes())
+            out = [(want[row].as_py(), pack_bits(u) if sketch else u.tobytes())
                    for row, u in shingle_sets(part, size) if point(u) == want[row].as_py()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -253,7 +309,7 @@ def paired(pairs: DataFrame, sets: DataFrame, sketch: bool) -> DataFrame:
             .select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"),
                     F.lit(None).cast("long").alias("b"), "data"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("total", pa.int64())])
-    kind, common = (np.uint16, common_bits) if sketch else (U64, common_hashes)
+    common = common_bits if sketch else common_hashes
 
     def run(batches):
         count, n = None, 0
@@ -261,7 +317,7 @@ def paired(pairs: DataFrame, sets: DataFrame, sketch: bool) -> DataFrame:
             out = []
             a_col, b_col = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             for a, b, data in zip(a_col, b_col, batch.column("data")):
-                u = np.frombuffer(data.as_buffer(), kind)
+                u = unpack_bits(data.as_buffer()) if sketch else np.frombuffer(data.as_buffer(), U64)
                 if b is None:
                     count, n = common(u.copy()), len(u)
                 else:
@@ -421,26 +477,52 @@ class Join:
     def tiles(self, rows: DataFrame) -> None:
         """Compare the points of different components in each region ``rows`` (s, x, p, c).
 
-        Regions around the same pivot overlap and are compared as one, so a point passes once. Those outside the region's largest component are dealt into blocks of about ``TILE``; all the region's points stream past each
-        block, as 16-bit sketches. Only pairs that may link by their sketches leave a task; they are measured on whole sets.
+        Regions around the same pivot overlap and are compared as one, so a point passes once. Those outside the region's largest
+        component are dealt, in the order of their ids (which are hashes), into blocks of about ``TILE``. The largest component's points
+        stream past each block and a block's points past the blocks before, as 16-bit sketches; inside its block a point is sent once. Only pairs that may link by their sketches leave a task; they are measured on whole sets.
         """
         rows = stored(rows.select(F.col("p").alias("s"), "x", "c").distinct(), "jaccard_around")
         each = rows.groupBy("s", "c").agg(F.count("*").alias("m"))
         plan = (each.groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("main"), (F.sum("m") - F.max("m")).alias("side"))
                 .select("s", "main", F.ceil(F.col("side") / TILE).cast("int").alias("blocks")))
         rows = stored(rows.select("s", "x", "c").join(few(stored(plan, "jaccard_plan")), "s"), "jaccard_tiled")
-        side = rows.where("c <> main").select("s", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"),
-                                              F.lit(0).alias("kind"), "x", "c", "main")
-        past = rows.select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "x", "c", "main")
-        close = stored(side.unionByName(past).join(self.sketches, "x").select("s", "block", "kind", "x", "c", "main", "data")
+        own = F.least(F.floor((F.col("x") / F.lit(2.0 ** 64) + 0.5) * F.col("blocks")).cast("int"), F.col("blocks") - 1)
+        last = F.when(F.col("c") == F.col("main"), F.col("blocks") - 1).otherwise(own)
+        sent = (rows.withColumn("last", last).withColumn("block", F.explode(F.sequence(F.lit(0), "last")))
+                .withColumn("kind", F.when((F.col("c") != F.col("main")) & (F.col("block") == F.col("last")), 0).otherwise(1)))
+        close = stored(sent.join(self.sketches, "x").select("s", "block", "kind", "x", "c", "main", "data")
                        .repartition("s", "block").sortWithinPartitions("s", "block", "kind")
-                       .mapInArrow(near_pairs, "a long, b long").distinct(), "jaccard_close")
+                       .mapInArrow(lambda batches: near_pairs(tile_rows(batches)), "a long, b long").distinct(), "jaccard_close")
         if not close.isEmpty():
             with scratch() as keep:
                 got = keep(stored(self.whole(close), "jaccard_distances"))
             self.join(got)
 
 
+def tile_rows(batches):
+    """Rows sorted by (s, block, kind) with ``pack_bits`` sketches, as ``near_pairs`` takes them: a block's points pass it too."""
+    names = ["s", "block", "kind", "x", "c", "main"]
+    at, block = None, []
+
+    for b in batches:
+        s, blk, kind = (np.asarray(b.column(k)) for k in names[:3])
+        data = pa.array([unpack_bits(d.as_buffer()).tobytes() for d in b.column("data")], pa.binary())
+        rows = pa.RecordBatch.from_arrays([*(b.column(k) for k in names), data], names=[*names, "data"])
+        again = rows.set_column(2, "kind", pa.array(np.ones(len(s), np.int32)))
+        cut = np.flatnonzero((np.diff(s, prepend=~s[:1]) != 0) | (np.diff(blk, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0))
+        out = []
+        for i, j in zip(cut.tolist(), np.append(cut[1:], len(s)).tolist()):
+            if block and ((s[i], blk[i]) != at or kind[i] == 1):
+                out += block
+                block = []
+            at = (s[i], blk[i])
+            out.append(rows.slice(i, j - i))
+            if kind[i] == 0:
+                block.append(again.slice(i, j - i))
+        yield from pa.Table.from_batches(out, rows.schema).combine_chunks().to_batches()
+    yield from block
+
+
 def near_pairs(batches):
     """Rows sorted by (s, block, kind): pairs (a, b) of a block's points (kind 0) and the points that pass (kind 1), of different
     components, whose sketches allow a link. Equal 16-bit values of a set count as often as they meet, which can only raise the bound."""

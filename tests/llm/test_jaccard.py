@@ -161,3 +161,51 @@ def test_splits_go_on_and_stay_exact(frame, monkeypatch):
                     comp[a] = comp[b] = min(comp[a], comp[b])
     got = {r.doc_id: r.component_id for r in J.join(frame(rows)).collect()}
     assert got == comp and 3 < len(set(comp.values())) < 60
+
+
+def test_packed_replicas_and_sketches_come_back():
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 40), 255, 256, 257, 3000, 70_000]:
+        for u in (np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)), np.arange(n, dtype=np.uint64), ~np.arange(n, dtype=np.uint64)[::-1]):
+            data = J.pack_bits(u)
+            assert np.array_equal(J.unpack_bits(data), (u >> np.uint64(48)).astype(np.uint16))
+            assert len(data) == len(u) + 32 + -(-len(u) // 8)
+    s = rng.integers(0, 300, 4000).astype(np.uint64)
+    x, z = rng.integers(-1 << 63, 1 << 63, 4000), rng.integers(1, 1 << 30, 4000).astype(np.int32)
+    halves = [J.packed(s[i:i + 2000], x[i:i + 2000], z[i:i + 2000]) for i in (0, 2000)]
+    data = defaultdict(list)
+    for bucket, blobs in halves:
+        for k, d in zip(bucket.tolist(), blobs):
+            data[k].append(d)
+    assert sum(len(d) for ds in data.values() for d in ds) == 16 * 4000          # no more than 16 bytes a replica are dealt out
+    groups = defaultdict(set)
+    for k, ds in data.items():
+        for g, a, b in zip(*(c.tolist() for c in J.unpacked(k, ds))):
+            groups[g].add((a, b))
+    want = defaultdict(set)
+    for g, a, b in zip(s.tolist(), x.tolist(), z.tolist()):
+        want[g].add((a, b))
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_a_blocks_points_are_sent_once_and_pass_it(size):
+    """Every two side points of a region meet once, and each meets every point of the largest component."""
+    import pyarrow as pa
+    rng = np.random.default_rng(6)
+    u = np.unique(rng.integers(0, 1 << 64, 50, dtype=np.uint64))
+    rows, want = [], set()
+    for s in range(3):
+        ids = [s * 100 + k for k in range(30)]
+        side, main = ids[:20], ids[20:]
+        rows += [(s, b, int(b < k // 7), x, x, main[0]) for k, x in enumerate(side) for b in range(k // 7 + 1)]
+        rows += [(s, b, 1, x, main[0], main[0]) for x in main for b in range(3)]
+        want |= {(a, b) for a in side for b in side if a < b} | {(a, b) for a in side for b in main}
+    rows.sort(key=lambda r: r[:3])
+    assert sum(r[2] == 0 for r in rows) == 60
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows), [J.pack_bits(u)] * len(rows)], types)],
+                                       names=["s", "block", "kind", "x", "c", "main", "data"])
+    got = [p for b in J.near_pairs(J.tile_rows(batch.slice(i, size) for i in range(0, len(rows), size)))
+           for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+    assert set(got) == want and len(got) == len(want)
