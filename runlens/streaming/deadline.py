@@ -68,8 +68,11 @@ class _Fold:
         self.firsts: dict[str, int] = {}
 
     def add(self, pdf: pd.DataFrame) -> None:
+        self.take(zip(*(pdf.iloc[:, i].tolist() for i in (-4, -3, -2, -1))))
+
+    def take(self, rows) -> None:
         firsts = self.firsts
-        for us, member, exp, fail in zip(*(pdf.iloc[:, i].tolist() for i in (-4, -3, -2, -1))):
+        for us, member, exp, fail in rows:
             if us is None or us != us:          # NULL arrives as None or NaN
                 continue
             us = int(us)

@@ -13,17 +13,19 @@ are chained in one append-mode query:
 
 So a verdict comes one deadline later than from the one-operator form; its content is the same, for every number of
 buckets and every cut of the input into micro-batches. Finished buckets and jobs leave a one-field marker until ``retention`` has passed.
+
+Most keys have a few rows, so both operators take and give plain rows: a data frame per key costs more than the key's state.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import (
     ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues,
@@ -89,15 +91,17 @@ class MemberBucket(_Released):
         self.info = handle.getValueState("info", "start_us long, expected int, failed_us long, timer_ms long, members array<string>, firsts array<long>")
         self.done = handle.getValueState("done", "clear_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         acc = _Fold()
-        for pdf in rows:
-            acc.add(pdf)
-        if acc.start is None or self.done.exists():
+        acc.take(row[-4:] for row in rows)
+        if acc.start is None:
             return iter([])
         start, expected, failed, timer, firsts = acc.start, acc.expected, acc.failed, None, acc.firsts
         old = self.info.get()
-        if old is not None:
+        if old is None:
+            if self.done.exists():
+                return iter([])
+        else:
             start, expected, failed, timer = least(start, old[0]), most(expected, old[1]), least(failed, old[2]), old[3]
             for member, us in zip(old[4], old[5]):
                 if us < firsts.get(member, us + 1):
@@ -107,7 +111,7 @@ class MemberBucket(_Released):
         self.info.update((start, expected, failed, end, list(firsts), list(firsts.values())))
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         info = self.info.get()
         if info is None:
             self.done.clear()
@@ -117,9 +121,8 @@ class MemberBucket(_Released):
         self.info.clear()
         self.finish(end, now)
         limit = start + self.deadline_us
-        out = pd.DataFrame({"job": [key[0]], "ets": [pd.Timestamp((now + 1) * 1_000_000)], "start_us": [start], "expected": [expected],
-                            "failed_us": [failed], "firsts": [sorted(f for f in firsts if f <= limit)]})
-        return iter([out.astype({"expected": "Int32", "failed_us": "Int64"})])
+        ets = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(milliseconds=now + 1)
+        return iter([Row(job=key[0], ets=ets, start_us=start, expected=expected, failed_us=failed, firsts=sorted(f for f in firsts if f <= limit))])
 
 
 class JobMerge(_Released):
@@ -134,15 +137,15 @@ class JobMerge(_Released):
         self.info = handle.getValueState("info", "start_us long, timer_ms long")
         self.done = handle.getValueState("done", "clear_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        got = []
-        for pdf in rows:
-            for start, expected, failed, firsts in zip(*(pdf.iloc[:, i].tolist() for i in (-4, -3, -2, -1))):
-                got.append((int(start), None if expected is None or expected != expected else int(expected),
-                            None if failed is None or failed != failed else int(failed), [int(f) for f in firsts]))
-        if not got or self.done.exists():
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        got = [tuple(row[-4:]) for row in rows]
+        if not got:
             return iter([])
-        old = self.info.get() or (None, None)
+        old = self.info.get()
+        if old is None:
+            if self.done.exists():
+                return iter([])
+            old = (None, None)
         start = least(min(g[0] for g in got), old[0])
         end = -(-(start + 2 * self.deadline_us) // 1000)
         self.move_timer(old[1], end)
@@ -150,7 +153,7 @@ class JobMerge(_Released):
         self.parts.appendList(got)
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         info = self.info.get()
         if info is None:
             self.done.clear()
@@ -165,9 +168,7 @@ class JobMerge(_Released):
         self.info.clear()
         self.parts.clear()
         self.finish(end, timerValues.getCurrentWatermarkInMs())
-        out = pd.DataFrame({"job": [key[0]], "start_us": [start], "n_members": [n], "ready_us": [ready], "failed_us": [failed],
-                            "outcome": [outcome], "met": [outcome == "ready"]})
-        return iter([out.astype({"ready_us": "Int64", "failed_us": "Int64"})])
+        return iter([Row(job=key[0], start_us=start, n_members=n, ready_us=ready, failed_us=failed, outcome=outcome, met=outcome == "ready")])
 
 
 def stream_fleet_deadline(stream: DataFrame, job: str, ts: str, member: str, expected: str | int, deadline_s: float,
@@ -186,9 +187,9 @@ def stream_fleet_deadline(stream: DataFrame, job: str, ts: str, member: str, exp
                     exp.cast("int").alias("_rl_expected"),
                     F.coalesce(failed if failed is not None else F.lit(False), F.lit(False)).alias("_rl_failed")))
     limits = int(round(deadline_s * 1_000_000)), int(1000 * (retention_s if retention_s is not None else deadline_s))
-    parts = rows.groupBy(job, "_rl_bucket").transformWithStateInPandas(
+    parts = rows.groupBy(job, "_rl_bucket").transformWithState(
         MemberBucket(*limits), f"job string, ets timestamp, {PART}", "Append", "EventTime", eventTimeColumnName="ets")
-    out = parts.groupBy("job").transformWithStateInPandas(
+    out = parts.groupBy("job").transformWithState(
         JobMerge(*limits), "job string, start_us long, n_members long, ready_us long, failed_us long, outcome string, met boolean",
         "Append", "EventTime")
 

@@ -86,3 +86,59 @@ def test_rows_without_member_time_or_job(spark, tmp_dir):
     plain = stream_deadline_table(spark, event_stream(spark, path, df.schema), "job_id", "ts", "member", 2, 60, failed=F.col("fail"), partitions=1)
     assert {(r.job_id, r.n_members, r.outcome) for r in plain.collect()} == {(None, 2, "ready"), (1, 1, "failed"), (2, 1, "failed"), (9, 1, "open")}
     assert {(r.job_id, r.n_members, r.outcome) for r in got.collect()} == {(None, 2, "ready"), (1, 1, "failed"), (2, 1, "failed"), (9, 1, "open")}
+
+
+class _Calls:
+    """Stands in for the handle and its states; counts the calls."""
+
+    def __init__(self):
+        self.n, self.value, self.timers = 0, {}, []
+
+    def getValueState(self, name, schema):
+        calls = self
+
+        class State:
+            def exists(self):
+                calls.n += 1
+                return name in calls.value
+
+            def get(self):
+                calls.n += 1
+                return calls.value.get(name)
+
+            def update(self, value):
+                calls.n += 1
+                calls.value[name] = value
+
+            def clear(self):
+                calls.n += 1
+                calls.value.pop(name, None)
+        return State()
+
+    def registerTimer(self, ms):
+        self.n += 1
+        self.timers.append(ms)
+
+    def deleteTimer(self, ms):
+        self.n += 1
+        self.timers.remove(ms)
+
+
+def test_a_bucket_takes_rows_and_makes_few_calls():
+    """Keys with a few rows are most of the keys: plain rows in and out, four calls for a new key, two for one that waits."""
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+    from runlens.streaming.fleet import MemberBucket
+    handle, bucket = _Calls(), MemberBucket(1_000_000, 5000)
+    bucket.init(handle)
+    cols = Row("job_id", "b", "us", "member", "expected", "failed")
+    key, at = ("1", 0), TimerValues(0, 0)
+    assert list(bucket.handleInputRows(key, iter([cols("1", 0, 500, "a", None, False), cols("1", 0, None, "z", 9, False)]), at)) == []
+    assert handle.n == 4 and handle.timers == [1001]
+    assert list(bucket.handleInputRows(key, iter([cols("1", 0, 900, "b", 2, True), cols("1", 0, 700, "a", None, None)]), at)) == []
+    assert handle.n == 6 and handle.timers == [1001]
+    out = list(bucket.handleExpiredTimer(key, TimerValues(0, 1001), ExpiredTimerInfo(1001)))
+    assert [r.asDict() | {"ets": r.ets.timestamp()} for r in out] == [
+        {"job": "1", "ets": 1.002, "start_us": 500, "expected": 2, "failed_us": 900, "firsts": [500, 900]}]
+    assert set(handle.value) == {"done"} and handle.timers == [1001, 6001]
+    assert list(bucket.handleInputRows(key, iter([cols("1", 0, 950, "c", 3, False)]), at)) == [] and set(handle.value) == {"done"}
