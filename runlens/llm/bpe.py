@@ -39,8 +39,8 @@ from runlens.llm.common import by_value
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
 UNSURE = 4           # characters at a cut whose boundaries may change with what follows
-CACHE = 600_000      # cached pieces per task
-GROUP = 1_000        # documents whose pieces are looked up together
+CACHE = 1 << 17      # cached pieces per task
+GROUP_BYTES = 1 << 18   # text whose pieces are looked up together (a longer text is a group of its own)
 SHORT = 64           # longest piece (bytes) that is cached and merged by scanning
 
 IDS = "doc_id long, n_tokens long, ids binary, decoded_sha256 string"
@@ -285,13 +285,11 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, digest: boo
 
     def short(batches):
         pat, pieces, vocab = tools()
-        for b in batches:
-            for k in range(0, b.num_rows, GROUP):
-                part = b.slice(k, GROUP)
-                found = [pat.findall(t) for t in part.column("text").to_pylist()]
-                pieces.learn(found)
-                yield _batch([row(i, b"".join(map(pieces.__getitem__, f)), vocab)
-                              for i, f in zip(part.column("doc_id").to_pylist(), found)], out_schema)
+        for part in common.slices(batches, GROUP_BYTES):
+            found = [pat.findall(t) for t in part.column("text").to_pylist()]
+            pieces.learn(found)
+            yield _batch([row(i, b"".join(map(pieces.__getitem__, f)), vocab)
+                          for i, f in zip(part.column("doc_id").to_pylist(), found)], out_schema)
 
     def cut(batches):
         from pyspark import TaskContext

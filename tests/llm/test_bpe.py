@@ -61,3 +61,16 @@ def test_round_trip(frame):
 
 def test_empty_table(docs):
     assert bpe.report(docs.limit(0)).collect() == []
+
+
+def test_pieces_are_looked_up_in_groups_of_bounded_bytes(frame, monkeypatch):
+    rng, learn = random.Random(5), bpe.Pieces.learn
+    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(800))) for i in range(400)]
+
+    def watched(self, found):
+        assert sum(len(p) for f in found for p in f) <= (1 << 18) + 5000, "a group is too large"
+        learn(self, found)
+
+    monkeypatch.setattr(bpe.Pieces, "learn", watched)
+    got = Counter(map(tuple, bpe.report(frame(rows).coalesce(1)).collect()))
+    assert got == Counter(expected(i, t) for i, t in rows)
