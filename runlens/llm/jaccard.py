@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm import common
-from runlens.llm.common import U64, by_value, few, lower, mix64, scratch, shingle_hashes, slices, stored, text_buffer, words
+from runlens.llm.common import (U64, by_value, few, lower, mix64, scratch, shingle_hashes, slices, small_batches, stored, text_buffer,
+                                words)
 
 SIZE = 5                # words per shingle
 NUM, DEN = 75, 100      # linked: DEN * intersection >= NUM * union
@@ -50,10 +51,10 @@ PIVOTS = 8
 GROUP_ROWS = 512        # comparisons with one point that a task is given together
 TILE = 512              # points of a tile's block
 TILE_POINTS = 256       # points that pass a block together, if they
-TILE_HITS = 1 << 20     # meet no more than so many equal values in it
-PART_BYTES = 2 << 20
+TILE_HITS = 1 << 18     # meet no more than so many equal values in it
+PART_BYTES = 1 << 19
 BUCKET_BITS = 13        # replicas at rare shingles are dealt by so many bits of the shingle's hash, and told apart by 32 more
-PACK = 1 << 19          # replicas that a task packs together
+PACK = 1 << 18          # replicas that a task packs together
 
 
 def shingle_sets(part: pa.RecordBatch, size: int):
@@ -582,7 +583,7 @@ def near_pairs(batches):
 def classes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``doc_id, th, n, c`` of every row: its text's hash, set size, and the name of its component (null: links with nothing)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with scratch() as keep:
+    with scratch() as keep, small_batches(docs.sparkSession):
         own, rows = regions(points(docs, frequent_shingles(docs, size), size))
         met = stored(rows.where((F.col("x") != F.col("p")) & may_link(F.col("size"), F.col("p_size")))
                      .groupBy("x", "p").agg(F.count("*").alias("k")), "jaccard_met")

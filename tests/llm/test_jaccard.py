@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm.conftest import EDGES
@@ -209,3 +211,47 @@ def test_a_blocks_points_are_sent_once_and_pass_it(size):
     got = [p for b in J.near_pairs(J.tile_rows(batch.slice(i, size) for i in range(0, len(rows), size)))
            for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_python_is_handed_small_batches(spark, frame, monkeypatch):
+    key, given = "spark.sql.execution.arrow.maxBytesPerBatch", J.slices
+    monkeypatch.setattr(J.common, "BATCH_BYTES", 1 << 16)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(200))) for i in range(200)]
+    before = spark.conf.get(key)
+
+    def watched(batches, max_bytes, column="text"):
+        def each():
+            for b in batches:
+                assert b.nbytes <= 1 << 17, "a batch is too large"
+                yield b
+        yield from given(each(), max_bytes, column)
+
+    monkeypatch.setattr(J, "slices", watched)
+    got = {r.doc_id: tuple(r)[1:] for r in J.join(frame(rows).coalesce(1)).collect()}
+    assert got == {i: (196, i) for i, _ in rows}
+    assert spark.conf.get(key) == before
+
+
+def test_memory_of_a_part_and_a_tile():
+    """Peaks of the arrays that a task makes at once: text cut into parts, and a tile in which every value meets."""
+    words = " ".join(f"w{k % 9973}" for k in range(800))
+    batch = pa.RecordBatch.from_pydict({"text": [words] * 1000})
+    v = np.arange(150, dtype=np.uint16)
+
+    def rows(kind, n):
+        i, x = np.zeros(n, np.int64), np.arange(n, dtype=np.int64) + 1000 * kind
+        return pa.RecordBatch.from_pydict({"s": i, "block": i, "kind": i.astype(np.int32) + kind, "x": x, "c": x, "main": i - 1,
+                                           "data": [v.tobytes()] * n})
+
+    def peak(work):
+        tracemalloc.start()
+        for _ in work():
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 1e6
+
+    parts = peak(lambda: (None for part in J.slices([batch], J.PART_BYTES) for _ in J.shingle_sets(part, 5)))
+    tiles = peak(lambda: J.near_pairs([rows(0, 500), rows(1, 250)]))
+    assert parts < 40 and tiles < 40, (parts, tiles)
