@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runlens import operators as op
 from runlens.streaming import event_stream, stream_phase_durations, stream_phase_table
-from runlens.streaming.phases import positions, release
+from runlens.streaming.phases import WAIT_SHARDS, positions, release, walk
 
 SCHEMA = "run long, phase string, cost decimal(9,3), tie long, t long"
 
@@ -108,3 +108,54 @@ def test_a_busy_run_waits_in_chunks(spark, tmp_dir):
         "checkpointLocation", f"{base}/ck").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     held = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{base}/ck").selectExpr("size(list_element.us) AS n").collect()
     assert sum(r.n for r in held) == 9000 and len(held) < 10
+
+
+def test_walk_over_groups_of_many_runs_equals_release():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        runs = [(np.sort(rng.integers(0, 400, rng.integers(1, 15))), [(0, None, None), (4, -30, -5), (1, -90, -90)][rng.integers(3)]) for _ in range(4)]
+        rows, want = [], []
+        for r, (us, clock) in enumerate(runs):
+            told = release(clock, [(int(u), k, k) for k, u in enumerate(us)], 1000, 50)[1]
+            at = np.flatnonzero(np.diff(us // 40, prepend=-1) != 0)              # groups as long as 40, so no gap over 50 inside one
+            for a, b in zip(at, [*at[1:], len(us)]):
+                rows.append((r, b - a, us[a], us[b - 1]))
+                n, u, step, total, _ = told[a]
+                want.append((n, u - total, u if step is None else u - step))
+        clock = tuple(np.array([c[1][i] or 0 for c in runs]) for i in range(3))
+        assert list(zip(*(c.tolist() for c in walk(*(np.array(c) for c in zip(*rows)), clock, 50)))) == want
+
+
+def test_state_keys_follow_neither_the_runs_nor_a_busy_one(spark, tmp_dir):
+    """600 runs and one with most readings: what waits lies in a few keys, and the busy run's readings in several of them."""
+    rows = [(k % 600 + 10, "a", None, k, (k * 7919) % 7_200_000) for k in range(1800)] + [(1, "b", None, k, 1440 * k) for k in range(5000)]
+    df = rows_of(spark, rows)
+    path, base = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "q")
+    df.coalesce(1).write.parquet(path)
+    s = event_stream(spark, path, df.schema)
+    got = stream_phase_table(spark, s, "run", "ts", "tie", delay="30 minutes", partitions=4)
+    want = op.phase_durations(df, "run", "ts", tiebreak=["tie"]).select(*got.columns)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    stream_phase_durations(s, "run", "ts", "tie", delay="40 minutes").writeStream.format("parquet").option(
+        "checkpointLocation", f"{base}/ck").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{base}/ck").select(
+        F.col("key"), F.explode("list_element.run").alias("run")).distinct()
+    keys = held.select("key").distinct().count()
+    assert held.select("run").distinct().count() > 400 and keys <= 2 * WAIT_SHARDS
+    assert spark.read.parquet(f"{base}/out").where("run = 1").count() > 1000
+
+
+def test_readings_later_than_the_delay_reach_neither_operator(spark, tmp_dir):
+    hour = 3_600_000
+    parts = [[(1, "a", None, k, k * 1000) for k in range(50)] + [(2, "a", None, 0, 5)], [(1, "b", None, 100 + k, 10 * hour + k) for k in range(3)],
+             [(2, "b", None, 2, 10 * hour + 9)],       # what the watermark passed before the batch before is late
+             [(1, "late", None, 200, hour), (3, "late", None, 200, hour), (1, "b", None, 201, 10 * hour - 60_000)], [(2, "c", None, 1, 14 * hour)],
+             [(2, "late", None, 9, 4 * hour), (1, "d", None, 300, 14 * hour)]]
+    path = os.path.join(tmp_dir, "late")
+    for p in parts:
+        rows_of(spark, p).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    df = rows_of(spark, [r for p in parts for r in p])
+    got = stream_phase_table(spark, event_stream(spark, path, df.schema, max_files_per_trigger=1), "run", "ts", "tie", delay="1 hour", partitions=2)
+    want = op.phase_durations(df.where("phase <> 'late'"), "run", "ts", tiebreak=["tie"]).select(*got.columns)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
