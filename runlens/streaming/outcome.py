@@ -11,6 +11,10 @@ At the first exit one row is emitted (append mode) and the job's state is cleare
 removes after ``retention`` keeps later events of a finished job from opening it again. So the state holds the open jobs: their current state, whether the
 marker is there, and the events of the last ``delay``. The verdict does not depend on micro-batch boundaries
 and equals ``runlens.operators.state_outcome``.
+
+Most jobs have a few events, so the operator takes and gives plain rows: a data frame per job costs more than its state. The events of
+one job come in packs (``runlens.streaming.packs``), so a busy job costs its task little per event. Events later than the delay
+are dropped, unless they share a pack with others and the job has not been replayed past them.
 """
 
 from __future__ import annotations
@@ -19,9 +23,8 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import (
     ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues,
@@ -29,13 +32,15 @@ from pyspark.sql.streaming.stateful_processor import (
 
 from runlens.operators.readiness import state_outcome
 from runlens.streaming.deadline import _use_rocksdb, chunks
+from runlens.streaming.packs import packed, unpacked
 from runlens.streaming.readiness import _run_append, as_key
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-INFO = "now string, marked_us long, timer_ms long"
+INFO = "now string, marked_us long, timer_ms long, seen_us long"
 EVENTS = "us array<long>, seq array<long>, state array<string>, mark array<boolean>"
 PIECE = 1 << 16
+PACKS = 16              # appended at once
 EMITTED = "outcome string, outcome_us long"
 
 
@@ -60,7 +65,7 @@ def replay(now, marked, events, limit: int, running: str, failed: str):
 
 
 class StateOutcome(StatefulProcessor):
-    """Per-job machine; the last four input columns are ``(event micros, seq, state, mark)``."""
+    """Per-job machine; the last input column is a pack of ``(event micros, seq, state, mark)``."""
 
     def __init__(self, running: str, failed: str, retention_ms: int):
         self.running, self.failed, self.retention_ms = running, failed, retention_ms
@@ -71,34 +76,39 @@ class StateOutcome(StatefulProcessor):
         self.waiting = handle.getListState("waiting", EVENTS)
         self.done = handle.getValueState("done", "clear_ms long")
 
-    def keep(self, old_timer, now, marked, first_us) -> None:
-        """Store the machine; a timer stands at its first waiting event."""
+    def keep(self, old_timer, now, marked, first_us, seen_us) -> None:
+        """Store the machine, replayed up to ``seen_us``; a timer stands at its first waiting event."""
         timer = None if first_us is None else -(-first_us // 1000)
         if timer != old_timer:
             if old_timer is not None:
                 self.handle.deleteTimer(old_timer)
             if timer is not None:
                 self.handle.registerTimer(timer)
-        self.info.update((now, marked, timer))
+        self.info.update((now, marked, timer, seen_us))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        if self.done.exists():
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        old = self.info.get()
+        if old is None and self.done.exists():
             for _ in rows:
                 pass
             return iter([])
-        first_us = None
-        for pdf in rows:
-            pdf = pdf[pdf.iloc[:, -4].notna()]
-            if not len(pdf):
-                continue
-            us, seq = (pdf.iloc[:, i].astype("int64").tolist() for i in (-4, -3))
-            state = [s if isinstance(s, str) else None for s in pdf.iloc[:, -2].tolist()]
-            self.waiting.appendList(chunks(us, seq, state, pdf.iloc[:, -1].astype(bool).tolist()))
-            first_us = min(us) if first_us is None else min(first_us, min(us))
-        old = self.info.get()
-        now, marked, timer = (None, None, None) if old is None else old
-        if old is None or first_us is not None and (timer is None or -(-first_us // 1000) < timer):
-            self.keep(timer, now, marked, first_us)
+        now, marked, timer, seen_us = old or (None, None, None, None)
+        first_us, got = None, []
+        for row in rows:
+            events = unpacked(row[-1])
+            if seen_us is not None and min(events[0]) <= seen_us:
+                events = list(zip(*(e for e in zip(*events) if e[0] > seen_us)))
+                if not events:
+                    continue
+            got.append(tuple(events))           # a pack is a chunk of the list
+            if len(got) == PACKS:
+                self.waiting.appendList(got)
+                got = []
+            first_us = min(events[0]) if first_us is None else min(first_us, min(events[0]))
+        if got:
+            self.waiting.appendList(got)
+        if first_us is not None and (timer is None or -(-first_us // 1000) < timer):
+            self.keep(timer, now, marked, first_us, seen_us)
         return iter([])
 
     def replayed(self, now, marked, limit: int):
@@ -120,7 +130,7 @@ class StateOutcome(StatefulProcessor):
         rest = order[end:]
         return now, marked, None, None, tuple(c[rest].tolist() for c in (us, seq, state, mark)) if len(rest) else None
 
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         info = self.info.get()
         if info is None:
             self.done.clear()
@@ -132,14 +142,14 @@ class StateOutcome(StatefulProcessor):
         else:
             self.waiting.clear()
         if outcome is None:
-            self.keep(None, now, marked, left[0][0] if left else None)
+            self.keep(None, now, marked, left[0][0] if left else None, mark_ms * 1000)
             return iter([])
         self.info.clear()
         clear_ms = us // 1000 + self.retention_ms
         if clear_ms > mark_ms:
             self.handle.registerTimer(clear_ms)
             self.done.update((clear_ms,))
-        return iter([pd.DataFrame({"job": [key[0]], "outcome": [outcome], "outcome_us": [us]})])
+        return iter([Row(job=key[0], outcome=outcome, outcome_us=us)])
 
     def close(self) -> None:
         pass
@@ -154,11 +164,12 @@ def stream_state_outcome(stream: DataFrame, job: str, ts: str, state: str, marke
     """
     _use_rocksdb(stream.sparkSession)
     ts_type, job_type = (stream.schema[c].dataType.simpleString() for c in (ts, job))
-    rows = (stream.withColumn("_rl_ets", F.col(ts).cast("timestamp")).withWatermark("_rl_ets", delay)
-            .select(as_key(job), "_rl_ets", F.unix_micros("_rl_ets").alias("_rl_us"),
-                    F.coalesce(F.col(seq).cast("long") if seq else F.lit(0).cast("long"), F.lit(0).cast("long")).alias("_rl_seq"),
-                    F.col(state).cast("string").alias("_rl_state"), F.coalesce(marker, F.lit(False)).alias("_rl_mark")))
-    out = rows.groupBy(job).transformWithStateInPandas(
+    rows = stream.where(F.col(ts).isNotNull()).select(
+        as_key(job), F.unix_micros(F.col(ts).cast("timestamp")).alias("_rl_us"),
+        F.coalesce(F.col(seq).cast("long") if seq else F.lit(0).cast("long"), F.lit(0).cast("long")).alias("_rl_seq"),
+        F.col(state).cast("string").alias("_rl_state"), F.coalesce(marker, F.lit(False)).alias("_rl_mark"))
+    packs = packed(rows).select(F.col("key").alias(job), F.timestamp_micros("us").alias("_rl_ets"), "pack").withWatermark("_rl_ets", delay)
+    out = packs.groupBy(job).transformWithState(
         StateOutcome(running, failed, int(1000 * retention_s)), f"job string, {EMITTED}", "Append", "EventTime")
     return out.select(F.col("job").cast(job_type).alias(job), "outcome", F.timestamp_micros("outcome_us").cast(ts_type).alias("outcome_ts"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runlens import operators as op
 from runlens.streaming import event_stream, stream_state_outcome, stream_state_outcome_table
 from runlens.streaming.outcome import replay
+from runlens.streaming.packs import packed, unpacked
 
 ROWS = "job string, ts timestamp, seq long, state string, mark boolean"
 
@@ -148,3 +149,33 @@ def test_a_busy_jobs_events_wait_in_chunks(spark, tmp_dir):
         "parquet").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     held = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{base}/ck").selectExpr("size(list_element.us) AS n").collect()
     assert sum(r.n for r in held) == len(rows) and len(held) < 10
+
+
+def test_a_jobs_events_reach_its_state_in_packs(spark, tmp_dir):
+    """What the operator is given per job is a few packs, whatever the number of its events; nothing is lost on the way."""
+    rows = [(j, k, k * 10, random.Random(k).choice([None, "Running", "Queued"]), k % 9 == 0) for j, n in (("hot", 9000), (None, 5), ("x", 3)) for k in range(n)]
+    path = os.path.join(tmp_dir, "in")
+    df = spark.createDataFrame(rows, "job string, us long, seq long, state string, mark boolean")
+    df.coalesce(1).write.parquet(path)
+    packs = packed(spark.read.parquet(path)).collect()
+    assert sorted((r.key or "") for r in packs) == ["", "hot", "hot", "hot", "x"]
+    back = [(r.key, *e) for r in packs for e in zip(*unpacked(r.pack))]
+    assert sorted(map(str, back)) == sorted(map(str, rows))
+    assert all(r.us == max(unpacked(r.pack)[0]) for r in packs)
+    times = df.withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz"))
+    times.coalesce(1).write.parquet(path + "2")
+    out = stream_state_outcome(event_stream(spark, path + "2", times.schema), "job", "ts", "state", F.col("mark"), "seq")
+    assert "MapInArrow" in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_an_event_before_the_replayed_ones_changes_nothing(spark, tmp_dir):
+    """A late event that shares its pack with one in time is not replayed out of order."""
+    path = os.path.join(tmp_dir, "late")
+    parts = [[("a", 0, "Queued", False), ("b", 0, "Queued", False)], [("a", 1500, "Queued", False), ("b", 1500, None, True)], [("c", 1600, "Queued", False)],
+             [("a", 60, "Failed", False), ("a", 1700, None, True), ("b", 70, "Failed", False), ("b", 1701, "Running", False)]]
+    for p in parts:
+        frame(spark, p).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    got = stream_state_outcome_table(spark, event_stream(spark, path, frame(spark, parts[0]).schema, max_files_per_trigger=1), "job", "ts", "state",
+                                     F.col("mark"), "seq", delay="1 minute").collect()
+    assert sorted((r.job, r.outcome, r.outcome_ts and str(r.outcome_ts)) for r in got) == [("a", "open", None), ("b", "ready", at(1701)), ("c", "open", None)]
